@@ -138,3 +138,106 @@ ORACLES: dict[str, str] = {
     "metric_timeline": METRIC_TIMELINE,
     "skill_table": SKILL_TABLE,
 }
+
+
+# --- text and rules ------------------------------------------------------------
+# Fixed texts (templates, descriptions) are data shared with the engine; the
+# logic that picks and fills them below is written independently in SQL.
+from parley.operators import rules as _r  # noqa: E402
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+# Python's str.isspace() set, spelled out for RE2.
+_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _clean(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{_WS}+', ' ', 'g'), ' ')"
+
+
+TEXT_CLEANING = f"""
+select doc_id,
+       {_clean('substr(text, 1, 2000)')} as head_clean,
+       array_to_string(string_split({_clean('text')}, ' ')[1:40], ' ') || '...' as summary,
+       replace(replace({_strip('text')}, chr(10), ' '), '  ', ' ') as extracted,
+       cast(length({_strip('text')}) as bigint) as stripped_chars
+from documents"""
+
+_TRANSCRIPTS = """
+fx_transcripts as (
+  select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as text
+  from conversations group by conv_id
+)"""
+
+
+def _fill1(tpl: str, name: str) -> str:
+    return f"replace({_q(tpl)}, '{{client_name}}', {name})"
+
+
+_M3 = "case " + " ".join(
+    f"when objection = '{k}' then {_fill1(v, 'client_name')}" for k, v in _r.MESSAGE_3.items()
+) + f" else {_fill1(_r.MESSAGE_3_OTHER, 'client_name')} end"
+
+TRANSCRIPT_RULES = f"""
+with {_TRANSCRIPTS},
+c as (
+  select conv_id, text,
+         case when len(list_filter(string_split(text, chr(10)), lambda l: contains(l, 'blest') and contains(l, ':'))) > 0
+              then {_q(_r.CLIENT_MARKER_NAME)} else {_q(_r.CLIENT_DEFAULT)} end as client_name,
+         case when contains(lower(text), 'blest') or contains(lower(text), 'que') then 'money'
+              when contains(lower(text), 'hand') then 'expectations'
+              when contains(lower(text), 'sch') then 'quality'
+              when contains(lower(text), 'nicht') then 'timeline'
+              else 'none' end as objection,
+         case when contains(text, 'hand') then {_q(_r.TOPIC_STORE)} else {_q(_r.TOPIC_GENERIC)} end as topic_phrase
+  from fx_transcripts
+  where length({_strip('text')}) > 0
+)
+select conv_id, client_name, objection, topic_phrase, {_M3} as followup_3,
+       {_fill1(_r.MESSAGE_4, 'client_name')} as followup_4
+from c"""
+
+DETECT_SECTORS = f"""
+with {_TRANSCRIPTS},
+lex(keyword, sector) as (values ('hand','Branding'), ('blest','Sales'), ('que','Sales'),
+  ('nicht','Business'), ('los','Business'), ('sch','Marketing'), ('ción','Marketing'))
+select distinct t.conv_id, l.sector
+from fx_transcripts t join lex l on contains(lower(t.text), l.keyword)"""
+
+_CORPUS = """
+fx_corpus as (
+  select case cast(substr(source, 4) as int) % 4 when 0 then 'Marketing' when 1 then 'Sales'
+              when 2 then 'Business' else 'Branding' end as sector,
+         concat('doc_', cast(doc_id as varchar), '.pdf') as name, doc_id as ordinal, text
+  from documents
+)"""
+
+_D = [t for _, t in _r.DESCRIPTION_RULES]
+
+DESCRIBE_DOCUMENTS = f"""
+with {_CORPUS},
+named as (select sector, name, ordinal, lower(replace(name, '.pdf', '')) as stem from fx_corpus),
+cache as (select name, text from fx_corpus where sector = 'Marketing')
+select n.sector, n.name, n.ordinal, n.stem,
+       case when cache.name is not null then cache.text
+            when contains(n.stem, 'doc_1') or contains(n.stem, '99') then {_q(_D[0])}
+            when contains(n.stem, '7') then {_q(_D[1])}
+            when contains(n.stem, '33') or contains(n.stem, '44') then {_q(_D[2])}
+            when contains(n.stem, '5') then {_q(_D[3])}
+            when contains(n.stem, '2') then {_q(_D[4])}
+            else {_q(_r.DESCRIPTION_DEFAULT)} end as description
+from named n left join cache on n.name = cache.name"""
+
+ORACLES.update({
+    "text_cleaning": TEXT_CLEANING,
+    "transcript_rules": TRANSCRIPT_RULES,
+    "detect_sectors": DETECT_SECTORS,
+    "describe_documents": DESCRIBE_DOCUMENTS,
+})

@@ -105,3 +105,19 @@ FIXTURE_LEXICON = [("hand", "Branding"), ("blest", "Sales"), ("que", "Sales"),
                    ("ción", "Marketing")]
 FIXTURE_OBJECTION_WORDS = [("money", ["blest", "que"]), ("expectations", ["hand"]),
                            ("quality", ["sch"]), ("timeline", ["nicht"])]
+
+# Description rules for the fixture's ``doc_<id>.pdf`` names
+# (the reference's Arabic name words never occur in them); the texts are the
+# reference's descriptions, in rule order.
+def fixture_words():
+    """RuleWords for the driver's en/fr/de/es data."""
+    from parley.operators import rules
+    texts = [t for _, t in rules.DESCRIPTION_RULES]
+    return rules.RuleWords(
+        description_rules=[(["doc_1", "99"], texts[0]), (["7"], texts[1]), (["33", "44"], texts[2]),
+                           (["5"], texts[3]), (["2"], texts[4])],
+        client_marker="blest",
+        lexicon=list(FIXTURE_LEXICON),
+        objection_rules=[(k, list(v)) for k, v in FIXTURE_OBJECTION_WORDS],
+        store_word="hand",
+    )

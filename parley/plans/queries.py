@@ -6,9 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parley import fixtures as fx
-from parley.operators import scoring
+from parley.functions import text as tx
+from parley.operators import rules, scoring
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +53,38 @@ def q_skill_table(spark, sf_dir):
     return scoring.skill_table(_meetings(spark, sf_dir))
 
 
+# --- text functions (SC-*) ---------------------------------------------------
+
+def q_text_cleaning(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id",
+                    tx.clean_text(tx.head_chars("text", 2000)).alias("head_clean"),
+                    tx.summarize("text").alias("summary"),
+                    tx.clean_extracted("text").alias("extracted"),
+                    F.length(tx.strip("text")).cast("bigint").alias("stripped_chars"))
+
+
+# --- rules (RL-*, JN-2, JN-3) --------------------------------------------------
+
+def q_transcript_rules(spark, sf_dir):
+    t = fx.transcripts(spark, sf_dir)
+    valid = t.filter(F.length(tx.strip("text")) > 0)
+    c = rules.classify_transcripts(valid, "text", fx.fixture_words())
+    return c.select("conv_id", "client_name", "objection", "topic_phrase", "followup_3", "followup_4")
+
+
+def q_detect_sectors(spark, sf_dir):
+    t = fx.transcripts(spark, sf_dir)
+    return t.select("conv_id", F.explode(rules.detected_sectors("text", fx.fixture_words())).alias("sector"))
+
+
+def q_describe_documents(spark, sf_dir):
+    corpus = fx.corpus(spark, sf_dir)
+    cache = corpus.filter(F.col("sector") == "Marketing").select("name", "text", "ordinal")
+    d = rules.describe_documents(corpus.select("sector", "name", "ordinal"), cache, fx.fixture_words())
+    return d.select("sector", "name", "ordinal", tx.document_stem("name").alias("stem"), "description")
+
+
 QUERIES: dict[str, QueryFn] = {
     "weighted_scores": q_weighted_scores,
     "agent_profile": q_agent_profile,
@@ -60,4 +94,8 @@ QUERIES: dict[str, QueryFn] = {
     "score_matrix": q_score_matrix,
     "metric_timeline": q_metric_timeline,
     "skill_table": q_skill_table,
+    "text_cleaning": q_text_cleaning,
+    "transcript_rules": q_transcript_rules,
+    "detect_sectors": q_detect_sectors,
+    "describe_documents": q_describe_documents,
 }
