@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parley import fixtures as fx
 from parley.functions import text as tx
-from parley.operators import rules, scoring
+from parley.operators import inference, matching, rules, scoring
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,26 @@ def q_describe_documents(spark, sf_dir):
     return d.select("sector", "name", "ordinal", tx.document_stem("name").alias("stem"), "description")
 
 
+# --- topics and matching (LM-1 offline, JN-3..7, ST-2/3, AG-8/11) -------------
+
+def q_meeting_topics(spark, sf_dir):
+    return inference.keyword_topics(fx.transcripts(spark, sf_dir), "conv_id")
+
+
+def q_match_documents(spark, sf_dir):
+    t = fx.transcripts(spark, sf_dir)
+    topics = inference.keyword_topics(t, "conv_id")
+    corpus = fx.corpus(spark, sf_dir)
+    m = matching.match_documents(topics, corpus, key="conv_id")
+    return matching.matched_summaries(m, corpus)
+
+
+def q_rank_by_name(spark, sf_dir):
+    t = fx.transcripts(spark, sf_dir)
+    sectors = t.select("conv_id", F.explode(rules.detected_sectors("text", fx.fixture_words())).alias("sector"))
+    return matching.rank_by_name(t, sectors, fx.corpus(spark, sf_dir), key="conv_id")
+
+
 QUERIES: dict[str, QueryFn] = {
     "weighted_scores": q_weighted_scores,
     "agent_profile": q_agent_profile,
@@ -98,4 +118,7 @@ QUERIES: dict[str, QueryFn] = {
     "transcript_rules": q_transcript_rules,
     "detect_sectors": q_detect_sectors,
     "describe_documents": q_describe_documents,
+    "meeting_topics": q_meeting_topics,
+    "match_documents": q_match_documents,
+    "rank_by_name": q_rank_by_name,
 }
