@@ -241,3 +241,145 @@ ORACLES.update({
     "detect_sectors": DETECT_SECTORS,
     "describe_documents": DESCRIBE_DOCUMENTS,
 })
+
+# --- topics, corpus, stored meetings, outbox ----------------------------------------
+
+MEETING_TOPICS = f"""
+with {_TRANSCRIPTS},
+w as (select conv_id, regexp_extract_all(lower(regexp_replace(text, '(?m)^[A-Za-z_]+: ', '', 'g')), '\\p{{L}}{{4,}}') as words
+      from fx_transcripts),
+u as (select conv_id, unnest(words) as word, unnest(range(len(words))) as wpos from w),
+c as (select conv_id, word, count(*) as cnt, min(wpos) as first_at from u group by conv_id, word),
+r as (select *, row_number() over (partition by conv_id order by cnt desc, first_at asc) as rk from c)
+select conv_id, rk - 1 as pos, word as topic from r where rk <= 3"""
+
+_NON_TEXT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+_PARA = r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>"
+_TAG = r"(?s)<[^>]*>"
+
+CORPUS_FROM_PAGES = f"""
+with p as (
+  select regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/$', '') as upath,
+         regexp_replace(html, '{_NON_TEXT}', '', 'g') as body
+  from pages
+),
+x as (
+  select regexp_extract(upath, '^/([^/]+)', 1) as sector, 'pages' || upath as path,
+         array_to_string(list_transform(regexp_extract_all(body, '{_PARA}', 1),
+                                        lambda q: regexp_replace(q, '{_TAG}', '', 'g')), chr(10)) as prim,
+         regexp_replace(body, '{_TAG}', ' ', 'g') as fb
+  from p
+),
+y as (
+  select sector, path, string_split_regex(path, '[/\\\\]')[-1] as name,
+         case when coalesce(length({_strip('prim')}), 0) > 0 then prim else coalesce(fb, '') end as raw
+  from x
+),
+z as (select *, row_number() over (partition by sector, name order by path desc) as k from y)
+select sector, name, path, replace(replace({_strip('raw')}, chr(10), ' '), '  ', ' ') as text
+from z where k = 1"""
+
+_MEETINGS_JSON = _MEETINGS + """,
+fx_meetings_json as (
+  select m.meeting_id as id, cast(m.user_id as varchar) as sales_id, m.meeting_ts as meeting_ts,
+         concat('{"topics":["t', cast(m.user_id % 7 as varchar), '","t', cast(m.user_id % 5 as varchar),
+                '"],"fears":"f","objection":"', case when m.user_id % 3 = 0 then 'price' else '' end,
+                '","summary":"Meeting of agent ', cast(m.user_id as varchar),
+                ' held on a day whose first event came at ', m.meeting_id, '"}') as analysis_json,
+         '[["guide.pdf","first words..."]]' as pdfs_json,
+         concat('{"followup_1":{"subject":"s","body":"b"},"sales_scoring":', coalesce(s.j, '{}'), '}') as followup_json,
+         coalesce(s.j, '{}') as scoring_json
+  from fx_meetings m
+  left join (
+    select user_id, day, concat('{', concat_ws(',',
+      '"click":' || cast(max(case when metric = 'click' then score end) as varchar),
+      '"purchase":' || cast(max(case when metric = 'purchase' then score end) as varchar),
+      '"signup":' || cast(max(case when metric = 'signup' then score end) as varchar),
+      '"view":' || cast(max(case when metric = 'view' then score end) as varchar)
+    ), '}') as j
+    from fx_scores group by user_id, day
+  ) s on m.user_id = s.user_id and m.day = s.day
+)"""
+
+ARCHIVE = f"""
+with {_MEETINGS_JSON},
+a as (select id, sales_id, {_ts('meeting_ts')} as meeting_date,
+             coalesce(json_extract_string(analysis_json, '$.summary'), '') as summary from fx_meetings_json),
+b as (select *, case when length(summary) > 60 then substr(summary, 1, 60) || '...' else summary end as snip from a)
+select id, sales_id, meeting_date, snip as summary_snippet,
+       ' ' || meeting_date || ' | ' || ' ' || sales_id || ' | ' || ' ' || snip as label,
+       'radar_' || md5(coalesce(id, meeting_date)) as chart_key
+from b"""
+
+DECODED_MEETINGS = f"""
+with {_MEETINGS_JSON}
+select id, sales_id, json_extract_string(analysis_json, '$.summary') as summary,
+       nullif(json_extract_string(analysis_json, '$.objection'), '') as objection,
+       cast(json_array_length(analysis_json, '$.topics') as bigint) as n_topics,
+       json_extract_string(pdfs_json, '$[0][0]') as first_pdf,
+       cast(len(list_filter(json_keys(followup_json), lambda k: starts_with(k, 'followup_'))) as bigint) as n_followups,
+       cast(len(json_keys(scoring_json)) as bigint) as n_scores
+from fx_meetings_json"""
+
+TOPIC_ROWS = f"""
+with {_MEETINGS_JSON},
+t as (select id, sales_id, analysis_json, unnest(range(cast(json_array_length(analysis_json, '$.topics') as bigint))) as pos
+      from fx_meetings_json)
+select id, sales_id, cast(pos as bigint) as pos,
+       json_extract_string(analysis_json, '$.topics[' || cast(pos as varchar) || ']') as topic
+from t"""
+
+FOLLOWUP_CARDS = f"""
+with {_MEETINGS_JSON},
+k as (select id, sales_id, followup_json, unnest(json_keys(followup_json)) as key from fx_meetings_json)
+select id, sales_id, key,
+       coalesce(json_extract_string(followup_json, '$."' || key || '".subject'), 'Follow-up Email') as subject,
+       coalesce(json_extract_string(followup_json, '$."' || key || '".body'), '') as body
+from k where starts_with(key, 'followup_')"""
+
+SAVE_MEETINGS = f"""
+with {_MEETINGS_JSON},
+r as (select *, row_number() over (partition by id order by meeting_ts) as k from fx_meetings_json)
+select id, sales_id, {_ts('meeting_ts')} as meeting_date from r
+where k = 1 and id not in (select id from fx_meetings_json where meeting_ts < timestamp '2024-01-16')"""
+
+_BOX = f"""
+{_MEETINGS_JSON},
+k as (select id as meeting_id, meeting_ts as reg, followup_json, unnest(json_keys(followup_json)) as key
+      from fx_meetings_json),
+box as (select meeting_id, key, reg, reg + interval 1 minute as send_at,
+               json_extract(followup_json, '$."' || key || '"')::varchar as message
+        from k where starts_with(key, 'followup_')),
+firsts as (select *, case when date_trunc('day', reg) + (date_trunc('minute', send_at) - date_trunc('day', date_trunc('minute', send_at))) > reg
+                          then date_trunc('day', reg) + (date_trunc('minute', send_at) - date_trunc('day', date_trunc('minute', send_at)))
+                          else date_trunc('day', reg) + (date_trunc('minute', send_at) - date_trunc('day', date_trunc('minute', send_at))) + interval 1 day end as first_run
+           from box)"""
+
+OUTBOX = f"""
+with {_BOX}
+select meeting_id, key, message, strftime(send_at, '%Y-%m-%d %H:%M:%S') as send_at_text,
+       strftime(send_at, '%H:%M') as slot
+from box"""
+
+DUE_MESSAGES = f"""
+with {_BOX},
+nowv as (select max(reg) as now from box),
+occ as (select meeting_id, key, reg, unnest(generate_series(first_run, greatest((select now from nowv), first_run), interval 1 day)) as occurrence
+        from firsts),
+sent as (select meeting_id, key, first_run as occurrence from firsts where reg < timestamp '2024-01-10')
+select o.meeting_id, o.key, {_ts('o.occurrence')} as occurrence
+from occ o
+where o.occurrence <= (select now from nowv)
+  and not exists (select 1 from sent s where s.meeting_id = o.meeting_id and s.key = o.key and s.occurrence = o.occurrence)"""
+
+ORACLES.update({
+    "meeting_topics": MEETING_TOPICS,
+    "corpus_from_pages": CORPUS_FROM_PAGES,
+    "archive": ARCHIVE,
+    "decoded_meetings": DECODED_MEETINGS,
+    "topic_rows": TOPIC_ROWS,
+    "followup_cards": FOLLOWUP_CARDS,
+    "save_meetings": SAVE_MEETINGS,
+    "outbox": OUTBOX,
+    "due_messages": DUE_MESSAGES,
+})

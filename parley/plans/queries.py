@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from parley import fixtures as fx
 from parley.functions import text as tx
-from parley.operators import inference, matching, rules, scoring
+from parley.operators import inference, matching, meetings, outbox, rules, scoring
+from parley.sources import corpus as corpus_src
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +106,106 @@ def q_rank_by_name(spark, sf_dir):
     return matching.rank_by_name(t, sectors, fx.corpus(spark, sf_dir), key="conv_id")
 
 
+def q_rule_followups(spark, sf_dir):
+    """PL-1: the full 11-field follow-up record per transcript."""
+    words = fx.fixture_words()
+    t = meetings.valid_transcripts(fx.transcripts(spark, sf_dir))
+    corpus = fx.corpus(spark, sf_dir)
+    sectors = t.select("conv_id", F.explode(rules.detected_sectors("text", words)).alias("sector"))
+    picks = matching.rank_by_name(t, sectors, corpus, key="conv_id")
+    cache = corpus.filter(F.col("sector") == "Marketing").select("name", "text", "ordinal")
+    described = rules.describe_documents(picks, cache, words)
+    return rules.build_followup_record(rules.classify_transcripts(t, "text", words), described, "conv_id")
+
+
+def q_plan_prompts(spark, sf_dir):
+    """LM-1 (offline) -> JN-6 -> JN-7/SC-4 -> AG-11 -> LM-2 per transcript."""
+    t = fx.transcripts(spark, sf_dir)
+    analysis = inference.analyze_transcripts(t, "conv_id", None, fx.fixture_words())
+    topics = analysis.select("conv_id", F.posexplode("analysis.topics").alias("pos", "topic"))
+    corpus = fx.corpus(spark, sf_dir)
+    picks = matching.matched_summaries(matching.match_documents(topics, corpus, key="conv_id"), corpus)
+    blocks = matching.document_block(picks, "conv_id")
+    return inference.plan_prompts(analysis, blocks, "conv_id")
+
+
+# --- corpus from raw pages (SRC-5..7, AG-9) -------------------------------------
+
+def q_corpus_from_pages(spark, sf_dir):
+    files = corpus_src.pages_as_files(fx.table(spark, sf_dir, "pages"))
+    return corpus_src.build_corpus(files)
+
+
+# --- stored meetings (SNK-1, PRJ-*) ---------------------------------------------
+
+def q_archive(spark, sf_dir):
+    return meetings.archive(_meetings(spark, sf_dir)).drop("meeting_ts")
+
+
+def q_decoded_meetings(spark, sf_dir):
+    d, _ = meetings.decode_meetings(_meetings(spark, sf_dir))
+    obj = F.col("analysis.objection")
+    return d.select(
+        "id", "sales_id", F.col("analysis.summary").alias("summary"),
+        F.when(obj != "", obj).alias("objection"),
+        F.size("analysis.topics").cast("bigint").alias("n_topics"),
+        F.col("pdfs")[0]["name"].alias("first_pdf"),
+        F.size(meetings.followup_entries(F.col("followup"))).cast("bigint").alias("n_followups"),
+        F.size("scoring").cast("bigint").alias("n_scores"))
+
+
+def q_topic_rows(spark, sf_dir):
+    d, _ = meetings.decode_meetings(_meetings(spark, sf_dir))
+    return meetings.meeting_topics(d).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def q_followup_cards(spark, sf_dir):
+    d, _ = meetings.decode_meetings(_meetings(spark, sf_dir))
+    return meetings.followup_cards(d).drop("attachments")
+
+
+def q_meeting_reports(spark, sf_dir):
+    d, _ = meetings.decode_meetings(_meetings(spark, sf_dir))
+    return meetings.meeting_report(d)
+
+
+# Fixed value: the fixture's "already stored" cut-off for the save check.
+SAVED_BEFORE = "2024-01-16"
+
+
+def q_save_meetings(spark, sf_dir):
+    m = _meetings(spark, sf_dir)
+    existing = m.filter(F.col("meeting_ts") < F.lit(SAVED_BEFORE).cast("timestamp_ntz"))
+    saved, _ = meetings.save_meetings(existing, m)
+    return saved.select("id", "sales_id", tx.display_ts("meeting_ts").alias("meeting_date"))
+
+
+# --- outbox (OB-1, OB-2) ------------------------------------------------------------
+
+def _plans(spark, sf_dir):
+    return _meetings(spark, sf_dir).select(F.col("id").alias("meeting_id"),
+                                           F.col("meeting_ts").alias("planned_at"), "followup_json")
+
+
+def q_outbox(spark, sf_dir):
+    return outbox.build_outbox(_plans(spark, sf_dir)).select(
+        "meeting_id", "key", "message", "send_at_text", "slot")
+
+
+# Fixed value: meetings planned before this day had their first message sent.
+SENT_BEFORE = "2024-01-10"
+
+
+def q_due_messages(spark, sf_dir):
+    box = outbox.build_outbox(_plans(spark, sf_dir))
+    now = box.select(F.max("registered_at")).scalar()
+    first = outbox.first_run(F.col("registered_at"), F.col("send_at"))
+    sent = (box.filter(F.col("registered_at") < F.lit(SENT_BEFORE).cast("timestamp_ntz"))
+            .select("meeting_id", "key", first.alias("occurrence")))
+    due = outbox.due_messages(box, sent, now)
+    return due.select("meeting_id", "key", tx.display_ts("occurrence").alias("occurrence"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "weighted_scores": q_weighted_scores,
     "agent_profile": q_agent_profile,
@@ -121,4 +222,15 @@ QUERIES: dict[str, QueryFn] = {
     "meeting_topics": q_meeting_topics,
     "match_documents": q_match_documents,
     "rank_by_name": q_rank_by_name,
+    "rule_followups": q_rule_followups,
+    "plan_prompts": q_plan_prompts,
+    "corpus_from_pages": q_corpus_from_pages,
+    "archive": q_archive,
+    "decoded_meetings": q_decoded_meetings,
+    "topic_rows": q_topic_rows,
+    "followup_cards": q_followup_cards,
+    "meeting_reports": q_meeting_reports,
+    "save_meetings": q_save_meetings,
+    "outbox": q_outbox,
+    "due_messages": q_due_messages,
 }
