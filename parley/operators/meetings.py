@@ -67,10 +67,13 @@ def decode_meetings(meetings: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = meetings.select("id", "sales_id", "meeting_ts", a.alias("analysis"), pdfs.alias("pdfs"),
                         fu.alias("followup"), sc.alias("scoring"),
                         "analysis_json", "pdfs_json", "followup_json", "scoring_json")
-    bad = ((F.col("analysis").isNull() & F.col("analysis_json").isNotNull())
-           | (F.col("pdfs").isNull() & F.col("pdfs_json").isNotNull())
-           | (F.col("followup").isNull() & F.col("followup_json").isNotNull())
-           | (F.col("scoring").isNull() & F.col("scoring_json").isNotNull()))
+    # Validity is checked on the text: a malformed object parsed into a
+    # struct yields a struct of NULLs rather than NULL.
+    def bad_obj(c):
+        return F.col(c).isNotNull() & F.json_object_keys(F.col(c)).isNull()
+
+    bad = (bad_obj("analysis_json") | bad_obj("followup_json") | bad_obj("scoring_json")
+           | (F.col("pdfs_json").isNotNull() & F.json_array_length("pdfs_json").isNull()))
     raw = ["analysis_json", "pdfs_json", "followup_json", "scoring_json"]
     return d.filter(~bad).drop(*raw), d.filter(bad).select("id", *raw)
 
