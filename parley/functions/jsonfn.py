@@ -26,13 +26,21 @@ def object_entries(df: DataFrame, json_col: str, keep: list[str],
     keeps its last occurrence (and that occurrence's position). Text that is
     not an object gives no entries. Everything is a per-row expression: no
     shuffle is needed to drop duplicate keys."""
+    return df.select(*keep, F.inline(object_entry_array(json_col, key_name, value_name, pos_name)))
+
+
+def object_entry_array(json_col: str, key_name: str = "key", value_name: str = "raw_value",
+                       pos_name: str = "pos") -> Column:
+    """The entries of :func:`object_entries` as one array column
+    ``array<struct<pos, key, value>>`` (empty for non-objects)."""
     entries = F.map_entries(F.from_json(F.col(json_col), OBJECT_AS_TEXT_MAP))
     numbered = F.transform(entries, lambda e, i: F.struct(
         i.alias(pos_name), e["key"].alias(key_name), e["value"].alias(value_name)))
     last_only = F.filter(numbered, lambda e: ~F.exists(
         F.slice(numbered, e[pos_name] + 2, F.greatest(F.size(numbered), F.lit(1))),
         lambda later: later[key_name] == e[key_name]))
-    return df.select(*keep, F.inline(last_only))
+    return F.coalesce(last_only, F.array().cast(
+        f"array<struct<{pos_name}:int,{key_name}:string,{value_name}:string>>"))
 
 
 def json_field(json_col, path: str) -> Column:

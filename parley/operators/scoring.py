@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.jsonfn import object_entries
+from parley.functions.jsonfn import object_entries, object_entry_array
 from parley.functions.numeric import round_ratio_half_up, score_band, score_value, to_micro
 from parley.functions.text import display_ts, metric_label
 
@@ -72,13 +72,26 @@ def weighted_scores(meetings: DataFrame) -> DataFrame:
     Also returns ``first_seen`` (the newest (ts, id, -pos) at which the
     metric occurs) for tie rules."""
     mw = recency_weights(meetings.select("id", "sales_id", "meeting_ts", "scoring_json"))
-    den = mw.groupBy("sales_id").agg(F.sum("weight_x10").alias("den"))
-    s = scores_long(mw, ("weight_x10",))
-    num = (s.groupBy("sales_id", "metric")
-           .agg(F.sum(to_micro(F.col("value")) * F.col("weight_x10")).alias("num"),
-                F.max(F.struct("meeting_ts", "id", (-F.col("pos")).alias("neg_pos"))).alias("first_seen")))
+    # One pass over the meetings: every meeting contributes its weight to a
+    # per-agent total (the NULL-metric row) and value*weight to each metric
+    # it carries; one hash aggregation computes both.
+    total_row = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("metric"),
+                                 F.lit(None).cast("string").alias("raw")))
+    entries = F.concat(object_entry_array("scoring_json", "metric", "raw"), total_row)
+    rows = (mw.select("id", "sales_id", "meeting_ts", "weight_x10", F.inline(entries))
+            .withColumn("value", score_value(F.col("raw")))
+            .filter(F.col("metric").isNull() | (F.col("value").isNotNull() & ~F.isnan("value"))))
+    is_total = F.col("metric").isNull()
+    agg = (rows.groupBy("sales_id", "metric")
+           .agg(F.sum(F.when(is_total, F.col("weight_x10"))
+                      .otherwise(to_micro(F.col("value")) * F.col("weight_x10"))).alias("num"),
+                F.max(F.when(~is_total, F.struct("meeting_ts", "id", (-F.col("pos")).alias("neg_pos"))))
+                .alias("first_seen")))
+    # The per-agent total sits in the same small aggregated table; a window
+    # by agent attaches it without re-reading the meetings.
+    den = F.max(F.when(is_total, F.col("num"))).over(Window.partitionBy("sales_id"))
     score = round_ratio_half_up(F.col("num"), F.col("den") * F.lit(1_000_000))
-    return (num.join(den, "sales_id")
+    return (agg.withColumn("den", den).filter(~is_total)
             .select("sales_id", "metric", score.alias("weighted_score"), "first_seen"))
 
 
