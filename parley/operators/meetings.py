@@ -4,7 +4,7 @@ PRJ-23, ST-1, ST-4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.jsonfn import is_object_text, json_field, object_entries
@@ -83,10 +83,16 @@ def save_meetings(existing: DataFrame, new: DataFrame, order_col: str = "meeting
     batch the first arrival (by ``order_col``) of an id wins, as repeated
     single inserts would. Returns ``(saved, rejected)``; write ``saved``
     with ``mode("append")``. Re-saving the same batch saves nothing."""
-    w = Window.partitionBy("id").orderBy(F.col(order_col).asc())
-    ranked = new.withColumn("_arrival", F.row_number().over(w))
-    first = ranked.filter(F.col("_arrival") == 1).drop("_arrival")
-    dup = ranked.filter(F.col("_arrival") > 1).drop("_arrival")
+    # The first arrival per id is a min over (order, row) structs: a hash
+    # aggregation with map-side partial results, so an id repeated a
+    # million times is not a hot task.
+    cols = new.columns
+    rest = [c for c in cols if c not in ("id", order_col)]
+    first = (new.groupBy("id")
+             .agg(F.min(F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in rest])).alias("_f"))
+             .select(*[F.col("_f._o").alias(c) if c == order_col else
+                       F.col("id") if c == "id" else F.col(f"_f.{c}").alias(c) for c in cols]))
+    dup = new.exceptAll(first)
     ids = existing.select("id").distinct()
     saved = first.join(ids, "id", "left_anti")
     rejected = first.join(ids, "id", "left_semi").unionByName(dup)

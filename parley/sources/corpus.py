@@ -9,7 +9,7 @@ reference's fallback rule, and every sector is built in one job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.text import base_name, clean_extracted, strip
@@ -71,9 +71,10 @@ def build_corpus(raw: DataFrame, path_col: str = "path", markup_col: str = "html
     text = clean_extracted(extract_with_fallback(paragraph_text(markup_col), all_text(markup_col)))
     df = raw.select(F.col(sector_col).alias("sector"), F.col(path_col).alias("path"),
                     base_name(F.col(path_col)).alias("name"), text.alias("text"))
-    w = Window.partitionBy("sector", "name").orderBy(F.col("path").desc())
-    return (df.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") == 1)
-            .select("sector", "name", "path", "text"))
+    # Last path per (sector, name) as a max over structs: partial
+    # aggregation, no sort of a large group of same-named files.
+    last = df.groupBy("sector", "name").agg(F.max(F.struct("path", "text")).alias("_l"))
+    return last.select("sector", "name", F.col("_l.path").alias("path"), F.col("_l.text").alias("text"))
 
 
 def pages_as_files(pages: DataFrame) -> DataFrame:
