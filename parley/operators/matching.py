@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.similarity import name_ratio, py_lower, sequence_ratio
 from parley.functions.text import base_name, clean_text, head_chars, summarize
+from parley.session import ensure_checkpoint_dir
 
 # Characters of a document compared with topics, documents
 # kept per meeting, and how many candidates the first round probes.
@@ -105,7 +106,11 @@ def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id
     (``ordinal``), as the reference's stable sort does. A meeting without
     topics gets no rows (the reference divides by zero). As in the
     reference, the ratio favours short documents."""
-    docs = prepare_documents(corpus.select("name", "ordinal", "text"))
+    # The prepared heads feed four steps; a reliable checkpoint (written to
+    # the shared ``spark.checkpoint.dir``) runs the Python lower-casing once
+    # and cuts the lineage, so a lost executor does not redo it.
+    ensure_checkpoint_dir(corpus.sparkSession)
+    docs = prepare_documents(corpus.select("ordinal", "text")).select("ordinal", "doc_l", "L").checkpoint()
     meet = (topics.filter(F.col("topic").isNotNull())
             .withColumn("tl", py_lower(F.col("topic")))
             .groupBy(key)
