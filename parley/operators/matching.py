@@ -203,10 +203,31 @@ def candidate_documents(sectors: DataFrame, catalog: DataFrame, key: str) -> Dat
     return sectors.join(catalog.select("sector", "name"), "sector")
 
 
+def _code_points(c: Column) -> Column:
+    # One element per code point (a surrogate pair stays whole).
+    return F.regexp_extract_all(c, F.lit("(?s)."), 0)
+
+
+# A character that stands for "absent from the transcript" in masked names.
+_ABSENT = "\u0000"
+
+
+def _masked_name(th: Column, nl: Column) -> Column:
+    """The name with every character the transcript lacks replaced by one
+    placeholder. Such characters can never be matched, so the ratio is
+    unchanged, and names that differ only there (numbering, dates) need
+    one matcher call instead of one each. Left as is when the transcript
+    itself holds the placeholder."""
+    masked = F.array_join(F.transform(_code_points(nl), lambda c: F.when(
+        F.map_contains_key(th, c), c).otherwise(F.lit(_ABSENT))), "")
+    usable = th.isNotNull() & ~F.map_contains_key(th, F.lit(_ABSENT))
+    return F.when(usable, masked).otherwise(nl)
+
+
 def _char_counts(df: DataFrame, keys: list[str], text: str, out: str) -> DataFrame:
     """``keys`` -> map of character -> count of ``text`` (a hash
     aggregation; one map entry per distinct character of the text)."""
-    ch = df.select(*keys, F.explode(F.split(F.col(text), "")).alias("ch")).filter(F.col("ch") != "")
+    ch = df.select(*keys, F.explode(_code_points(F.col(text))).alias("ch"))
     return (ch.groupBy(*keys, "ch").agg(F.count(F.lit(1)).alias("n"))
             .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias(out)))
 
@@ -253,9 +274,13 @@ def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
              .select(key, "sector", "name", "bound"))
 
     def score(p: DataFrame) -> DataFrame:
-        j = (p.join(t.select(key, "tl"), key).join(cat.select("sector", "name", "nl"), ["sector", "name"])
-             .sortWithinPartitions("nl"))
-        return j.select(key, "sector", "name", name_ratio(F.col("tl"), F.col("nl")).alias("score"))
+        j = (p.join(th, key, "left").join(cat.select("sector", "name", "nl"), ["sector", "name"])
+             .withColumn("probe", _masked_name(F.col("th"), F.col("nl"))).select(key, "sector", "name", "probe"))
+        # One matcher call per distinct (transcript, masked name).
+        uniq = (j.select(key, "probe").distinct().join(t.select(key, "tl"), key)
+                .sortWithinPartitions(key)
+                .select(key, "probe", name_ratio(F.col("tl"), F.col("probe")).alias("score")))
+        return j.join(uniq, [key, "probe"]).select(key, "sector", "name", "score")
 
     order = [F.col("score").desc(), F.col("name").asc(), F.col("sector").asc()]
     wr = Window.partitionBy(key).orderBy(*order)
