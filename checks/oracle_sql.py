@@ -275,8 +275,9 @@ y as (
          case when coalesce(length({_strip('prim')}), 0) > 0 then prim else coalesce(fb, '') end as raw
   from x
 ),
-z as (select *, row_number() over (partition by sector, name order by path desc) as k from y)
-select sector, name, path, replace(replace({_strip('raw')}, chr(10), ' '), '  ', ' ') as text
+c as (select sector, name, path, replace(replace({_strip('raw')}, chr(10), ' '), '  ', ' ') as text from y),
+z as (select *, row_number() over (partition by sector, name order by path desc, text desc) as k from c)
+select sector, name, path, text
 from z where k = 1"""
 
 _MEETINGS_JSON = _MEETINGS + """,

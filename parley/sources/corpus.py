@@ -67,7 +67,8 @@ def build_corpus(raw: DataFrame, path_col: str = "path", markup_col: str = "html
     """SRC-7 + AG-9: ``(sector, name, text)`` per file: extract with
     fallback, clean (SC-2), name = base name of the path. Files of one
     sector with the same base name: the last path wins (the reference's
-    dict overwrite; listing order there is undefined, path order here)."""
+    dict overwrite; listing order there is undefined, path order here, and
+    the larger text for equal paths)."""
     text = clean_extracted(extract_with_fallback(paragraph_text(markup_col), all_text(markup_col)))
     df = raw.select(F.col(sector_col).alias("sector"), F.col(path_col).alias("path"),
                     base_name(F.col(path_col)).alias("name"), text.alias("text"))
