@@ -212,37 +212,10 @@ def _code_points(c: Column) -> Column:
 _ABSENT = "\u0000"
 
 
-def _masked_name(th: Column, nl: Column) -> Column:
-    """The name with every character the transcript lacks replaced by one
-    placeholder. Such characters can never be matched, so the ratio is
-    unchanged, and names that differ only there (numbering, dates) need
-    one matcher call instead of one each. Left as is when the transcript
-    itself holds the placeholder."""
-    masked = F.array_join(F.transform(_code_points(nl), lambda c: F.when(
-        F.map_contains_key(th, c), c).otherwise(F.lit(_ABSENT))), "")
-    usable = th.isNotNull() & ~F.map_contains_key(th, F.lit(_ABSENT))
-    return F.when(usable, masked).otherwise(nl)
-
-
-def _char_counts(df: DataFrame, keys: list[str], text: str, out: str) -> DataFrame:
-    """``keys`` -> map of character -> count of ``text`` (a hash
-    aggregation; one map entry per distinct character of the text)."""
-    ch = df.select(*keys, F.explode(_code_points(F.col(text))).alias("ch"))
-    return (ch.groupBy(*keys, "ch").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias(out)))
-
-
-def _name_bound(th: Column, nh: Column, la: Column, lb: Column) -> Column:
-    """Upper bound of ``name_ratio``: matched characters cannot exceed the
-    shared character counts, nor the shorter string; rounded like the real
-    score (half-to-even on the same float expression), so it never falls
-    below it."""
-    shared = F.aggregate(F.map_entries(nh), F.lit(0).cast("bigint"),
-                         lambda acc, e: acc + F.least(e["value"], F.coalesce(F.element_at(th, e["key"]),
-                                                                            F.lit(0).cast("bigint"))))
-    m = F.least(shared, la, lb)
-    r = F.bround(F.lit(100.0) * (F.lit(2.0) * m / (la + lb)), 0).cast("int")
-    return F.when((la == 0) | (lb == 0), F.lit(0)).otherwise(r)
+def _present_in(present: Column, c: Column) -> Column:
+    # ``present`` is a string of distinct code points, so a substring hit on
+    # one code point is a set-membership test.
+    return F.instr(present, c) > 0
 
 
 def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
@@ -256,47 +229,84 @@ def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
     follows set iteration and is not reproducible. Returns
     ``(key, rank, sector, name, score)``.
 
-    Candidate pairs are (transcript, file of a detected sector), as the
-    reference lists whole sector folders. Each pair first gets a cheap JVM
-    bound from character counts; only pairs whose bound can still reach the
-    k-th best score go through the Python matcher."""
-    t = transcripts.select(key, py_lower(F.col("text")).alias("tl")).withColumn("la", F.length("tl"))
-    th = _char_counts(t, [key], "tl", "th")
+    Exact, without scoring every (transcript, file) pair:
+
+    * a name character the transcript lacks can never be matched, so it is
+      replaced by one placeholder without changing the ratio. What a
+      transcript contributes is its *signature*: which characters of the
+      catalog's alphabet it holds. Masked names are computed per
+      (signature, sector, name), and signatures repeat across transcripts;
+    * names with the same masked form (numbering, dates) score the same
+      against a transcript, so only the ``k`` smallest of each group can
+      reach the top ``k`` (a partial ``WindowGroupLimit``);
+    * each remaining (transcript, masked name) is bounded (matched
+      characters cannot exceed the unmasked ones, nor the shorter string)
+      and scored in two rounds as in :func:`match_documents`;
+    * the Python matcher runs once per distinct (transcript, masked name).
+    """
+    t = (transcripts.select(key, py_lower(F.col("text")).alias("tl"))
+         .withColumn("la", F.length("tl")))
     cat = (catalog.select("sector", "name").distinct()
            .withColumn("nl", py_lower(F.col("name"))).withColumn("lb", F.length("nl")))
-    nh = _char_counts(cat, ["sector", "name"], "nl", "nh")
-    cat = cat.join(nh, ["sector", "name"], "left")
-    pairs = (sectors.select(key, "sector").distinct()
-             .join(t.select(key, "la").join(th, key, "left"), key)
-             .join(cat.select("sector", "name", "lb", "nh"), "sector")
-             .withColumn("bound", _name_bound(F.col("th"), F.coalesce(F.col("nh"), F.create_map().cast("map<string,bigint>")),
-                                              F.col("la"), F.col("lb")))
-             .select(key, "sector", "name", "bound"))
+    alphabet = cat.select(F.explode(_code_points(F.col("nl"))).alias("ch")).distinct()
+    present = (t.select(key, F.explode(_code_points(F.col("tl"))).alias("ch")).distinct()
+               .join(alphabet, "ch", "left_semi")
+               .groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("ch")), "").alias("sig")))
+    # A transcript holding the placeholder itself is never masked.
+    tp = (t.select(key, "la", F.instr(F.col("tl"), F.lit(_ABSENT)).alias("nul"))
+          .join(present, key, "left")
+          .select(key, "la", F.when(F.col("nul") > 0, F.lit(None).cast("string"))
+                  .otherwise(F.coalesce("sig", F.lit(""))).alias("sig")))
+    ts = tp.join(sectors.select(key, "sector").distinct(), key)
+
+    # Masked names per (signature, sector): only signatures that occur with
+    # that sector, so the work grows with distinct signatures, not pairs.
+    sig_sector = ts.select("sig", "sector").distinct()
+    pts = _code_points(F.col("nl"))
+    kept_mask = F.transform(pts, lambda c: F.when(F.col("sig").isNull() | _present_in(F.col("sig"), c), c)
+                            .otherwise(F.lit(_ABSENT)))
+    named = (sig_sector.join(cat, "sector")
+             .withColumn("probe", F.array_join(kept_mask, ""))
+             .withColumn("kept", F.size(F.filter(kept_mask, lambda c: c != F.lit(_ABSENT)))))
+    wg = Window.partitionBy("sig", "sector", "probe").orderBy("name")
+    groups = (named.withColumn("i", F.row_number().over(wg)).filter(F.col("i") <= k)
+              .select("sig", "sector", "name", "probe", "lb", "kept"))
+
+    total = F.col("la") + F.col("lb")
+    m = F.least(F.col("kept"), F.col("la"), F.col("lb"))
+    bound = F.when((F.col("la") == 0) | (F.col("lb") == 0), F.lit(0)).otherwise(
+        F.bround(F.lit(100.0) * (F.lit(2.0) * m / total), 0).cast("int"))
+    cands = ts.join(groups, ["sig", "sector"]).select(key, "sector", "name", "probe", bound.alias("bound"))
+    # Signature NULL (transcript holds the placeholder): the join above
+    # drops it, so such transcripts pair with their plain names here.
+    plain = (ts.filter(F.col("sig").isNull()).join(cat, "sector")
+             .select(key, "sector", "name", F.col("nl").alias("probe"),
+                     F.when((F.col("la") == 0) | (F.col("lb") == 0), F.lit(0)).otherwise(
+                         F.bround(F.lit(100.0) * (F.lit(2.0) * F.least("la", "lb") / (F.col("la") + F.col("lb"))), 0)
+                         .cast("int")).alias("bound")))
+    cands = cands.unionByName(plain)
 
     def score(p: DataFrame) -> DataFrame:
-        j = (p.join(th, key, "left").join(cat.select("sector", "name", "nl"), ["sector", "name"])
-             .withColumn("probe", _masked_name(F.col("th"), F.col("nl"))).select(key, "sector", "name", "probe"))
-        # One matcher call per distinct (transcript, masked name).
-        uniq = (j.select(key, "probe").distinct().join(t.select(key, "tl"), key)
+        uniq = (p.select(key, "probe").distinct().join(t.select(key, "tl"), key)
                 .sortWithinPartitions(key)
                 .select(key, "probe", name_ratio(F.col("tl"), F.col("probe")).alias("score")))
-        return j.join(uniq, [key, "probe"]).select(key, "sector", "name", "score")
+        return p.join(uniq, [key, "probe"]).select(key, "sector", "name", "score")
 
     order = [F.col("score").desc(), F.col("name").asc(), F.col("sector").asc()]
     wr = Window.partitionBy(key).orderBy(*order)
-    # Round 1: the best-bound pairs, smallest names first.
+    # Round 1: the best-bound candidates, smallest names first.
     wp = Window.partitionBy(key).orderBy(F.col("bound").desc(), F.col("name").asc(), F.col("sector").asc())
-    r1_pairs = pairs.withColumn("i", F.row_number().over(wp)).filter(F.col("i") <= probe).drop("i", "bound")
+    r1_pairs = cands.withColumn("i", F.row_number().over(wp)).filter(F.col("i") <= probe).drop("i")
     r1 = score(r1_pairs).withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k)
     kth = (r1.groupBy(key).agg(F.max(F.struct("rank", "score", "name", "sector")).alias("x"),
                                F.count(F.lit(1)).alias("n"))
            .select(key, F.when(F.col("n") >= k, F.col("x")).alias("kth")))
-    # Round 2: pairs that can still beat the k-th probed pair.
-    cand = pairs.join(kth, key, "left").filter(
+    # Round 2: candidates that can still beat the k-th probed one.
+    cand = cands.join(kth, key, "left").filter(
         F.col("kth").isNull() | (F.col("bound") > F.col("kth.score"))
         | ((F.col("bound") == F.col("kth.score"))
            & (F.struct("name", "sector") <= F.struct(F.col("kth.name"), F.col("kth.sector")))))
-    best = (score(cand.select(key, "sector", "name"))
+    best = (score(cand.select(key, "sector", "name", "probe"))
             .withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k))
     return best.select(key, F.col("rank").cast("int").alias("rank"), "sector", "name", "score")
 
