@@ -18,13 +18,12 @@ Plan, per ranker:
 3. keep the top ``k`` per query with ``row_number`` (``WindowGroupLimit``).
 
 Topic candidates meet documents through equi-joins on length, never
-through a cross join; name candidates are the files of each transcript's
-detected sectors (an equi-join on sector), bounded in the JVM before any
-Python work. Lengths are bounded by the text head
-(2,000 characters, at most doubled by lower-casing), so the table of
-distinct lengths has a proven size bound and is shipped as a literal.
-A length that holds a large share of all documents is a hot join key; AQE's
-skew join splits it.
+through a cross join: each meeting enumerates only the interval of lengths
+whose bound can still reach its threshold. Name candidates are the files of
+each transcript's detected sectors (an equi-join on sector), grouped by
+masked name before any Python work. A length that holds a large share of
+all documents is a hot join key; AQE's skew join splits it, and the probes
+take only the first few documents of each length.
 """
 
 from __future__ import annotations
@@ -41,8 +40,6 @@ from parley.session import ensure_checkpoint_dir
 HEAD_CHARS = 2000
 TOP_K = 2
 PROBE = 8
-# Head lengths after Python lower-casing are below this (2000 * 2 + 1).
-MAX_DISTINCT_LENGTHS = 4001
 
 
 def prepare_documents(corpus: DataFrame, head: int = HEAD_CHARS) -> DataFrame:
@@ -65,13 +62,6 @@ def _mean_bound(lens: Column, L: Column) -> Column:
     return s / F.size(lens)
 
 
-def _distinct_lengths(docs: DataFrame) -> list[int]:
-    vals = [r[0] for r in docs.select("L").distinct().limit(MAX_DISTINCT_LENGTHS + 1).collect()]
-    if len(vals) > MAX_DISTINCT_LENGTHS:
-        raise ValueError("document heads longer than expected; raise MAX_DISTINCT_LENGTHS")
-    return sorted(v for v in vals if v is not None)
-
-
 def _score_pairs(pairs: DataFrame, meet: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """Exact mean topic score for ``pairs (key, ordinal)``.
 
@@ -105,52 +95,64 @@ def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id
     Returns ``(key, rank, name, ordinal, score)``. Ties keep corpus order
     (``ordinal``), as the reference's stable sort does. A meeting without
     topics gets no rows (the reference divides by zero). As in the
-    reference, the ratio favours short documents."""
-    # The prepared heads feed four steps; a reliable checkpoint (written to
-    # the shared ``spark.checkpoint.dir``) runs the Python lower-casing once
-    # and cuts the lineage, so a lost executor does not redo it.
+    reference, the ratio favours short documents.
+
+    The bound of a document depends only on its head length ``L``. It
+    grows with ``L`` up to the shortest topic length and falls beyond the
+    longest, so the lengths that can reach a score ``x`` lie in
+    ``[x*min_l/(200-x), max_l*(200/x-1)]``. Round 1 probes lengths near the
+    topic lengths; round 2 enumerates only that interval per meeting and
+    meets the documents by an equi-join on length."""
+    # The prepared heads feed several steps; a reliable checkpoint (written
+    # to the shared ``spark.checkpoint.dir``) runs the Python lower-casing
+    # once and cuts the lineage, so a lost executor does not redo it.
     ensure_checkpoint_dir(corpus.sparkSession)
     docs = prepare_documents(corpus.select("ordinal", "text")).select("ordinal", "doc_l", "L").checkpoint()
+    max_len = docs.select(F.max("L")).first()[0]
+    if max_len is None:  # empty corpus
+        return topics.sparkSession.createDataFrame(
+            [], f"{key} {dict(topics.dtypes)[key]}, rank int, name string, ordinal bigint, score double")
     meet = (topics.filter(F.col("topic").isNotNull())
             .withColumn("tl", py_lower(F.col("topic")))
             .groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "tl")))
                  .alias("ts"))
             .withColumn("lens", F.transform("ts", lambda t: F.length(t["tl"])))
+            .withColumn("min_l", F.array_min("lens")).withColumn("max_l", F.array_max("lens"))
             .withColumn("sig", F.array_join(F.col("lens"), ",")))
 
-    lengths = _distinct_lengths(docs)
-    if not lengths:
-        return topics.sparkSession.createDataFrame(
-            [], f"{key} {dict(topics.dtypes)[key]}, rank int, name string, ordinal bigint, score double")
-
-    # Bound of every (topic-length signature, document length). Signatures
-    # repeat across meetings, so this is computed once per signature.
-    sigs = meet.select("sig", "lens").distinct()
-    sig_len = (sigs.select("sig", "lens", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("L"))
-               .select("sig", "L", _mean_bound(F.col("lens"), F.col("L")).alias("bound")))
-
-    # Round 1: per signature, the ``probe`` best documents by bound.
+    # Round 1: per topic-length signature, the ``probe`` best documents by
+    # bound among lengths near the topics (the first ``probe`` documents of
+    # each length, a partial WindowGroupLimit on a possibly hot length).
     wl = Window.partitionBy("L").orderBy("ordinal")
     first_per_len = (docs.select("L", "ordinal").withColumn("i", F.row_number().over(wl))
                      .filter(F.col("i") <= probe).drop("i"))
-    ws = Window.partitionBy("sig").orderBy(F.col("bound").desc(), F.col("L").asc())
-    top_lens = sig_len.withColumn("i", F.row_number().over(ws)).filter(F.col("i") <= probe).drop("i")
+    window_hi = F.least(F.col("max_l") * 4 + 8, F.lit(max_len))
+    sig_near = (meet.select("sig", "lens", "max_l").distinct()
+                .select("sig", "lens", F.explode(F.sequence(F.lit(0), window_hi)).alias("L"))
+                .withColumn("bound", _mean_bound(F.col("lens"), F.col("L"))))
     wd = Window.partitionBy("sig").orderBy(F.col("bound").desc(), F.col("ordinal").asc())
-    probe_docs = (top_lens.join(first_per_len, "L")
+    probe_docs = (sig_near.join(first_per_len, "L")
                   .withColumn("i", F.row_number().over(wd)).filter(F.col("i") <= probe)
                   .select("sig", "ordinal"))
     r1_pairs = meet.select(key, "sig").join(probe_docs, "sig").select(key, "ordinal")
     r1 = _score_pairs(r1_pairs, meet, docs, key)
     kth = (_rank(r1, key, k).groupBy(key)
            .agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")))
-    # Fewer than k probed documents -> no threshold.
-    thr = meet.select(key, "sig").join(kth, key, "left").select(
-        key, "sig", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
-
-    # Round 2: every document whose bound reaches the k-th probed score.
-    cand_lens = (thr.join(sig_len, "sig")
-                 .filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth")))
+    # Fewer than k probed documents -> no threshold (x = 0: every length).
+    thr = (meet.select(key, "lens", "min_l", "max_l").join(kth, key, "left")
+           .withColumn("x", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(0.0))))
+
+    # Round 2: lengths whose bound reaches x, then the documents of those
+    # lengths. The interval is widened by one on each side; the exact bound
+    # filter decides.
+    x = F.col("x")
+    lo = F.when(x <= 0, F.lit(0)).otherwise(
+        F.greatest(F.lit(0), F.floor(x * F.col("min_l") / (F.lit(200.0) - x)) - 1)).cast("int")
+    hi = F.when(x <= 0, F.lit(max_len)).otherwise(
+        F.least(F.lit(max_len), F.ceil(F.col("max_l") * (F.lit(200.0) / x - 1)) + 1)).cast("int")
+    cand_lens = (thr.select(key, "lens", "x", F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("L"))
+                 .filter(_mean_bound(F.col("lens"), F.col("L")) >= F.col("x"))
                  .select(key, "L"))
     r2_pairs = cand_lens.join(docs.select("L", "ordinal"), "L").select(key, "ordinal")
     best = _rank(_score_pairs(r2_pairs, meet, docs, key), key, k)
