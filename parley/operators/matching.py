@@ -251,7 +251,9 @@ def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
     cat = (catalog.select("sector", "name").distinct()
            .withColumn("nl", py_lower(F.col("name"))).withColumn("lb", F.length("nl")))
     alphabet = cat.select(F.explode(_code_points(F.col("nl"))).alias("ch")).distinct()
-    present = (t.select(key, F.explode(_code_points(F.col("tl"))).alias("ch")).distinct()
+    # Distinct characters per transcript as a per-row expression first, so
+    # only a few dozen rows per transcript reach the shuffle.
+    present = (t.select(key, F.explode(F.array_distinct(_code_points(F.col("tl")))).alias("ch"))
                .join(alphabet, "ch", "left_semi")
                .groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("ch")), "").alias("sig")))
     # A transcript holding the placeholder itself is never masked.
