@@ -119,7 +119,7 @@ def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id
                  .alias("ts"))
             .withColumn("lens", F.transform("ts", lambda t: F.length(t["tl"])))
             .withColumn("min_l", F.array_min("lens")).withColumn("max_l", F.array_max("lens"))
-            .withColumn("sig", F.array_join(F.col("lens"), ",")))
+            .withColumn("sig", F.array_join(F.col("lens"), ","))).checkpoint()
 
     # Round 1: per topic-length signature, the ``probe`` best documents by
     # bound among lengths near the topics (the first ``probe`` documents of
@@ -246,8 +246,11 @@ def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
       and scored in two rounds as in :func:`match_documents`;
     * the Python matcher runs once per distinct (transcript, masked name).
     """
+    ensure_checkpoint_dir(transcripts.sparkSession)
+    # Lower-cased transcripts feed every later step: written once to the
+    # shared checkpoint folder (cuts lineage, runs the Python lowering once).
     t = (transcripts.select(key, py_lower(F.col("text")).alias("tl"))
-         .withColumn("la", F.length("tl")))
+         .withColumn("la", F.length("tl"))).checkpoint()
     cat = (catalog.select("sector", "name").distinct()
            .withColumn("nl", py_lower(F.col("name"))).withColumn("lb", F.length("nl")))
     alphabet = cat.select(F.explode(_code_points(F.col("nl"))).alias("ch")).distinct()
@@ -288,7 +291,8 @@ def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
                      F.when((F.col("la") == 0) | (F.col("lb") == 0), F.lit(0)).otherwise(
                          F.bround(F.lit(100.0) * (F.lit(2.0) * F.least("la", "lb") / (F.col("la") + F.col("lb"))), 0)
                          .cast("int")).alias("bound")))
-    cands = cands.unionByName(plain)
+    # Both rounds read the candidates; materialise them once.
+    cands = cands.unionByName(plain).checkpoint()
 
     def score(p: DataFrame) -> DataFrame:
         uniq = (p.select(key, "probe").distinct().join(t.select(key, "tl"), key)
