@@ -190,15 +190,6 @@ def document_block(summaries: DataFrame, key: str = "meeting_id") -> DataFrame:
 
 # --- rule path: transcript vs file name (JN-3..5, ST-2) ------------------------
 
-def catalog_entries(catalog: DataFrame, ignore_case: bool = False) -> DataFrame:
-    """SRC-5 filter: keep ``.pdf`` files (case-sensitive unless
-    ``ignore_case``) and derive the base name."""
-    nm = base_name(F.col("path")) if "path" in catalog.columns else F.col("name")
-    c = catalog.withColumn("name", nm)
-    cond = F.lower(F.col("name")).endswith(".pdf") if ignore_case else F.col("name").endswith(".pdf")
-    return c.filter(cond)
-
-
 def candidate_documents(sectors: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
     """JN-4: detected sector -> its documents (equi-join on sector; a sector
     with no folder yields nothing)."""

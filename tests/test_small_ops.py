@@ -32,3 +32,28 @@ def test_distinct_metrics_capped(spark):
     assert scoring.distinct_metrics(m) == ["a", "b"]
     with pytest.raises(ValueError):
         scoring.distinct_metrics(m, cap=1)
+
+
+def test_dashboards_agree_with_single_queries(spark):
+    from parley import fixtures as fx
+    from parley.plans import dashboards
+    m = fx.meetings_json(spark, "/root/testdata/sf0.001")
+    g = dashboards.global_dashboard(m)
+    assert sorted(map(tuple, g["means"].collect())) == sorted(map(tuple, scoring.metric_means(m).collect()))
+    assert sorted(map(tuple, g["matrix"].collect())) == \
+        sorted(map(tuple, scoring.score_matrix(m, fx.FIXTURE_METRICS).collect()))
+    a = dashboards.agent_dashboard(m)
+    assert a["profile"].count() == scoring.agent_profile(m).count()
+    assert a["heatmap"].count() == a["latest"].select("sales_id", "id").distinct().count()
+
+
+def test_agent_filter_and_objection(spark):
+    import datetime as dt
+    from parley.operators import meetings
+    rows = [("m1", "a", dt.datetime(2024, 5, 1), '{"objection":"price","topics":["t"]}', "[]", "{}", "{}"),
+            ("m2", "b", dt.datetime(2024, 5, 2), '{"objection":""}', "[]", "{}", "{}")]
+    m = spark.createDataFrame(rows, "id string, sales_id string, meeting_ts timestamp_ntz, analysis_json string, "
+                                    "pdfs_json string, followup_json string, scoring_json string")
+    assert [r.id for r in scoring.agent_meetings(m, "b").collect()] == ["m2"]
+    d, _ = meetings.decode_meetings(m)
+    assert [(r.id, r.objection) for r in meetings.meeting_objection(d).collect()] == [("m1", "price")]
