@@ -48,17 +48,32 @@ def first_run(registered_at: Column, send_at: Column) -> Column:
 
 
 def due_messages(outbox: DataFrame, sent: DataFrame | None, now: Column,
-                 key: str = "meeting_id", recurring: bool = True) -> DataFrame:
+                 key: str = "meeting_id", recurring: bool = True,
+                 since: Column | None = None) -> DataFrame:
     """OB-2: occurrences due at ``now`` and not yet in the ``sent`` log
     ``(key, key, occurrence)``. ``recurring=False`` keeps only the first
-    occurrence (a one-shot send)."""
+    occurrence (a one-shot send).
+
+    ``since`` (optional) makes a run incremental: only occurrences after it
+    are produced, so each run's output is bounded by the days elapsed since
+    the previous run rather than by the whole history."""
     first = first_run(F.col("registered_at"), F.col("send_at"))
     if recurring:
-        occ = F.explode(F.sequence(first, F.greatest(now, first), F.expr("INTERVAL 1 DAY")))
+        start = first
+        if since is not None:
+            # The first daily occurrence strictly after ``since``.
+            days = F.greatest(F.lit(0), F.floor(
+                (F.unix_micros(since.cast("timestamp")) - F.unix_micros(first.cast("timestamp")))
+                / F.lit(86_400_000_000)) + 1).cast("int")
+            start = F.when(first > since, first).otherwise(F.date_add(F.to_date(first), days).cast("timestamp_ntz")
+                                                          + (first - F.date_trunc("day", first).cast("timestamp_ntz")))
+        occ = F.explode(F.sequence(start, F.greatest(now, start), F.expr("INTERVAL 1 DAY")))
     else:
         occ = F.explode(F.array(first))
     due = (outbox.select(key, "key", "message", occ.alias("occurrence"))
            .filter(F.col("occurrence") <= now))
+    if since is not None:
+        due = due.filter(F.col("occurrence") > since)
     if sent is not None:
         due = due.join(sent.select(key, "key", "occurrence"), [key, "key", "occurrence"], "left_anti")
     return due
