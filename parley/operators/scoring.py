@@ -6,7 +6,10 @@ Skew notes: one agent may own a large share of all meetings, so nothing
 here sorts an agent's whole history. Only the five newest meetings per
 agent get a special weight; they are found with ``row_number() <= 5``,
 which Catalyst turns into a partial ``WindowGroupLimit`` before the shuffle.
-Everything else is a hash aggregation with map-side partial aggregation.
+The weighted mean is "every meeting at the tail weight" (a hash aggregation
+with map-side partial sums) plus "the extra weight of the five newest"
+(a few rows per agent), so the meetings table is never shuffled row by row
+or joined.
 """
 
 from __future__ import annotations
@@ -71,22 +74,38 @@ def weighted_scores(meetings: DataFrame) -> DataFrame:
     the metric, or without any score, still count), rounded half-up to 2.
     Also returns ``first_seen`` (the newest (ts, id, -pos) at which the
     metric occurs) for tie rules."""
-    mw = recency_weights(meetings.select("id", "sales_id", "meeting_ts", "scoring_json"))
-    # One pass over the meetings: every meeting contributes its weight to a
-    # per-agent total (the NULL-metric row) and value*weight to each metric
-    # it carries; one hash aggregation computes both.
+    base = meetings.select("id", "sales_id", "meeting_ts", "scoring_json")
     total_row = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("metric"),
                                  F.lit(None).cast("string").alias("raw")))
     entries = F.concat(object_entry_array("scoring_json", "metric", "raw"), total_row)
-    rows = (mw.select("id", "sales_id", "meeting_ts", "weight_x10", F.inline(entries))
-            .withColumn("value", score_value(F.col("raw")))
-            .filter(F.col("metric").isNull() | (F.col("value").isNotNull() & ~F.isnan("value"))))
     is_total = F.col("metric").isNull()
-    agg = (rows.groupBy("sales_id", "metric")
-           .agg(F.sum(F.when(is_total, F.col("weight_x10"))
-                      .otherwise(to_micro(F.col("value")) * F.col("weight_x10"))).alias("num"),
-                F.max(F.when(~is_total, F.struct("meeting_ts", "id", (-F.col("pos")).alias("neg_pos"))))
-                .alias("first_seen")))
+
+    def weighted(df: DataFrame, weight: str) -> DataFrame:
+        # Each meeting adds its weight to the agent total (NULL-metric row)
+        # and value*weight to every metric it carries.
+        rows = (df.select("id", "sales_id", "meeting_ts", weight, F.inline(entries))
+                .withColumn("value", score_value(F.col("raw")))
+                .filter(is_total | (F.col("value").isNotNull() & ~F.isnan("value"))))
+        return rows.select("sales_id", "metric", "id", "meeting_ts", "pos",
+                           F.when(is_total, F.col(weight))
+                           .otherwise(to_micro(F.col("value")) * F.col(weight)).alias("part"))
+
+    # Every meeting with the tail weight: a plain hash aggregation with
+    # map-side partial sums, so the full table is never shuffled row by row.
+    all_rows = weighted(base.withColumn("w", F.lit(TAIL_WEIGHT_X10)), "w")
+    agg_all = (all_rows.groupBy("sales_id", "metric")
+               .agg(F.sum("part").alias("part"),
+                    F.max(F.when(~is_total, F.struct("meeting_ts", "id", (-F.col("pos")).alias("neg_pos"))))
+                    .alias("first_seen")))
+    # The five newest meetings per agent add their extra weight on top.
+    head = recent_meetings(base, len(RECENCY_WEIGHTS_X10))
+    extra = F.element_at(F.array(*[F.lit(w - TAIL_WEIGHT_X10) for w in RECENCY_WEIGHTS_X10]),
+                         F.col("recency_rank").cast("int"))
+    agg_head = (weighted(head.withColumn("w", extra), "w").groupBy("sales_id", "metric")
+                .agg(F.sum("part").alias("part"))
+                .withColumn("first_seen", F.lit(None).cast(agg_all.schema["first_seen"].dataType)))
+    agg = (agg_all.unionByName(agg_head).groupBy("sales_id", "metric")
+           .agg(F.sum("part").alias("num"), F.max("first_seen").alias("first_seen")))
     # The per-agent total sits in the same small aggregated table; a window
     # by agent attaches it without re-reading the meetings.
     den = F.max(F.when(is_total, F.col("num"))).over(Window.partitionBy("sales_id"))
