@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.similarity import name_ratio, py_lower, sequence_ratio
-from parley.functions.text import base_name, clean_text, head_chars, summarize
+from parley.functions.text import clean_text, head_chars, summarize
 from parley.session import ensure_checkpoint_dir
 
 # Characters of a document compared with topics, documents

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.jsonfn import is_object_text, json_field, object_entries
+from parley.functions.jsonfn import is_object_text, json_field
 from parley.functions.text import display_ts, meeting_key, snippet, strip
 from parley.schemas import ANALYSIS_SCHEMA
 
