@@ -48,9 +48,12 @@ def catalog(spark: SparkSession, root: str, ignore_case: bool = True) -> DataFra
     Only file metadata is read (the binary content column is pruned).
     ``ignore_case=False`` keeps the exact ``.pdf`` suffix only. A missing
     root gives an empty frame."""
+    # The suffix test runs in the file listing itself (a glob), so other
+    # files never become rows.
+    glob = "*.[pP][dD][fF]" if ignore_case else "*.pdf"
     try:
         files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .load(root).select("path"))
+                 .option("pathGlobFilter", glob).load(root).select("path"))
     except Exception as e:  # noqa: BLE001 - missing folder -> empty listing
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], "sector string, path string, name string")
