@@ -82,20 +82,33 @@ def save_meetings(existing: DataFrame, new: DataFrame, order_col: str = "meeting
     """SNK-1 + JN-1: rows of ``new`` whose id is not stored yet. Within the
     batch the first arrival (by ``order_col``) of an id wins, as repeated
     single inserts would. Returns ``(saved, rejected)``; write ``saved``
-    with ``mode("append")``. Re-saving the same batch saves nothing."""
+    with ``mode("append")``. Re-saving the same batch saves nothing.
+
+    ``rejected`` holds each distinct rejected row once with ``copies``, its
+    number of rejected copies: identical copies collapse in a partial
+    aggregation instead of being regenerated one by one in a single task."""
+    cols = new.columns
+    rest = [c for c in cols if c not in ("id", order_col)]
     # The first arrival per id is a min over (order, row) structs: a hash
     # aggregation with map-side partial results, so an id repeated a
     # million times is not a hot task.
-    cols = new.columns
-    rest = [c for c in cols if c not in ("id", order_col)]
     first = (new.groupBy("id")
              .agg(F.min(F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in rest])).alias("_f"))
              .select(*[F.col("_f._o").alias(c) if c == order_col else
                        F.col("id") if c == "id" else F.col(f"_f.{c}").alias(c) for c in cols]))
-    dup = new.exceptAll(first)
     ids = existing.select("id").distinct()
     saved = first.join(ids, "id", "left_anti")
-    rejected = first.join(ids, "id", "left_semi").unionByName(dup)
+    # Every distinct row with its copy count; the saved row uses one copy.
+    counted = new.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"))
+    kept = saved.select(*[F.col(c).alias(f"_k_{c}") for c in cols])
+    same = None
+    for c in cols:
+        eq = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        same = eq if same is None else same & eq
+    rejected = (counted.join(kept, F.col("id") == F.col("_k_id"), "left")
+                .withColumn("copies", F.when(same, F.col("copies") - 1).otherwise(F.col("copies")))
+                .filter(F.col("copies") > 0)
+                .select(*cols, "copies"))
     return saved, rejected
 
 

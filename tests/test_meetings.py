@@ -21,9 +21,17 @@ def test_save_same_second_first_wins_and_resave_is_noop(spark):
     saved, rejected = meetings.save_meetings(empty, new)
     s = saved.collect()
     assert [(r.id, r.sales_id) for r in s] == [("20240501-100000", "b")]
-    assert rejected.count() == 1
-    again, _ = meetings.save_meetings(saved, new)
-    assert again.count() == 0
+    assert [(r.sales_id, r.copies) for r in rejected.collect()] == [("a", 1)]
+    again, rej2 = meetings.save_meetings(saved, new)
+    assert again.count() == 0 and sorted((r.sales_id, r.copies) for r in rej2.collect()) == [("a", 1), ("b", 1)]
+
+
+def test_identical_copies_are_counted_not_regenerated(spark):
+    rows = [("x", T0)] * 5 + [("y", T1)]
+    new = meetings.stamp_meetings(spark.createDataFrame(rows, "sales_id string, meeting_ts timestamp_ntz"))
+    saved, rejected = meetings.save_meetings(spark.createDataFrame([], "id string"), new)
+    assert [r.sales_id for r in saved.collect()] == ["x"]
+    assert sorted((r.sales_id, r.copies) for r in rejected.collect()) == [("x", 4), ("y", 1)]
 
 
 def test_iso_date_drops_zero_fraction(spark):
