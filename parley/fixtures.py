@@ -47,13 +47,25 @@ FIXTURE_METRICS = ["click", "purchase", "signup", "view"]
 
 def meetings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_meetings_json: the stored row shape (id, sales_id, meeting_ts and
-    four JSON text columns)."""
-    m = meetings_base(spark, sf_dir)
-    s = scores_base(spark, sf_dir)
-    parts = [F.concat(F.lit(f'"{k}":'), F.max(F.when(F.col("metric") == k, F.col("score"))).cast("string"))
+    four JSON text columns).
+
+    One scan of ``events`` and two stacked hash aggregations (per user, day
+    and event type, then per user and day), instead of two scans and a
+    join: the first meeting time and the per-metric scores come out of the
+    same pass."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+    score = (F.when(F.col("value") >= 100, F.lit(10))
+             .otherwise(F.floor(F.col("value") / 10).cast("int")))
+    per_type = (ev.groupBy("user_id", day, "event_type")
+                .agg(F.min("ts").alias("t"),
+                     F.max(F.when(F.col("event_type") != "error", score)).alias("score")))
+    parts = [F.concat(F.lit(f'"{k}":'), F.max(F.when(F.col("event_type") == k, F.col("score"))).cast("string"))
              for k in FIXTURE_METRICS]
-    sj = (s.groupBy("user_id", "day")
-          .agg(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("j")))
+    m = (per_type.groupBy("user_id", "day")
+         .agg(F.min("t").alias("meeting_ts"),
+              F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("j"))
+         .withColumn("meeting_id", F.date_format("meeting_ts", "yyyyMMdd-HHmmss")))
     uid = F.col("user_id")
     analysis = F.concat(
         F.lit('{"topics":["t'), (uid % 7).cast("string"), F.lit('","t'), (uid % 5).cast("string"),
@@ -61,16 +73,15 @@ def meetings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(uid % 3 == 0, F.lit("price")).otherwise(F.lit("")),
         F.lit('","summary":"Meeting of agent '), uid.cast("string"),
         F.lit(" held on a day whose first event came at "), F.col("meeting_id"), F.lit('"}'))
-    j = F.coalesce(F.col("j"), F.lit("{}"))
-    return (m.join(sj, ["user_id", "day"], "left")
-            .select(F.col("meeting_id").alias("id"),
+    j = F.col("j")
+    return m.select(F.col("meeting_id").alias("id"),
                     uid.cast("string").alias("sales_id"),
                     F.col("meeting_ts"),
                     analysis.alias("analysis_json"),
                     F.lit('[["guide.pdf","first words..."]]').alias("pdfs_json"),
                     F.concat(F.lit('{"followup_1":{"subject":"s","body":"b"},"sales_scoring":'), j,
                              F.lit("}")).alias("followup_json"),
-                    j.alias("scoring_json")))
+                    j.alias("scoring_json"))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
