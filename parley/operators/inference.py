@@ -80,21 +80,36 @@ def analysis_prompts(transcripts: DataFrame, key: str) -> DataFrame:
                                             F.col("text"), F.lit(ANALYSIS_USER_SUFFIX)).alias("prompt"))
 
 
-def apply_model(prompts: DataFrame, key: str, infer: Callable[[str], str]) -> DataFrame:
+def apply_model(prompts: DataFrame, key: str, infer: Callable[[str], str], concurrency: int = 1) -> DataFrame:
     """Run ``infer`` on every prompt inside the executors (``mapInPandas``);
     returns ``(key, reply)``. A failing call yields a NULL reply, which
-    :func:`parse_replies` routes to the reject frame."""
+    :func:`parse_replies` routes to the reject frame.
+
+    Model calls wait on the network, so ``concurrency > 1`` overlaps that
+    many calls per task with a thread pool (replies keep their row order).
+    Total parallelism is tasks x concurrency; size it to the service's
+    rate limit."""
     key_type = dict(prompts.dtypes)[key]
 
+    def call(p):
+        try:
+            return infer(p)
+        except Exception:  # noqa: BLE001 - a failed call is a rejected row
+            return None
+
     def run(batches):
-        for pdf in batches:
-            out = []
-            for p in pdf["prompt"].tolist():
-                try:
-                    out.append(infer(p))
-                except Exception:  # noqa: BLE001 - a failed call is a rejected row
-                    out.append(None)
-            yield pd.DataFrame({key: pdf[key], "reply": out})
+        pool = None
+        if concurrency > 1:
+            from concurrent.futures import ThreadPoolExecutor
+            pool = ThreadPoolExecutor(max_workers=concurrency)
+        try:
+            for pdf in batches:
+                ps = pdf["prompt"].tolist()
+                out = list(pool.map(call, ps)) if pool else [call(p) for p in ps]
+                yield pd.DataFrame({key: pdf[key], "reply": out})
+        finally:
+            if pool:
+                pool.shutdown()
 
     return prompts.select(key, "prompt").mapInPandas(run, f"{key} {key_type}, reply string")
 
@@ -111,11 +126,11 @@ def parse_replies(replies: DataFrame, key: str, schema: str | T.StructType) -> t
 
 
 def analyze_transcripts(transcripts: DataFrame, key: str, infer: Callable[[str], str] | None = None,
-                        words: rules.RuleWords = rules.DEFAULT_WORDS) -> DataFrame:
+                        words: rules.RuleWords = rules.DEFAULT_WORDS, concurrency: int = 1) -> DataFrame:
     """LM-1: ``(key, analysis)``; model-backed when ``infer`` is given."""
     if infer is None:
         return offline_analysis(transcripts, key, words)
-    replies = apply_model(analysis_prompts(transcripts, key), key, infer).persist()
+    replies = apply_model(analysis_prompts(transcripts, key), key, infer, concurrency).persist()
     parsed, _ = parse_replies(replies, key, ANALYSIS_DDL)
     return parsed.select(key, F.col("value").alias("analysis"))
 
@@ -149,11 +164,12 @@ def plan_prompts(analysis: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
     return j.select(key, F.concat(F.lit(PLAN_SYSTEM + "\n"), body).alias("prompt"))
 
 
-def plan_followups(prompts: DataFrame, key: str, infer: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
+def plan_followups(prompts: DataFrame, key: str, infer: Callable[[str], str],
+                   concurrency: int = 1) -> tuple[DataFrame, DataFrame]:
     """LM-3 + LM-4: model plan per meeting as ``(key, followup_json)``; the
     plan is kept as JSON text (its keys are open). Returns
     ``(plans, rejected)``."""
     # Persisted so the model runs once even when both outputs are used.
-    replies = apply_model(prompts, key, infer).persist()
+    replies = apply_model(prompts, key, infer, concurrency).persist()
     parsed, rejected = parse_replies(replies, key, "map<string,string>")
     return parsed.select(key, F.col("reply").alias("followup_json")), rejected

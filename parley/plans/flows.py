@@ -14,19 +14,19 @@ from parley.operators import inference, matching, meetings, rules
 def model_flow(transcripts: DataFrame, corpus: DataFrame, key: str,
                analyze: Callable[[str], str] | None = None,
                plan: Callable[[str], str] | None = None,
-               words: rules.RuleWords = rules.DEFAULT_WORDS) -> dict[str, DataFrame]:
+               words: rules.RuleWords = rules.DEFAULT_WORDS, concurrency: int = 1) -> dict[str, DataFrame]:
     """LM-5: analyze -> match documents on the topics -> summarise the
     chosen documents -> plan prompt -> plan, for every transcript at once.
 
     Returns ``analysis``, ``documents`` (key, rank, name, summary),
     ``prompts``, and, when ``plan`` is given, ``plans`` and ``rejected``."""
-    analysis = inference.analyze_transcripts(transcripts, key, analyze, words)
+    analysis = inference.analyze_transcripts(transcripts, key, analyze, words, concurrency)
     topics = analysis.select(key, F.posexplode("analysis.topics").alias("pos", "topic"))
     docs = matching.matched_summaries(matching.match_documents(topics, corpus, key=key), corpus)
     prompts = inference.plan_prompts(analysis, matching.document_block(docs, key), key)
     out = {"analysis": analysis, "documents": docs.select(key, "rank", "name", "summary"), "prompts": prompts}
     if plan is not None:
-        out["plans"], out["rejected"] = inference.plan_followups(prompts, key, plan)
+        out["plans"], out["rejected"] = inference.plan_followups(prompts, key, plan, concurrency)
     return out
 
 

@@ -57,3 +57,31 @@ def test_agent_filter_and_objection(spark):
     assert [r.id for r in scoring.agent_meetings(m, "b").collect()] == ["m2"]
     d, _ = meetings.decode_meetings(m)
     assert [(r.id, r.objection) for r in meetings.meeting_objection(d).collect()] == [("m1", "price")]
+
+
+def test_recency_weights_per_meeting(spark):
+    import datetime as dt
+    rows = [(f"m{i}", "a", dt.datetime(2024, 5, 1 + i), "{}") for i in range(7)] + \
+        [("z", "b", dt.datetime(2024, 5, 1), "{}")]
+    m = spark.createDataFrame(rows, "id string, sales_id string, meeting_ts timestamp_ntz, scoring_json string")
+    got = {r.id: r.weight_x10 for r in scoring.recency_weights(m).collect()}
+    assert [got[f"m{i}"] for i in range(6, -1, -1)] == [10, 8, 6, 4, 2, 1, 1] and got["z"] == 10
+
+
+def test_model_calls_overlap_and_keep_order(spark):
+    from parley.operators import inference
+
+    def make():
+        import time as _t
+
+        def infer(p):
+            _t.sleep(0.01)
+            if p == "boom":
+                raise RuntimeError("x")
+            return '{"echo": "' + p + '"}'
+        return infer
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(40)] + [(99, "boom")], "k int, prompt string")
+    out = inference.apply_model(df.repartition(2), "k", make(), concurrency=4).collect()
+    got = {r.k: r.reply for r in out}
+    assert got[99] is None and all(got[i] == '{"echo": "p%d"}' % i for i in range(40))
