@@ -26,3 +26,29 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmpdir_path):
     batch = sorted(tuple(r) for r in ingest.followup_batch(batch_in, corpus, cache, words).drop("schedule").collect())
     assert streamed == batch and len(streamed) == 12
     assert ingest.append_new(spark, ingest.followup_batch(batch_in, corpus, cache, words), table) == 0
+
+
+def test_stream_restart_resumes_from_checkpoint(spark, tmpdir_path):
+    t = fx.transcripts(spark, "/root/testdata/sf0.001").orderBy("conv_id").limit(8).collect()
+    src = os.path.join(tmpdir_path, "in")
+    os.makedirs(src)
+
+    def drop(rows):
+        for r in rows:
+            with open(os.path.join(src, f"conv{r.conv_id}.txt"), "w", encoding="utf-8") as f:
+                f.write(r.text)
+
+    corpus = fx.corpus(spark, "/root/testdata/sf0.001")
+    cache = corpus.filter(F.col("sector") == "Marketing").select("name", "text", "ordinal")
+    words = fx.fixture_words()
+    table, ckpt = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ckpt")
+    drop(t[:4])
+    q = ingest.stream_followups(spark, src, table, ckpt, corpus, cache, words)
+    q.processAllAvailable()
+    q.stop()
+    drop(t[4:])
+    q = ingest.stream_followups(spark, src, table, ckpt, corpus, cache, words)
+    q.processAllAvailable()
+    q.stop()
+    ids = [r.meeting_id for r in spark.read.parquet(table).collect()]
+    assert sorted(ids) == sorted(f"conv{r.conv_id}" for r in t)
