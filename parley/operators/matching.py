@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.similarity import name_ratio, py_lower, sequence_ratio
 from parley.functions.text import clean_text, head_chars, summarize
-from parley.session import ensure_checkpoint_dir
+from parley.session import ensure_checkpoint_dir, spread
 
 # Characters of a document compared with topics, documents
 # kept per meeting, and how many candidates the first round probes.
@@ -107,7 +107,8 @@ def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id
     # to the shared ``spark.checkpoint.dir``) runs the Python lower-casing
     # once and cuts the lineage, so a lost executor does not redo it.
     ensure_checkpoint_dir(corpus.sparkSession)
-    docs = prepare_documents(corpus.select("ordinal", "text")).select("ordinal", "doc_l", "L").checkpoint()
+    docs = (prepare_documents(spread(corpus.select("ordinal", "text")))
+            .select("ordinal", "doc_l", "L").checkpoint())
     max_len = docs.select(F.max("L")).first()[0]
     if max_len is None:  # empty corpus
         return topics.sparkSession.createDataFrame(

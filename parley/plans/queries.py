@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parley import fixtures as fx
 from parley.functions import text as tx
 from parley.operators import inference, matching, meetings, outbox, rules, scoring
+from parley.session import spread
 from parley.sources import corpus as corpus_src
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +58,7 @@ def q_skill_table(spark, sf_dir):
 # --- text functions (SC-*) ---------------------------------------------------
 
 def q_text_cleaning(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id",
                     tx.clean_text(tx.head_chars("text", 2000)).alias("head_clean"),
                     tx.summarize("text").alias("summary"),

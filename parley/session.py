@@ -84,3 +84,12 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     that cut lineage (used instead of local checkpoints)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{os.getpid()}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Spread CPU-heavy row work (regular expressions, Python UDFs) over all
+    cores: round-robin repartition only when the input has fewer partitions
+    than the cluster has cores. Large inputs already have many partitions,
+    so there this is a no-op and adds no shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import base_name, clean_extracted, strip
 from parley.schemas import CORPUS_SCHEMA
+from parley.session import spread
 
 # Markup that never carries body text: scripts, styles, comments.
 _NON_TEXT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -73,7 +74,7 @@ def build_corpus(raw: DataFrame, path_col: str = "path", markup_col: str = "html
     dict overwrite; listing order there is undefined, path order here, and
     the larger text for equal paths)."""
     text = clean_extracted(extract_with_fallback(paragraph_text(markup_col), all_text(markup_col)))
-    df = raw.select(F.col(sector_col).alias("sector"), F.col(path_col).alias("path"),
+    df = spread(raw).select(F.col(sector_col).alias("sector"), F.col(path_col).alias("path"),
                     base_name(F.col(path_col)).alias("name"), text.alias("text"))
     # Last path per (sector, name) as a max over structs: partial
     # aggregation, no sort of a large group of same-named files.
