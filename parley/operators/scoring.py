@@ -66,14 +66,11 @@ def recency_weights(meetings: DataFrame) -> DataFrame:
             .drop("head_weight_x10"))
 
 
-def weighted_scores(meetings: DataFrame) -> DataFrame:
-    """AG-3 (+PRJ-16, PRJ-17): recency-weighted mean per (agent, metric).
-
-    Sum of value*weight over the agent's meetings that carry the metric,
-    divided by the weight of *all* the agent's meetings (meetings without
-    the metric, or without any score, still count), rounded half-up to 2.
-    Also returns ``first_seen`` (the newest (ts, id, -pos) at which the
-    metric occurs) for tie rules."""
+def _agent_metric_table(meetings: DataFrame) -> DataFrame:
+    """One aggregated table per (agent, metric) plus one per-agent total row
+    (``metric`` NULL) carrying the weight total, the meeting count and the
+    first and last meeting times. Both the weighted scores and the agent
+    header read it, so the meetings are scanned once."""
     base = meetings.select("id", "sales_id", "meeting_ts", "scoring_json")
     total_row = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("metric"),
                                  F.lit(None).cast("string").alias("raw")))
@@ -96,24 +93,45 @@ def weighted_scores(meetings: DataFrame) -> DataFrame:
     agg_all = (all_rows.groupBy("sales_id", "metric")
                .agg(F.sum("part").alias("part"),
                     F.max(F.when(~is_total, F.struct("meeting_ts", "id", (-F.col("pos")).alias("neg_pos"))))
-                    .alias("first_seen")))
+                    .alias("first_seen"),
+                    F.count(F.when(is_total, F.lit(1))).alias("n_meetings"),
+                    F.min(F.when(is_total, F.col("meeting_ts"))).alias("first_ts"),
+                    F.max(F.when(is_total, F.col("meeting_ts"))).alias("last_ts")))
     # The five newest meetings per agent add their extra weight on top.
     head = recent_meetings(base, len(RECENCY_WEIGHTS_X10))
     extra = F.element_at(F.array(*[F.lit(w - TAIL_WEIGHT_X10) for w in RECENCY_WEIGHTS_X10]),
                          F.col("recency_rank").cast("int"))
     agg_head = (weighted(head.withColumn("w", extra), "w").groupBy("sales_id", "metric")
-                .agg(F.sum("part").alias("part"))
-                .withColumn("first_seen", F.lit(None).cast(agg_all.schema["first_seen"].dataType)))
+                .agg(F.sum("part").alias("part")))
+    for c in ("first_seen", "n_meetings", "first_ts", "last_ts"):
+        agg_head = agg_head.withColumn(c, F.lit(None).cast(agg_all.schema[c].dataType))
     agg = (agg_all.unionByName(agg_head).groupBy("sales_id", "metric")
-           .agg(F.sum("part").alias("num"), F.max("first_seen").alias("first_seen")))
+           .agg(F.sum("part").alias("num"), F.max("first_seen").alias("first_seen"),
+                F.sum("n_meetings").alias("n_meetings"), F.min("first_ts").alias("first_ts"),
+                F.max("last_ts").alias("last_ts")))
     # The per-agent total sits in the same small aggregated table; a window
     # by agent attaches it without re-reading the meetings.
     den = F.max(F.when(is_total, F.col("num"))).over(Window.partitionBy("sales_id"))
+    return agg.withColumn("den", den)
+
+
+def _scores_from_table(table: DataFrame) -> DataFrame:
     score = round_ratio_half_up(F.col("num"), F.col("den") * F.lit(1_000_000))
-    return (agg.withColumn("den", den).filter(~is_total)
+    return (table.filter(F.col("metric").isNotNull())
             .select("sales_id", "metric", score.alias("weighted_score"), "first_seen"))
 
 
+def weighted_scores(meetings: DataFrame) -> DataFrame:
+    """AG-3 (+PRJ-16, PRJ-17): recency-weighted mean per (agent, metric).
+
+    Sum of value*weight over the agent's meetings that carry the metric,
+    divided by the weight of *all* the agent's meetings (meetings without
+    the metric, or without any score, still count), rounded half-up to 2.
+    Also returns ``first_seen`` (the newest (ts, id, -pos) at which the
+    metric occurs) for tie rules."""
+    return _scores_from_table(_agent_metric_table(meetings))
+
+
 def weighted_score_cards(meetings: DataFrame) -> DataFrame:
     """Weighted scores with their label and band, as shown per agent."""
     ws = weighted_scores(meetings)
@@ -126,7 +144,10 @@ def best_worst_by_agent(meetings: DataFrame) -> DataFrame:
 
     Ties go to the metric seen first walking the agent's meetings newest to
     oldest (the insertion order of the reference's dict)."""
-    ws = weighted_scores(meetings)
+    return _best_worst(weighted_scores(meetings))
+
+
+def _best_worst(ws: DataFrame) -> DataFrame:
     best = F.max(F.struct(F.col("weighted_score"), F.col("first_seen"), F.col("metric")))
     worst = F.max(F.struct((-F.col("weighted_score")).alias("neg"), F.col("first_seen"), F.col("metric")))
     return (ws.groupBy("sales_id")
@@ -151,13 +172,30 @@ def meeting_span(meetings: DataFrame) -> DataFrame:
 
 def agent_profile(meetings: DataFrame) -> DataFrame:
     """PL-2 header: count, span, best and worst with bands, one row per
-    agent. Agents without any score keep NULL best/worst."""
-    bw = best_worst_by_agent(meetings)
-    return (meeting_span(meetings).join(bw, "sales_id", "left")
-            .withColumn("best_label", metric_label("best_metric"))
-            .withColumn("worst_label", metric_label("worst_metric"))
-            .withColumn("best_band", F.when(F.col("best_score").isNotNull(), score_band(F.col("best_score"))))
-            .withColumn("worst_band", F.when(F.col("worst_score").isNotNull(), score_band(F.col("worst_score")))))
+    agent. Agents without any score keep NULL best/worst.
+
+    Everything comes from one aggregation per agent over the agent x metric
+    table (already partitioned by agent), so the meetings are scanned once
+    and no second branch re-reads them."""
+    table = _agent_metric_table(meetings)
+    is_total = F.col("metric").isNull()
+    score = round_ratio_half_up(F.col("num"), F.col("den") * F.lit(1_000_000))
+    metric_row = ~is_total
+    best = F.max(F.when(metric_row, F.struct(score.alias("s"), F.col("first_seen"), F.col("metric"))))
+    worst = F.max(F.when(metric_row, F.struct((-score).alias("neg"), F.col("first_seen"), F.col("metric"))))
+    prof = (table.groupBy("sales_id")
+            .agg(F.max(F.when(is_total, F.col("n_meetings"))).alias("meeting_count"),
+                 F.max(F.when(is_total, F.col("first_ts"))).alias("first_ts"),
+                 F.max(F.when(is_total, F.col("last_ts"))).alias("last_ts"),
+                 best.alias("b"), worst.alias("w")))
+    return prof.select(
+        "sales_id", "meeting_count",
+        display_ts("first_ts").alias("first_meeting"), display_ts("last_ts").alias("last_meeting"),
+        F.col("b.metric").alias("best_metric"), F.col("b.s").alias("best_score"),
+        F.col("w.metric").alias("worst_metric"), (-F.col("w.neg")).alias("worst_score"),
+        metric_label(F.col("b.metric")).alias("best_label"), metric_label(F.col("w.metric")).alias("worst_label"),
+        F.when(F.col("b").isNotNull(), score_band(F.col("b.s"))).alias("best_band"),
+        F.when(F.col("w").isNotNull(), score_band(-F.col("w.neg"))).alias("worst_band"))
 
 
 def latest_scores(meetings: DataFrame, n: int = 5) -> DataFrame:
