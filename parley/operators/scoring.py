@@ -14,6 +14,8 @@ or joined.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,18 +239,33 @@ def _fmt_score(c):
 def best_worst_global(meetings: DataFrame) -> DataFrame:
     """AG-5 + AG-1 + PRJ-22: one row with the best and worst metric of the
     per-metric means (ties: alphabetical), the meeting count and the
-    executive summary text. No scores at all -> no row."""
-    mm = metric_means(meetings)
-    agg = mm.agg(F.min(F.struct((-F.col("avg_score")).alias("neg"), F.col("metric"))).alias("b"),
-                 F.min(F.struct(F.col("avg_score"), F.col("metric"))).alias("w"))
-    total = meetings.select(F.count(F.lit(1))).scalar()
-    out = agg.filter(F.col("b").isNotNull()).withColumn("total_meetings", total)
+    executive summary text. No scores at all -> no row.
+
+    One scan: the per-metric sums and the meeting count (a NULL-metric row
+    per meeting) come out of the same aggregation; best and worst are a
+    final aggregation over that small table."""
+    total_row = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("metric"),
+                                 F.lit(None).cast("string").alias("raw")))
+    entries = F.concat(object_entry_array("scoring_json", "metric", "raw"), total_row)
+    is_total = F.col("metric").isNull()
+    rows = (meetings.select(F.inline(entries))
+            .withColumn("value", score_value(F.col("raw")))
+            .filter(is_total | (F.col("value").isNotNull() & ~F.isnan("value"))))
+    g = rows.groupBy("metric").agg(F.sum(F.when(~is_total, to_micro(F.col("value")))).alias("num"),
+                                   F.count(F.lit(1)).alias("n"))
+    avg = round_ratio_half_up(F.col("num"), F.col("n") * F.lit(1_000_000))
+    agg = g.agg(F.min(F.when(~is_total, F.struct((-avg).alias("neg"), F.col("metric")))).alias("b"),
+                F.min(F.when(~is_total, F.struct(avg.alias("avg_score"), F.col("metric")))).alias("w"),
+                F.max(F.when(is_total, F.col("n"))).alias("total_meetings"))
+    out = agg.filter(F.col("b").isNotNull())
     best, worst = F.col("b.metric"), F.col("w.metric")
     best_score, worst_score = -F.col("b.neg"), F.col("w.avg_score")
-    text = F.lit(EXEC_SUMMARY_TEMPLATE)
-    for name, val in (("{best}", metric_label(best)), ("{best_score}", _fmt_score(best_score)),
-                      ("{worst}", metric_label(worst)), ("{worst_score}", _fmt_score(worst_score))):
-        text = F.replace(text, F.lit(name), val)
+    # The template is cut at its placeholders once, so inserted labels are
+    # never re-scanned for placeholders.
+    values = {"best": metric_label(best), "best_score": _fmt_score(best_score),
+              "worst": metric_label(worst), "worst_score": _fmt_score(worst_score)}
+    pieces = re.split(r"\{(\w+)\}", EXEC_SUMMARY_TEMPLATE)
+    text = F.concat(*[F.lit(p) if i % 2 == 0 else values[p] for i, p in enumerate(pieces)])
     return out.select(best.alias("best_metric"), best_score.alias("best_score"),
                       worst.alias("worst_metric"), worst_score.alias("worst_score"),
                       "total_meetings", text.alias("summary_text"))
