@@ -2,8 +2,9 @@
 
 Two rankers, both exact and both pruned by upper bounds. For topics against
 document heads the bound depends only on string lengths; for transcripts
-against file names it also uses shared character counts. The ratio of two strings of lengths ``la`` and ``lb`` can
-never exceed ``2*min(la, lb) / (la + lb)`` (matched characters cannot
+against file names it also counts the name characters that occur in the
+transcript at all. The ratio of two strings of lengths ``la`` and ``lb``
+can never exceed ``2*min(la, lb) / (la + lb)`` (matched characters cannot
 exceed the shorter string), with or without the matcher's autojunk rule,
 and every float step after it (x100, in-order sums, the mean, rounding) is
 monotonic, so a bound computed with the same operations is never below the
