@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 from parley.operators import inference, matching, meetings, rules
 
 
+def generate_followups(transcripts: DataFrame, catalog: DataFrame, cache: DataFrame, key: str,
+                       words: rules.RuleWords = rules.DEFAULT_WORDS) -> DataFrame:
+    """PL-1 (RL-10): the 11-field follow-up record for every transcript
+    ``(key, text)``: blank texts dropped, client name, objection, sectors,
+    the two best files of those sectors by name (JN-3..5, ST-2), their
+    descriptions (JN-2, RL-1), the four messages and the schedule.
+
+    ``catalog``: ``(sector, name)`` of the sector folders; ``cache``:
+    ``(name, text[, ordinal])`` of cached document texts."""
+    t = meetings.valid_transcripts(transcripts)
+    sectors = t.select(key, F.explode(rules.detected_sectors("text", words)).alias("sector"))
+    picks = matching.rank_by_name(t, sectors, catalog, key=key)
+    described = rules.describe_documents(picks, cache, words)
+    return rules.build_followup_record(rules.classify_transcripts(t, "text", words), described, key)
+
+
 def model_flow(transcripts: DataFrame, corpus: DataFrame, key: str,
                analyze: Callable[[str], str] | None = None,
                plan: Callable[[str], str] | None = None,

@@ -12,6 +12,7 @@ from parley import fixtures as fx
 from parley.functions import text as tx
 from parley.operators import inference, matching, meetings, outbox, rules, scoring
 from parley.session import spread
+from parley.plans import flows
 from parley.sources import corpus as corpus_src
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -109,14 +110,10 @@ def q_rank_by_name(spark, sf_dir):
 
 def q_rule_followups(spark, sf_dir):
     """PL-1: the full 11-field follow-up record per transcript."""
-    words = fx.fixture_words()
-    t = meetings.valid_transcripts(fx.transcripts(spark, sf_dir))
     corpus = fx.corpus(spark, sf_dir)
-    sectors = t.select("conv_id", F.explode(rules.detected_sectors("text", words)).alias("sector"))
-    picks = matching.rank_by_name(t, sectors, corpus, key="conv_id")
     cache = corpus.filter(F.col("sector") == "Marketing").select("name", "text", "ordinal")
-    described = rules.describe_documents(picks, cache, words)
-    return rules.build_followup_record(rules.classify_transcripts(t, "text", words), described, "conv_id")
+    return flows.generate_followups(fx.transcripts(spark, sf_dir), corpus.select("sector", "name"), cache,
+                                    "conv_id", fx.fixture_words())
 
 
 def q_plan_prompts(spark, sf_dir):

@@ -15,18 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parley.operators import matching, meetings, rules
+from parley.operators import meetings, rules
+from parley.plans import flows
 from parley.sources.corpus import path_exists
 
 
 def followup_batch(batch: DataFrame, catalog: DataFrame, cache: DataFrame,
                    words: rules.RuleWords = rules.DEFAULT_WORDS, key: str = "meeting_id") -> DataFrame:
     """PL-1 on one batch of ``(key, text)``: the 11-field record."""
-    t = meetings.valid_transcripts(batch)
-    sectors = t.select(key, F.explode(rules.detected_sectors("text", words)).alias("sector"))
-    picks = matching.rank_by_name(t, sectors, catalog, key=key)
-    described = rules.describe_documents(picks, cache, words)
-    return rules.build_followup_record(rules.classify_transcripts(t, "text", words), described, key)
+    return flows.generate_followups(batch, catalog, cache, key, words)
 
 
 def append_new(spark: SparkSession, records: DataFrame, table_path: str, key: str = "meeting_id") -> int:
