@@ -41,3 +41,23 @@ def test_weighted_scores_match_reference_algorithm(spark):
             frac = Decimal(repr(raw * 100)) % 1
             assert abs(frac - Decimal("0.5")) < Decimal("1e-6"), (key, raw, ours[key])
             assert ours[key] == float(Decimal(repr(raw)).quantize(Decimal("0.01"), rounding="ROUND_HALF_UP"))
+
+
+def test_best_worst_by_agent_match_dict_order(spark):
+    m = fx.meetings_json(spark, SF)
+    per_agent = {}
+    for r in m.select("sales_id", "meeting_ts", "id", "scoring_json").collect():
+        per_agent.setdefault(r.sales_id, []).append((r.meeting_ts, r.id, r.scoring_json))
+    got = {r.sales_id: r for r in scoring.agent_profile(m).collect()}
+    for sid, ms in per_agent.items():
+        raw = py_weighted(ms)  # dict in first-seen order, newest meeting first
+        ws = {k: float(Decimal(repr(v)).quantize(Decimal("0.01"), rounding="ROUND_HALF_UP"))
+              for k, v in raw.items()}
+        r = got[sid]
+        assert r.meeting_count == len(ms)
+        if not ws:
+            assert r.best_metric is None
+            continue
+        best = max(ws, key=ws.get)
+        worst = min(ws, key=ws.get)
+        assert (r.best_metric, r.best_score, r.worst_metric, r.worst_score) == (best, ws[best], worst, ws[worst])
