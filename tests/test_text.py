@@ -71,3 +71,17 @@ def test_meeting_key_md5(spark):
     df = spark.createDataFrame([("20240101-000007",)], "id string")
     got = df.select(tx.meeting_key(F.col("id"), F.lit("x")).alias("k")).first().k
     assert got == "radar_" + hashlib.md5(b"20240101-000007").hexdigest()
+
+
+def test_spark_lower_equals_python_lower_on_driver_texts(spark):
+    """The rules lower-case with Spark (JVM) where the original used
+    Python; check the two agree on every driver text."""
+    from parley import fixtures as fx
+    sf = "/root/testdata/sf0.01"
+    texts = [fx.transcripts(spark, sf).select("text"),
+             fx.table(spark, sf, "documents").select("text"),
+             fx.table(spark, sf, "pages").select(F.col("html").alias("text"))]
+    for df in texts:
+        for r in df.select("text", F.lower("text").alias("l")).collect():
+            if r.text is not None:
+                assert r.l == r.text.lower()
