@@ -384,3 +384,19 @@ ORACLES.update({
     "outbox": OUTBOX,
     "due_messages": DUE_MESSAGES,
 })
+
+
+def _listed_sql(field: str, empty: str, out: str) -> str:
+    return f"""
+with {_MEETINGS_JSON},
+l as (select id, sales_id,
+             coalesce(from_json(json_extract(followup_json, '$.{field}'), '["VARCHAR"]'), []) as items
+      from fx_meetings_json),
+d as (select id, sales_id, case when len(items) > 0 then items else ['{empty}'] end as items from l)
+select id, sales_id, unnest(range(len(items))) as pos, unnest(items) as {out} from d"""
+
+
+ORACLES.update({
+    "mistake_rows": _listed_sql("wrong_chat_or_action", "No mistakes detected.", "mistake"),
+    "missed_rows": _listed_sql("missed_important_service", "No missed opportunities.", "missed"),
+})

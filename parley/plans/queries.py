@@ -162,6 +162,16 @@ def q_followup_cards(spark, sf_dir):
     return meetings.followup_cards(d).drop("attachments")
 
 
+def q_mistake_rows(spark, sf_dir):
+    d, _ = meetings.decode_meetings(_meetings(spark, sf_dir))
+    return meetings.mistakes(d).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def q_missed_rows(spark, sf_dir):
+    d, _ = meetings.decode_meetings(_meetings(spark, sf_dir))
+    return meetings.missed_opportunities(d).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def q_meeting_reports(spark, sf_dir):
     d, _ = meetings.decode_meetings(_meetings(spark, sf_dir))
     return meetings.meeting_report(d)
@@ -228,6 +238,8 @@ QUERIES: dict[str, QueryFn] = {
     "topic_rows": q_topic_rows,
     "followup_cards": q_followup_cards,
     "meeting_reports": q_meeting_reports,
+    "mistake_rows": q_mistake_rows,
+    "missed_rows": q_missed_rows,
     "save_meetings": q_save_meetings,
     "outbox": q_outbox,
     "due_messages": q_due_messages,
