@@ -400,3 +400,21 @@ ORACLES.update({
     "mistake_rows": _listed_sql("wrong_chat_or_action", "No mistakes detected.", "mistake"),
     "missed_rows": _listed_sql("missed_important_service", "No missed opportunities.", "missed"),
 })
+
+
+REPORT_HEADERS = f"""
+with {_MEETINGS_JSON},
+m as (select *, list_sort(list_filter(json_keys(followup_json), lambda x: starts_with(x, 'followup_'))) as fkeys
+      from fx_meetings_json)
+select id, sales_id, {_ts('meeting_ts')} as meeting_date,
+       coalesce(json_extract_string(analysis_json, '$.summary'), 'No summary available.') as summary,
+       nullif(json_extract_string(analysis_json, '$.objection'), '') as objection,
+       cast(coalesce(json_array_length(analysis_json, '$.topics'), 0) as bigint) as n_topics,
+       cast(len(fkeys) as bigint) as n_followups,
+       coalesce(json_extract_string(followup_json, '$."' || fkeys[1] || '".subject'), 'Follow-up Email')
+         as first_subject,
+       cast(len(json_keys(scoring_json)) as bigint) as n_scores,
+       'radar_' || md5(id) as chart_key
+from m"""
+
+ORACLES["report_headers"] = REPORT_HEADERS

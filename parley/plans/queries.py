@@ -162,6 +162,17 @@ def q_followup_cards(spark, sf_dir):
     return meetings.followup_cards(d).drop("attachments")
 
 
+def q_report_headers(spark, sf_dir):
+    """PRJ-21 + PRJ-7: the scalar fields of each case report."""
+    d, _ = meetings.decode_meetings(_meetings(spark, sf_dir))
+    r = meetings.meeting_report(d)
+    return r.select("id", "sales_id", "meeting_date", "summary", "objection",
+                    F.size("topics").cast("bigint").alias("n_topics"),
+                    F.size("followups").cast("bigint").alias("n_followups"),
+                    F.col("followups")[0]["subject"].alias("first_subject"),
+                    F.size("scores").cast("bigint").alias("n_scores"), "chart_key")
+
+
 def q_mistake_rows(spark, sf_dir):
     d, _ = meetings.decode_meetings(_meetings(spark, sf_dir))
     return meetings.mistakes(d).withColumn("pos", F.col("pos").cast("bigint"))
@@ -238,6 +249,7 @@ QUERIES: dict[str, QueryFn] = {
     "topic_rows": q_topic_rows,
     "followup_cards": q_followup_cards,
     "meeting_reports": q_meeting_reports,
+    "report_headers": q_report_headers,
     "mistake_rows": q_mistake_rows,
     "missed_rows": q_missed_rows,
     "save_meetings": q_save_meetings,
