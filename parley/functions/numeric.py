@@ -20,7 +20,9 @@ def score_value(raw: Column) -> Column:
 
 
 def to_micro(value: Column) -> Column:
-    """Double score -> exact integer micro-units (6 decimals kept)."""
+    """Double score -> exact integer micro-units (6 decimals kept). BIGINT
+    sums stay exact up to ~9e10 meetings of one agent at the top score x10
+    weight (and Spark's ANSI mode raises rather than wraps beyond that)."""
     return F.round(value * F.lit(MICRO)).cast("bigint")
 
 
@@ -31,11 +33,15 @@ def round_ratio_half_up(num: Column, den: Column, digits: int = 2) -> Column:
     division keeps the result exact, so it never depends on how a double
     happens to be rounded (``round(1.005, 2)`` differs between engines)."""
     scale = 10 ** digits
-    a = F.abs(num)
+    # DECIMAL(38,0) keeps 2*scale*|num| exact far beyond the 64-bit range
+    # (a hot agent with billions of meetings).
+    n = num.cast("decimal(38,0)")
+    d = den.cast("decimal(38,0)")
+    a = F.abs(n)
     # ``div`` truncates toward zero; both operands are non-negative, so it
     # is floor((2*scale*|num| + den) / (2*den)).
-    q = F.call_function("div", a * F.lit(2 * scale) + den, F.lit(2) * den)
-    return (F.signum(num) * q / F.lit(float(scale))).cast("double")
+    q = F.call_function("div", a * F.lit(2 * scale) + d, F.lit(2) * d)
+    return (F.signum(n.cast("double")) * q.cast("double") / F.lit(float(scale))).cast("double")
 
 
 # Score band thresholds (a score is banded after rounding).

@@ -72,3 +72,11 @@ def test_latest_scores_top5(spark):
     rows = [(f"m{i}", "a", i + 1, {"c": i}) for i in range(8)]
     got = scoring.latest_scores(meetings_df(spark, rows)).collect()
     assert sorted(r.id for r in got) == ["m3", "m4", "m5", "m6", "m7"]
+
+
+def test_rounding_does_not_overflow_for_huge_sums(spark):
+    from pyspark.sql import functions as F
+    from parley.functions.numeric import round_ratio_half_up
+    df = spark.createDataFrame([(3 * 10**17 + 5 * 10**15, 10**17), (-125, 1000)], "num long, den long")
+    got = [r.r for r in df.select(round_ratio_half_up(F.col("num"), F.col("den")).alias("r")).collect()]
+    assert got == [3.05, -0.13]
