@@ -287,27 +287,33 @@ def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
     # Both rounds read the candidates; materialise them once.
     cands = cands.unionByName(plain).checkpoint()
 
-    def score(p: DataFrame) -> DataFrame:
-        uniq = (p.select(key, "probe").distinct().join(t.select(key, "tl"), key)
-                .sortWithinPartitions(key)
+    def score_probes(kp: DataFrame) -> DataFrame:
+        # One matcher call per distinct (transcript, masked name).
+        return (kp.join(t.select(key, "tl"), key).sortWithinPartitions(key)
                 .select(key, "probe", name_ratio(F.col("tl"), F.col("probe")).alias("score")))
-        return p.join(uniq, [key, "probe"]).select(key, "sector", "name", "score")
 
     order = [F.col("score").desc(), F.col("name").asc(), F.col("sector").asc()]
     wr = Window.partitionBy(key).orderBy(*order)
-    # Round 1: the best-bound candidates, smallest names first.
+    # Round 1: the best-bound candidates, smallest names first. Their
+    # scores are materialised once and reused by round 2.
     wp = Window.partitionBy(key).orderBy(F.col("bound").desc(), F.col("name").asc(), F.col("sector").asc())
     r1_pairs = cands.withColumn("i", F.row_number().over(wp)).filter(F.col("i") <= probe).drop("i")
-    r1 = score(r1_pairs).withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k)
+    r1_scores = score_probes(r1_pairs.select(key, "probe").distinct()).checkpoint()
+    r1 = (r1_pairs.join(r1_scores, [key, "probe"]).select(key, "sector", "name", "score")
+          .withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k))
     kth = (r1.groupBy(key).agg(F.max(F.struct("rank", "score", "name", "sector")).alias("x"),
                                F.count(F.lit(1)).alias("n"))
            .select(key, F.when(F.col("n") >= k, F.col("x")).alias("kth")))
-    # Round 2: candidates that can still beat the k-th probed one.
+    # Round 2: candidates that can still beat the k-th probed one; only
+    # masked names not scored in round 1 go to the matcher.
     cand = cands.join(kth, key, "left").filter(
         F.col("kth").isNull() | (F.col("bound") > F.col("kth.score"))
         | ((F.col("bound") == F.col("kth.score"))
            & (F.struct("name", "sector") <= F.struct(F.col("kth.name"), F.col("kth.sector")))))
-    best = (score(cand.select(key, "sector", "name", "probe"))
+    cand = cand.select(key, "sector", "name", "probe")
+    fresh = cand.select(key, "probe").distinct().join(r1_scores.select(key, "probe"), [key, "probe"], "left_anti")
+    scores = r1_scores.unionByName(score_probes(fresh))
+    best = (cand.join(scores, [key, "probe"]).select(key, "sector", "name", "score")
             .withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k))
     return best.select(key, F.col("rank").cast("int").alias("rank"), "sector", "name", "score")
 

@@ -93,3 +93,4 @@ def spread(df, min_partitions: int | None = None):
     so there this is a no-op and adds no shuffle."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
