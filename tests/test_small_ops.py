@@ -85,3 +85,20 @@ def test_model_calls_overlap_and_keep_order(spark):
     out = inference.apply_model(df.repartition(2), "k", make(), concurrency=4).collect()
     got = {r.k: r.reply for r in out}
     assert got[99] is None and all(got[i] == '{"echo": "p%d"}' % i for i in range(40))
+
+
+def test_spread_only_when_too_few_partitions(spark):
+    from parley.session import spread
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(100).coalesce(1)
+    many = spark.range(100).repartition(cores * 2)
+    assert spread(few).rdd.getNumPartitions() == cores
+    assert spread(many) is many
+    assert sorted(r.id for r in spread(few).collect()) == list(range(100))
+
+
+def test_cli_lists_every_query(capsys):
+    from parley.__main__ import main
+    from parley.plans.queries import QUERIES
+    assert main(["list"]) == 0
+    assert capsys.readouterr().out.split() == list(QUERIES)
