@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from parley.session import ensure_checkpoint_dir, ship_package
@@ -26,6 +27,24 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def with_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``texts`` with ``row``, a struct that names the row for good: its file
+    and place there. Rows that do not come straight from files are written
+    first."""
+    for df in (docs, None):
+        df = written(docs, "rows") if df is None else df
+        try:
+            at = df.metadataColumn("_metadata")
+            row = F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("index")).alias("row")
+            out = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row)
+            out.schema  # analysed here
+            return out
+        except AnalysisException:
+            if df is not docs:
+                raise
+    raise AssertionError
+
+
 def remainder(id_col, modulus: int):
     """crc32 of the id as text, mod ``modulus``; a null id counts as ''."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus
