@@ -20,29 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """The two columns every operator needs, under fixed names: ``doc_id``
-    and ``text`` (a null text is the empty text). Other columns, whatever
-    their names, are left behind."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
-def with_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``texts`` with ``row``, a struct that names the row for good: its file
-    and place there. Rows that do not come straight from files are written
-    first."""
-    for df in (docs, None):
-        df = written(docs, "rows") if df is None else df
-        try:
-            at = df.metadataColumn("_metadata")
-            row = F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("index")).alias("row")
-            out = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row)
-            out.schema  # analysed here
-            return out
-        except AnalysisException:
-            if df is not docs:
-                raise
-    raise AssertionError
+    and ``text`` (a null text is the empty text), and with ``row_col`` that
+    column as ``row``. Other columns, whatever their names, are left behind."""
+    row = [F.col(row_col).alias("row")] if row_col else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
+
+
+def rowed(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` with one more column, a struct that names each row for good:
+    its file and its place there. Rows that do not come straight from files
+    are written first."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        out = docs.select("*", F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("index")).alias(name))
+        out.schema  # analysed here
+        return out
+    except AnalysisException:
+        if hasattr(docs, "_scratch_path"):
+            raise
+        return rowed(written(docs, "rows"), name)
 
 
 def remainder(id_col, modulus: int):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from parley.llm import tokens as tk
-from parley.llm.common import prepare, row_chunks, string_buffers, with_row, written
+from parley.llm.common import prepare, row_chunks, rowed, string_buffers, texts, written
 from parley.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -191,9 +191,10 @@ def _merge(spans: Column) -> Column:
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, shard: int = SHARD,
-                   id_col: str = "doc_id", text_col: str = "text", carry_row: bool = False) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, spans (merged, in words and
-    bytes), items (ids of items with occurring windows)."""
+    bytes), items (ids of items with occurring windows), and with ``row_col``
+    that column as row."""
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"),
@@ -204,9 +205,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         z = np.zeros(0, np.int64)
         current = (np.zeros((0, window), np.uint64), z, z, [])
     following = next(blocks, None)
-    rows = with_row(docs, id_col, text_col)
+    carry_row = row_col is not None
     if following is None:
-        return _pass(rows, current, carry_row, shard).withColumn("items", F.array_distinct("items"))
+        return _pass(texts(docs, id_col, text_col, row_col), current, carry_row, shard).withColumn("items", F.array_distinct("items"))
+    rows = texts(docs if carry_row else rowed(docs, "row_"), id_col, text_col, row_col or "row_")
     passes = [written(_pass(rows, current, True, shard), "decontaminate-pass")]
     while following is not None:
         passes.append(written(_pass(rows, following, True, shard), "decontaminate-pass"))

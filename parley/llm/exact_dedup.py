@@ -37,29 +37,31 @@ def normalised(text: Column) -> Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                hash_fn: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-    ``hash_fn`` exists so that tests can force collisions."""
+                hash_fn: Callable[[Column], Column] = content_hash, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256,
+    and with ``row_col`` that column as row. ``hash_fn`` exists so that tests
+    can force collisions."""
     prepare(docs.sparkSession)
-    rows = texts(docs, id_col, text_col).select(
-        "doc_id", F.char_length("text").alias("n_cp"), normalised(F.col("text")).alias("norm"))
+    row = ["row"] if row_col else []
+    rows = texts(docs, id_col, text_col, row_col).select(
+        *row, "doc_id", F.char_length("text").alias("n_cp"), normalised(F.col("text")).alias("norm"))
     rows = rows.withColumn("h", hash_fn(F.col("norm")))
     many = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "dedup-many")
     # One pass over the texts: a row of a larger group keeps its bytes, any
     # other row only its digest.
     base = written(rows.join(many, "h", "left").select(
-        F.monotonically_increasing_id().alias("uid"), "doc_id", "n_cp", "h",
+        *row, F.monotonically_increasing_id().alias("uid"), "doc_id", "n_cp", "h",
         F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
         F.when(F.col("n").isNotNull(), F.col("norm")).alias("norm")), "dedup-rows")
     single = base.where("norm IS NULL").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        *row, "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
     left, found, turn = base.where("norm IS NOT NULL"), [], 0
     while True:
         reps = left.groupBy("h").agg(F.min("uid").alias("uid"))
         reps = left.select("h", "uid", F.col("norm").alias("rep")).join(reps, ["h", "uid"]).select("h", "rep")
         compared = written(left.join(reps, "h").select(
-            "uid", "doc_id", "n_cp", "h", "text_sha256", F.lit(turn).alias("turn"),
+            *row, "uid", "doc_id", "n_cp", "h", "text_sha256", F.lit(turn).alias("turn"),
             F.when(F.col("norm") != F.col("rep"), F.col("norm")).alias("norm")), "dedup-compared")
         found.append(compared.where("norm IS NULL").drop("norm"))
         left = compared.where("norm IS NOT NULL").drop("turn")
@@ -74,6 +76,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.max(F.struct("n_cp", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("neg"),
                        (-F.col("uid")).alias("row"))).alias("best"))
     grouped = same.join(keepers, ["h", "turn"]).select(
-        "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size",
+        *row, "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size",
         (F.col("uid") == -F.col("best.row")).alias("kept"), "text_sha256")
     return single.unionByName(grouped)

@@ -234,28 +234,31 @@ def score_chunk(model: dict, data: np.ndarray, offsets: np.ndarray):
     return np.where(lines > 0, s, model["share"]), lines, np.bincount(row, weights=p < 0.5, minlength=n).astype(np.int64)
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, n_lines and n_bad_lines of every row."""
-    rows = texts(docs, id_col, text_col)
-    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), StructField("score", DoubleType()),
-                         StructField("n_lines", LongType()), StructField("n_bad_lines", LongType())])
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, score, n_lines and n_bad_lines of every row, and its ``row_col``."""
+    rows = texts(docs, id_col, text_col, row_col)
+    kept = [f for f in rows.schema if f.name != "text"]
+    rows = rows.select("text", *(f.name for f in kept))
+    schema = StructType([*kept, StructField("score", DoubleType()), StructField("n_lines", LongType()),
+                         StructField("n_bad_lines", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = string_buffers(b.column(1))
+            data, offsets = string_buffers(b.column(0))
             for lo, hi in row_chunks(offsets, CHUNK):
                 s, lines, bad = score_chunk(model, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s), pa.array(lines, pa.int64()),
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[1:]), pa.array(s), pa.array(lines, pa.int64()),
                                                   pa.array(bad, pa.int64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, threshold: float = THRESHOLD,
-            bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted, n_lines, n_bad_lines."""
+            bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted, n_lines,
+    n_bad_lines, and with ``row_col`` that column as row."""
     prepare(docs.sparkSession)
     model = fit(docs, labels, modulus, held, bound, id_col, text_col)
-    return score(docs, model, id_col, text_col).select(
-        "doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score",
+    return score(docs, model, id_col, text_col, row_col).select(
+        *(["row"] if row_col else []), "doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines", "n_bad_lines")

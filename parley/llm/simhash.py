@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from parley.llm.common import prepare, texts, written
 from parley.llm.graph import components
@@ -61,18 +62,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
-    rows = texts(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
-    kind = rows.schema["doc_id"].dataType
+                 shingle: int = SHINGLE, seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """(doc_id, fp, and row with ``row_col``): fp is the fingerprint as a
+    signed 64-bit integer."""
+    rows = texts(docs, id_col, text_col, row_col).withColumn("text", F.col("text").cast("binary"))
+    kept = [f for f in rows.schema if f.name != "text"]
+    rows = rows.select("text", *(f.name for f in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(0)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], names=[*b.schema.names[1:], "fp"])
 
-    from pyspark.sql.types import LongType, StructField, StructType
-    return rows.mapInArrow(run, StructType([StructField("doc_id", kind), StructField("fp", LongType())]))
+    return rows.mapInArrow(run, StructType([*kept, StructField("fp", LongType())]))
 
 
 class BKTree:
@@ -170,16 +172,18 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tree_size: int = TREE_SIZE)
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED,
-                       tree_size: int = TREE_SIZE) -> DataFrame:
+                       tree_size: int = TREE_SIZE, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id
-    (smallest doc_id reachable over links, its own included)."""
+    (smallest doc_id reachable over links, its own included); with ``row_col``
+    also that column as row and root, which names the component even where it
+    has no id."""
     prepare(docs.sparkSession)
-    marked = written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fps")
+    marked = written(fingerprints(docs, id_col, text_col, shingle, seed, row_col), "simhash-fps")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), max_bits, tree_size))
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(lowest, "root").select("fp", "component_id")
+    named = placed.join(lowest, "root").select("fp", "root", "component_id")
     return marked.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        *(["row", "root"] if row_col else []), "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
