@@ -5,25 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Scores are carried as whole micro-units (value * 1e6) so sums are exact
-# integers and the result does not depend on summation order across tasks.
-MICRO = 1_000_000
+# Scores are carried as whole units of 1e-15, read from the decimal digits of
+# the JSON text, so sums are exact integers and a result depends neither on
+# the order of summation nor on how a double is rounded.
+UNIT = 10**15
+_SCORE = "decimal(27,15)"
+
+
+def score_number(raw: Column) -> Column:
+    """A score given as JSON text, as DECIMAL(27,15): its exact digits where
+    it is written as a number, the double's value otherwise (white space
+    around it is accepted; ``true`` and ``false`` count 1 and 0, as for
+    Python's ``float``). NULL for anything that is not a finite number below
+    1e12; :func:`parley.operators.scoring.rejected_scores` lists those."""
+    t = F.trim(raw)
+    return (F.when(t == "true", F.lit(1).cast(_SCORE)).when(t == "false", F.lit(0).cast(_SCORE))
+            .otherwise(F.coalesce(t.try_cast(_SCORE), t.try_cast("double").try_cast(_SCORE))))
 
 
 def score_value(raw: Column) -> Column:
-    """SC-8: numeric coercion of a score given as JSON text.
+    """SC-8: numeric coercion of a score given as JSON text."""
+    return score_number(raw).cast("double")
+
 
-    ``try_cast`` to DOUBLE (surrounding whitespace is accepted, as by
-    Python's ``float``); values that do not parse become NULL, and the caller
-    drops them instead of raising."""
-    return F.trim(raw).try_cast("double")
+def score_units(raw: Column) -> Column:
+    """Exact whole units of a score."""
+    return (score_number(raw) * F.lit(UNIT).cast("decimal(16,0)")).cast("decimal(27,0)")
 
 
-def to_micro(value: Column) -> Column:
-    """Double score -> exact integer micro-units (6 decimals kept). BIGINT
-    sums stay exact up to ~9e10 meetings of one agent at the top score x10
-    weight (and Spark's ANSI mode raises rather than wraps beyond that)."""
-    return F.round(value * F.lit(MICRO)).cast("bigint")
+def exact_mean(units: Column, weight: Column) -> Column:
+    """Rounded ``units / weight`` (see :func:`round_ratio_half_up`)."""
+    return round_ratio_half_up(units, weight.cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(16,0)"))
 
 
 def round_ratio_half_up(num: Column, den: Column, digits: int = 2) -> Column:

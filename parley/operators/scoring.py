@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.jsonfn import object_entries, object_entry_array
-from parley.functions.numeric import round_ratio_half_up, score_band, score_value, to_micro
+from parley.functions.numeric import exact_mean, score_band, score_units, score_value
 from parley.functions.text import display_ts, metric_label
 
 # Recency weights of the newest five meetings, then the tail
@@ -35,15 +35,34 @@ def _recency_order():
     return [F.col("meeting_ts").desc(), F.col("id").desc()]
 
 
-def scores_long(meetings: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Long scores ``(id, sales_id, meeting_ts, *extra, pos, metric, value)``
-    from ``scoring_json``; ``pos`` is the key's position in the JSON text.
-    Values that are not numbers are dropped (the reference raises)."""
+def scores_long(meetings: DataFrame, extra: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
+    """Long scores ``(id, sales_id, meeting_ts, *extra, pos, metric, value,
+    units)`` from ``scoring_json``; ``pos`` is the key's position in the JSON
+    text, ``units`` the exact value. Entries that are not finite numbers are
+    left to :func:`rejected_scores`; with ``strict`` they fail the job, as in
+    the reference."""
     keep = ["id", "sales_id", "meeting_ts", *extra]
     e = object_entries(meetings, "scoring_json", keep, key_name="metric", value_name="raw")
-    return (e.withColumn("value", score_value(F.col("raw")))
-            .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-            .select(*keep, F.col("pos").cast("bigint").alias("pos"), "metric", "value"))
+    e = e.withColumn("units", score_units(F.col("raw")))
+    if strict:
+        text = F.concat(F.lit("score is not a number: "), F.coalesce("raw", F.lit("null")))
+        e = e.withColumn("units", F.coalesce("units", F.raise_error(text).cast("decimal(27,0)")))
+    return (e.filter(F.col("units").isNotNull())
+            .select(*keep, F.col("pos").cast("bigint").alias("pos"), "metric",
+                    score_value(F.col("raw")).alias("value"), "units"))
+
+
+def rejected_scores(meetings: DataFrame) -> DataFrame:
+    """SC-8: every score entry that is not a finite number in range:
+    ``(id, sales_id, pos, metric, raw, reason)``."""
+    e = object_entries(meetings, "scoring_json", ["id", "sales_id"], key_name="metric", value_name="raw")
+    d = F.trim("raw").try_cast("double")
+    reason = (F.when(F.col("raw").isNull(), F.lit("null"))
+              .when(d.isNull(), F.lit("not a number"))
+              .when(F.isnan(d) | (F.abs(d) == float("inf")), F.lit("not finite"))
+              .otherwise(F.lit("out of range")))
+    return (e.filter(score_units(F.col("raw")).isNull())
+            .select("id", "sales_id", F.col("pos").cast("bigint").alias("pos"), "metric", "raw", reason.alias("reason")))
 
 
 def recent_meetings(meetings: DataFrame, n: int = 5) -> DataFrame:
@@ -83,11 +102,12 @@ def _agent_metric_table(meetings: DataFrame) -> DataFrame:
         # Each meeting adds its weight to the agent total (NULL-metric row)
         # and value*weight to every metric it carries.
         rows = (df.select("id", "sales_id", "meeting_ts", weight, F.inline(entries))
-                .withColumn("value", score_value(F.col("raw")))
-                .filter(is_total | (F.col("value").isNotNull() & ~F.isnan("value"))))
+                .withColumn("units", score_units(F.col("raw")))
+                .filter(is_total | F.col("units").isNotNull()))
+        w = F.col(weight).cast("decimal(2,0)")
         return rows.select("sales_id", "metric", "id", "meeting_ts", "pos",
-                           F.when(is_total, F.col(weight))
-                           .otherwise(to_micro(F.col("value")) * F.col(weight)).alias("part"))
+                           F.when(is_total, w.cast("decimal(30,0)"))
+                           .otherwise((F.col("units") * w).cast("decimal(30,0)")).alias("part"))
 
     # Every meeting with the tail weight: a plain hash aggregation with
     # map-side partial sums, so the full table is never shuffled row by row.
@@ -118,7 +138,7 @@ def _agent_metric_table(meetings: DataFrame) -> DataFrame:
 
 
 def _scores_from_table(table: DataFrame) -> DataFrame:
-    score = round_ratio_half_up(F.col("num"), F.col("den") * F.lit(1_000_000))
+    score = exact_mean(F.col("num"), F.col("den"))
     return (table.filter(F.col("metric").isNotNull())
             .select("sales_id", "metric", score.alias("weighted_score"), "first_seen"))
 
@@ -181,7 +201,7 @@ def agent_profile(meetings: DataFrame) -> DataFrame:
     and no second branch re-reads them."""
     table = _agent_metric_table(meetings)
     is_total = F.col("metric").isNull()
-    score = round_ratio_half_up(F.col("num"), F.col("den") * F.lit(1_000_000))
+    score = exact_mean(F.col("num"), F.col("den"))
     metric_row = ~is_total
     best = F.max(F.when(metric_row, F.struct(score.alias("s"), F.col("first_seen"), F.col("metric"))))
     worst = F.max(F.when(metric_row, F.struct((-score).alias("neg"), F.col("first_seen"), F.col("metric"))))
@@ -211,12 +231,14 @@ def latest_scores(meetings: DataFrame, n: int = 5) -> DataFrame:
 def metric_means(meetings: DataFrame) -> DataFrame:
     """AG-4: mean per metric over all score rows (absent metrics do not
     count, unlike AG-3), rounded half-up to 2."""
-    s = scores_long(meetings)
-    g = s.groupBy("metric").agg(F.sum(to_micro(F.col("value"))).alias("num"),
-                                F.count(F.lit(1)).alias("n"))
+    return means_of(scores_long(meetings))
+
+
+def means_of(scores: DataFrame) -> DataFrame:
+    """AG-4 over a long score table."""
+    g = scores.groupBy("metric").agg(F.sum("units").alias("num"), F.count(F.lit(1)).alias("n"))
     return g.select("metric", metric_label("metric").alias("metric_label"),
-                    round_ratio_half_up(F.col("num"), F.col("n") * F.lit(1_000_000)).alias("avg_score"),
-                    F.col("n").alias("n_scores"))
+                    exact_mean(F.col("num"), F.col("n")).alias("avg_score"), F.col("n").alias("n_scores"))
 
 
 # Executive-summary sentences (PRJ-22).
@@ -249,11 +271,17 @@ def best_worst_global(meetings: DataFrame) -> DataFrame:
     entries = F.concat(object_entry_array("scoring_json", "metric", "raw"), total_row)
     is_total = F.col("metric").isNull()
     rows = (meetings.select(F.inline(entries))
-            .withColumn("value", score_value(F.col("raw")))
-            .filter(is_total | (F.col("value").isNotNull() & ~F.isnan("value"))))
-    g = rows.groupBy("metric").agg(F.sum(F.when(~is_total, to_micro(F.col("value")))).alias("num"),
-                                   F.count(F.lit(1)).alias("n"))
-    avg = round_ratio_half_up(F.col("num"), F.col("n") * F.lit(1_000_000))
+            .withColumn("units", score_units(F.col("raw")))
+            .filter(is_total | F.col("units").isNotNull()))
+    g = rows.groupBy("metric").agg(F.sum("units").alias("num"), F.count(F.lit(1)).alias("n"))
+    return best_worst_of(g)
+
+
+def best_worst_of(g: DataFrame) -> DataFrame:
+    """AG-5 over one aggregated row per metric ``(metric, num, n)`` and one
+    with a NULL metric that counts the meetings."""
+    is_total = F.col("metric").isNull()
+    avg = exact_mean(F.col("num"), F.col("n"))
     agg = g.agg(F.min(F.when(~is_total, F.struct((-avg).alias("neg"), F.col("metric")))).alias("b"),
                 F.min(F.when(~is_total, F.struct(avg.alias("avg_score"), F.col("metric")))).alias("w"),
                 F.max(F.when(is_total, F.col("n"))).alias("total_meetings"))
@@ -274,25 +302,32 @@ def best_worst_global(meetings: DataFrame) -> DataFrame:
 def score_matrix(meetings: DataFrame, metrics: list[str]) -> DataFrame:
     """AG-10: meeting x metric pivot, absent -> NULL. The metric list is
     passed explicitly (no extra job to find pivot values)."""
-    s = scores_long(meetings)
-    return (s.groupBy("sales_id", "id").pivot("metric", metrics).agg(F.max("value"))
+    return matrix_of(scores_long(meetings), metrics)
+
+
+def matrix_of(scores: DataFrame, metrics: list[str]) -> DataFrame:
+    return (scores.groupBy("sales_id", "id").pivot("metric", metrics).agg(F.max("value"))
             .withColumnRenamed("id", "meeting_id"))
 
 
-def distinct_metrics(meetings: DataFrame, cap: int = 1000) -> list[str]:
-    """Distinct metric keys, for pivots over an open key set. The list is
-    bounded by ``cap``; more keys raise instead of being cut."""
-    vals = [r[0] for r in scores_long(meetings).select("metric").distinct().limit(cap + 1).collect()]
-    if len(vals) > cap:
-        raise ValueError(f"more than {cap} distinct metrics; pass the metric list explicitly")
-    return sorted(vals)
+def score_maps(scores: DataFrame) -> DataFrame:
+    """AG-10 for an open set of metrics: one row per meeting with a map
+    ``metric -> value``, metrics in text order. No list of all metrics is
+    needed; a map is bounded by one meeting's own metrics."""
+    one = scores.groupBy("sales_id", "id", "metric").agg(F.max("value").alias("value"))
+    entries = F.sort_array(F.collect_list(F.struct("metric", "value")))
+    return (one.groupBy("sales_id", "id").agg(F.map_from_entries(entries).alias("scores"))
+            .withColumnRenamed("id", "meeting_id"))
 
 
 def metric_timeline(meetings: DataFrame) -> DataFrame:
-    """ST-5: score series per metric over meetings, newest first. Ordering
-    is applied only at the sink (``orderBy`` on the result)."""
-    s = scores_long(meetings)
-    return s.select("metric", metric_label("metric").alias("metric_label"), "id", "sales_id",
+    """ST-5: score series per metric over meetings. ``parley.operators.
+    ordering.positioned`` puts it in order, newest first."""
+    return timeline_of(scores_long(meetings))
+
+
+def timeline_of(s: DataFrame) -> DataFrame:
+    return s.select("metric", metric_label("metric").alias("metric_label"), "id", "sales_id", "meeting_ts",
                     display_ts("meeting_ts").alias("meeting_date"), "pos", "value")
 
 

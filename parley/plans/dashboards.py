@@ -11,44 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.numeric import round_ratio_half_up, to_micro
-from parley.functions.text import display_ts, metric_label
 from parley.operators import scoring
 from parley.session import ensure_checkpoint_dir
 
 
+def _matrix(scores: DataFrame, metrics: list[str] | None) -> DataFrame:
+    """Wide columns when the caller names the metrics, else a map column."""
+    return scoring.score_maps(scores) if metrics is None else scoring.matrix_of(scores, metrics)
+
+
 def global_dashboard(meetings: DataFrame, metrics: list[str] | None = None) -> dict[str, DataFrame]:
     """PL-3: ``scores`` (long), ``means``, ``best_worst`` (with summary),
-    ``matrix`` and ``timeline``. ``metrics`` fixes the matrix columns; by
-    default they are read from the data (capped, see
-    :func:`scoring.distinct_metrics`)."""
+    ``matrix`` and ``timeline``. ``metrics`` fixes the matrix columns; without
+    it the matrix has one map column."""
     ensure_checkpoint_dir(meetings.sparkSession)
+    # A NULL-metric row per meeting carries the count of meetings without scores.
     scores = scoring.scores_long(meetings.select("id", "sales_id", "meeting_ts", "scoring_json")).checkpoint()
-    means = (scores.groupBy("metric")
-             .agg(F.sum(to_micro(F.col("value"))).alias("num"), F.count(F.lit(1)).alias("n"))
-             .select("metric", metric_label("metric").alias("metric_label"),
-                     round_ratio_half_up(F.col("num"), F.col("n") * F.lit(1_000_000)).alias("avg_score"),
-                     F.col("n").alias("n_scores")))
-    if metrics is None:
-        found = [r[0] for r in scores.select("metric").distinct().limit(1001).collect()]
-        if len(found) > 1000:
-            raise ValueError("more than 1000 distinct metrics; pass the metric list explicitly")
-        metrics = sorted(found)
-    matrix = (scores.groupBy("sales_id", "id").pivot("metric", metrics).agg(F.max("value"))
-              .withColumnRenamed("id", "meeting_id"))
-    timeline = scores.select("metric", metric_label("metric").alias("metric_label"), "id", "sales_id",
-                             display_ts("meeting_ts").alias("meeting_date"), "pos", "value")
-    return {"scores": scores, "means": means, "best_worst": scoring.best_worst_global(meetings),
-            "matrix": matrix, "timeline": timeline}
-
-
-def agent_dashboard(meetings: DataFrame, n_latest: int = 5) -> dict[str, DataFrame]:
+    per_metric = scores.groupBy("metric").agg(F.sum("units").alias("num"), F.count(F.lit(1)).alias("n"))
+    total = meetings.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(None).cast("string").alias("metric"), F.lit(None).cast("decimal(37,0)").alias("num"), "n")
+    return {"scores": scores, "means": scoring.means_of(scores),
+            "best_worst": scoring.best_worst_of(per_metric.unionByName(total)),
+            "matrix": _matrix(scores, metrics), "timeline": scoring.timeline_of(scores)}
+
+
+def agent_dashboard(meetings: DataFrame, n_latest: int = 5, metrics: list[str] | None = None) -> dict[str, DataFrame]:
     """PL-2: per agent ``profile`` (count, span, best/worst with bands),
     ``cards`` (weighted score, label, band per metric), ``latest`` (scores
     of the newest meetings) and ``heatmap`` (their meeting x metric
     matrix)."""
     latest = scoring.latest_scores(meetings, n_latest)
-    heat = (latest.groupBy("sales_id", "id").pivot("metric").agg(F.max("value"))
-            .withColumnRenamed("id", "meeting_id"))
     return {"profile": scoring.agent_profile(meetings), "cards": scoring.weighted_score_cards(meetings),
-            "latest": latest, "heatmap": heat}
+            "latest": latest, "heatmap": _matrix(latest, metrics)}
