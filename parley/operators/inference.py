@@ -3,23 +3,25 @@
 The reference calls a hosted chat model twice per meeting. Here the model is
 an injected callable ``infer(prompt: str) -> str`` applied with
 ``mapInPandas`` (one Python worker per task, rows streamed in Arrow
-batches), and the reply is parsed with ``from_json``. Without a callable,
+batches); the replies are written to a table first and then parsed, and
+what cannot be parsed comes back with its reason. Without a callable,
 an offline analyzer built from Spark expressions stands in: frequent words
 as topics, the rule objection, and the 40-word summary.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.functions.jsonfn import is_object_text
 from parley.functions.text import summarize
 from parley.operators import rules
+from parley.session import stored
 
 # Words shorter than this are not topic candidates; topics per
 # meeting ("the 3 most important topics").
@@ -40,7 +42,7 @@ def keyword_topics(transcripts: DataFrame, key: str, n: int = TOPICS_PER_MEETING
     Word counts are a hash aggregation on (meeting, word); the top-n is a
     ``row_number`` filter, i.e. a partial ``WindowGroupLimit``."""
     body = F.regexp_replace(F.col("text"), _ROLE_PREFIX, "")
-    words = F.regexp_extract_all(F.lower(body), F.lit(rf"\p{{L}}{{{min_letters},}}"), 0)
+    words = F.regexp_extract_all(F.lower(body), F.lit(rf"[\p{{L}}\p{{M}}]{{{min_letters},}}"), 0)
     w = (transcripts.select(key, F.posexplode(words).alias("at", "word"))
          .groupBy(key, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("at").alias("first_at")))
     win = Window.partitionBy(key).orderBy(F.col("cnt").desc(), F.col("first_at").asc())
@@ -62,16 +64,28 @@ def offline_analysis(transcripts: DataFrame, key: str,
         summarize(F.col("text")).alias("summary")).alias("analysis"))
 
 
-# The analysis request (system part) given to the model.
-ANALYSIS_SYSTEM = (
-    "أنت متخصص في تحليل نصوص الاجتماعات. أعطني فقط JSON منظم.\n"
-    "يجب أن يحتوي على:\n"
-    "topics: قائمة بأهم 3 مواضيع ذكرت\n"
-    "fears: أهم مخاوف العميل\n"
-    "objection: أهم اعتراض\n"
-    "summary: ملخص قصير للاجتماع")
+# The analysis request (system and user part) given to the model.
+ANALYSIS_SYSTEM = """
+أنت متخصص في تحليل نصوص الاجتماعات. أعطني فقط JSON منظم.
+يجب أن يحتوي على:
+topics: قائمة بأهم 3 مواضيع ذكرت
+fears: أهم مخاوف العميل
+objection: أهم اعتراض
+summary: ملخص قصير للاجتماع
+
+
+- clarity
+- need_understanding
+- professionalism
+- objection_handling
+- rapport
+- closing_power
+ مع  زكر  السبب من الميتسنج او ردود السيلز اللي خلاه ياخد التقييم ده
+"""
 ANALYSIS_USER_PREFIX = "هذا نص الاجتماع:\n"
 ANALYSIS_USER_SUFFIX = "\n\nاستخرج JSON فقط."
+#: Fields the later steps read from an analysis.
+ANALYSIS_FIELDS = ["topics", "fears", "objection", "summary"]
 
 
 def analysis_prompts(transcripts: DataFrame, key: str) -> DataFrame:
@@ -82,8 +96,8 @@ def analysis_prompts(transcripts: DataFrame, key: str) -> DataFrame:
 
 def apply_model(prompts: DataFrame, key: str, infer: Callable[[str], str], concurrency: int = 1) -> DataFrame:
     """Run ``infer`` on every prompt inside the executors (``mapInPandas``);
-    returns ``(key, reply)``. A failing call yields a NULL reply, which
-    :func:`parse_replies` routes to the reject frame.
+    returns ``(key, reply, error)``. A failing call yields a NULL reply and
+    the error's text; a NULL prompt is not sent.
 
     Model calls wait on the network, so ``concurrency > 1`` overlaps that
     many calls per task with a thread pool (replies keep their row order).
@@ -92,10 +106,12 @@ def apply_model(prompts: DataFrame, key: str, infer: Callable[[str], str], concu
     key_type = dict(prompts.dtypes)[key]
 
     def call(p):
+        if p is None:
+            return None, "no prompt"
         try:
-            return infer(p)
-        except Exception:  # noqa: BLE001 - a failed call is a rejected row
-            return None
+            return infer(p), None
+        except Exception as e:  # noqa: BLE001 - a failed call is a rejected row
+            return None, f"call failed: {type(e).__name__}: {e}"
 
     def run(batches):
         pool = None
@@ -106,62 +122,140 @@ def apply_model(prompts: DataFrame, key: str, infer: Callable[[str], str], concu
             for pdf in batches:
                 ps = pdf["prompt"].tolist()
                 out = list(pool.map(call, ps)) if pool else [call(p) for p in ps]
-                yield pd.DataFrame({key: pdf[key], "reply": out})
+                yield pd.DataFrame({key: pdf[key], "reply": [r for r, _ in out], "error": [e for _, e in out]})
         finally:
             if pool:
                 pool.shutdown()
 
-    return prompts.select(key, "prompt").mapInPandas(run, f"{key} {key_type}, reply string")
+    return prompts.select(key, "prompt").mapInPandas(run, f"{key} {key_type}, reply string, error string")
+
 
+def reply_problem(reply: Column, error: Column, required: list[str]) -> Column:
+    """LM-4: why a reply cannot be used (NULL: it can). The text is checked
+    as JSON, so a reply that was cut off is not an object."""
+    keys = F.json_object_keys(reply)
+    problem = F.when(reply.isNull(), F.coalesce(error, F.lit("no reply"))).when(keys.isNull(), F.lit("not a JSON object"))
+    for field in required:
+        problem = problem.when(~F.array_contains(keys, field), F.lit(f"missing field: {field}"))
+    return problem
 
-def parse_replies(replies: DataFrame, key: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
-    """LM-4: parse model replies. Returns ``(parsed, rejected)``: a reply
-    that is not a JSON object is rejected with its raw text instead of
-    failing the job."""
-    ok = F.col("reply").isNotNull() & is_object_text(F.col("reply"))
-    tagged = replies.select(key, "reply", F.when(ok, F.from_json("reply", schema)).alias("value"))
-    parsed = tagged.filter(F.col("value").isNotNull()).select(key, "value", "reply")
-    rejected = tagged.filter(F.col("value").isNull()).select(key, "reply")
+
+def parse_replies(replies: DataFrame, key: str, schema: str | T.StructType, stage: str = "",
+                  required: tuple[str, ...] | list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """LM-4: parse model replies ``(key, reply, error)``. Returns ``(parsed,
+    rejected)``: parsed has the typed ``value`` and the whole ``reply``; a
+    rejected row has its key, stage, raw text and reason."""
+    error = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    tagged = replies.select(key, "reply", reply_problem(F.col("reply"), error, list(required)).alias("reason"))
+    parsed = tagged.filter(F.col("reason").isNull()).select(key, F.from_json("reply", schema).alias("value"), "reply")
+    rejected = tagged.filter(F.col("reason").isNotNull()).select(key, F.lit(stage).alias("stage"), "reply", "reason")
     return parsed, rejected
 
 
+def no_rejects(df: DataFrame, key: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], f"{key} {dict(df.dtypes)[key]}, stage string, reply string, reason string")
+
+
+def analyze(transcripts: DataFrame, key: str, infer: Callable[[str], str] | None = None,
+            words: rules.RuleWords = rules.DEFAULT_WORDS, concurrency: int = 1) -> tuple[DataFrame, DataFrame]:
+    """LM-1 + LM-4: ``(key, analysis, analysis_json)`` and the rejected
+    replies. ``analysis_json`` is the whole object the model returned, with
+    every key; ``analysis`` has the fields that later steps read."""
+    if infer is None:
+        a = offline_analysis(transcripts, key, words)
+        return a.withColumn("analysis_json", F.to_json("analysis")), no_rejects(transcripts, key)
+    replies = stored(apply_model(analysis_prompts(transcripts, key), key, infer, concurrency), "analysis-replies")
+    parsed, rejected = parse_replies(replies, key, ANALYSIS_DDL, "analysis", ANALYSIS_FIELDS)
+    return parsed.select(key, F.col("value").alias("analysis"), F.col("reply").alias("analysis_json")), rejected
+
+
 def analyze_transcripts(transcripts: DataFrame, key: str, infer: Callable[[str], str] | None = None,
                         words: rules.RuleWords = rules.DEFAULT_WORDS, concurrency: int = 1) -> DataFrame:
-    """LM-1: ``(key, analysis)``; model-backed when ``infer`` is given."""
-    if infer is None:
-        return offline_analysis(transcripts, key, words)
-    replies = apply_model(analysis_prompts(transcripts, key), key, infer, concurrency).persist()
-    parsed, _ = parse_replies(replies, key, ANALYSIS_DDL)
-    return parsed.select(key, F.col("value").alias("analysis"))
+    """LM-1: ``(key, analysis)`` of :func:`analyze`."""
+    return analyze(transcripts, key, infer, words, concurrency)[0].select(key, "analysis")
+
+
+# The follow-up plan requests. "plan" is the request of the plain
+# model path, "sending" the one of the path that sends the messages.
+_PLAN_STEPS = """
+أنت خبير مبيعات. اكتب خطة Follow-up من 4 رسائل فقط.
+- الرسالة 1: للموضوع الأساسي
+- الرسالة 2: للموضوع الثانوي
+- الرسالة 3: لتعالج الخوف أو الاعتراض
+- الرسالة 4: رسالة ختامية بدون ضغط على العميل
+"""
+PLAN_SYSTEM = {
+    "plan": _PLAN_STEPS + """
+اكتب فقط JSON.
+""",
+    "sending": _PLAN_STEPS + """
+
+- ممنوع تكرار نفس جملة البداية في أكثر من رسالة.
+- كل رسالة يجب أن تبدأ بأسلوب مختلف وطبيعي
+اعملها ريفاكتور واضح قبل ما تظهر
+اتاكد ان الرساله واضحه
+- اكتب باللغة العربية فقط.
+ممنوع استخدام كلمات انجليزيه او صينيه 
+اكتب فقط JSON.
+""",
+}
+PLAN_USER = """
+ملخص الاجتماع: {summary}
+
+المواضيع: {topics}
+الاعتراض: {objection}
+المخاوف: {fears}
+
+الملفات المتاحة:
+{documents}
+
+-with explain small breif about the attached pdf  and how it will help  to solve the problem for you 
+اكتب لي JSON فيه followup_1, followup_2, followup_3, followup_4.
+
+
+based on the dialog  that happened with cliet  and solving his probllems 
+and show the examples you based the scoring on it
+
+- highlight any  rong chat  or action happen between the sales and client  to  make the sales to avoid i thenext call
+- highlight if he miss any important thing or service  may cover also in next call 
+_ we need to  protect the sales from his mistackews appear in the meeting  
+we need to return it and highlit it  to see what is hos rong 
+sales scoring  (- clarity
+- need_understanding
+- professionalism
+- objection_handling
+- rapport
+- closing_power)
+"""
 
 
-# The follow-up plan request and the metric list it names.
-PLAN_SYSTEM = (
-    "أنت خبير مبيعات. اكتب خطة Follow-up من 4 رسائل فقط.\n"
-    "- الرسالة 1: للموضوع الأساسي\n"
-    "- الرسالة 2: للموضوع الثانوي\n"
-    "- الرسالة 3: لتعالج الخوف أو الاعتراض\n"
-    "- الرسالة 4: رسالة ختامية بدون ضغط على العميل\n\n"
-    "اكتب فقط JSON.")
-SCORE_METRICS = ["clarity", "need_understanding", "professionalism", "objection_handling",
-                 "rapport", "closing_power"]
+def python_list_text(items: Column) -> Column:
+    """A list of texts as Python prints it: ``['a', "it's"]``, ``[]``."""
+    def quoted(x):
+        t = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+        for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            t = F.replace(t, F.lit(raw), F.lit(shown))
+        double = F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"'))
+        return (F.when(x.isNull(), F.lit("None")).when(double, F.concat(F.lit('"'), t, F.lit('"')))
+                .otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+    return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
 
 
-def plan_prompts(analysis: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+def plan_prompts(analysis: DataFrame, blocks: DataFrame, key: str, variant: str = "plan") -> DataFrame:
     """LM-2: plan prompt per meeting from the analysis and the document
-    block (AG-11). Pure column expressions."""
+    block (AG-11), in the wording of ``variant`` ("plan" or "sending"). Pure
+    column expressions; a JSON null prints as ``None``, as in Python."""
     j = analysis.join(blocks, key, "left")
     a = F.col("analysis")
-    topics_txt = F.concat(F.lit("['"), F.array_join(a["topics"], "', '"), F.lit("']"))
-    body = F.concat(
-        F.lit("\nملخص الاجتماع: "), a["summary"],
-        F.lit("\n\nالمواضيع: "), topics_txt,
-        F.lit("\nالاعتراض: "), a["objection"],
-        F.lit("\nالمخاوف: "), a["fears"],
-        F.lit("\n\nالملفات المتاحة:\n"), F.coalesce(F.col("document_block"), F.lit("")),
-        F.lit("\n\nاكتب لي JSON فيه followup_1, followup_2, followup_3, followup_4.\n"
-              "sales scoring (" + ", ".join(SCORE_METRICS) + ")\n"))
-    return j.select(key, F.concat(F.lit(PLAN_SYSTEM + "\n"), body).alias("prompt"))
+
+    def shown(field: str) -> Column:
+        return F.coalesce(a[field], F.lit("None"))
+
+    values = {"summary": shown("summary"), "objection": shown("objection"), "fears": shown("fears"),
+              "topics": F.coalesce(python_list_text(a["topics"]), F.lit("None")),
+              "documents": F.coalesce("document_block", F.lit(""))}
+    pieces = re.split(r"\{(\w+)\}", PLAN_SYSTEM[variant] + PLAN_USER)
+    return j.select(key, F.concat(*[F.lit(p) if i % 2 == 0 else values[p] for i, p in enumerate(pieces)]).alias("prompt"))
 
 
 def plan_followups(prompts: DataFrame, key: str, infer: Callable[[str], str],
@@ -169,7 +263,7 @@ def plan_followups(prompts: DataFrame, key: str, infer: Callable[[str], str],
     """LM-3 + LM-4: model plan per meeting as ``(key, followup_json)``; the
     plan is kept as JSON text (its keys are open). Returns
     ``(plans, rejected)``."""
-    # Persisted so the model runs once even when both outputs are used.
-    replies = apply_model(prompts, key, infer, concurrency).persist()
-    parsed, rejected = parse_replies(replies, key, "map<string,string>")
+    # Written, so the model runs once whatever reads the two outputs.
+    replies = stored(apply_model(prompts, key, infer, concurrency), "plan-replies")
+    parsed, rejected = parse_replies(replies, key, "map<string,string>", "plan")
     return parsed.select(key, F.col("reply").alias("followup_json")), rejected

@@ -30,47 +30,53 @@ def generate_followups(transcripts: DataFrame, catalog: DataFrame, cache: DataFr
 def model_flow(transcripts: DataFrame, corpus: DataFrame, key: str,
                analyze: Callable[[str], str] | None = None,
                plan: Callable[[str], str] | None = None,
-               words: rules.RuleWords = rules.DEFAULT_WORDS, concurrency: int = 1) -> dict[str, DataFrame]:
+               words: rules.RuleWords = rules.DEFAULT_WORDS, concurrency: int = 1,
+               variant: str = "plan") -> dict[str, DataFrame]:
     """LM-5: analyze -> match documents on the topics -> summarise the
     chosen documents -> plan prompt -> plan, for every transcript at once.
 
     Returns ``analysis``, ``documents`` (key, rank, name, summary),
-    ``prompts``, and, when ``plan`` is given, ``plans`` and ``rejected``."""
-    analysis = inference.analyze_transcripts(transcripts, key, analyze, words, concurrency)
+    ``prompts``, ``rejected`` (the unusable replies of both calls with key,
+    stage, text and reason) and, when ``plan`` is given, ``plans``."""
+    analysis, rejected = inference.analyze(transcripts, key, analyze, words, concurrency)
     topics = analysis.select(key, F.posexplode("analysis.topics").alias("pos", "topic"))
     docs = matching.matched_summaries(matching.match_documents(topics, corpus, key=key), corpus)
-    prompts = inference.plan_prompts(analysis, matching.document_block(docs, key), key)
-    out = {"analysis": analysis, "documents": docs.select(key, "rank", "name", "summary"), "prompts": prompts}
+    prompts = inference.plan_prompts(analysis, matching.document_block(docs, key), key, variant)
+    out = {"analysis": analysis, "documents": docs.select(key, "rank", "name", "summary"), "prompts": prompts,
+           "rejected": rejected}
     if plan is not None:
-        out["plans"], out["rejected"] = inference.plan_followups(prompts, key, plan, concurrency)
+        out["plans"], bad = inference.plan_followups(prompts, key, plan, concurrency)
+        out["rejected"] = rejected.unionByName(bad)
     return out
 
 
 def meeting_rows(analysis: DataFrame, documents: DataFrame, plans: DataFrame, key: str,
                  agents: DataFrame, ts_col: str = "meeting_ts") -> DataFrame:
     """Assemble stored meeting rows from a model run: ``agents`` gives
-    ``(key, sales_id, meeting_ts)``; ids are stamped from the timestamp."""
+    ``(key, sales_id, meeting_ts)``; ids are stamped from the timestamp. A
+    transcript without an analysis or without a plan gives no row, so a later
+    good run can still store it. The whole analysis object is stored."""
     pdfs = (documents.groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("rank", "name", "summary"))).alias("d"))
             .select(key, F.to_json(F.transform("d", lambda x: F.array(x["name"], x["summary"]))).alias("pdfs_json")))
-    rows = (agents.join(analysis, key).join(pdfs, key, "left").join(plans, key, "left")
-            .select(key, "sales_id", F.col(ts_col).alias("meeting_ts"),
-                    F.to_json("analysis").alias("analysis_json"),
-                    F.coalesce("pdfs_json", F.lit("[]")).alias("pdfs_json"),
-                    F.coalesce("followup_json", F.lit("{}")).alias("followup_json")))
+    rows = (agents.join(analysis, key).join(plans, key).join(pdfs, key, "left")
+            .select(key, "sales_id", F.col(ts_col).alias("meeting_ts"), "analysis_json",
+                    F.coalesce("pdfs_json", F.lit("[]")).alias("pdfs_json"), "followup_json"))
     rows = rows.withColumn("scoring_json", meetings.extract_scoring(F.col("followup_json")))
     return meetings.stamp_meetings(rows).drop("meeting_date")
 
 
 def ingest(existing: DataFrame, transcripts: DataFrame, agents: DataFrame, corpus: DataFrame, key: str,
            analyze: Callable[[str], str] | None = None,
-           plan: Callable[[str], str] | None = None) -> tuple[DataFrame, DataFrame]:
+           plan: Callable[[str], str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """PL-6 in batch: drop blank transcripts, run the model flow, and keep
-    meetings whose id is not stored yet. Returns ``(saved, rejected)``;
-    append ``saved`` to the meetings table."""
+    meetings whose id is not stored yet. Returns ``(saved, rejected,
+    failed)``: append ``saved`` to the meetings table; ``rejected`` are rows
+    with a stored id, ``failed`` the model replies that could not be used.
+    Without a ``plan`` callable (offline) every plan is empty."""
     valid = meetings.valid_transcripts(transcripts)
     run = model_flow(valid, corpus, key, analyze, plan)
     plans = run.get("plans", valid.select(key, F.lit("{}").alias("followup_json")))
     rows = meeting_rows(run["analysis"], run["documents"], plans, key, agents)
     cols = ["id", "sales_id", "meeting_ts", "analysis_json", "pdfs_json", "followup_json", "scoring_json"]
-    return meetings.save_meetings(existing, rows.select(*cols))
+    return *meetings.save_meetings(existing, rows.select(*cols)), run["rejected"]
