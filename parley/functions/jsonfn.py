@@ -53,3 +53,10 @@ def is_object_text(c: Column) -> Column:
     """True when the text is a JSON object (``from_json`` of plain text
     yields a struct of NULLs, so test the leading brace instead)."""
     return F.ltrim(c).startswith("{")
+
+
+def object_map(json_col: str) -> Column:
+    """A JSON object as ``map<string,string>`` with the last-wins rule; NULL
+    where the column is NULL."""
+    entries = F.transform(object_entry_array(json_col), lambda e: F.struct(e["key"], e["raw_value"]))
+    return F.when(F.col(json_col).isNotNull(), F.map_from_entries(entries))

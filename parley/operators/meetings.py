@@ -4,10 +4,11 @@ PRJ-23, ST-1, ST-4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parley.functions.jsonfn import is_object_text, json_field
+from parley.functions.jsonfn import is_object_text, json_field, object_map
 from parley.functions.text import display_ts, meeting_key, snippet, strip
 from parley.schemas import ANALYSIS_SCHEMA
 
@@ -41,14 +42,32 @@ def extract_scoring(followup_json) -> Column:
     return F.coalesce(json_field(followup_json, "$.sales_scoring"), F.lit("{}"))
 
 
+def raw_map_json(m: Column) -> Column:
+    """A ``map<string,string>`` of JSON values as one JSON object: values that
+    are JSON objects or arrays go in as they are, others as JSON strings."""
+    def value(v):
+        nested = F.json_object_keys(v).isNotNull() | F.json_array_length(v).isNotNull()
+        text = F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1)
+        return F.when(v.isNull(), F.lit("null")).when(nested, v).otherwise(text)
+
+    def key(k):
+        return F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+
+    parts = F.transform(F.map_entries(m), lambda e: F.concat(key(e["key"]), F.lit(":"), value(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
 def encode_meeting(df: DataFrame) -> DataFrame:
     """PRJ-3: nested columns ``analysis``, ``pdfs``, ``followup`` to JSON
     text (non-ASCII kept raw), and the scoring extracted from the plan."""
-    out = df.select(
-        "id", "sales_id", "meeting_ts",
-        F.to_json("analysis").alias("analysis_json"),
-        F.to_json("pdfs").alias("pdfs_json"),
-        F.to_json("followup").alias("followup_json"))
+    pdfs, followup = F.col("pdfs"), F.to_json("followup")
+    inner = df.schema["pdfs"].dataType.elementType
+    if isinstance(inner, T.StructType):  # stored as pairs, as a list of tuples is
+        pdfs = F.transform(pdfs, lambda p: F.array(*[p[name] for name in inner.names]))
+    if dict(df.dtypes)["followup"] == "map<string,string>":
+        followup = raw_map_json(F.col("followup"))
+    out = df.select("id", "sales_id", "meeting_ts", F.to_json("analysis").alias("analysis_json"),
+                    F.to_json(pdfs).alias("pdfs_json"), followup.alias("followup_json"))
     return out.withColumn("scoring_json", extract_scoring(F.col("followup_json")))
 
 
@@ -59,11 +78,14 @@ def decode_meetings(meetings: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``pdfs`` becomes ``array<struct<name, description>>`` from the stored
     list of pairs; ``followup`` and ``scoring`` stay ``map<string,string>``
     (values typed later, see :mod:`parley.functions.jsonfn`)."""
-    a = F.from_json("analysis_json", ANALYSIS_SCHEMA)
+    # A key repeated in one object keeps its last value, in every view.
+    a = object_map("analysis_json")
+    a = F.when(F.col("analysis_json").isNotNull(), F.struct(
+        F.from_json(a["topics"], "array<string>").alias("topics"),
+        *[a[k].alias(k) for k in ("fears", "objection", "summary")]).cast(ANALYSIS_SCHEMA))
     pairs = F.from_json("pdfs_json", "array<array<string>>")
     pdfs = F.transform(pairs, lambda p: F.struct(p[0].alias("name"), p[1].alias("description")))
-    fu = F.from_json("followup_json", "map<string,string>")
-    sc = F.from_json("scoring_json", "map<string,string>")
+    fu, sc = object_map("followup_json"), object_map("scoring_json")
     d = meetings.select("id", "sales_id", "meeting_ts", a.alias("analysis"), pdfs.alias("pdfs"),
                         fu.alias("followup"), sc.alias("scoring"),
                         "analysis_json", "pdfs_json", "followup_json", "scoring_json")
@@ -96,8 +118,7 @@ def save_meetings(existing: DataFrame, new: DataFrame, order_col: str = "meeting
              .agg(F.min(F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in rest])).alias("_f"))
              .select(*[F.col("_f._o").alias(c) if c == order_col else
                        F.col("id") if c == "id" else F.col(f"_f.{c}").alias(c) for c in cols]))
-    ids = existing.select("id").distinct()
-    saved = first.join(ids, "id", "left_anti")
+    saved = first.join(existing.select("id"), "id", "left_anti")
     # Every distinct row with its copy count; the saved row uses one copy.
     counted = new.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"))
     kept = saved.select(*[F.col(c).alias(f"_k_{c}") for c in cols])
@@ -118,6 +139,10 @@ def valid_transcripts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.filter(F.length(strip(F.col(text_col))) > 0)
 
 
+# Order of the archive and of loaded meetings: newest first, then by id and agent.
+NEWEST_FIRST = [("meeting_ts", False), ("id", False), ("sales_id", True)]
+
+
 # --- per-meeting views over decoded rows ----------------------------------------
 
 def meeting_topics(decoded: DataFrame) -> DataFrame:
@@ -139,27 +164,35 @@ def followup_entries(followup: Column) -> Column:
 _CARD = "struct<subject:string,body:string,attachments:array<map<string,string>>>"
 
 
-def followup_cards(decoded: DataFrame, default_subject: str = DEFAULT_SUBJECT_REPORT) -> DataFrame:
-    """PRJ-9 + ST-4: one card per follow-up entry, keys in text order
-    (``followup_10`` before ``followup_2``). An object value gives subject,
-    body and attachments; any other value is the body itself."""
+def _cards(decoded: DataFrame) -> DataFrame:
     e = decoded.select("id", "sales_id", F.explode(followup_entries(F.col("followup"))).alias("key", "raw"))
     card = F.when(is_object_text(F.col("raw")), F.from_json("raw", _CARD))
-    return e.select(
-        "id", "sales_id", "key",
-        F.coalesce(card["subject"], F.lit(default_subject)).alias("subject"),
-        F.when(card.isNotNull(), F.coalesce(card["body"], F.lit(""))).otherwise(F.col("raw")).alias("body"),
-        card["attachments"].alias("attachments"))
+    return e.select("id", "sales_id", "key", card["subject"].alias("subject"),
+                    F.when(card.isNotNull(), F.coalesce(card["body"], F.lit(""))).otherwise(F.col("raw")).alias("body"),
+                    card["attachments"].alias("attachments"))
+
+
+def followup_cards(decoded: DataFrame, default_subject: str = DEFAULT_SUBJECT_REPORT) -> DataFrame:
+    """PRJ-9: one card per follow-up entry. An object value gives subject,
+    body and attachments; any other value is the body itself. ST-4: cards are
+    shown in text order of their keys (``followup_10`` before ``followup_2``),
+    given by ``position``, their place in the meeting."""
+    before = Window.partitionBy("id", "sales_id").orderBy("key")
+    return (_cards(decoded).withColumn("subject", F.coalesce("subject", F.lit(default_subject)))
+            .withColumn("position", F.row_number().over(before)))
 
 
-def followup_attachments(cards: DataFrame) -> DataFrame:
+def followup_attachments(decoded: DataFrame) -> DataFrame:
     """PRJ-10 + PRJ-11: one row per attachment with defaults, and the
-    "why this PDF helps" sentence built from the card's subject."""
-    a = cards.select("id", "key", "subject", F.explode("attachments").alias("att"))
-    return a.select("id", "key",
-                    F.coalesce(a["att"]["name"], F.lit(DEFAULT_ATTACHMENT_NAME)).alias("name"),
-                    F.coalesce(a["att"]["description"], F.lit("")).alias("description"),
-                    attachment_reason(F.col("subject")).alias("reason"))
+    "why this PDF helps" sentence, in which a missing subject is empty."""
+    a = _cards(decoded).select("id", "sales_id", "key", "subject", F.posexplode("attachments").alias("pos", "att"))
+    return a.select("id", "sales_id", "key", F.col("pos").cast("bigint").alias("pos"), *_attachment(a["att"]),
+                    attachment_reason(F.coalesce("subject", F.lit(""))).alias("reason"))
+
+
+def _attachment(att: Column) -> list[Column]:
+    return [F.coalesce(att["name"], F.lit(DEFAULT_ATTACHMENT_NAME)).alias("name"),
+            F.coalesce(att["description"], F.lit("")).alias("description")]
 
 
 def attachment_reason(subject: Column) -> Column:
@@ -167,10 +200,18 @@ def attachment_reason(subject: Column) -> Column:
     return F.concat(F.lit(pre), subject, F.lit(post))
 
 
+def listed_items(field: str, empty_text: str) -> Column:
+    """PRJ-12/13: the items of a list field of the plan. A plain text is one
+    item; nothing at all gives one fixed line."""
+    raw = F.element_at(F.col("followup"), F.lit(field))
+    arr = F.from_json(raw, "array<string>")
+    return (F.when(F.json_array_length(raw) > 0, arr)
+            .when(F.json_array_length(raw).isNull() & (F.length(raw) > 0), F.array(raw))
+            .otherwise(F.array(F.lit(empty_text))))
+
+
 def _listed(decoded: DataFrame, field: str, empty_text: str, out: str) -> DataFrame:
-    arr = F.from_json(F.element_at(F.col("followup"), F.lit(field)), "array<string>")
-    items = F.when(F.coalesce(F.size(arr), F.lit(0)) > 0, arr).otherwise(F.array(F.lit(empty_text)))
-    return decoded.select("id", "sales_id", F.posexplode(items).alias("pos", out))
+    return decoded.select("id", "sales_id", F.posexplode(listed_items(field, empty_text)).alias("pos", out))
 
 
 def mistakes(decoded: DataFrame) -> DataFrame:
@@ -197,37 +238,37 @@ def with_defaults(decoded: DataFrame) -> DataFrame:
 def meeting_report(decoded: DataFrame) -> DataFrame:
     """PRJ-21: one nested row per meeting with everything the case view
     shows: header, summary, topics, objection, mistakes, missed services,
-    follow-up cards (key order) and the skill scores (JSON order)."""
+    follow-up cards (key order) with their attachments, and the skill scores
+    (JSON order)."""
     d = with_defaults(decoded)
     fu = F.array_sort(F.map_entries(followup_entries(F.col("followup"))))
-    cards = F.transform(fu, lambda e: F.struct(
-        e["key"].alias("key"),
-        F.when(is_object_text(e["value"]),
-               F.coalesce(F.get_json_object(e["value"], "$.subject"), F.lit(DEFAULT_SUBJECT_REPORT)))
-        .otherwise(F.lit(DEFAULT_SUBJECT_REPORT)).alias("subject"),
-        F.when(is_object_text(e["value"]), F.coalesce(F.get_json_object(e["value"], "$.body"), F.lit("")))
-        .otherwise(e["value"]).alias("body")))
-
-    def listed(field, empty):
-        arr = F.from_json(F.element_at(F.col("followup"), F.lit(field)), "array<string>")
-        return F.when(F.coalesce(F.size(arr), F.lit(0)) > 0, arr).otherwise(F.array(F.lit(empty)))
+
+    def shown(e):
+        card = F.when(is_object_text(e["value"]), F.from_json(e["value"], _CARD))
+        return F.struct(
+            e["key"].alias("key"), F.coalesce(card["subject"], F.lit(DEFAULT_SUBJECT_REPORT)).alias("subject"),
+            F.when(card.isNotNull(), F.coalesce(card["body"], F.lit(""))).otherwise(e["value"]).alias("body"),
+            F.transform(F.coalesce(card["attachments"], F.array().cast("array<map<string,string>>")),
+                        lambda a: F.struct(*_attachment(a))).alias("attachments"))
+
+    cards = F.transform(fu, shown)
 
     return d.select(
         "id", "sales_id", display_ts("meeting_ts").alias("meeting_date"), "summary", "topics",
         F.when(F.col("objection").isNotNull() & (F.col("objection") != ""), F.col("objection")).alias("objection"),
-        listed("wrong_chat_or_action", NO_MISTAKES).alias("mistakes"),
-        listed("missed_important_service", NO_MISSED).alias("missed"),
+        listed_items("wrong_chat_or_action", NO_MISTAKES).alias("mistakes"),
+        listed_items("missed_important_service", NO_MISSED).alias("missed"),
         cards.alias("followups"),
         F.map_entries("scoring").alias("scores"),
         meeting_key(F.col("id"), display_ts("meeting_ts")).alias("chart_key"))
 
 
 def archive(meetings: DataFrame) -> DataFrame:
-    """ST-1 + PRJ-18 + PRJ-19: archive lines, newest first at the sink:
-    ``date | agent | summary cut to 60 characters``."""
+    """ST-1 + PRJ-18 + PRJ-19: archive lines ``date | agent | summary cut to 60
+    characters``; :data:`NEWEST_FIRST` is their order."""
     summary = F.coalesce(json_field("analysis_json", "$.summary"), F.lit(""))
     date = display_ts("meeting_ts")
-    line = F.concat(F.lit(" "), date, F.lit(" | "), F.lit(" "), F.col("sales_id"), F.lit(" | "),
+    line = F.concat(F.lit(" "), date, F.lit(" | "), F.lit(" "), F.coalesce("sales_id", F.lit(DEFAULT_AGENT)), F.lit(" | "),
                     F.lit(" "), snippet(summary))
     return meetings.select("id", "sales_id", "meeting_ts", date.alias("meeting_date"),
                            snippet(summary).alias("summary_snippet"), line.alias("label"),
