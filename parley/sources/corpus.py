@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.functions.jsonfn import object_entry_array
 from parley.functions.text import base_name, clean_extracted, strip
 from parley.schemas import CORPUS_SCHEMA
-from parley.session import spread
+from parley.session import dealt
+from parley.sources.paths import below
 
 # Markup that never carries body text: scripts, styles, comments.
 _NON_TEXT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -60,10 +62,10 @@ def catalog(spark: SparkSession, root: str, ignore_case: bool = True) -> DataFra
             return spark.createDataFrame([], "sector string, path string, name string")
         raise
     name = base_name(F.col("path"))
-    parts = F.split(F.col("path"), "/")
-    sector = F.element_at(parts, -2)
-    ok = F.lower(name).endswith(".pdf") if ignore_case else name.endswith(".pdf")
-    return files.select(sector.alias("sector"), "path", name.alias("name")).filter(ok)
+    parts = F.split(below(spark, root, F.col("path")), "/")
+    sector = parts[0]
+    # Only direct children of a sector folder; deeper files are no sector's.
+    return files.filter(F.size(parts) == 2).select(sector.alias("sector"), "path", name.alias("name"))
 
 
 def build_corpus(raw: DataFrame, path_col: str = "path", markup_col: str = "html",
@@ -74,7 +76,7 @@ def build_corpus(raw: DataFrame, path_col: str = "path", markup_col: str = "html
     dict overwrite; listing order there is undefined, path order here, and
     the larger text for equal paths)."""
     text = clean_extracted(extract_with_fallback(paragraph_text(markup_col), all_text(markup_col)))
-    df = spread(raw).select(F.col(sector_col).alias("sector"), F.col(path_col).alias("path"),
+    df = dealt(raw).select(F.col(sector_col).alias("sector"), F.col(path_col).alias("path"),
                     base_name(F.col(path_col)).alias("name"), text.alias("text"))
     # Last path per (sector, name) as a max over structs: partial
     # aggregation, no sort of a large group of same-named files.
@@ -98,26 +100,25 @@ def write_corpus(corpus: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def load_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """SRC-4: read a corpus cache; a missing cache is an empty corpus."""
-    try:
-        return spark.read.format(fmt).load(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], CORPUS_SCHEMA)
-        raise
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        return spark.createDataFrame([], CORPUS_SCHEMA)
+    found = spark.read.format(fmt).load(path) if path_has_data(spark, path, fmt) else None
+    return spark.createDataFrame([], CORPUS_SCHEMA) if found is None else found
 
 
 def load_json_corpus(spark: SparkSession, path: str, sector: str | None = None) -> DataFrame:
     """SRC-4 for the reference's cache format: one JSON object
-    ``{name: text}`` per file; entries keep their order as ``ordinal``."""
+    ``{name: text}`` per file; entries keep their order as ``ordinal``, and a
+    repeated name keeps its last text. With several files give each its own
+    ``sector``: ``(sector, ordinal)`` is the order of the whole corpus."""
     try:
         raw = spark.read.text(path, wholetext=True)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], CORPUS_SCHEMA)
         raise
-    m = F.from_json(F.col("value"), "map<string,string>")
-    return raw.select(F.lit(sector).cast("string").alias("sector"),
-                      F.posexplode(m).alias("ordinal", "name", "text")) \
+    e = object_entry_array("value", "name", "text", "ordinal")
+    return raw.select(F.lit(sector).cast("string").alias("sector"), F.inline(e)) \
         .select("sector", "name", F.col("ordinal").cast("bigint").alias("ordinal"), "text")
 
 
@@ -128,10 +129,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def path_has_data(spark: SparkSession, path: str, fmt: str) -> bool:
+    """Whether a written folder holds any data file."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/sector=*/*.{fmt}")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return len(fs.globStatus(pattern) or []) > 0
+
+
 def load_or_build_corpus(spark: SparkSession, cache_path: str, build) -> DataFrame:
     """SNK-4: read the cache when present, else build it (``build()``
-    returns the corpus DataFrame), write it and read it back. No staleness
-    check, as in the reference."""
-    if not path_exists(spark, cache_path):
+    returns the corpus DataFrame), write it and read it back. A folder counts
+    as a cache once its writer committed it (``_SUCCESS``). No staleness check,
+    as in the reference."""
+    if not path_exists(spark, f"{cache_path.rstrip('/')}/_SUCCESS"):
         write_corpus(build(), cache_path)
     return load_corpus(spark, cache_path)

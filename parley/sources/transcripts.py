@@ -6,24 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.text import base_name
+from parley.operators.meetings import NEWEST_FIRST
+from parley.operators.ordering import positioned
 from parley.schemas import MEETINGS_SCHEMA
+from parley.sources.paths import below
 
 
 def read_transcripts(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
     """SRC-1: one row per file ``(meeting_id, path, text)``; the id is the
-    file's base name without extension.
+    file's path below ``path`` without extension (the base name for files
+    directly in it), so equal names in two folders keep two ids.
 
     Text mode reads UTF-8 whole files. ``binary=True`` reads the bytes and
     drops invalid UTF-8 sequences, like ``decode("utf-8", errors="ignore")``
     (a genuine U+FFFD in the input is dropped too)."""
     if binary:
-        raw = spark.read.format("binaryFile").load(path)
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
         df = raw.select("path", text.alias("text"))
     else:
-        df = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"),
+        df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"),
                                                          F.col("value").alias("text"))
-    mid = F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", "")
+    inside = below(spark, path, F.col("path"))
+    mid = F.regexp_replace(F.coalesce(inside, base_name(F.col("path"))), r"\.[^./]*$", "")
     return df.select(mid.alias("meeting_id"), "path", "text")
 
 
@@ -41,9 +46,9 @@ def ensure_meetings_table(spark: SparkSession, name: str, location: str | None =
 
 
 def load_meetings(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-3: scan stored meetings with the fixed schema (columns are
-    pruned and filters pushed to Parquet by Catalyst)."""
-    return spark.read.schema(MEETINGS_SCHEMA).parquet(path)
+    """SRC-3: stored meetings with the fixed schema (columns are pruned and
+    filters pushed to Parquet by Catalyst) and ``position``, newest first."""
+    return positioned(spark.read.schema(MEETINGS_SCHEMA).parquet(path), NEWEST_FIRST)
 
 
 def to_report_json(df: DataFrame) -> DataFrame:
