@@ -55,10 +55,3 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         else:
             out.append(int(round(100 * v)))
     return pd.Series(out, dtype="int32")
-
-
-@F.pandas_udf(T.StringType())
-def py_lower(s: pd.Series) -> pd.Series:
-    """Python's ``str.lower`` (its lengths feed the similarity bounds, so it
-    must be the same lowering the matcher sees)."""
-    return s.str.lower()

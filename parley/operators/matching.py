@@ -32,9 +32,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.similarity import name_ratio, py_lower, sequence_ratio
+from parley.functions.similarity import name_ratio, sequence_ratio
 from parley.functions.text import clean_text, head_chars, summarize
-from parley.session import ensure_checkpoint_dir, spread
+from parley.session import dealt, ensure_checkpoint_dir
 
 # Characters of a document compared with topics, documents
 # kept per meeting, and how many candidates the first round probes.
@@ -45,12 +45,18 @@ PROBE = 8
 
 def prepare_documents(corpus: DataFrame, head: int = HEAD_CHARS) -> DataFrame:
     """Corpus ``(name, ordinal, text)`` -> adds ``doc_l`` (first ``head``
-    characters, cleaned, lower-cased as Python does) and its length ``L``.
+    characters, cleaned, lower-cased) and its length ``L``.
     Truncation and cleaning run in the JVM before anything is shuffled."""
-    return (corpus.withColumn("doc_l", py_lower(clean_text(head_chars("text", head))))
+    return (corpus.withColumn("doc_l", F.lower(clean_text(head_chars("text", head))))
             .withColumn("L", F.length("doc_l")))
 
 
+def numbered(corpus: DataFrame) -> DataFrame:
+    """A corpus whose ``ordinal`` names each document and gives the tie order:
+    its own column, or ``(sector, name)`` where it has none (a built corpus)."""
+    return corpus if "ordinal" in corpus.columns else corpus.withColumn("ordinal", F.struct("sector", "name"))
+
+
 def _pair_bound(l: Column, L: Column) -> Column:
     # 2.0 * min / total, as difflib computes its ratio; 1.0 for two empties.
     total = l + L
@@ -105,17 +111,19 @@ def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id
     topic lengths; round 2 enumerates only that interval per meeting and
     meets the documents by an equi-join on length."""
     # The prepared heads feed several steps; a reliable checkpoint (written
-    # to the shared ``spark.checkpoint.dir``) runs the Python lower-casing
+    # to the shared ``spark.checkpoint.dir``) prepares every head
     # once and cuts the lineage, so a lost executor does not redo it.
     ensure_checkpoint_dir(corpus.sparkSession)
-    docs = (prepare_documents(spread(corpus.select("ordinal", "text")))
+    corpus = numbered(corpus)
+    docs = (prepare_documents(dealt(corpus.select("ordinal", "text")))
             .select("ordinal", "doc_l", "L").checkpoint())
     max_len = docs.select(F.max("L")).first()[0]
     if max_len is None:  # empty corpus
         return topics.sparkSession.createDataFrame(
-            [], f"{key} {dict(topics.dtypes)[key]}, rank int, name string, ordinal bigint, score double")
+            [], f"{key} {dict(topics.dtypes)[key]}, rank int, name string, "
+                f"ordinal {corpus.schema['ordinal'].dataType.simpleString()}, score double")
     meet = (topics.filter(F.col("topic").isNotNull())
-            .withColumn("tl", py_lower(F.col("topic")))
+            .withColumn("tl", F.lower(F.col("topic")))
             .groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "tl")))
                  .alias("ts"))
@@ -166,8 +174,9 @@ def match_documents_bruteforce(topics: DataFrame, corpus: DataFrame, key: str =
                                k: int = TOP_K) -> DataFrame:
     """Unpruned reference computation of :func:`match_documents`, for tests
     on small fixtures only (scores every meeting against every document)."""
+    corpus = numbered(corpus)
     docs = prepare_documents(corpus.select("name", "ordinal", "text"))
-    meet = (topics.withColumn("tl", py_lower(F.col("topic"))).groupBy(key)
+    meet = (topics.withColumn("tl", F.lower(F.col("topic"))).groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "tl")))
                  .alias("ts")))
     pairs = meet.select(key).join(docs.select("ordinal"), how="cross")
@@ -179,7 +188,7 @@ def match_documents_bruteforce(topics: DataFrame, corpus: DataFrame, key: str =
 def matched_summaries(matches: DataFrame, corpus: DataFrame) -> DataFrame:
     """JN-7 + SC-4: the chosen documents' texts joined back (after top-k, so
     only k rows per meeting move) and summarised to 40 words."""
-    return (matches.join(corpus.select("ordinal", "text"), "ordinal")
+    return (matches.join(numbered(corpus).select("ordinal", "text"), "ordinal")
             .withColumn("summary", summarize("text")).drop("text"))
 
 
@@ -241,11 +250,11 @@ def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
     """
     ensure_checkpoint_dir(transcripts.sparkSession)
     # Lower-cased transcripts feed every later step: written once to the
-    # shared checkpoint folder (cuts lineage, runs the Python lowering once).
-    t = (transcripts.select(key, py_lower(F.col("text")).alias("tl"))
+    # shared checkpoint folder (cuts lineage, is lowered once).
+    t = (transcripts.select(key, F.lower(F.col("text")).alias("tl"))
          .withColumn("la", F.length("tl"))).checkpoint()
     cat = (catalog.select("sector", "name").distinct()
-           .withColumn("nl", py_lower(F.col("name"))).withColumn("lb", F.length("nl")))
+           .withColumn("nl", F.lower(F.col("name"))).withColumn("lb", F.length("nl")))
     alphabet = cat.select(F.explode(_code_points(F.col("nl"))).alias("ch")).distinct()
     # Distinct characters per transcript as a per-row expression first, so
     # only a few dozen rows per transcript reach the shuffle.
@@ -323,7 +332,7 @@ def rank_by_name_bruteforce(transcripts: DataFrame, sectors: DataFrame, catalog:
     """Unpruned :func:`rank_by_name`, for tests on small fixtures only."""
     pairs = candidate_documents(sectors, catalog, key).join(transcripts.select(key, "text"), key)
     s = pairs.select(key, "sector", "name",
-                     name_ratio(py_lower(F.col("text")), py_lower(F.col("name"))).alias("score"))
+                     name_ratio(F.lower(F.col("text")), F.lower(F.col("name"))).alias("score"))
     wr = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("name").asc(), F.col("sector").asc())
     return (s.withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k)
             .select(key, F.col("rank").cast("int").alias("rank"), "sector", "name", "score"))

@@ -157,7 +157,9 @@ def describe_documents(catalog: DataFrame, cache: DataFrame,
     key) before a left equi-join; the join is sort-merge or broadcast as the
     optimizer sizes it."""
     text = F.max_by("text", "ordinal") if "ordinal" in cache.columns else F.max("text")
-    hit = cache.groupBy("name").agg(text.alias("cached_text"), F.max(F.lit(True)).alias("_hit"))
+    # Only texts of wanted names are aggregated.
+    wanted = cache.join(catalog.select("name").distinct(), "name", "left_semi")
+    hit = wanted.groupBy("name").agg(text.alias("cached_text"), F.max(F.lit(True)).alias("_hit"))
     j = catalog.join(hit, "name", "left")
     desc = F.when(F.col("_hit"), F.col("cached_text")).otherwise(describe_by_rules(F.col("name"), words))
     return j.withColumn("description", desc).drop("cached_text", "_hit")
@@ -198,15 +200,24 @@ def detected_sectors(text, words: RuleWords = DEFAULT_WORDS) -> Column:
 
 
 def detect_sectors_join(transcripts: DataFrame, lexicon: DataFrame, key: str = "conv_id") -> DataFrame:
-    """JN-3 for a lexicon held as a table: a theta join on substring
-    containment. The lexicon side must be small (it is broadcast), so its
-    size is checked first."""
-    n = lexicon.limit(100_001).count()
-    if n > 100_000:
-        raise ValueError("lexicon too large to broadcast; use a keyword index instead")
-    lx = F.broadcast(lexicon.select(F.lower("keyword").alias("kw"), "sector"))
-    t = transcripts.select(key, F.lower("text").alias("lt"))
-    return t.join(lx, F.contains(F.col("lt"), F.col("kw"))).select(key, "sector").distinct()
+    """JN-3 for a lexicon of any size held as a table ``(keyword, sector)``:
+    each text is cut into its distinct substrings of the lengths that keywords
+    have, which meet the keywords by an equi-join. An empty keyword occurs in
+    every text."""
+    lx = lexicon.select(F.lower("keyword").alias("kw"), "sector").distinct()
+    t = transcripts.select(key, F.lower("text").alias("lt")).filter(F.col("lt").isNotNull())
+    # One number per keyword length: as short as the longest keyword.
+    lengths = sorted(r[0] for r in lx.select(F.length("kw").alias("n")).distinct().collect() if r[0])
+
+    def cut(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("lt") - n + 1)
+        return F.when(F.length("lt") >= n, F.transform(starts, lambda i: F.substring(F.col("lt"), i, F.lit(n)))) \
+            .otherwise(F.array().cast("array<string>"))
+
+    parts = [cut(n) for n in lengths]
+    # Distinct per length first: a text's pieces are dropped as they are made.
+    pieces = F.array(F.lit("")) if not parts else F.concat(F.array(F.lit("")), *(F.array_distinct(p) for p in parts))
+    return t.select(key, F.explode(pieces).alias("kw")).join(lx, "kw").select(key, "sector").distinct()
 
 
 def _fill(template: str, values: dict) -> Column:
@@ -261,11 +272,14 @@ def classify_transcripts(df: DataFrame, text_col: str = "text",
 def build_followup_record(classified: DataFrame, picks: DataFrame, key: str) -> DataFrame:
     """RL-10: the 11-field follow-up record. ``picks`` holds the ranked
     documents ``(key, rank, name, description)`` with rank 1 and 2."""
-    p1 = picks.filter(F.col("rank") == 1).select(key, F.col("name").alias("selected_pdf_1"),
-                                                  F.col("description").alias("pdf1_description"))
-    p2 = picks.filter(F.col("rank") == 2).select(key, F.col("name").alias("selected_pdf_2"),
-                                                  F.col("description").alias("pdf2_description"))
-    j = classified.join(p1, key, "left").join(p2, key, "left")
+    # Both picks of a transcript in one aggregation: the ranked table, and the
+    # matcher behind it, is evaluated once.
+    def pick(n: int, col: str):
+        return F.max(F.when(F.col("rank") == n, F.col(col)))
+
+    both = picks.groupBy(key).agg(pick(1, "name").alias("selected_pdf_1"), pick(1, "description").alias("pdf1_description"),
+                                  pick(2, "name").alias("selected_pdf_2"), pick(2, "description").alias("pdf2_description"))
+    j = classified.join(both, key, "left")
     name, topic = F.col("client_name"), F.col("topic_phrase")
     return j.select(
         key, "client_name", "objection", "selected_pdf_1", "selected_pdf_2",

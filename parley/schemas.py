@@ -22,37 +22,9 @@ ANALYSIS_SCHEMA = T.StructType([
     T.StructField("summary", T.StringType(), True),
 ])
 
-SCORES_LONG_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("sales_id", T.StringType(), True),
-    T.StructField("meeting_ts", T.TimestampNTZType(), True),
-    T.StructField("pos", T.IntegerType(), False),
-    T.StructField("metric", T.StringType(), False),
-    T.StructField("value", T.DoubleType(), True),
-])
-
-TRANSCRIPTS_SCHEMA = T.StructType([
-    T.StructField("meeting_id", T.StringType(), True),
-    T.StructField("sales_id", T.StringType(), True),
-    T.StructField("meeting_ts", T.TimestampNTZType(), True),
-    T.StructField("text", T.StringType(), True),
-])
-
 CORPUS_SCHEMA = T.StructType([
     T.StructField("sector", T.StringType(), True),
     T.StructField("name", T.StringType(), True),
     T.StructField("ordinal", T.LongType(), True),
     T.StructField("text", T.StringType(), True),
 ])
-
-LEXICON_SCHEMA = T.StructType([
-    T.StructField("keyword", T.StringType(), False),
-    T.StructField("sector", T.StringType(), False),
-])
-
-OUTBOX_SCHEMA = T.StructType([
-    T.StructField("meeting_id", T.StringType(), True),
-    T.StructField("key", T.StringType(), True),
-    T.StructField("message", T.StringType(), True),
-    T.StructField("send_at", T.TimestampNTZType(), True),
-])

@@ -5,6 +5,7 @@ it is missing)."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,9 +26,12 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     """Session for local runs. On a cluster, pass ``master=None`` and let
     spark-submit supply the master and resources."""
     b = SparkSession.builder.appName(app_name)
+    conf = dict(DEFAULT_CONF)
     if master:
         b = b.master(master)
-    conf = dict(DEFAULT_CONF)
+        cores = re.fullmatch(r"local\[(\d+)\]", master)
+        if cores:
+            conf["spark.parley.textPartitions"] = cores[1]
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
@@ -39,15 +43,12 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-_SHIPPED: set = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``parley`` importable in the Python workers (its pandas UDFs are
     pickled by reference): zip the package once per context and add it,
     as ``--py-files`` does on a cluster."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_parley_shipped", False):
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -60,7 +61,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    sc._parley_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -79,18 +80,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """A location under the shared checkpoint folder for written tables
-    that cut lineage (used instead of local checkpoints)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}"
-
+def dealt(df):
+    """Text-heavy input spread over ``spark.parley.textPartitions`` tasks. The
+    setting is for small inputs in few files (local runs); where it is unset
+    the input keeps its partitions and nothing is shuffled."""
+    n = df.sparkSession.conf.get("spark.parley.textPartitions", None)
+    return df.repartition(int(n)) if n else df
 
-def spread(df, min_partitions: int | None = None):
-    """Spread CPU-heavy row work (regular expressions, Python UDFs) over all
-    cores: round-robin repartition only when the input has fewer partitions
-    than the cluster has cores. Large inputs already have many partitions,
-    so there this is a no-op and adds no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
+def stored(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: its rows are computed once, and a lost executor does not repeat the
+    work (or the model calls) behind them."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
