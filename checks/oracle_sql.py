@@ -120,7 +120,8 @@ from scored group by sales_id, meeting_id"""
 METRIC_TIMELINE = f"""
 with {_MEETINGS}
 select metric, {_label('metric')} as metric_label, meeting_id as id, sales_id,
-       {_ts('meeting_ts')} as meeting_date, pos, cast(score as double) as value
+       {_ts('meeting_ts')} as meeting_date, pos, cast(score as double) as value,
+       row_number() over (order by metric, meeting_ts desc, meeting_id desc, sales_id, pos) as position
 from scored"""
 
 SKILL_TABLE = f"""
@@ -246,7 +247,7 @@ ORACLES.update({
 
 MEETING_TOPICS = f"""
 with {_TRANSCRIPTS},
-w as (select conv_id, regexp_extract_all(lower(regexp_replace(text, '(?m)^[A-Za-z_]+: ', '', 'g')), '\\p{{L}}{{4,}}') as words
+w as (select conv_id, regexp_extract_all(lower(regexp_replace(text, '(?m)^[A-Za-z_]+: ', '', 'g')), '[\\p{{L}}\\p{{M}}]{{4,}}') as words
       from fx_transcripts),
 u as (select conv_id, unnest(words) as word, unnest(range(len(words))) as wpos from w),
 c as (select conv_id, word, count(*) as cnt, min(wpos) as first_at from u group by conv_id, word),
@@ -305,11 +306,12 @@ fx_meetings_json as (
 ARCHIVE = f"""
 with {_MEETINGS_JSON},
 a as (select id, sales_id, {_ts('meeting_ts')} as meeting_date,
+             row_number() over (order by meeting_ts desc, id desc, sales_id) as position,
              coalesce(json_extract_string(analysis_json, '$.summary'), '') as summary from fx_meetings_json),
 b as (select *, case when length(summary) > 60 then substr(summary, 1, 60) || '...' else summary end as snip from a)
 select id, sales_id, meeting_date, snip as summary_snippet,
        ' ' || meeting_date || ' | ' || ' ' || sales_id || ' | ' || ' ' || snip as label,
-       'radar_' || md5(coalesce(id, meeting_date)) as chart_key
+       'radar_' || md5(coalesce(id, meeting_date)) as chart_key, position
 from b"""
 
 DECODED_MEETINGS = f"""
@@ -418,3 +420,157 @@ select id, sales_id, {_ts('meeting_ts')} as meeting_date,
 from m"""
 
 ORACLES["report_headers"] = REPORT_HEADERS
+
+
+# --- ordering, open metric sets, stamps ---------------------------------------------
+
+ORACLES["score_maps"] = f"""
+with {_MEETINGS},
+v as (select sales_id, meeting_id, metric, max(cast(score as double)) as value from scored group by all)
+select sales_id, meeting_id, string_agg(metric || '=' || cast(value as varchar), ',' order by metric) as scores_text
+from v group by sales_id, meeting_id"""
+
+ORACLES["meetings_by_date"] = f"""
+with {_MEETINGS_JSON}
+select id, sales_id, row_number() over (order by meeting_ts desc, id desc, sales_id) as position from fx_meetings_json"""
+
+ORACLES["stamped_meetings"] = f"""
+with {_MEETINGS_JSON}
+select id, sales_id,
+       strftime(meeting_ts, '%Y-%m-%dT%H:%M:%S')
+         || case when microsecond(meeting_ts) % 1000000 <> 0 then '.' || lpad(cast(microsecond(meeting_ts) % 1000000 as varchar), 6, '0')
+                 else '' end as meeting_date,
+       scoring_json as scoring
+from fx_meetings_json"""
+
+# --- the odd forms of stored JSON: expected results written case by case --------------
+
+_VARIED = _MEETINGS + """,
+v as (select meeting_id as id, cast(user_id as varchar) as sales_id, meeting_ts, user_id as u, day(day) as d,
+             user_id % 11 = 0 and day(day) % 2 = 1 as cut_off from fx_meetings),
+cards as (
+  select id, sales_id, 'followup_1' as key, case when u % 6 = 0 then 'last' else 's' || u end as subject,
+         case when u % 6 = 0 then 'wins' else 'b' || d end as body, '' as files from v where not cut_off
+  union all select id, sales_id, 'followup_2', 'Follow-up Email', 'only body',
+         'a' || u || '.pdf:d' || d || ',file.pdf:no name' from v where not cut_off and d % 2 = 0
+  union all select id, sales_id, 'followup_10', 'Follow-up Email', 'plain ' || u, '' from v where not cut_off and d % 3 = 0),
+mistakes as (select id, sales_id, case u % 5 when 2 then ['late ' || u, 'rude'] when 3 then ['He was rude ' || d]
+                                  else ['No mistakes detected.'] end as items from v where not cut_off),
+missed as (select id, sales_id, case u % 4 when 1 then ['service ' || d] when 2 then ['one text']
+                                else ['No missed opportunities.'] end as items from v where not cut_off),
+scoring as (select id, '{"clarity":7.5,"rapport":" 8 ","tone":' || case u % 7 when 0 then '"bad"' when 1 then '1e30' when 2 then 'true'
+                       when 3 then '"inf"' else d || '.12499996' end || case when u % 6 = 0 then ',"clarity":' || d else '' end || '}' as j,
+                   sales_id from v)"""
+
+ORACLES["varied_cards"] = f"""
+with {_VARIED}
+select id, sales_id, key, subject, body, row_number() over (partition by id, sales_id order by key) as position from cards"""
+
+_REASON = _q("This PDF reinforces the topic <b></b> \n                                    and helps the client fully understand the solution.")
+
+ORACLES["varied_attachments"] = f"""
+with {_VARIED}
+select id, sales_id, 'followup_2' as key, cast(0 as bigint) as pos, 'a' || u || '.pdf' as name, 'd' || d as description, {_REASON} as reason
+from v where not cut_off and d % 2 = 0
+union all
+select id, sales_id, 'followup_2', 1, 'file.pdf', 'no name', {_REASON} from v where not cut_off and d % 2 = 0"""
+
+ORACLES["varied_mistakes"] = f"""
+with {_VARIED}
+select id, sales_id, unnest(range(len(items))) as pos, unnest(items) as mistake from mistakes"""
+
+ORACLES["varied_missed"] = f"""
+with {_VARIED}
+select id, sales_id, unnest(range(len(items))) as pos, unnest(items) as missed from missed"""
+
+ORACLES["varied_rejects"] = f"""
+with {_VARIED}
+select v.id, '{{"topics":["t' || u % 7 || '"],"objection":"' || case when u % 3 = 0 then 'price' else '' end || '"'
+       || case when d % 5 = 0 then '' else ',"summary":"Meeting ' || u || '"' end || '}}' as analysis_json, j as scoring_json
+from v join scoring on v.id = scoring.id and v.sales_id = scoring.sales_id where cut_off"""
+
+ORACLES["varied_reports"] = f"""
+with {_VARIED},
+f as (select id, sales_id, string_agg(key || '=' || subject || '/' || body || '/' || files, ';' order by key) as followups
+      from cards group by id, sales_id)
+select v.id, v.sales_id, {_ts('meeting_ts')} as meeting_date,
+       case when d % 5 = 0 then 'No summary available.' else 'Meeting ' || u end as summary,
+       case when u % 3 = 0 then 'price' end as objection, 't' || u % 7 as topics,
+       array_to_string(mistakes.items, '|') as mistakes, array_to_string(missed.items, '|') as missed, followups,
+       cast(3 as bigint) as n_scores
+from v join f on v.id = f.id and v.sales_id = f.sales_id
+join mistakes on v.id = mistakes.id and v.sales_id = mistakes.sales_id
+join missed on v.id = missed.id and v.sales_id = missed.sales_id"""
+
+ORACLES["varied_means"] = f"""
+with {_VARIED},
+s as (select 'clarity' as metric, case when u % 6 = 0 then d * 100000000 else 750000000 end as units from v
+      union all select 'rapport', 800000000 from v
+      union all select 'tone', case when u % 7 = 2 then 100000000 else d * 100000000 + 12499996 end from v where u % 7 in (2, 4, 5, 6))
+select metric, {_label('metric')} as metric_label, {_round2('sum(units)', '(count(*) * 100000000)')} as avg_score,
+       count(*) as n_scores
+from s group by metric"""
+
+ORACLES["score_rejects"] = f"""
+with {_VARIED}
+select id, sales_id, cast(2 as bigint) as pos, 'tone' as metric,
+       case u % 7 when 0 then 'not a number' when 1 then 'out of range' else 'not finite' end as reason
+from v where u % 7 in (0, 1, 3)"""
+
+# --- model path ------------------------------------------------------------------------
+
+ORACLES["model_replies"] = """
+with c as (select conv_id, count(*) as n from conversations group by conv_id),
+g as (select *, '{"topics":["a","b"],"fears":"f","objection":"o","summary":"' || n || ' turns","clarity":"kept"}' as good from c)
+select conv_id,
+       case conv_id % 4 when 1 then 'not a JSON object' when 2 then 'missing field: fears' when 3 then 'not a JSON object' end as reason,
+       case when conv_id % 4 = 0 then n || ' turns' end as summary, case when conv_id % 4 = 0 then 'a,b' end as topics,
+       case conv_id % 4 when 0 then good when 1 then left(good, length(good) - 9) when 2 then replace(good, '"fears":"f",', '')
+            else 'turns: ' || n end as reply
+from g"""
+
+
+def _plan_sql(variant: str) -> str:
+    from parley.operators import inference as _i
+    text = _q(_i.PLAN_SYSTEM[variant] + _i.PLAN_USER)
+    shown = {
+        "summary": "'summary ' || conv_id", "objection": "'price'",
+        "topics": r"case when conv_id % 5 = 0 then '[]' else '[''t' || conv_id || ''', ' || chr(34) || 'it''s' || chr(34) || ', ''a\\b'']' end",
+        "fears": "case when conv_id % 3 > 0 then 'fear ' || conv_id else 'None' end",
+        "documents": "case when conv_id % 2 = 0 then 'a.pdf: first' || chr(10) || 'b.pdf: ' || conv_id else '' end"}
+    for name, value in shown.items():
+        text = f"replace({text}, '{{{name}}}', {value})"
+    return f"select conv_id, {text} as prompt, '{variant}' as variant from (select distinct conv_id from conversations)"
+
+
+ORACLES["plan_requests"] = _plan_sql("plan") + " union all " + _plan_sql("sending")
+
+_PICKS = """
+picks as (select conv_id, r as rank, conv_id + r - 1 as ordinal
+          from (select distinct conv_id from conversations), (select unnest([1, 2]) as r))"""
+
+ORACLES["document_blocks"] = f"""
+with {_CORPUS}, {_PICKS}
+select conv_id, string_agg(name || ': ' || array_to_string(string_split({_clean('text')}, ' ')[1:40], ' ') || '...', chr(10) order by rank)
+         as document_block
+from picks join fx_corpus using (ordinal) group by conv_id"""
+
+
+def _message(step: int) -> str:
+    text = _q(_r.MESSAGE_1 if step == 1 else _r.MESSAGE_2)
+    for name, value in (("client_name", "client_name"), ("topic", "topic_phrase"),
+                        (f"pdf{step}", f"coalesce(name{step}, 'None')"), (f"desc{step}", f"coalesce(desc{step}, '')")):
+        text = f"replace({text}, '{{{name}}}', {value})"
+    return text
+
+
+ORACLES["followup_records"] = TRANSCRIPT_RULES.replace("with ", f"with {_CORPUS}, {_PICKS}, ", 1).rsplit("select conv_id, client_name", 1)[0] + f"""
+, p as (select conv_id, max(case when rank = 1 then name end) as name1, max(case when rank = 2 then name end) as name2,
+               max(case when rank = 1 then sector end) as desc1, max(case when rank = 2 then sector end) as desc2
+        from picks join fx_corpus using (ordinal) group by conv_id)
+select c.conv_id, client_name, objection, name1 as selected_pdf_1, name2 as selected_pdf_2,
+       coalesce(desc1, '') as pdf1_description, coalesce(desc2, '') as pdf2_description,
+       {_message(1)} as followup_1, {_message(2)} as followup_2, {_M3} as followup_3,
+       {_fill1(_r.MESSAGE_4, 'client_name')} as followup_4,
+       '{{' || '{",".join(f'"{k}":"{v}"' for k, v in _r.SCHEDULE)}' || '}}' as schedule
+from c left join p on c.conv_id = p.conv_id"""

@@ -20,28 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def meetings_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_meetings: one meeting per (user, day); id in the one-second
-    format, so ids collide now and then, as in the reference."""
-    ev = table(spark, sf_dir, "events").select("user_id", "ts")
-    g = (ev.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"))
-         .agg(F.min("ts").alias("meeting_ts")))
-    return g.withColumn("meeting_id", F.date_format("meeting_ts", "yyyyMMdd-HHmmss"))
-
-
-def scores_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_scores: whole-number scores 0..10 per (user, day, event type);
-    ``error`` is left out so some meetings have no score."""
-    ev = (table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
-          .filter(F.col("event_type") != "error"))
-    score = (F.when(F.col("value") >= 100, F.lit(10))
-             .otherwise(F.floor(F.col("value") / 10).cast("int")))
-    return (ev.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"),
-                       F.col("event_type").alias("metric"))
-            .agg(F.max(score).alias("score")))
-
-
-# Metric keys of the fixture's score objects, in JSON order.
+# The metric columns of the fixture's wide score matrix (the score
+# objects themselves hold every event type but ``error``).
 FIXTURE_METRICS = ["click", "purchase", "signup", "view"]
 
 
@@ -60,11 +40,12 @@ def meetings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_type = (ev.groupBy("user_id", day, "event_type")
                 .agg(F.min("ts").alias("t"),
                      F.max(F.when(F.col("event_type") != "error", score)).alias("score")))
-    parts = [F.concat(F.lit(f'"{k}":'), F.max(F.when(F.col("event_type") == k, F.col("score"))).cast("string"))
-             for k in FIXTURE_METRICS]
+    parts = F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("event_type", "score")))),
+        lambda x: F.concat(F.lit('"'), x["event_type"], F.lit('":'), x["score"].cast("string")))
     m = (per_type.groupBy("user_id", "day")
          .agg(F.min("t").alias("meeting_ts"),
-              F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("j"))
+              F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("j"))
          .withColumn("meeting_id", F.date_format("meeting_ts", "yyyyMMdd-HHmmss")))
     uid = F.col("user_id")
     analysis = F.concat(
@@ -84,6 +65,50 @@ def meetings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                     j.alias("scoring_json"))
 
 
+def meetings_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_meetings_varied: the same meetings with every odd form that stored
+    JSON takes, chosen by the agent's number ``u`` and the day of the month
+    ``d``: list, text, empty and null mistakes and missed services, several
+    follow-ups (objects and plain texts), attachments with and without a
+    name, repeated keys, cut-off JSON, missing summaries, and scores that are
+    fractions, texts, ``true``, not finite or too large."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts")
+    m = (ev.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"))
+         .agg(F.min("ts").alias("meeting_ts")))
+    number, dom = F.col("user_id"), F.dayofmonth("day")
+    u, d = number.cast("string"), dom.cast("string")
+
+    def put(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def pick(n, *cases):
+        """The n-th case; a NULL case adds nothing."""
+        return F.element_at(F.array(*[c if c is not None else F.lit(None).cast("string") for c in cases]), (n + 1).cast("int"))
+
+    tone = pick(number % 7, F.lit('"bad"'), F.lit("1e30"), F.lit("true"), F.lit('"inf"'),
+                put(d, ".12499996"), put(d, ".12499996"), put(d, ".12499996"))
+    again = number % 6 == 0
+    scoring = put('{"clarity":7.5,"rapport":" 8 ","tone":', tone, F.when(again, put(',"clarity":', d)).otherwise(F.lit("")), "}")
+    entries = F.concat_ws(
+        ",", put('"followup_1":{"subject":"s', u, '","body":"b', d, '"}'),
+        F.when(dom % 2 == 0, put('"followup_2":{"body":"only body","attachments":[{"name":"a', u, '.pdf","description":"d', d,
+                                 '"},{"description":"no name"}]}')),
+        F.when(dom % 3 == 0, put('"followup_10":"plain ', u, '"')),
+        pick(number % 5, None, F.lit('"wrong_chat_or_action":[]'), put('"wrong_chat_or_action":["late ', u, '","rude"]'),
+             put('"wrong_chat_or_action":"He was rude ', d, '"'), F.lit('"wrong_chat_or_action":null')),
+        pick(number % 4, None, put('"missed_important_service":["service ', d, '"]'),
+             F.lit('"missed_important_service":"one text"'), F.lit('"missed_important_service":[]')),
+        put('"sales_scoring":', scoring), F.when(again, F.lit('"followup_1":{"subject":"last","body":"wins"}')))
+    cut_off = (number % 11 == 0) & (dom % 2 == 1)
+    followup = F.concat(F.lit("{"), entries, F.when(cut_off, F.lit("")).otherwise(F.lit("}")))
+    analysis = put('{"topics":["t', (number % 7).cast("string"), '"],"objection":"', F.when(number % 3 == 0, F.lit("price")).otherwise(F.lit("")), '"',
+                   F.when(dom % 5 == 0, F.lit("")).otherwise(put(',"summary":"Meeting ', u, '"')), "}")
+    pdfs = F.when(number % 3 == 0, F.lit("[]")).otherwise(put('[["guide', (number % 3).cast("string"), '.pdf","first words"],["b.pdf","x"]]'))
+    return m.select(F.date_format("meeting_ts", "yyyyMMdd-HHmmss").alias("id"), u.alias("sales_id"), "meeting_ts",
+                    analysis.alias("analysis_json"), pdfs.alias("pdfs_json"), followup.alias("followup_json"),
+                    scoring.alias("scoring_json"))
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_transcripts: one text per conversation, turns in order as
     ``role: text`` lines."""

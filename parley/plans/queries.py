@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from parley import fixtures as fx
 from parley.functions import text as tx
 from parley.operators import inference, matching, meetings, outbox, rules, scoring
-from parley.session import spread
+from parley.operators.ordering import positioned
+from parley.session import dealt
 from parley.plans import flows
 from parley.sources import corpus as corpus_src
 
@@ -48,8 +49,18 @@ def q_score_matrix(spark, sf_dir):
     return scoring.score_matrix(_meetings(spark, sf_dir), fx.FIXTURE_METRICS)
 
 
+def q_score_maps(spark, sf_dir):
+    """AG-10 for an open set of metrics, each map as text."""
+    maps = scoring.score_maps(scoring.scores_long(_meetings(spark, sf_dir)))
+    text = F.transform(F.map_entries("scores"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return maps.select("sales_id", "meeting_id", F.array_join(text, ",").alias("scores_text"))
+
+
 def q_metric_timeline(spark, sf_dir):
-    return scoring.metric_timeline(_meetings(spark, sf_dir))
+    """ST-5: per metric, newest meeting first."""
+    lines = scoring.metric_timeline(_meetings(spark, sf_dir))
+    order = [("metric", True), ("meeting_ts", False), ("id", False), ("sales_id", True), ("pos", True)]
+    return positioned(lines, order).drop("meeting_ts")
 
 
 def q_skill_table(spark, sf_dir):
@@ -59,7 +70,7 @@ def q_skill_table(spark, sf_dir):
 # --- text functions (SC-*) ---------------------------------------------------
 
 def q_text_cleaning(spark, sf_dir):
-    d = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = dealt(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id",
                     tx.clean_text(tx.head_chars("text", 2000)).alias("head_clean"),
                     tx.summarize("text").alias("summary"),
@@ -71,8 +82,7 @@ def q_text_cleaning(spark, sf_dir):
 
 def q_transcript_rules(spark, sf_dir):
     t = fx.transcripts(spark, sf_dir)
-    valid = t.filter(F.length(tx.strip("text")) > 0)
-    c = rules.classify_transcripts(valid, "text", fx.fixture_words())
+    c = rules.classify_transcripts(meetings.valid_transcripts(t), "text", fx.fixture_words())
     return c.select("conv_id", "client_name", "objection", "topic_phrase", "followup_3", "followup_4")
 
 
@@ -137,7 +147,19 @@ def q_corpus_from_pages(spark, sf_dir):
 # --- stored meetings (SNK-1, PRJ-*) ---------------------------------------------
 
 def q_archive(spark, sf_dir):
-    return meetings.archive(_meetings(spark, sf_dir)).drop("meeting_ts")
+    return positioned(meetings.archive(_meetings(spark, sf_dir)), meetings.NEWEST_FIRST).drop("meeting_ts")
+
+
+def q_meetings_by_date(spark, sf_dir):
+    """SRC-3: the stored meetings in the order they are loaded."""
+    return positioned(_meetings(spark, sf_dir).select("id", "sales_id", "meeting_ts"), meetings.NEWEST_FIRST).drop("meeting_ts")
+
+
+def q_stamped_meetings(spark, sf_dir):
+    """PRJ-1 + PRJ-2: id and date from the time, scores from the plan."""
+    m = _meetings(spark, sf_dir).select(F.col("id").alias("stored_id"), "sales_id", "meeting_ts", "followup_json")
+    return meetings.stamp_meetings(m).select("id", "sales_id", "meeting_date",
+                                             meetings.extract_scoring(F.col("followup_json")).alias("scoring"))
 
 
 def q_decoded_meetings(spark, sf_dir):
@@ -159,7 +181,119 @@ def q_topic_rows(spark, sf_dir):
 
 def q_followup_cards(spark, sf_dir):
     d, _ = meetings.decode_meetings(_meetings(spark, sf_dir))
-    return meetings.followup_cards(d).drop("attachments")
+    return meetings.followup_cards(d).drop("attachments", "position")
+
+
+# --- the odd forms of stored JSON ------------------------------------------------
+
+def _varied(spark, sf_dir):
+    return meetings.decode_meetings(fx.meetings_varied(spark, sf_dir))
+
+
+def q_varied_cards(spark, sf_dir):
+    """PRJ-9 + ST-4."""
+    return meetings.followup_cards(_varied(spark, sf_dir)[0]).drop("attachments").withColumn(
+        "position", F.col("position").cast("bigint"))
+
+
+def q_varied_attachments(spark, sf_dir):
+    """PRJ-10 + PRJ-11."""
+    return meetings.followup_attachments(_varied(spark, sf_dir)[0])
+
+
+def q_varied_mistakes(spark, sf_dir):
+    """PRJ-12."""
+    return meetings.mistakes(_varied(spark, sf_dir)[0]).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def q_varied_missed(spark, sf_dir):
+    """PRJ-13."""
+    return meetings.missed_opportunities(_varied(spark, sf_dir)[0]).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def q_varied_rejects(spark, sf_dir):
+    """PRJ-4: rows whose JSON is cut off."""
+    return _varied(spark, sf_dir)[1].select("id", "analysis_json", "scoring_json")
+
+
+def q_varied_reports(spark, sf_dir):
+    """PRJ-21 + PRJ-7: the whole report of each meeting, lists as text."""
+    r = meetings.meeting_report(_varied(spark, sf_dir)[0])
+    card = F.transform("followups", lambda f: F.concat(
+        f["key"], F.lit("="), f["subject"], F.lit("/"), f["body"], F.lit("/"),
+        F.array_join(F.transform(f["attachments"], lambda a: F.concat(a["name"], F.lit(":"), a["description"])), ",")))
+    return r.select("id", "sales_id", "meeting_date", "summary", "objection", F.array_join("topics", "|").alias("topics"),
+                    F.array_join("mistakes", "|").alias("mistakes"), F.array_join("missed", "|").alias("missed"),
+                    F.array_join(card, ";").alias("followups"), F.size("scores").cast("bigint").alias("n_scores"))
+
+
+def q_varied_means(spark, sf_dir):
+    """AG-4 with exact digits."""
+    return scoring.metric_means(fx.meetings_varied(spark, sf_dir))
+
+
+def q_score_rejects(spark, sf_dir):
+    """SC-8: score entries that are not finite numbers in range."""
+    return scoring.rejected_scores(fx.meetings_varied(spark, sf_dir)).drop("raw")
+
+
+# --- model path -------------------------------------------------------------------
+
+def q_model_replies(spark, sf_dir):
+    """LM-4: good, cut-off, incomplete and plain-text replies, one for each
+    conversation; parsed rows keep the whole object."""
+    c = fx.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    good = F.concat(F.lit('{"topics":["a","b"],"fears":"f","objection":"o","summary":"'), F.col("n"), F.lit(' turns","clarity":"kept"}'))
+    kind = F.col("conv_id") % 4
+    reply = (F.when(kind == 0, good).when(kind == 1, F.substring(good, F.lit(1), F.length(good) - 9))
+             .when(kind == 2, F.replace(good, F.lit('"fears":"f",'), F.lit(""))).otherwise(F.concat(F.lit("turns: "), F.col("n"))))
+    parsed, rejected = inference.parse_replies(c.select("conv_id", reply.alias("reply")), "conv_id", inference.ANALYSIS_DDL,
+                                               "analysis", inference.ANALYSIS_FIELDS)
+    ok = parsed.select("conv_id", F.lit(None).cast("string").alias("reason"), F.col("value.summary").alias("summary"),
+                       F.array_join("value.topics", ",").alias("topics"), "reply")
+    bad = rejected.select("conv_id", "reason", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("topics"), "reply")
+    return ok.unionByName(bad)
+
+
+def _conversation_ids(spark, sf_dir):
+    return fx.table(spark, sf_dir, "conversations").select("conv_id").distinct()
+
+
+def q_plan_requests(spark, sf_dir):
+    """LM-2: both requests for given analyses and document blocks."""
+    c = _conversation_ids(spark, sf_dir)
+    n = F.col("conv_id").cast("string")
+    a = c.select("conv_id", F.struct(
+        F.when(F.col("conv_id") % 5 == 0, F.array().cast("array<string>")).otherwise(
+            F.array(F.concat(F.lit("t"), n), F.lit("it's"), F.lit("a\\b"))).alias("topics"),
+        F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("fear "), n)).alias("fears"),
+        F.lit("price").alias("objection"), F.concat(F.lit("summary "), n).alias("summary")).alias("analysis"))
+    blocks = c.filter("conv_id % 2 = 0").select("conv_id", F.concat(F.lit("a.pdf: first\nb.pdf: "), n).alias("document_block"))
+    both = [inference.plan_prompts(a, blocks, "conv_id", v).withColumn("variant", F.lit(v)) for v in ("plan", "sending")]
+    return both[0].unionByName(both[1])
+
+
+def _picks(spark, sf_dir):
+    """Two documents for each conversation, by number."""
+    c = _conversation_ids(spark, sf_dir)
+    return c.select("conv_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), (F.col("conv_id") + r - 1).alias("ordinal"))
+                                                    for r in (1, 2)])).alias("p")).select("conv_id", "p.rank", "p.ordinal")
+
+
+def q_document_blocks(spark, sf_dir):
+    """JN-7 + SC-4 + AG-11 on given picks."""
+    corpus = fx.corpus(spark, sf_dir)
+    picks = _picks(spark, sf_dir).join(corpus.select("ordinal", "name"), "ordinal")
+    return matching.document_block(matching.matched_summaries(picks, corpus), "conv_id")
+
+
+def q_followup_records(spark, sf_dir):
+    """RL-5, RL-6, RL-9 and RL-10 on given picks."""
+    corpus = fx.corpus(spark, sf_dir)
+    picks = _picks(spark, sf_dir).join(corpus.select("ordinal", "sector", "name"), "ordinal").withColumn("description", F.col("sector"))
+    t = fx.transcripts(spark, sf_dir)
+    r = rules.build_followup_record(rules.classify_transcripts(meetings.valid_transcripts(t), "text", fx.fixture_words()), picks, "conv_id")
+    return r.withColumn("schedule", F.to_json("schedule"))
 
 
 def q_report_headers(spark, sf_dir):
@@ -255,4 +389,19 @@ QUERIES: dict[str, QueryFn] = {
     "save_meetings": q_save_meetings,
     "outbox": q_outbox,
     "due_messages": q_due_messages,
+    "score_maps": q_score_maps,
+    "meetings_by_date": q_meetings_by_date,
+    "stamped_meetings": q_stamped_meetings,
+    "varied_cards": q_varied_cards,
+    "varied_attachments": q_varied_attachments,
+    "varied_mistakes": q_varied_mistakes,
+    "varied_missed": q_varied_missed,
+    "varied_rejects": q_varied_rejects,
+    "varied_reports": q_varied_reports,
+    "varied_means": q_varied_means,
+    "score_rejects": q_score_rejects,
+    "model_replies": q_model_replies,
+    "plan_requests": q_plan_requests,
+    "document_blocks": q_document_blocks,
+    "followup_records": q_followup_records,
 }
