@@ -1,3 +1,4 @@
+import heapq
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -36,30 +37,31 @@ def test_pruned_match_equals_bruteforce(spark):
     assert a == b and len(a) > 0
 
 
-def test_match_against_plain_python(spark):
-    """Whole-chain check for a few meetings against the reference's loop."""
-    import re
+def test_match_equals_a_full_score_table(spark):
+    """A few meetings against every document: a table of exact mean ratios,
+    the two smallest by (-mean, ordinal)."""
     _, topics, corpus = _topics_and_corpus(spark)
-    docs = corpus.orderBy("ordinal").collect()
-    tp = {}
-    for r in topics.collect():
-        tp.setdefault(r.conv_id, []).append((r.pos, r.topic))
+    heads = {r.ordinal: " ".join(r.text[:2000].split()).lower() for r in corpus.select("ordinal", "text").collect()}
+    names = {r.ordinal: r.name for r in corpus.select("ordinal", "name").collect()}
+    wanted = topics.filter("conv_id < 3").orderBy("conv_id", "pos").collect()
     got = {(r.conv_id, r.rank): r.name for r in matching.match_documents(topics, corpus, key="conv_id").collect()}
+    for conv in {r.conv_id for r in wanted}:
+        mine = [r.topic.lower() for r in wanted if r.conv_id == conv]
+        table = [[100 * SequenceMatcher(None, t, h).ratio() for t in mine] for h in heads.values()]
+        means = [(-sum(row) / len(mine), ordinal) for row, ordinal in zip(table, heads)]
+        first, second = heapq.nsmallest(2, means)
+        assert (got[conv, 1], got[conv, 2]) == (names[first[1]], names[second[1]])
 
-    def clean(t):
-        return re.sub(r"\s+", " ", t.replace("\n", " ").replace("\r", " ")).strip()
-
-    for cid in sorted(tp)[:3]:
-        ts = [t for _, t in sorted(tp[cid])]
-        scores = []
-        for d in docs:
-            c = clean(d.text[:2000])
-            s = 0
-            for t in ts:
-                s += SequenceMatcher(None, t.lower(), c.lower()).ratio() * 100
-            scores.append((d.name, s / len(ts)))
-        scores.sort(key=lambda x: x[1], reverse=True)
-        assert [got[(cid, 1)], got[(cid, 2)]] == [scores[0][0], scores[1][0]]
+
+def test_match_takes_a_corpus_without_numbers(spark):
+    """A built corpus has no ordinal: (sector, name) names its documents."""
+    _, topics, corpus = _topics_and_corpus(spark)
+    built = corpus.filter("ordinal < 40").drop("ordinal")
+    few = topics.filter("conv_id < 2")
+    got = matching.matched_summaries(matching.match_documents(few, built, key="conv_id"), built).collect()
+    brute = matching.match_documents_bruteforce(few, built, key="conv_id").collect()
+    assert sorted((r.conv_id, r.rank, r.name, r.score) for r in got) == sorted((r.conv_id, r.rank, r.name, r.score) for r in brute)
+    assert len(got) == 4 and all(r.summary.endswith("...") for r in got)
 
 
 def test_pruned_name_rank_equals_bruteforce(spark):

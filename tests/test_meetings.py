@@ -50,10 +50,13 @@ def test_followup_cards_order_defaults_and_attachments(spark):
     assert [c.key for c in cards] == ["followup_1", "followup_10", "followup_2"]
     assert cards[0].subject == meetings.DEFAULT_SUBJECT_REPORT and cards[0].body == "b1"
     assert cards[1].body == "plain text"
-    att = meetings.followup_attachments(meetings.followup_cards(d)).collect()
+    assert [c.position for c in cards] == [1, 2, 3]
+    att = meetings.followup_attachments(d).collect()
     assert [(a.name, a.description) for a in att] == [("file.pdf", "")]
+    assert "<b></b>" in att[0].reason  # a missing subject is empty there
     rep = meetings.meeting_report(d).first()
     assert [f.key for f in rep.followups] == ["followup_1", "followup_10", "followup_2"]
+    assert [[(a.name, a.description) for a in f.attachments] for f in rep.followups] == [[("file.pdf", "")], [], []]
     assert rep.mistakes == [meetings.NO_MISTAKES] and rep.missed == [meetings.NO_MISSED]
 
 
@@ -67,3 +70,42 @@ def test_extract_scoring(spark):
     df = spark.createDataFrame([('{"sales_scoring":{"c":7}}',), ('{"followup_1":"x"}',)], "f string")
     got = [r.s for r in df.select(meetings.extract_scoring(F.col("f")).alias("s")).collect()]
     assert got == ['{"c":7}', "{}"]
+
+
+def test_repeated_keys_keep_the_last_value_everywhere(spark):
+    fu = ('{"followup_1":{"subject":"old"},"wrong_chat_or_action":"text","followup_1":{"subject":"new","body":"b"},'
+          '"wrong_chat_or_action":["m1"],"sales_scoring":{"c":1}}')
+    m = stored(spark, [("m", "a", T0, '{"summary":"one","summary":"two","fears":null}', "[]", fu, '{"c":1,"c":2}')])
+    d, rej = meetings.decode_meetings(m)
+    assert rej.count() == 0
+    assert [(c.key, c.subject, c.body) for c in meetings.followup_cards(d).collect()] == [("followup_1", "new", "b")]
+    assert [r.mistake for r in meetings.mistakes(d).collect()] == ["m1"]
+    r = meetings.meeting_report(d).first()
+    assert r.summary == "two" and [(s.key, s.value) for s in r.scores] == [("c", "2")] and r.mistakes == ["m1"]
+
+
+def test_list_fields_keep_plain_texts(spark):
+    cases = {'"He was rude"': ["He was rude"], "[]": [meetings.NO_MISTAKES], "null": [meetings.NO_MISTAKES], '""': [meetings.NO_MISTAKES],
+             '["a","b"]': ["a", "b"], '{"x":1}': ['{"x":1}']}
+    for raw, want in cases.items():
+        m = stored(spark, [("m", "a", T0, "{}", "[]", '{"wrong_chat_or_action":%s}' % raw, "{}")])
+        d, _ = meetings.decode_meetings(m)
+        assert [r.mistake for r in meetings.mistakes(d).orderBy("pos").collect()] == want, raw
+        assert meetings.meeting_report(d).first().mistakes == want
+
+
+def test_encode_pairs_and_nested_plan_values(spark):
+    import json
+    df = spark.createDataFrame([("m", "a", T0)], "id string, sales_id string, meeting_ts timestamp_ntz").select(
+        "*", F.struct(F.lit("s").alias("summary")).alias("analysis"),
+        F.array(F.struct(F.lit("x.pdf").alias("name"), F.lit("d").alias("description"))).alias("pdfs"),
+        F.create_map(F.lit("followup_1"), F.lit('{"subject":"s","body":"é \\"q\\""}'), F.lit("note"), F.lit('plain "text"'),
+                     F.lit("sales_scoring"), F.lit('{"c":7}')).alias("followup"))
+    r = meetings.encode_meeting(df).first()
+    assert json.loads(r.pdfs_json) == [["x.pdf", "d"]] and json.loads(r.scoring_json) == {"c": 7}
+    assert json.loads(r.followup_json) == {"followup_1": {"subject": "s", "body": 'é "q"'}, "note": 'plain "text"', "sales_scoring": {"c": 7}}
+
+
+def test_label_without_agent(spark):
+    m = stored(spark, [("m", None, T0, '{"summary":"s"}', "[]", "{}", "{}")])
+    assert " N/A " in meetings.archive(m).first().label

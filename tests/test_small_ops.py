@@ -24,24 +24,18 @@ def test_meetings_table_created_once(spark, tmpdir_path):
     spark.sql("DROP TABLE parley_test_meetings")
 
 
-def test_distinct_metrics_capped(spark):
-    import datetime as dt
-    import pytest
-    m = spark.createDataFrame([("m", "a", dt.datetime(2024, 5, 1), '{"b":1,"a":2}')],
-                              "id string, sales_id string, meeting_ts timestamp_ntz, scoring_json string")
-    assert scoring.distinct_metrics(m) == ["a", "b"]
-    with pytest.raises(ValueError):
-        scoring.distinct_metrics(m, cap=1)
-
-
 def test_dashboards_agree_with_single_queries(spark):
     from parley import fixtures as fx
     from parley.plans import dashboards
     m = fx.meetings_json(spark, "/root/testdata/sf0.001")
     g = dashboards.global_dashboard(m)
     assert sorted(map(tuple, g["means"].collect())) == sorted(map(tuple, scoring.metric_means(m).collect()))
-    assert sorted(map(tuple, g["matrix"].collect())) == \
-        sorted(map(tuple, scoring.score_matrix(m, fx.FIXTURE_METRICS).collect()))
+    assert g["best_worst"].collect() == scoring.best_worst_global(m).collect()
+    wide = dashboards.global_dashboard(m, fx.FIXTURE_METRICS)["matrix"]
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, scoring.score_matrix(m, fx.FIXTURE_METRICS).collect()))
+    maps = {(r.sales_id, r.meeting_id): r.scores for r in g["matrix"].collect()}
+    for r in wide.collect():
+        assert maps[r.sales_id, r.meeting_id] == {k: r[k] for k in fx.FIXTURE_METRICS if r[k] is not None}
     a = dashboards.agent_dashboard(m)
     assert a["profile"].count() == scoring.agent_profile(m).count()
     assert a["heatmap"].count() == a["latest"].select("sales_id", "id").distinct().count()
@@ -84,17 +78,29 @@ def test_model_calls_overlap_and_keep_order(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(40)] + [(99, "boom")], "k int, prompt string")
     out = inference.apply_model(df.repartition(2), "k", make(), concurrency=4).collect()
     got = {r.k: r.reply for r in out}
+    assert {r.k: r.error for r in out}[99] == "call failed: RuntimeError: x"
     assert got[99] is None and all(got[i] == '{"echo": "p%d"}' % i for i in range(40))
 
 
-def test_spread_only_when_too_few_partitions(spark):
-    from parley.session import spread
-    cores = spark.sparkContext.defaultParallelism
-    few = spark.range(100).coalesce(1)
-    many = spark.range(100).repartition(cores * 2)
-    assert spread(few).rdd.getNumPartitions() == cores
-    assert spread(many) is many
-    assert sorted(r.id for r in spread(few).collect()) == list(range(100))
+def test_dealt_follows_the_setting(spark):
+    from parley.session import dealt
+    df = spark.range(100).coalesce(1)
+    n = spark.conf.get("spark.parley.textPartitions")
+    assert dealt(df).rdd.getNumPartitions() == int(n)
+    spark.conf.unset("spark.parley.textPartitions")
+    try:
+        assert dealt(df) is df
+    finally:
+        spark.conf.set("spark.parley.textPartitions", n)
+
+
+def test_positions_follow_the_order(spark):
+    from parley.operators.ordering import positioned
+    df = spark.createDataFrame([(i * 37 % 101, i % 3) for i in range(101)] + [(None, 0)], "a int, b int")
+    got = positioned(df.repartition(5), [("b", True), ("a", False)]).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 103))
+    assert [(r.b, r.a) for r in got] == sorted(((r.b, r.a) for r in got), key=lambda x: (x[0], x[1] is None, -(x[1] or 0)))
+    assert positioned(df.limit(0), [("a", True)]).count() == 0
 
 
 def test_cli_lists_every_query(capsys):

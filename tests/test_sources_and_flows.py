@@ -18,6 +18,9 @@ def test_catalog_case_rules(spark, tmpdir_path):
         open(os.path.join(d, n), "wb").write(b"x")
     names = sorted(r.name for r in csrc.catalog(spark, tmpdir_path).collect())
     assert names == ["A.PDF", "b.pdf"]
+    os.makedirs(os.path.join(d, "old"))
+    open(os.path.join(d, "old", "nested.pdf"), "wb").write(b"x")  # not a direct child of the sector
+    assert sorted(r.name for r in csrc.catalog(spark, tmpdir_path).collect()) == ["A.PDF", "b.pdf"]
     exact = csrc.catalog(spark, tmpdir_path, ignore_case=False).collect()
     assert [(r.sector, r.name) for r in exact] == [("Marketing", "b.pdf")]
     assert csrc.catalog(spark, os.path.join(tmpdir_path, "missing")).count() == 0
@@ -29,6 +32,12 @@ def test_json_corpus_and_cache_build(spark, tmpdir_path):
     rows = csrc.load_json_corpus(spark, p, "Marketing").orderBy("ordinal").collect()
     assert [(r.name, r.ordinal, r.text) for r in rows] == [("b.pdf", 0, "second"), ("a.pdf", 1, "first")]
     assert csrc.load_json_corpus(spark, os.path.join(tmpdir_path, "none.json")).count() == 0
+    twice = os.path.join(tmpdir_path, "twice.json")
+    open(twice, "w").write('{"a.pdf":"old","b.pdf":"b","a.pdf":"new"}')
+    assert {r.name: r.text for r in csrc.load_json_corpus(spark, twice).collect()} == {"a.pdf": "new", "b.pdf": "b"}
+    half = os.path.join(tmpdir_path, "half")  # a writer that died left no _SUCCESS
+    os.makedirs(os.path.join(half, "_temporary", "0"))
+    assert csrc.load_corpus(spark, half).count() == 0
     cache = os.path.join(tmpdir_path, "corpus")
     calls = []
 
@@ -64,6 +73,23 @@ def test_read_transcripts_binary_drops_bad_bytes(spark, tmpdir_path):
     assert t.meeting_id == "m1"
 
 
+def test_equal_file_names_in_two_folders_keep_two_ids(spark, tmpdir_path):
+    for d in ("x", "y"):
+        os.makedirs(os.path.join(tmpdir_path, d))
+        open(os.path.join(tmpdir_path, d, "m.txt"), "w").write(d)
+    for binary in (False, True):
+        got = {r.meeting_id: r.text for r in tsrc.read_transcripts(spark, tmpdir_path, binary).collect()}
+        assert got == {"x/m": "x", "y/m": "y"}
+
+
+def test_load_meetings_newest_first(spark, tmpdir_path):
+    loc = os.path.join(tmpdir_path, "stored")
+    fx.meetings_json(spark, "/root/testdata/sf0.001").write.parquet(loc)
+    rows = tsrc.load_meetings(spark, loc).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1, len(rows) + 1))
+    assert all(a.meeting_ts >= b.meeting_ts for a, b in zip(rows, rows[1:]))
+
+
 def test_encode_decode_round_trip(spark):
     df = spark.createDataFrame(
         [("m", "a", dt.datetime(2024, 5, 1), ["t1"], "عميل", "money", "s", [("x.pdf", "d")],
@@ -89,11 +115,19 @@ def make_fake_model():
     import json as _json
 
     def fake(prompt: str) -> str:
+        good = {"topics": ["that with", "the and"], "fears": "f", "objection": "price", "summary": "s", "clarity": "kept"}
         if "استخرج" in prompt:
             if "broken" in prompt:
                 return "not json"
-            return _json.dumps({"topics": ["that with", "the and"], "fears": "f", "objection": "price",
-                                "summary": "s"})
+            if "cut off" in prompt:
+                return _json.dumps(good)[:-20]
+            if "no fears" in prompt:
+                del good["fears"]
+            if "unplanned" in prompt:
+                good["summary"] = "unplanned"
+            return _json.dumps(good)
+        if "unplanned" in prompt:
+            raise RuntimeError("busy")
         return _json.dumps({"followup_1": {"subject": "s1", "body": "b1"},
                             "sales_scoring": {"clarity": 8, "rapport": "7"}})
     return fake
@@ -103,21 +137,34 @@ def test_model_flow_with_callable_and_ingest(spark):
     _fake_model = make_fake_model()
     t = fx.transcripts(spark, "/root/testdata/sf0.001").orderBy("conv_id").limit(3) \
         .withColumn("conv_id", F.col("conv_id").cast("string"))
-    bad = spark.createDataFrame([("99", "broken text")], "conv_id string, text string")
+    bad = spark.createDataFrame([("96", "unplanned"), ("97", "no fears"), ("98", "cut off"), ("99", "broken text")],
+                                "conv_id string, text string")
     t = t.unionByName(bad)
-    corpus = fx.corpus(spark, "/root/testdata/sf0.001")
+    corpus = csrc.build_corpus(csrc.pages_as_files(fx.table(spark, "/root/testdata/sf0.001", "pages")))  # no ordinal
     run = flows.model_flow(t, corpus, "conv_id", analyze=_fake_model, plan=_fake_model)
-    assert run["analysis"].count() == 3
-    assert run["documents"].filter(F.col("rank") == 1).count() == 3
-    assert run["plans"].count() == 3 and run["rejected"].count() == 0
+    assert run["analysis"].count() == 4
+    assert run["documents"].filter(F.col("rank") == 1).count() == 4
+    assert run["plans"].count() == 3
+    rejects = {(r.conv_id, r.stage): r.reason for r in run["rejected"].collect()}
+    assert rejects == {("96", "plan"): "call failed: RuntimeError: busy", ("97", "analysis"): "missing field: fears",
+                       ("98", "analysis"): "not a JSON object", ("99", "analysis"): "not a JSON object"}
     agents = t.select("conv_id", F.lit("A1").alias("sales_id"),
                       (F.lit(dt.datetime(2024, 5, 1)).cast("timestamp_ntz")
                        + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("conv_id").cast("int")))
                       .alias("meeting_ts"))
     empty = spark.createDataFrame([], "id string")
-    saved, _ = flows.ingest(empty, t, agents, corpus, "conv_id", analyze=_fake_model, plan=_fake_model)
+    saved, _, failed = flows.ingest(empty, t, agents, corpus, "conv_id", analyze=_fake_model, plan=_fake_model)
     rows = saved.collect()
+    # No row for a failed plan, and the whole analysis object is stored.
     assert len(rows) == 3 and all(json.loads(r.scoring_json)["clarity"] == 8 for r in rows)
+    assert all(json.loads(r.analysis_json)["clarity"] == "kept" for r in rows)
+    assert failed.count() == 4
+
+
+def test_plan_request_prints_lists_as_python_does(spark):
+    topics = [["a", "it's", 'say "hi"', 'both \' and "', "back\\slash", "line\nbreak", "سعر"], [], None]
+    df = spark.createDataFrame([(t,) for t in topics[:2]], "t array<string>")
+    assert [r.p for r in df.select(inference.python_list_text(F.col("t")).alias("p")).collect()] == [str(t) for t in topics[:2]]
 
 
 def test_offline_analysis_shape(spark):

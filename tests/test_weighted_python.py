@@ -1,63 +1,87 @@
-"""Weighted scores against the reference's float algorithm in plain Python
-on the driver's sf0.001 meetings. They must agree everywhere except where
-the unrounded value sits on a .xx5 boundary (the documented half-up
-contract, SURVEY SC-7)."""
+"""Weighted scores and per-agent best and worst, checked exactly: golden rows
+worked by hand, and on the driver's meetings a rational-number computation over
+recency ranks taken from DuckDB (no floats, no running totals)."""
 
-import json
-from decimal import Decimal
+import datetime as dt
+from fractions import Fraction
+
+import duckdb
+import pytest
 
 from parley import fixtures as fx
 from parley.operators import scoring
 
 SF = "/root/testdata/sf0.001"
+COLUMNS = "id string, sales_id string, meeting_ts timestamp_ntz, scoring_json string"
+
+
+def half_up(x: Fraction) -> float:
+    """Two places; a tie moves away from zero."""
+    cents = abs(x) * 100
+    whole = cents.numerator // cents.denominator
+    whole += cents - whole >= Fraction(1, 2)
+    return float(Fraction(whole if x >= 0 else -whole, 100))
+
+
+@pytest.mark.parametrize("texts,want", [
+    # newest first; weights 10 8 6 4 2 and then 1, over the sum of all
+    (['{"a":10}', "{}"], {"a": half_up(Fraction(100, 18))}),
+    (['{"a":7.12499996}'], {"a": 7.12}),
+    (['{"a":7.125}'], {"a": 7.13}),
+    (['{"a":true,"b":"7"}'], {"a": 1.0, "b": 7.0}),
+    (['{"a":1e0,"b":"inf","c":1e30,"d":"x","e":null,"f":"nan"}'], {"a": 1.0}),
+    (["{}"] * 5 + ['{"a":31}', "{}"], {"a": 0.97}),  # 31 * 1 / (30 + 1 + 1) = 0.96875
+])
+def test_golden_rows(spark, texts, want):
+    rows = [(f"m{i}", "x", dt.datetime(2024, 5, 28 - i), t) for i, t in enumerate(texts)]
+    got = {r.metric: r.weighted_score for r in scoring.weighted_scores(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == want
+
+
+def test_rejected_scores_name_the_reason(spark):
+    text = '{"a":1,"b":"inf","c":1e30,"d":"x","e":null,"f":"nan","g":true}'
+    m = spark.createDataFrame([("m", "x", dt.datetime(2024, 5, 1), text)], COLUMNS)
+    got = {r.metric: r.reason for r in scoring.rejected_scores(m).collect()}
+    assert got == {"b": "not finite", "c": "out of range", "d": "not a number", "e": "null", "f": "not finite"}
+    assert {r.metric for r in scoring.scores_long(m).collect()} == {"a", "g"}
+    with pytest.raises(Exception, match="score is not a number"):
+        scoring.scores_long(m, strict=True).collect()
+
+
+def exact_scores(spark):
+    """(agent, metric) -> exact weighted mean, and the recency rank at which
+    an agent's metric first appears."""
+    meetings = fx.meetings_json(spark, SF).select("id", "sales_id", "meeting_ts", "scoring_json").toArrow()  # noqa: F841 - read by the SQL
+    rows = duckdb.sql("""
+        with m as (select *, row_number() over (partition by sales_id order by meeting_ts desc, id desc) as rank
+                   from meetings),
+        k as (select *, unnest(json_keys(scoring_json)) as metric from m)
+        select sales_id, metric, list(rank) as ranks, list(json_extract_string(scoring_json, '$."' || metric || '"')) as texts,
+               (select max(rank) from m n where n.sales_id = k.sales_id) as total
+        from k group by sales_id, metric""").fetchall()
+    scale = {1: 10, 2: 8, 3: 6, 4: 4, 5: 2}
+    out = {}
+    for agent, metric, ranks, texts, total in rows:
+        weight = sum(scale.get(r, 1) for r in range(1, total + 1))
+        out[agent, metric] = (sum(Fraction(t) * scale.get(r, 1) for r, t in zip(ranks, texts)) / weight, min(ranks))
+    return out
+
+
+def test_scores_equal_rational_arithmetic(spark):
+    want = {k: half_up(x) for k, (x, _) in exact_scores(spark).items()}
+    got = {(r.sales_id, r.metric): r.weighted_score for r in scoring.weighted_scores(fx.meetings_json(spark, SF)).collect()}
+    assert got == want
 
 
-def py_weighted(meetings):
-    ms = sorted(meetings, key=lambda m: (m[0], m[1]), reverse=True)
-    weights = [1.0, 0.8, 0.6, 0.4, 0.2]
-    agg, total = {}, 0.0
-    for i, (_, _, scoring_text) in enumerate(ms):
-        w = weights[i] if i < len(weights) else 0.1
-        total += w
-        for k, v in json.loads(scoring_text).items():
-            agg[k] = agg.get(k, 0.0) + float(v) * w
-    return {k: v / total for k, v in agg.items()}
-
-
-def test_weighted_scores_match_reference_algorithm(spark):
-    m = fx.meetings_json(spark, SF)
-    per_agent = {}
-    for r in m.select("sales_id", "meeting_ts", "id", "scoring_json").collect():
-        per_agent.setdefault(r.sales_id, []).append((r.meeting_ts, r.id, r.scoring_json))
-    ours = {(r.sales_id, r.metric): r.weighted_score for r in scoring.weighted_scores(m).collect()}
-    expected = {}
-    for sid, ms in per_agent.items():
-        for k, v in py_weighted(ms).items():
-            expected[(sid, k)] = v
-    assert set(ours) == set(expected)
-    for key, raw in expected.items():
-        if ours[key] != round(raw, 2):
-            # only allowed on a half-way value, where we round half up
-            frac = Decimal(repr(raw * 100)) % 1
-            assert abs(frac - Decimal("0.5")) < Decimal("1e-6"), (key, raw, ours[key])
-            assert ours[key] == float(Decimal(repr(raw)).quantize(Decimal("0.01"), rounding="ROUND_HALF_UP"))
-
-
-def test_best_worst_by_agent_match_dict_order(spark):
-    m = fx.meetings_json(spark, SF)
-    per_agent = {}
-    for r in m.select("sales_id", "meeting_ts", "id", "scoring_json").collect():
-        per_agent.setdefault(r.sales_id, []).append((r.meeting_ts, r.id, r.scoring_json))
-    got = {r.sales_id: r for r in scoring.agent_profile(m).collect()}
-    for sid, ms in per_agent.items():
-        raw = py_weighted(ms)  # dict in first-seen order, newest meeting first
-        ws = {k: float(Decimal(repr(v)).quantize(Decimal("0.01"), rounding="ROUND_HALF_UP"))
-              for k, v in raw.items()}
-        r = got[sid]
-        assert r.meeting_count == len(ms)
-        if not ws:
-            assert r.best_metric is None
+def test_best_and_worst_take_the_metric_seen_first(spark):
+    exact = exact_scores(spark)
+    for r in scoring.agent_profile(fx.meetings_json(spark, SF)).collect():
+        mine = {m: (half_up(x), first) for (a, m), (x, first) in exact.items() if a == r.sales_id}
+        if not mine:
+            assert r.best_metric is None and r.worst_metric is None
             continue
-        best = max(ws, key=ws.get)
-        worst = min(ws, key=ws.get)
-        assert (r.best_metric, r.best_score, r.worst_metric, r.worst_score) == (best, ws[best], worst, ws[worst])
+        top, low = max(s for s, _ in mine.values()), min(s for s, _ in mine.values())
+        assert (r.best_score, r.worst_score) == (top, low)
+        # Among equals the earliest rank wins; the score objects list metrics in text order.
+        assert r.best_metric == min((f, m) for m, (s, f) in mine.items() if s == top)[1]
+        assert r.worst_metric == min((f, m) for m, (s, f) in mine.items() if s == low)[1]
