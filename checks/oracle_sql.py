@@ -574,3 +574,12 @@ select c.conv_id, client_name, objection, name1 as selected_pdf_1, name2 as sele
        {_fill1(_r.MESSAGE_4, 'client_name')} as followup_4,
        '{{' || '{",".join(f'"{k}":"{v}"' for k, v in _r.SCHEDULE)}' || '}}' as schedule
 from c left join p on c.conv_id = p.conv_id"""
+
+
+ORACLES["due_messages_since"] = f"""
+with {_BOX},
+nowv as (select max(reg) as now from box),
+occ as (select meeting_id, key, unnest(generate_series(first_run, greatest((select now from nowv), first_run), interval 1 day)) as occurrence
+        from firsts)
+select meeting_id, key, {_ts('occurrence')} as occurrence
+from occ where occurrence <= (select now from nowv) and occurrence > timestamp '2024-01-20 00:00:00'"""

@@ -359,6 +359,18 @@ def q_due_messages(spark, sf_dir):
     return due.select("meeting_id", "key", tx.display_ts("occurrence").alias("occurrence"))
 
 
+# Fixed value: when the run before this one looked for due messages.
+LAST_RUN = "2024-01-20 00:00:00"
+
+
+def q_due_messages_since(spark, sf_dir):
+    """OB-2 as an incremental run: only what fell due since the last one."""
+    box = outbox.build_outbox(_plans(spark, sf_dir))
+    now = box.select(F.max("registered_at")).scalar()
+    due = outbox.due_messages(box, None, now, since=F.lit(LAST_RUN).cast("timestamp_ntz"))
+    return due.select("meeting_id", "key", tx.display_ts("occurrence").alias("occurrence"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "weighted_scores": q_weighted_scores,
     "agent_profile": q_agent_profile,
@@ -389,6 +401,7 @@ QUERIES: dict[str, QueryFn] = {
     "save_meetings": q_save_meetings,
     "outbox": q_outbox,
     "due_messages": q_due_messages,
+    "due_messages_since": q_due_messages_since,
     "score_maps": q_score_maps,
     "meetings_by_date": q_meetings_by_date,
     "stamped_meetings": q_stamped_meetings,
