@@ -36,9 +36,11 @@ def object_entry_array(json_col: str, key_name: str = "key", value_name: str = "
     entries = F.map_entries(F.from_json(F.col(json_col), OBJECT_AS_TEXT_MAP))
     numbered = F.transform(entries, lambda e, i: F.struct(
         i.alias(pos_name), e["key"].alias(key_name), e["value"].alias(value_name)))
-    last_only = F.filter(numbered, lambda e: ~F.exists(
-        F.slice(numbered, e[pos_name] + 2, F.greatest(F.size(numbered), F.lit(1))),
-        lambda later: later[key_name] == e[key_name]))
+    # The one-element array binds the parsed entries to a variable: used
+    # inside the inner lambdas directly, they would be parsed for each entry.
+    last_only = F.transform(F.array(numbered), lambda all_: F.filter(all_, lambda e: ~F.exists(
+        F.slice(all_, e[pos_name] + 2, F.greatest(F.size(all_), F.lit(1))),
+        lambda later: later[key_name] == e[key_name])))[0]
     return F.coalesce(last_only, F.array().cast(
         f"array<struct<{pos_name}:int,{key_name}:string,{value_name}:string>>"))
 

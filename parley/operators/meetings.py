@@ -78,11 +78,9 @@ def decode_meetings(meetings: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``pdfs`` becomes ``array<struct<name, description>>`` from the stored
     list of pairs; ``followup`` and ``scoring`` stay ``map<string,string>``
     (values typed later, see :mod:`parley.functions.jsonfn`)."""
-    # A key repeated in one object keeps its last value, in every view.
-    a = object_map("analysis_json")
-    a = F.when(F.col("analysis_json").isNotNull(), F.struct(
-        F.from_json(a["topics"], "array<string>").alias("topics"),
-        *[a[k].alias(k) for k in ("fears", "objection", "summary")]).cast(ANALYSIS_SCHEMA))
+    # A key repeated in one object keeps its last value, in every view (a
+    # struct is parsed that way; maps are reduced by ``object_map``).
+    a = F.from_json("analysis_json", ANALYSIS_SCHEMA)
     pairs = F.from_json("pdfs_json", "array<array<string>>")
     pdfs = F.transform(pairs, lambda p: F.struct(p[0].alias("name"), p[1].alias("description")))
     fu, sc = object_map("followup_json"), object_map("scoring_json")
