@@ -1,6 +1,46 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from __future__ import annotations
+
+from parley.llm.chat import CONTROL, END, START
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _pattern(strings: list[str]) -> str:
+    escaped = ["".join(f"\\{c}" if c in "|[]<>/" else c for c in s) for s in sorted(strings, key=len, reverse=True)]
+    return "|".join(escaped)
+
+
 ORACLES: dict[str, str] = {
+    "op4_decontamination": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+        items AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+        places AS (SELECT item, w, n, unnest(range(len(w) - n + 1)) AS a FROM items),
+        phrases AS (SELECT DISTINCT item, n, array_to_string(w[a + 1 : a + n], ' ') AS phrase FROM places),
+        windows AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS a FROM d, (SELECT DISTINCT n FROM items) WHERE len(w) >= n),
+        found AS (SELECT doc_id, a, x.n AS n, item FROM
+                  (SELECT doc_id, a, n, array_to_string(w[a + 1 : a + n], ' ') AS phrase FROM windows) AS x JOIN phrases USING (n, phrase)),
+        words AS (SELECT DISTINCT doc_id, unnest(range(a, a + n)) AS word FROM (SELECT DISTINCT doc_id, a, n FROM found)),
+        hits AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+        names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+                  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)""",
+    "op5_chat_formatting": rf"""
+        WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized AS (SELECT *, {len(START) + len(END) + 2} + length(role) + length(text) + length(text) - length(replace(text, '\', ''))
+                         + len(regexp_extract_all(text, '{_pattern(CONTROL)}')) AS chars FROM rows)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id""",
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
