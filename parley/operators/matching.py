@@ -107,8 +107,8 @@ def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id
     The bound of a document depends only on its head length ``L``. It
     grows with ``L`` up to the shortest topic length and falls beyond the
     longest, so the lengths that can reach a score ``x`` lie in
-    ``[x*min_l/(200-x), max_l*(200/x-1)]``. Round 1 probes lengths near the
-    topic lengths; round 2 enumerates only that interval per meeting and
+    ``[x*min_l/(200-x), max_l*(200/x-1)]``. Round 1 probes the lengths with
+    the best bounds; round 2 enumerates only that interval per meeting and
     meets the documents by an equi-join on length."""
     # The prepared heads feed several steps; a reliable checkpoint (written
     # to the shared ``spark.checkpoint.dir``) prepares every head
@@ -132,14 +132,15 @@ def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id
             .withColumn("sig", F.array_join(F.col("lens"), ","))).checkpoint()
 
     # Round 1: per topic-length signature, the ``probe`` best documents by
-    # bound among lengths near the topics (the first ``probe`` documents of
-    # each length, a partial WindowGroupLimit on a possibly hot length).
+    # bound (from the first ``probe`` documents of each length, a partial
+    # WindowGroupLimit on a possibly hot length).
     wl = Window.partitionBy("L").orderBy("ordinal")
     first_per_len = (docs.select("L", "ordinal").withColumn("i", F.row_number().over(wl))
                      .filter(F.col("i") <= probe).drop("i"))
-    window_hi = F.least(F.col("max_l") * 4 + 8, F.lit(max_len))
-    sig_near = (meet.select("sig", "lens", "max_l").distinct()
-                .select("sig", "lens", F.explode(F.sequence(F.lit(0), window_hi)).alias("L"))
+    # All lengths that occur are looked at (a head has at most ``HEAD_CHARS``
+    # characters), so a corpus of long documents has probes as well.
+    sig_near = (meet.select("sig", "lens").distinct()
+                .select("sig", "lens", F.explode(F.sequence(F.lit(0), F.lit(max_len))).alias("L"))
                 .withColumn("bound", _mean_bound(F.col("lens"), F.col("L"))))
     wd = Window.partitionBy("sig").orderBy(F.col("bound").desc(), F.col("ordinal").asc())
     probe_docs = (sig_near.join(first_per_len, "L")
@@ -148,10 +149,11 @@ def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id
     r1_pairs = meet.select(key, "sig").join(probe_docs, "sig").select(key, "ordinal")
     r1 = _score_pairs(r1_pairs, meet, docs, key)
     kth = (_rank(r1, key, k).groupBy(key)
-           .agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")))
-    # Fewer than k probed documents -> no threshold (x = 0: every length).
+           .agg(F.max(F.struct("rank", "score", "ordinal")).alias("last"), F.count(F.lit(1)).alias("n")))
+    # Fewer than k probed documents (the corpus has no more): no threshold.
     thr = (meet.select(key, "lens", "min_l", "max_l").join(kth, key, "left")
-           .withColumn("x", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(0.0))))
+           .withColumn("x", F.when(F.col("n") >= k, F.col("last.score")).otherwise(F.lit(0.0)))
+           .withColumn("tie", F.when(F.col("n") >= k, F.col("last.ordinal"))))
 
     # Round 2: lengths whose bound reaches x, then the documents of those
     # lengths. The interval is widened by one on each side; the exact bound
@@ -161,10 +163,13 @@ def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id
         F.greatest(F.lit(0), F.floor(x * F.col("min_l") / (F.lit(200.0) - x)) - 1)).cast("int")
     hi = F.when(x <= 0, F.lit(max_len)).otherwise(
         F.least(F.lit(max_len), F.ceil(F.col("max_l") * (F.lit(200.0) / x - 1)) + 1)).cast("int")
-    cand_lens = (thr.select(key, "lens", "x", F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("L"))
-                 .filter(_mean_bound(F.col("lens"), F.col("L")) >= F.col("x"))
-                 .select(key, "L"))
-    r2_pairs = cand_lens.join(docs.select("L", "ordinal"), "L").select(key, "ordinal")
+    cand_lens = (thr.select(key, "lens", "x", "tie", F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("L"))
+                 .withColumn("bound", _mean_bound(F.col("lens"), F.col("L")))
+                 .filter(F.col("bound") >= F.col("x")))
+    # A document whose bound only equals the k-th score must also precede that
+    # document to get ahead of it: of a hot length, few are left.
+    ahead = F.col("tie").isNull() | (F.col("bound") > F.col("x")) | (F.col("ordinal") <= F.col("tie"))
+    r2_pairs = cand_lens.join(docs.select("L", "ordinal"), "L").filter(ahead).select(key, "ordinal")
     best = _rank(_score_pairs(r2_pairs, meet, docs, key), key, k)
     return (best.join(corpus.select("ordinal", "name"), "ordinal")
             .select(key, F.col("rank").cast("int").alias("rank"), "name", "ordinal", "score"))
