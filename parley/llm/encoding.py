@@ -1,41 +1,52 @@
 """Token ids of texts with a public tokenizer, one encoding per distinct piece.
 
 A text is cut where the tokenizer always starts a new unit, and each distinct
-piece is encoded once per worker and kept (in a dictionary of bounded size).
-The ids of a text are the joined ids of its pieces; tests compare them with
-the ids of the whole text."""
+piece is encoded once per worker and kept, up to ``KEEP`` pieces. Cutting,
+hashing and joining work on whole byte buffers. Pieces are told apart by a
+64-bit hash; tests compare the ids with those of the whole text."""
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
+from parley.llm import tokens as tk
+
 KEEP = 500_000
+CHUNK = 4 << 20
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x0A]] = True
+_SPACES = ~tk.NOT_SPACE
+_PLAIN = np.zeros(256, bool)
+_PLAIN[0x21:0x80] = True
 
-class WordPieces:
-    """For tokenizers that drop white space: any blank ends a unit."""
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+def word_pieces(data: np.ndarray, offsets: np.ndarray):
+    """For tokenizers that drop white space: any space or newline ends a unit."""
+    return tk.spans(data, offsets, ~_BLANK)
 
 
-class SpacedPieces:
+def spaced_pieces(data: np.ndarray, offsets: np.ndarray):
     """For byte-level tokenizers, where a single space belongs to the word
-    behind it: a unit starts at a space between two other characters."""
-
-    _AT = re.compile(r"(?<=\S)(?= \S)")
+    behind it: a unit starts at a space before a character that is no white
+    space (beyond ASCII, where that is unknown, only if none stands before the
+    space either). Pieces cover all bytes."""
+    n = len(data)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    after, before = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    after[:-1], before[1:] = data[1:], data[:-1]
+    cut = (data == 0x20) & (_PLAIN[after] | ((after >= 0x80) & _PLAIN[before]))
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.append(starts[1:], n), np.searchsorted(offsets, starts, side="right") - 1
 
-    @classmethod
-    def cut(cls, text: str) -> list[str]:
-        return cls._AT.split(text)
 
-
-CUTS = {"word": WordPieces.cut, "spaced": SpacedPieces.cut}
+CUTS = {"word": word_pieces, "spaced": spaced_pieces}
 
 
 class Encoder:
@@ -45,37 +56,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.cut = CUTS[cut]
-        self.known: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # sorted hashes, with the place and number of their ids
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.dtype)
+
+    def _learn(self, new: np.ndarray, words: list[str]) -> None:
+        """Encode words (new: their sorted hashes) and keep their ids."""
+        ids = [np.array(e.ids, self.dtype) for lo in range(0, len(words), 4096)
+               for e in self.tokenizer.encode_batch_fast(words[lo:lo + 4096], add_special_tokens=False)]
+        size = np.array([len(x) for x in ids], np.int64)
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, *ids])
+        where = np.searchsorted(self.known, new)
+        self.known, self.at, self.size = (np.insert(old, where, got) for old, got in ((self.known, new), (self.at, at), (self.size, size)))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a UTF-8 buffer, and their number in each row."""
+        s, e, row = self.cut(data, offsets)
+        found, first, back = np.unique(tk.hashes(data, s, e), return_index=True, return_inverse=True)
+        if len(self.known) + len(found) > KEEP:
+            self._forget()
+        place = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
+        fresh = self.known[place] != found if len(self.known) else np.ones(len(found), bool)
+        if fresh.any():
+            raw = data.tobytes()
+            self._learn(found[fresh], [raw[a:b].decode() for a, b in zip(s[first[fresh]].tolist(), e[first[fresh]].tolist())])
+            place = np.searchsorted(self.known, found)
+        at, size = self.at[place][back], self.size[place][back]
+        out = np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)
+        return self.flat[out], np.bincount(row, weights=size, minlength=len(offsets) - 1).astype(np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of width ``dtype``."""
-        pieces = [self.cut(t) for t in texts]
-        new = list(set().union(*pieces).difference(self.known))
-        if len(self.known) + len(new) > KEEP:
-            self.known = {"": b""}
-            new = [p for p in set().union(*pieces) if p]
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        raw = [t.encode() for t in texts]
+        ids, n = self.ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        cut = np.cumsum(n)
+        return [ids[b - k:b].tobytes() for b, k in zip(cut, n)]
+
+
+def with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with ``end_id`` behind each row, and the new row sizes."""
+    size = n + 1
+    out = np.full(int(size.sum()), end_id, ids.dtype)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(size) - 1] = False
+    out[inside] = ids
+    return out, size
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str, cut: str) -> Encoder:
     return Encoder(path, cut)
-
-
-def text_groups(column, limit: int = 4 << 20):
-    """(first row, texts) groups of about ``limit`` characters."""
-    lo, part, size = 0, [], 0
-    for i, t in enumerate(column):
-        t = t.as_py()
-        part.append(t)
-        size += len(t)
-        if size >= limit:
-            yield lo, part
-            lo, part, size = i + 1, [], 0
-    if part:
-        yield lo, part

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from parley.llm.common import prepare, texts, written
-from parley.llm.encoding import encoder, text_groups
+from parley.llm.common import prepare, row_chunks, string_buffers, texts, written
+from parley.llm.encoding import CHUNK, encoder, with_end
 
 LENGTH = 2048
 END_ID = 1
@@ -43,16 +43,17 @@ def encoded(docs: DataFrame, tokenizer: str, cut: str, end_id: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, pos = encoder(tokenizer, cut), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            for lo, group in text_groups(b.column(1)):
-                ids = [x + end for x in enc.encode(group)]
-                n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
-                at = pos + np.cumsum(n) - n
-                pos += int(n.sum())
+            data, offsets = string_buffers(b.column(1))
+            for lo, hi in row_chunks(offsets, CHUNK):
+                ids, n = with_end(*enc.ids(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]), end_id)
+                ends = np.cumsum(n)
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [
+                    None, pa.py_buffer(np.concatenate([[0], ends * enc.dtype.itemsize])), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(ids), part), pa.int32()), pa.array(at, pa.int64()), b.column(0).slice(lo, len(ids)),
-                    pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
+                    pa.array(np.full(len(n), part), pa.int32()), pa.array(pos + ends - n, pa.int64()), b.column(0).slice(lo, hi - lo),
+                    pa.array(n, pa.int64()), blobs], names=schema.names)
+                pos += int(ends[-1])
 
     return rows.mapInArrow(run, schema)
 

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import prepare, scratch_path, texts, written
-from parley.llm.encoding import encoder, text_groups
+from parley.llm.common import prepare, row_chunks, scratch_path, string_buffers, texts, written
+from parley.llm.encoding import CHUNK, encoder, with_end
 from parley.llm.packing import bases
 
 END_ID = 0
@@ -79,20 +79,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, cut: str = "spaced", end_
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer, cut), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
         name, n_docs, n_null, n_tokens = f"{path}/part-{part:06d}-{uuid.uuid4().hex}", 0, 0, 0
         with open_new(f"{name}.bin") as ids_file, open_new(f"{name}.len") as len_file, open_new(f"{name}.doc") as doc_file:
             for b in batches:
                 n_null += b.column(0).null_count
                 doc_file.write(np.array(b.column(0).fill_null(0), "<i8").tobytes())
-                for _, group in text_groups(b.column(1)):
-                    sizes = np.empty(len(group), "<i8")
-                    for i, x in enumerate(enc.encode(group)):
-                        ids_file.write(x + end)
-                        sizes[i] = len(x) // enc.dtype.itemsize + 1
-                    len_file.write(sizes.tobytes())
-                    n_docs += len(group)
-                    n_tokens += int(sizes.sum())
+                data, offsets = string_buffers(b.column(1))
+                for lo, hi in row_chunks(offsets, CHUNK):
+                    ids, sizes = with_end(*enc.ids(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]), end_id)
+                    ids_file.write(ids.tobytes())
+                    len_file.write(sizes.astype("<i8").tobytes())
+                    n_docs += hi - lo
+                    n_tokens += len(ids)
         yield pa.RecordBatch.from_arrays([
             pa.array([part], pa.int32()), pa.array([n_docs]), pa.array([n_null]), pa.array([n_tokens]),
             pa.array([enc.dtype.itemsize], pa.int32()), pa.array([name])], names=["part", "n_docs", "n_null", "n_tokens", "width", "name"])
