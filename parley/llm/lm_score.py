@@ -43,9 +43,9 @@ from parley.llm.common import drop, prepare, remainder, scratch_path, string_buf
 from parley.llm.pitman_yor import DISCOUNT, draw_tables, predict
 from parley.llm.token_files import _folder, _local, open_new
 
-CHUNK = 8 << 20
+CHUNK = 5 << 20
 WORDS_A_BUCKET = 1_500_000
-PAIRS_A_BUCKET = 6_000_000
+PAIRS_A_BUCKET = 3_000_000
 BURN_IN = 1
 KEPT = 2
 STRENGTH = 1.0
@@ -90,10 +90,12 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[dic
         yield key, rows
 
 
-def together(df: DataFrame, key: str, *then: str) -> DataFrame:
-    """Rows of a key in one place and in order; ``key`` becomes the first column."""
-    rest = [c for c in df.columns if c != key]
-    return df.select(key, *rest).repartition(key).sortWithinPartitions(key, *then)
+def together(df: DataFrame, key: str, *then: str, n: int | None = None) -> DataFrame:
+    """Rows of a key in one place and in order; ``key`` becomes the first
+    column. ``n``: the keys are bucket numbers below it, a task for each."""
+    rows = df.select(key, *(c for c in df.columns if c != key))
+    rows = rows.repartitionById(n, key) if n else rows.repartition(key)
+    return rows.sortWithinPartitions(key, *then)
 
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -252,7 +254,6 @@ class Model:
         self.n_train = total["n_train"]
         self.word_buckets = 1 + total["n_vocab"] // words_a_bucket
         self.pair_buckets = 1 + total["n_tokens"] // pairs_a_bucket
-        # Spark deals buckets to at least this many tasks.
         self.vocabulary()
         self.count_pairs()
         self.sample()
@@ -283,7 +284,7 @@ class Model:
                     yield table_of([(bucket, 0, r["chunk"], len(w), pack(count[mine].astype("<i8")), pack(place[mine].astype("<i8")), None, None)], _SCHEMA)
 
         chunks = self.manifest.select("chunk").repartition("chunk")
-        self.words = written(together(chunks.mapInArrow(send, _ROW), "bucket", "chunk").mapInArrow(add, _ROW), "lm-words")
+        self.words = written(together(chunks.mapInArrow(send, _ROW), "bucket", "chunk", n=n).mapInArrow(add, _ROW), "lm-words")
         sizes = {r["bucket"]: r["n"] for r in self.words.where("chunk IS NULL").select("bucket", "n").collect()}  # one number per bucket
         self.base = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(n)])]).astype(np.int64)
         self.v = int(self.base[-1])
@@ -340,13 +341,14 @@ class Model:
 
         answers = self.words.where("chunk IS NOT NULL")
         sent = together(answers, "chunk", "bucket").mapInArrow(send, _ROW)
-        self.pairs = written(together(sent, "bucket", "chunk").mapInArrow(add, _ROW), "lm-pairs")
+        self.pairs = written(together(sent, "bucket", "chunk", n=n).mapInArrow(add, _ROW), "lm-pairs")
 
     def sample(self) -> None:
         """Sweeps. ``asked`` rows go between the buckets: to the word buckets
         (tables by context and by word) and back (tables of a context, parent
         probability of a word)."""
-        base, v, strength, seed, n_words = self.base, self.v, self.strength, self.seed, self.word_buckets
+        base, v, strength, seed = self.base, self.v, self.strength, self.seed
+        n_words, n_pairs = self.word_buckets, self.pair_buckets
         counts = self.words.where("chunk IS NULL").select(F.col("bucket"), F.lit(-1).alias("other"), F.col("chunk"), "n", "a", "b", "c", "d")
         links = self.pairs.where("chunk IS NULL AND other >= 0")
         state = self.pairs.where("chunk IS NULL AND other < 0")
@@ -429,14 +431,14 @@ class Model:
                 n, t = n + x[0], t + x[1]
             return t, n
 
-        sent = together(self.pairs.where("chunk IS NULL"), "bucket", "other").mapInArrow(first_tables, _ROW)
+        sent = together(self.pairs.where("chunk IS NULL"), "bucket", "other", n=n_pairs).mapInArrow(first_tables, _ROW)
         self.samples: list[tuple[DataFrame, DataFrame, float, float]] = []
         tables, n = float(v), 0.0
         tagged = links.withColumn("d", F.lit(b"link"))
         old: list[DataFrame] = []
         for sweep in range(self.burn_in + self.kept + 1):
             incoming = sent.where("other >= 0").select(*flip, "chunk", "n", "a", "b", "c", "d").unionByName(counts)
-            words = written(together(incoming, "bucket", "other").mapInArrow(seat_words(sweep, tables, n), _ROW), "lm-seats")
+            words = written(together(incoming, "bucket", "other", n=n_words).mapInArrow(seat_words(sweep, tables, n), _ROW), "lm-seats")
             tables, n = totals(words)
             if sweep > self.burn_in:
                 self.samples.append((words.where("other < 0"), seats.where("other < 0"), tables, n))  # noqa: F821
@@ -447,7 +449,7 @@ class Model:
                 break
             answers = words.where("other >= 0").select(*flip, "chunk", "n", "a", "b", "c", "d")
             asked = state.unionByName(tagged).unionByName(answers)
-            seats = written(together(asked, "bucket", "other").mapInArrow(seat_pairs(sweep, tables, n), _ROW), "lm-tables")
+            seats = written(together(asked, "bucket", "other", n=n_pairs).mapInArrow(seat_pairs(sweep, tables, n), _ROW), "lm-tables")
             sent = seats
             old += [words, seats] if sweep < self.burn_in else []
 
@@ -489,8 +491,8 @@ class Model:
                         at = unpack(r["b"], "<i8", True)
                         yield table_of([(bucket, 1, r["chunk"], r["n"], r["a"], pack(np.concatenate([seats[i][at] for i in range(kept)]).astype("<i4")), None, None)], _SCHEMA)
 
-        to_chunks = (together(asks, "bucket", "chunk", "other").mapInArrow(answer_words, _ROW)
-                     .unionByName(together(pair_asks, "bucket", "chunk", "other").mapInArrow(answer_pairs, _ROW)))
+        to_chunks = (together(asks, "bucket", "chunk", "other", n=n_words).mapInArrow(answer_words, _ROW)
+                     .unionByName(together(pair_asks, "bucket", "chunk", "other", n=n_pairs).mapInArrow(answer_pairs, _ROW)))
         schema = StructType([StructField("doc_id", self.id_type), StructField("held_out", BooleanType()),
                              *(StructField(k, LongType()) for k in ("n_tokens", "n_known", "train_tokens")),
                              StructField("base_score", DoubleType()), StructField("score", DoubleType())])
