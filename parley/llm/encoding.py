@@ -14,7 +14,7 @@ import numpy as np
 
 from parley.llm import tokens as tk
 
-KEEP = 500_000
+KEEP = 2_000_000
 CHUNK = 4 << 20
 
 _BLANK = np.zeros(256, bool)
