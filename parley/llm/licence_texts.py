@@ -1,5 +1,27 @@
 """Licence templates (public notices) as plain words. Fixed values."""
 
+from itertools import product
+
+#: Elements of the Creative Commons licences: code and the spellings of the
+#: long notices.
+_CODES: dict[str, list[str]] = {
+    "nc": ["NonCommercial", "Non Commercial"],
+    "sa": ["ShareAlike", "Share Alike"],
+    "nd": ["NoDerivatives", "NoDerivs", "No Derivatives", "No Derivs", "No Derivative Works"],
+}
+
+
+def _creative_commons() -> list[tuple[str, str]]:
+    """Short and long notices of the six attribution licences."""
+    out = []
+    for codes in ((), ("sa",), ("nd",), ("nc",), ("nc", "sa"), ("nc", "nd")):
+        label = "-".join(("cc-by", *codes))
+        out.append((label, f"Licensed under CC {'-'.join(('BY', *map(str.upper, codes)))} 4.0."))
+        for names in product(*(_CODES[c] for c in codes)):
+            out.append((label, f"This work is licensed under a Creative Commons {'-'.join(('Attribution', *names))} 4.0 International License."))
+    return out
+
+
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
@@ -33,11 +55,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or
      without fee is hereby granted, provided that the above copyright notice and this permission notice
      appear in all copies."""),
-    ("cc-by", "Licensed under CC BY 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    *_creative_commons(),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 
@@ -47,3 +65,10 @@ PHRASES: list[tuple[str, str]] = [
     ("apache license", "apache"),
     ("general public license", "gpl"),
 ]
+
+#: Words that state an element of an attribution licence. A notice has the
+#: label whose elements are exactly those that it states.
+ELEMENTS: list[tuple[str, str]] = [
+    ("attribution", "by"), ("cc by", "by"), ("commons by", "by"), *((f"by {c}", "by") for c in _CODES),
+    *((words, c) for c, names in _CODES.items() for words in (c, *names)),
+]

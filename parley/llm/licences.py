@@ -6,8 +6,12 @@ word are the matching statistics. Matches of ``min_match`` words or more that
 cannot grow are kept and chained, in document order, into spans of a template:
 a match joins a chain if it lies later in the template and starts at most
 ``max_gap`` words after it. A span that covers ``min_cover`` of a template adds
-its label; the score is the largest cover. Beside that, all places of the base
-phrases are counted.
+its label; the score is the largest cover. The Creative Commons attribution
+notices differ by one or two words only, so a span of such a template counts
+only if the elements (attribution, non-commercial, share-alike, no derivatives)
+stated in it, in its gaps and in the place of the template's missing end are
+exactly those of the label. Beside that, all places of the base phrases are
+counted.
 
 A word outside the templates' vocabulary resets the statistics, so words are
 first mapped to template words by vectorised hashing and only runs of known
@@ -31,7 +35,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from parley.llm import tokens as tk
 from parley.llm.common import prepare, row_chunks, string_buffers, texts
-from parley.llm.licence_texts import PHRASES, TEMPLATES
+from parley.llm.licence_texts import ELEMENTS, PHRASES, TEMPLATES
 
 MIN_MATCH = 4
 MAX_GAP = 12
@@ -122,7 +126,7 @@ class SuffixAutomaton:
 class Licences:
     """The automaton with its vocabulary and the base phrases."""
 
-    def __init__(self, templates=tuple(TEMPLATES), phrases=tuple(PHRASES)) -> None:
+    def __init__(self, templates=tuple(TEMPLATES), phrases=tuple(PHRASES), elements=tuple(ELEMENTS)) -> None:
         self.labels = [label for label, _ in templates]
         seqs = [split_words(t) for _, t in templates]
         vocab = sorted({w for s in seqs for w in s}, key=tk.hash_word)
@@ -131,14 +135,32 @@ class Licences:
         self.sizes = [len(s) for s in seqs]
         self.automaton = SuffixAutomaton([[number[w] for w in s] for s in seqs])
         self.phrases = [(np.array([tk.hash_word(w) for w in split_words(p)], np.uint64), label) for p, label in phrases]
+        self.needed = [set(label.split("-")[1:]) if label.startswith("cc-by") else None for label in self.labels]
+        self.elements: dict[int, list[tuple[list[int], str]]] = {}  # by first word
+        for p, element in elements:
+            words = [int(tk.hash_word(w)) for w in split_words(p)]
+            self.elements.setdefault(words[0], []).append((words, element))
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, at, -1)
 
-    def chains(self, matches, max_gap: int) -> Iterator[tuple[int, int, int, int]]:
+    def stated(self, words: np.ndarray) -> set[str]:
+        """Licence elements that a run of word hashes states."""
+        h = words.tolist()
+        return {element for i, w in enumerate(h) for phrase, element in self.elements.get(w, ())
+                if h[i:i + len(phrase)] == phrase}
+
+    def chains(self, matches, max_gap: int, words: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int]]:
         """(template, first word, last word + 1, covered words) of each chain;
-        matches come in document order."""
+        matches come in document order. With the document's word hashes, chains
+        that state other licence elements than their label are left out."""
+        for which, (first, end, stop, covered) in self._runs(matches, max_gap):
+            needed = self.needed[which] if words is not None else None
+            if needed is None or self.stated(words[first:end + self.sizes[which] - stop]) == needed:
+                yield which, first, end, covered
+
+    def _runs(self, matches, max_gap: int) -> Iterator[tuple[int, list[int]]]:
         run: dict[int, list[int]] = {}  # template: [first, end, template end, covered]
         for start, end, state in matches:
             size = end - start
@@ -153,10 +175,9 @@ class Licences:
                     now[1], now[2] = end, later[0]
                 else:
                     if now:
-                        yield which, now[0], now[1], now[3]
+                        yield which, now
                     run[which] = [start, end, stops[0], size]
-        for which, now in run.items():
-            yield which, now[0], now[1], now[3]
+        yield from run.items()
 
 
 @lru_cache(maxsize=1)
@@ -212,12 +233,15 @@ def scan_chunk(model: Licences, data: np.ndarray, offsets: np.ndarray, min_match
     labels = [set(b) for b in base]
     places: list[list[tuple[str, int, int, float]]] = [[] for _ in range(n)]
     for r, matches in more.items():
-        for which, a, b, covered in model.chains(matches, max_gap):
+        best: dict[tuple[str, int, int], float] = {}  # spellings of one notice can share a span
+        for which, a, b, covered in model.chains(matches, max_gap, h[first_of_row[r]:first_of_row[r] + n_words[r]]):
             cover = min(1.0, covered / model.sizes[which])
             score[r] = max(score[r], cover)
             if cover >= min_cover:
                 labels[r].add(model.labels[which])
-                places[r].append((model.labels[which], a, b, cover))
+                key = model.labels[which], a, b
+                best[key] = max(best.get(key, 0.0), cover)
+        places[r] = [(*key, cover) for key, cover in best.items()]
     return n_words, n_base, first, last, base, labels, score, places
 
 

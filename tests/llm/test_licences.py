@@ -61,3 +61,28 @@ def test_chains_follow_the_template():
     sym = model.symbols(np.array([tk.hash_word(x) for x in w], np.uint64)).tolist()
     spans = list(model.chains(model.automaton.long_matches(sym, 4), 12))
     assert any(model.labels[k] == "apache" and n == model.sizes[k] for k, _, _, n in spans)
+
+
+def test_creative_commons_variants_are_told_apart(spark):
+    long = "This work is licensed under a Creative Commons {} License."
+    want = {
+        long.format("Attribution 4.0 International"): "cc-by",
+        long.format("Attribution 3.0 Unported"): "cc-by",
+        long.format("Attribution (with credit to its author) 4.0 International"): "cc-by",
+        long.format("Attribution-ShareAlike 4.0 International"): "cc-by-sa",
+        long.format("Attribution-Share Alike 3.0 Unported"): "cc-by-sa",
+        long.format("Attribution-NoDerivatives 4.0 International"): "cc-by-nd",
+        long.format("Attribution-No Derivative Works 3.0 Unported"): "cc-by-nd",
+        long.format("Attribution-NonCommercial 4.0 International"): "cc-by-nc",
+        long.format("Attribution-NonCommercial-ShareAlike 4.0 International"): "cc-by-nc-sa",
+        long.format("Attribution, NonCommercial and ShareAlike 4.0 International"): "cc-by-nc-sa",
+        long.format("Attribution-NonCommercial-NoDerivs 3.0 Unported"): "cc-by-nc-nd",
+        long.format("Zero"): "", "This work is licensed under a Creative Commons License.": "",
+        "Licensed under CC BY 4.0.": "cc-by", "Licensed under CC BY 3.0.": "cc-by", "Licensed under CC BY-ND 4.0.": "cc-by-nd",
+        "Licensed under CC BY-SA 2.0.": "cc-by-sa", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa", "CC-BY-NC-ND-4.0": "cc-by-nc-nd",
+        "Text is licensed under CC BY 4.0. Images are licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+    }
+    rows = list(enumerate(want))
+    got = {r.doc_id: r for r in licence_scan(frame(spark, rows)).collect()}
+    assert {t: got[i].labels for i, t in rows} == want
+    assert {x.split(":")[0] for x in got[1].spans.split(";")} == {"cc-by"}
