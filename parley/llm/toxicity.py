@@ -4,7 +4,9 @@ features are scaled by naive Bayes log-count ratios.
 Fitting uses a bounded sample of labelled rows (``BOUND``, a parameter): a
 DataFrame aggregation counts, for each hashed n-gram, the toxic and the other
 documents that hold it; the log ratio r of the smoothed shares is kept where it
-lies ``MIN_Z`` standard errors from zero. A document's feature is r for each
+lies ``MIN_Z`` standard errors from zero. Few labelled rows cannot reach that,
+so the cut-off falls until at least the ``LEAST`` n-grams that lie farthest
+from zero are kept (with all ties). A document's feature is r for each
 kept n-gram it holds (present or not), and a logistic model with an L2 penalty
 is fitted on these. Scoring is one pass over all texts without a shuffle: the
 model is a table of fixed size.
@@ -31,6 +33,7 @@ SIZES = (4, 5)
 BITS = 20
 BOUND = 12_000
 MIN_Z = 5.0
+LEAST = 1000
 SMOOTH = 1.0
 PENALTY = 1e-3
 STEPS = 250
@@ -116,7 +119,7 @@ def logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, k
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, bound: int = BOUND,
-        min_z: float = MIN_Z, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+        min_z: float = MIN_Z, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
     """(kept buckets, weight of each, intercept)."""
     sample = training_rows(docs, labels, "toxic", modulus, held, bound, id_col, text_col)
     total = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -126,10 +129,15 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, bou
         return np.zeros(0, np.int64), np.zeros(0), (-50.0 if not n1 else 50.0)
     p = (F.col("p") + SMOOTH) / (n1 + 2 * SMOOTH)
     q = (F.col("q") + SMOOTH) / (n0 + 2 * SMOOTH)
-    ratio = (sample.select("y", "text").mapInArrow(_count, "bucket int, q int, p int")
-             .groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
-             .select("bucket", F.log(p / q).alias("r"), F.sqrt(1 / (F.col("p") + SMOOTH) + 1 / (F.col("q") + SMOOTH)).alias("se"))
-             .where(F.abs("r") >= min_z * F.col("se")).orderBy("bucket").select("bucket", "r").toArrow())
+    se = F.sqrt(1 / (F.col("p") + SMOOTH) + 1 / (F.col("q") + SMOOTH))
+    # At most 2**BITS rows.
+    grams = written(sample.select("y", "text").mapInArrow(_count, "bucket int, q int, p int")
+                    .groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
+                    .select("bucket", F.log(p / q).alias("r"), (F.abs(F.log(p / q)) / se).alias("z")), "toxic-grams")
+    last = grams.orderBy(F.desc("z")).limit(least).agg(F.min("z").alias("z")).first()["z"]
+    cut = min_z if last is None else min(min_z, last)
+    ratio = grams.where(F.col("z") >= cut).orderBy("bucket").select("bucket", "r").toArrow()
+    drop(grams)
     kept, r = ratio["bucket"].to_numpy().astype(np.int64), ratio["r"].to_numpy()
     wanted = np.zeros(1 << BITS, bool)
     wanted[kept] = True

@@ -37,6 +37,14 @@ def test_toxicity_held_out(spark):
     assert not any(r.predicted for r in got if r.doc_id is None or r.doc_id >= 1000)
 
 
+def test_toxicity_with_few_labels(spark):
+    docs, marks = (x[:100] for x in corpus())  # no n-gram lies five standard errors from zero
+    got = toxicity.toxicity(frame(spark, docs), labelled(spark, marks)).collect()
+    held = [r for r in got if r.held_out and r.doc_id % 4 == 0]
+    assert len(held) > 4 and np.mean([r.predicted for r in held]) > 0.7
+    assert not any(r.predicted for r in got if r.held_out and r.doc_id % 4)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     got = toxicity.toxicity(frame(spark, [(1, "a"), (2, None)]), labelled(spark, [])).collect()
     assert all(r.score < 1e-9 and r.predicted == 0 for r in got) and len(got) == 2
