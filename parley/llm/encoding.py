@@ -2,8 +2,9 @@
 
 A text is cut where the tokenizer always starts a new unit, and each distinct
 piece is encoded once per worker and kept, up to ``KEEP`` pieces. Cutting,
-hashing and joining work on whole byte buffers. Pieces are told apart by a
-64-bit hash; tests compare the ids with those of the whole text."""
+hashing and joining work on whole byte buffers. Pieces are looked up by a
+64-bit hash and compared with the kept bytes; a piece that shares the hash of
+another is encoded afresh. Tests compare the ids with those of the whole text."""
 
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ from parley.llm import tokens as tk
 
 KEEP = 2_000_000
 CHUNK = 4 << 20
+COMPARE = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x0A]] = True
@@ -59,19 +61,41 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted hashes, with the place and number of their ids
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, self.dtype)
-
-    def _learn(self, new: np.ndarray, words: list[str]) -> None:
-        """Encode words (new: their sorted hashes) and keep their ids."""
-        ids = [np.array(e.ids, self.dtype) for lo in range(0, len(words), 4096)
-               for e in self.tokenizer.encode_batch_fast(words[lo:lo + 4096], add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, *ids])
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, with the number of their piece
+        self.ids_at, self.flat = np.zeros(1, np.int64), np.zeros(0, self.dtype)  # ids of the pieces and their borders
+        self.text_at, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)  # bytes of the pieces and their borders
+
+    def _encoded(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for lo in range(0, len(words), 4096)
+                for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[lo:lo + 4096]], add_special_tokens=False)]
+
+    def _learn(self, new: np.ndarray, words: list[bytes]) -> None:
+        """Encode words (new: their sorted hashes) and keep their ids and bytes."""
+        ids = self._encoded(words)
         where = np.searchsorted(self.known, new)
-        self.known, self.at, self.size = (np.insert(old, where, got) for old, got in ((self.known, new), (self.at, at), (self.size, size)))
+        self.slot = np.insert(self.slot, where, len(self.known) + np.arange(len(new), dtype=np.int32))
+        self.known = np.insert(self.known, where, new)
+        self.ids_at = np.append(self.ids_at, self.ids_at[-1] + np.cumsum([len(x) for x in ids]))
+        self.flat = np.concatenate([self.flat, *ids])
+        self.text_at = np.append(self.text_at, self.text_at[-1] + np.cumsum([len(w) for w in words]))
+        self.text = np.append(self.text, np.frombuffer(b"".join(words), np.uint8))
+
+    def _strangers(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Places of the pieces whose bytes are not the kept ones of ``slot``."""
+        at, size = self.text_at[slot], e - s
+        equal = self.text_at[slot + 1] - at == size
+        out, same = [np.flatnonzero(~equal)], np.flatnonzero(equal)
+        ends, lo = np.cumsum(size[same]), 0
+        while lo < len(same):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + COMPARE, side="right")))
+            k = same[lo:hi]
+            n = size[k]
+            stop = np.cumsum(n)
+            byte = np.arange(stop[-1])
+            differ = data[byte + np.repeat(s[k] - stop + n, n)] != self.text[byte + np.repeat(at[k] - stop + n, n)]
+            out.append(k[np.unique(np.searchsorted(stop, np.flatnonzero(differ), side="right"))])
+            lo = hi
+        return np.concatenate(out)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a UTF-8 buffer, and their number in each row."""
@@ -83,11 +107,18 @@ class Encoder:
         fresh = self.known[place] != found if len(self.known) else np.ones(len(found), bool)
         if fresh.any():
             raw = data.tobytes()
-            self._learn(found[fresh], [raw[a:b].decode() for a, b in zip(s[first[fresh]].tolist(), e[first[fresh]].tolist())])
+            self._learn(found[fresh], [raw[a:b] for a, b in zip(s[first[fresh]].tolist(), e[first[fresh]].tolist())])
             place = np.searchsorted(self.known, found)
-        at, size = self.at[place][back], self.size[place][back]
+        slot = self.slot[place][back]
+        at, size, flat = self.ids_at[slot], self.ids_at[slot + 1] - self.ids_at[slot], self.flat
+        other = self._strangers(data, s, e, slot)
+        if len(other):
+            own = self._encoded([data[a:b].tobytes() for a, b in zip(s[other].tolist(), e[other].tolist())])
+            size[other] = [len(x) for x in own]
+            at[other] = len(flat) + np.cumsum(size[other]) - size[other]
+            flat = np.concatenate([flat, *own])
         out = np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)
-        return self.flat[out], np.bincount(row, weights=size, minlength=len(offsets) - 1).astype(np.int64)
+        return flat[out], np.bincount(row, weights=size, minlength=len(offsets) - 1).astype(np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of width ``dtype``."""

@@ -25,6 +25,18 @@ def test_pieces_give_the_ids_of_the_whole_text(path, cut):
         assert np.frombuffer(got, enc.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+@pytest.mark.parametrize("path,cut", [(WORD, "word"), (BYTE, "spaced")])
+def test_words_of_equal_hash_get_their_own_ids(path, cut):
+    word = "a"
+    while len(word) < 1024:  # Thue-Morse: the polynomial hash of the complement is the same
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    whole, enc = Tokenizer.from_file(path), Encoder(path, cut)
+    for texts in ([f"x {word} {other} y"], [f"{other} z", f" {word}", "end"], [f"{other}\n {other} {word}"]):
+        for t, got in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(got, enc.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("length", [2048, 7])
 def test_pack_covers_every_id_once(spark, length):
     rows = odd_documents()
