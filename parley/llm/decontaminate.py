@@ -8,7 +8,7 @@ removal spans. Documents longer than a shard are indexed in pieces that overlap
 by a phrase, so memory does not depend on the longest document.
 
 The phrases go to the tasks in blocks of at most ``BLOCK`` words (the bound of
-what is sent): one pass over the documents per block, results of several
+what is sent; a longer item is dealt over several blocks): one pass over the documents per block, results of several
 passes are merged by row. A benchmark that fits in one block needs no shuffle.
 
 Words are compared by a 64-bit hash.
@@ -50,7 +50,12 @@ def word_hashes(text: str) -> np.ndarray:
 def phrase_blocks(items: Iterator[tuple[str, str]], window: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
     """Blocks of (phrases as rows of word hashes, their lengths' mask as zeros
     in front, item of each phrase)."""
-    rows, who, names, size = [], [], [], 0
+    rows, who, names, held = [], [], [], 0
+    room = max(1, limit // window)
+
+    def block():
+        return np.concatenate([r for r, _ in rows]), np.concatenate([u for _, u in rows]), np.concatenate(who), names
+
     for name, text in items:
         h = word_hashes(text)
         if not len(h):
@@ -60,17 +65,20 @@ def phrase_blocks(items: Iterator[tuple[str, str]], window: int, limit: int) ->
             got[0, window - len(h):] = h
         else:
             got = np.lib.stride_tricks.sliding_window_view(h, window)
-        # Zero marks the unused front places; no word hashes to it in practice, and a shorter row is told by ``used``.
-        used = np.full(len(got), min(len(h), window))
-        rows.append((got, used))
-        who.append(np.full(len(got), len(names)))
-        names.append(name)
-        size += got.size
-        if size >= limit:
-            yield np.concatenate([r for r, _ in rows]), np.concatenate([u for _, u in rows]), np.concatenate(who), names
-            rows, who, names, size = [], [], [], 0
+        lo = 0
+        while lo < len(got):
+            part = got[lo:lo + room - held]
+            # Zero marks the unused front places; no word hashes to it in practice, and a shorter row is told by ``used``.
+            rows.append((part, np.full(len(part), min(len(h), window))))
+            who.append(np.full(len(part), len(names)))
+            names.append(name)
+            held += len(part)
+            lo += len(part)
+            if held >= room:
+                yield block()
+                rows, who, names, held = [], [], [], 0
     if rows:
-        yield np.concatenate([r for r, _ in rows]), np.concatenate([u for _, u in rows]), np.concatenate(who), names
+        yield block()
 
 
 def shards(counts: np.ndarray, size: int, overlap: int) -> Iterator[list[tuple[int, int]]]:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from parley.llm.decontaminate import cut_spans, decontamination, find_benchmark
+from parley.llm.decontaminate import cut_spans, decontamination, find_benchmark, phrase_blocks, word_hashes
 from parley.llm.fm_index import FMIndex, WaveletMatrix, suffix_array
 from tests.llm.helpers import driver, frame, odd_documents, words
 
@@ -54,6 +54,19 @@ def test_decontamination_equals_brute_force(spark):
         assert sorted((tuple(r) for r in got), key=str) == want, options
 
 
+def test_long_items_are_dealt_over_blocks():
+    rng = random.Random(8)
+    items = [("a", "one two"), ("b", words(rng, 500)), ("c", words(rng, 30)), ("d", words(rng, 100))]
+    want = []
+    for name, text in items:
+        h = word_hashes(text).tolist()
+        want += [(name, tuple(h[i:i + 10])) for i in range(max(1, len(h) - 9))]
+    blocks = list(phrase_blocks(iter(items), 10, 200))
+    assert all(phrases.size <= 200 for phrases, *_ in blocks)
+    assert [(names[w], tuple(p[10 - u:].tolist())) for phrases, used, who, names in blocks
+            for p, u, w in zip(phrases, used, who)] == want
+
+
 def test_driver_tables(spark):
     docs = [(d["doc_id"], d["text"]) for d in driver("documents")]
     items = [(b["item_id"], b["text"]) for b in driver("benchmark")]
