@@ -50,4 +50,35 @@ ORACLES: dict[str, str] = {
                row_number() OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) = 1 AS kept,
                sha256(norm) AS text_sha256
         FROM d""",
+    "op11_lexical_search": rf"""
+        WITH words AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents),
+        counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+        lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+        corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM lengths),
+        margins AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // length) AS m FROM lengths, corpus),
+        weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+                    FROM counts, corpus GROUP BY term, docs),
+        pairs AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+        scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+                   FROM pairs JOIN weights USING (term) JOIN counts USING (term) JOIN margins USING (doc_id) GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place, doc_id, score
+                   FROM scores WHERE score > 0)
+        SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT id, label, unnest(q) AS x, unnest(range(len(q))) AS i FROM v),
+        anchors AS (SELECT * FROM parts WHERE id % 100 = 0),
+        scores AS (SELECT a.id AS anchor, a.label AS own, b.id AS id, b.label AS label, CAST(sum(a.x * b.x) AS BIGINT) AS score
+                   FROM anchors AS a JOIN parts AS b USING (i) WHERE a.id <> b.id GROUP BY ALL),
+        positives AS (SELECT anchor, id, score FROM scores WHERE own = label
+                      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+        ranked AS (SELECT p.anchor AS anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                          row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS place
+                   FROM positives AS p JOIN scores AS n ON n.anchor = p.anchor AND n.own <> n.label
+                   AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+        SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE place <= 5""",
 }

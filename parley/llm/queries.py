@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chat, decontaminate, exact_dedup, licences, lm_score, packing, quality_crf, simhash, token_files, toxicity
+from parley.llm import (chat, decontaminate, exact_dedup, hard_negatives, lexical_search, licences, lm_score, packing, quality_crf,
+                        sentence_pieces, simhash, token_files, toxicity)
 from parley.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,22 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentence_pieces.sentence_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return sentence_pieces.piece_digests(encoded)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids divisible by 7 get the next label first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_pitman_yor, op2_concatenate_and_cut, op3_toxicity, op4_decontamination, op5_chat_formatting, op6_exact_dedup,
-    op7_simhash_near_dedup, op8_token_files, op9_quality, op10_licence_scan)}
+    op7_simhash_near_dedup, op8_token_files, op9_quality, op10_licence_scan, op11_lexical_search,
+    op12_sentence_pieces, op13_hard_negatives)}
