@@ -1,46 +1,46 @@
 """Document matching (JN-4..7, AG-8, ST-2, ST-3, AG-11).
 
-Two rankers, both exact and both pruned by upper bounds. For topics against
-document heads the bound depends only on string lengths; for transcripts
-against file names it also counts the name characters that occur in the
-transcript at all. The ratio of two strings of lengths ``la`` and ``lb``
-can never exceed ``2*min(la, lb) / (la + lb)`` (matched characters cannot
-exceed the shorter string), with or without the matcher's autojunk rule,
-and every float step after it (x100, in-order sums, the mean, rounding) is
+Two rankers, both exact and both pruned by upper bounds on matched characters.
+Every float step after the bound (x100, in-order sums, the mean, rounding) is
 monotonic, so a bound computed with the same operations is never below the
-real score.
-
-Plan, per ranker:
-
-1. round 1: for each query, score a few candidates with the best bounds
-   (at most ``probe`` per query) to learn the k-th best real score;
-2. round 2: score only candidates whose bound reaches that score (ties at
-   the bound are kept, since corpus order or name breaks ties);
-3. keep the top ``k`` per query with ``row_number`` (``WindowGroupLimit``).
-
-Topic candidates meet documents through equi-joins on length, never
-through a cross join: each meeting enumerates only the interval of lengths
-whose bound can still reach its threshold. Name candidates are the files of
-each transcript's detected sectors (an equi-join on sector), grouped by
-masked name before any Python work. A length that holds a large share of
-all documents is a hot join key; AQE's skew join splits it, and the probes
-take only the first few documents of each length.
+real score. Neither ranker writes pairs of its two sides:
+
+* topics against document heads: meetings with the same topics are one list.
+  Lists go to the tasks in blocks, and each task walks its documents, shortest
+  first. A document is scored against a list only if the letters they share
+  could bring it among the list's best so far; a task returns ``k`` rows a list;
+* transcripts against file names: per group of transcripts that hold the same
+  catalog characters, names stream by in the order of their bound, and each
+  transcript stops listening when no later name can reach its ``k`` best.
 """
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parley.functions.similarity import name_ratio, sequence_ratio
+from parley.functions.similarity import name_ratio, name_score, ratio, sequence_ratio
 from parley.functions.text import clean_text, head_chars, summarize
-from parley.session import dealt, ensure_checkpoint_dir
+from parley.operators.ordering import positioned
+from parley.session import dealt, stored
 
-# Characters of a document compared with topics, documents
-# kept per meeting, and how many candidates the first round probes.
+# Characters of a document compared with topics, and documents
+# kept per meeting.
 HEAD_CHARS = 2000
 TOP_K = 2
-PROBE = 8
+# Documents per topic list that give the first thresholds; topic lists sent to the
+# tasks at once; documents bounded together; transcripts that names stream past together.
+PROBE = 4
+LISTS = 4096
+DOCUMENTS = 512
+GROUP = 256
 
 
 def prepare_documents(corpus: DataFrame, head: int = HEAD_CHARS) -> DataFrame:
@@ -57,18 +57,6 @@ def numbered(corpus: DataFrame) -> DataFrame:
     return corpus if "ordinal" in corpus.columns else corpus.withColumn("ordinal", F.struct("sector", "name"))
 
 
-def _pair_bound(l: Column, L: Column) -> Column:
-    # 2.0 * min / total, as difflib computes its ratio; 1.0 for two empties.
-    total = l + L
-    return F.when(total == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.least(l, L) / total)
-
-
-def _mean_bound(lens: Column, L: Column) -> Column:
-    """Mean over topics (in topic order) of 100 x the pair bound."""
-    s = F.aggregate(lens, F.lit(0.0), lambda acc, l: acc + _pair_bound(l, L) * F.lit(100.0))
-    return s / F.size(lens)
-
-
 def _score_pairs(pairs: DataFrame, meet: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """Exact mean topic score for ``pairs (key, ordinal)``.
 
@@ -93,8 +81,204 @@ def _rank(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id",
-                    k: int = TOP_K, probe: int = PROBE) -> DataFrame:
+def topic_lists(topics: DataFrame, key: str) -> DataFrame:
+    """``(key, ts)``: each meeting's lower-cased topics in order."""
+    return (topics.filter(F.col("topic").isNotNull())
+            .groupBy(key)
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), F.lower("topic").alias("tl")))).alias("ts"))
+            .select(key, F.transform("ts", lambda t: t["tl"]).alias("ts")))
+
+
+def _order(ordinal) -> tuple:
+    """Sorts ordinals (numbers, or structs as dicts) as Spark does, nulls first."""
+    parts = ordinal.values() if isinstance(ordinal, dict) else (ordinal,)
+    return tuple((p is not None, p) if p is not None else (False,) for p in parts)
+
+
+class _Letters:
+    """Counts the letters of an alphabet in texts."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.alphabet = np.unique(np.concatenate([np.zeros(0, np.uint32), *map(_points, texts)]))
+
+    def counts(self, text: str) -> np.ndarray:
+        p, size = _points(text), len(self.alphabet)
+        if not size:
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.alphabet, p), size - 1)
+        return np.bincount(at[self.alphabet[at] == p], minlength=size)
+
+
+class _Lists(_Letters):
+    """A block of topic lists and each list's best documents so far."""
+
+    def __init__(self, lists: list[list[str]], k: int, start: dict[int, tuple[float, tuple]]) -> None:
+        self.k, self.start = k, start
+        self.topics = sorted({t for ts in lists for t in ts})
+        number = {t: i for i, t in enumerate(self.topics)}
+        self.lists = [[number[t] for t in ts] for ts in lists]
+        self.size = np.array([len(ts) for ts in lists])
+        self.at = np.zeros((len(lists), max(self.size)), np.int64)
+        for i, ts in enumerate(self.lists):
+            self.at[i, :len(ts)] = ts
+        self.length = np.array([len(t) for t in self.topics], np.int64)
+        super().__init__(self.topics)
+        self.letters = np.stack([self.counts(t) for t in self.topics])
+        self.best: list[list[tuple]] = [[] for _ in lists]
+        self.least = np.array([start[i][0] if i in start else -1.0 for i in range(len(lists))])
+
+    def mean(self, which: np.ndarray, shared: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Lists x documents: the mean of 100 x ratio if ``shared`` (topics x
+        documents) characters of each topic matched."""
+        total = self.length[:, None] + lengths
+        pair = np.where(total == 0, 1.0, 2.0 * shared / np.maximum(total, 1)) * 100.0
+        out = np.zeros((len(which), len(lengths)))
+        for j in range(self.at.shape[1]):
+            has = self.size[which] > j
+            out[has] += pair[self.at[which[has], j]]
+        return out / self.size[which][:, None]
+
+    def reachable(self, texts: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, documents and bounds (lists x documents) that can still reach
+        a list's best: by length, and then by the letters both sides hold."""
+        every = np.arange(len(self.lists))
+        sizes, back = np.unique(lengths, return_inverse=True)
+        open_ = self.mean(every, np.minimum(self.length[:, None], sizes), sizes) >= self.least[:, None]
+        which = np.flatnonzero(open_.any(axis=1))
+        docs = np.flatnonzero(open_.any(axis=0)[back])
+        if not len(which) or not len(docs):
+            return which[:0], docs[:0], np.zeros((0, 0))
+        held = np.stack([self.counts(texts[d]) for d in docs])
+        shared = np.zeros((len(self.topics), len(docs)), np.float32)
+        for n in range(1, int(self.letters.max(initial=0)) + 1):
+            shared += (self.letters >= n).astype(np.float32) @ (held >= n).astype(np.float32).T
+        return which, docs, self.mean(which, shared.astype(np.float64), lengths[docs])
+
+    def promise(self, texts: list[str], ordinals: list, lengths: np.ndarray, n: int) -> None:
+        """Take a batch of documents, keeping each list's ``n`` best bounds."""
+        which, docs, bounds = self.reachable(texts, lengths)
+        for i, bound in zip(which.tolist(), bounds):
+            use = np.flatnonzero(bound > self.least[i])
+            if len(use):
+                use = use[np.argsort(-bound[use], kind="stable")[:n]]
+                self.best[i] = sorted([*self.best[i], *((-bound[d], _order(ordinals[docs[d]]), ordinals[docs[d]]) for d in use.tolist())],
+                                      key=lambda x: x[:2])[:n]
+                if len(self.best[i]) == n:
+                    self.least[i] = -self.best[i][-1][0]
+
+    def score(self, i: int, text: str) -> float:
+        total = 0.0
+        for t in self.lists[i]:
+            total += ratio(self.topics[t], text) * 100.0
+        return total / len(self.lists[i])
+
+    def _last(self, i: int) -> tuple | None:
+        """What a document must not stand behind: (-score, order)."""
+        own = [(x[0], x[1]) for x in self.best[i][self.k - 1:]]
+        return min(own + [(-self.start[i][0], self.start[i][1])] if i in self.start else own, default=None)
+
+    def offer(self, texts: list[str], ordinals: list, lengths: np.ndarray) -> int:
+        """Take a batch of documents; returns the number of ratios computed."""
+        which, docs, bounds = self.reachable(texts, lengths)
+        order, known = [_order(ordinals[d]) for d in docs], {}
+        place = np.empty(len(docs), np.int64)
+        place[sorted(range(len(docs)), key=order.__getitem__)] = np.arange(len(docs))
+        for i, bound in zip(which.tolist(), bounds):
+            best, use, last = self.best[i], np.flatnonzero(bound >= self.least[i]), self._last(i)
+            for d in use[np.lexsort((place[use], -bound[use]))].tolist():
+                if last and (-bound[d], order[d]) > last:
+                    break  # the later ones have smaller bounds or stand behind
+                score = 0.0
+                for t in self.lists[i]:
+                    r = known.get((t, d))
+                    if r is None:
+                        r = known[t, d] = ratio(self.topics[t], texts[docs[d]])
+                    score += r * 100.0
+                insort(best, (-(score / len(self.lists[i])), order[d], ordinals[docs[d]]), key=lambda x: x[:2])
+                del best[self.k:]
+                last = self._last(i)
+            if len(best) == self.k:
+                self.least[i] = max(self.least[i], -best[-1][0])
+        return len(known)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _in_tasks(docs: DataFrame, lists: list[list[str]], k: int, start: dict, take) -> DataFrame:
+    """``(place, ordinal, score)`` of each task's best documents; ``take(block,
+    texts, ordinals, lengths)`` handles a batch."""
+    kind = docs.schema["ordinal"].dataType
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("ordinal", kind), T.StructField("score", T.DoubleType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, arrow = None, None
+        for b in batches:
+            if block is None:
+                block, arrow = _Lists(lists, k, start), b.column(0).type
+            for lo in range(0, b.num_rows, DOCUMENTS):
+                part = b.slice(lo, DOCUMENTS)
+                take(block, part.column(1).to_pylist(), part.column(0).to_pylist(), part.column(2).to_numpy())
+        if block is not None:
+            rows = [(i, x[2], -x[0]) for i, best in enumerate(block.best) for x in best]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], arrow),
+                pa.array([r[2] for r in rows], pa.float64())], names=["place", "ordinal", "score"])
+
+    return docs.select("ordinal", "doc_l", "L").mapInArrow(find, schema)
+
+
+def best_documents(docs: DataFrame, lists: list[list[str]], k: int, start: dict[int, tuple[float, tuple]],
+                   scored: Accumulator | None = None) -> DataFrame:
+    """``(place, ordinal, score)``: the ``k`` best of each task's documents for
+    each list, the list's place being its number in ``lists``. ``start`` holds
+    scores (and orders) that ``k`` documents are known to reach; ``scored``
+    counts the ratios computed."""
+    def take(block: _Lists, *batch) -> None:
+        n = block.offer(*batch)
+        if scored is not None:
+            scored.add(n)
+
+    return _in_tasks(docs, lists, k, start, take)
+
+
+def first_scores(docs: DataFrame, lists: list[list[str]], n: int, k: int, scored: Accumulator | None = None) -> DataFrame:
+    """``(place, ordinal, score)`` of the ``n`` documents of each list that
+    promise most by their letters."""
+    n = max(n, k)
+    promised = _in_tasks(docs, lists, n, {}, lambda block, *batch: block.promise(*batch, n))
+    w = Window.partitionBy("place").orderBy(F.col("score").desc(), F.col("ordinal").asc())
+    # At most ``n`` rows a list: no more than lists x n are broadcast.
+    few = promised.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= n).select("place", "ordinal")
+    pairs = docs.join(F.broadcast(few), "ordinal").select("place", "ordinal", "doc_l")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Lists(lists, k, {})
+        for b in batches:
+            values = [block.score(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            if scored is not None:
+                scored.add(sum(len(block.lists[i]) for i in b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(values, pa.float64())], names=["place", "ordinal", "score"])
+
+    return pairs.mapInArrow(score, promised.schema)
+
+
+def _lengths_in_reach(lists: list[list[str]], start: dict[int, tuple[float, tuple]], max_len: int) -> tuple[int, int]:
+    """Head lengths that can reach some list's known score ``x``: the bound
+    grows up to the shortest topic length and falls beyond the longest, so they
+    lie in ``[x*min_l/(200-x), max_l*(200/x-1)]`` (widened by one)."""
+    low, high = max_len, 0
+    for i, ts in enumerate(lists):
+        x = start[i][0] if i in start else 0.0
+        short, long = min(map(len, ts)), max(map(len, ts))
+        low = min(low, int(x * short / (200.0 - x)) - 1)
+        high = max(high, max_len if x <= 0 else min(max_len, int(long * (200.0 / x - 1)) + 2))
+    return max(low, 0), high
+
+
+def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id", k: int = TOP_K, probe: int = PROBE,
+                    lists: int = LISTS, scored: Accumulator | None = None) -> DataFrame:
     """JN-6 + AG-8 + ST-3: top ``k`` documents per meeting by the mean over
     its topics of ``100 * ratio(topic, head)``.
 
@@ -104,77 +288,45 @@ def match_documents(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id
     topics gets no rows (the reference divides by zero). As in the
     reference, the ratio favours short documents.
 
-    The bound of a document depends only on its head length ``L``. It
-    grows with ``L`` up to the shortest topic length and falls beyond the
-    longest, so the lengths that can reach a score ``x`` lie in
-    ``[x*min_l/(200-x), max_l*(200/x-1)]``. Round 1 probes the lengths with
-    the best bounds; round 2 enumerates only that interval per meeting and
-    meets the documents by an equi-join on length."""
-    # The prepared heads feed several steps; a reliable checkpoint (written
-    # to the shared ``spark.checkpoint.dir``) prepares every head
-    # once and cuts the lineage, so a lost executor does not redo it.
-    ensure_checkpoint_dir(corpus.sparkSession)
+    Meetings with the same topics are matched once. The distinct lists, in
+    blocks of ``lists`` of similar length (the bound of what is sent to the
+    tasks), are compared with the heads where these lie: one pass finds the
+    ``probe`` documents of each list whose letters promise most, their scores
+    are the first thresholds, and a pass over the heads of the lengths that can
+    reach them finds each task's best."""
+    spark = topics.sparkSession
     corpus = numbered(corpus)
-    docs = (prepare_documents(dealt(corpus.select("ordinal", "text")))
-            .select("ordinal", "doc_l", "L").checkpoint())
+    docs = stored(prepare_documents(dealt(corpus.select("ordinal", "text"))).select("ordinal", "doc_l", "L")
+                  .sortWithinPartitions("L"), "heads")
+    meet = stored(topic_lists(topics, key), "topic-lists")
     max_len = docs.select(F.max("L")).first()[0]
-    if max_len is None:  # empty corpus
-        return topics.sparkSession.createDataFrame(
-            [], f"{key} {dict(topics.dtypes)[key]}, rank int, name string, "
-                f"ordinal {corpus.schema['ordinal'].dataType.simpleString()}, score double")
-    meet = (topics.filter(F.col("topic").isNotNull())
-            .withColumn("tl", F.lower(F.col("topic")))
-            .groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "tl")))
-                 .alias("ts"))
-            .withColumn("lens", F.transform("ts", lambda t: F.length(t["tl"])))
-            .withColumn("min_l", F.array_min("lens")).withColumn("max_l", F.array_max("lens"))
-            .withColumn("sig", F.array_join(F.col("lens"), ","))).checkpoint()
-
-    # Round 1: per topic-length signature, the ``probe`` best documents by
-    # bound (from the first ``probe`` documents of each length, a partial
-    # WindowGroupLimit on a possibly hot length).
-    wl = Window.partitionBy("L").orderBy("ordinal")
-    first_per_len = (docs.select("L", "ordinal").withColumn("i", F.row_number().over(wl))
-                     .filter(F.col("i") <= probe).drop("i"))
-    # All lengths that occur are looked at (a head has at most ``HEAD_CHARS``
-    # characters), so a corpus of long documents has probes as well.
-    sig_near = (meet.select("sig", "lens").distinct()
-                .select("sig", "lens", F.explode(F.sequence(F.lit(0), F.lit(max_len))).alias("L"))
-                .withColumn("bound", _mean_bound(F.col("lens"), F.col("L"))))
-    wd = Window.partitionBy("sig").orderBy(F.col("bound").desc(), F.col("ordinal").asc())
-    probe_docs = (sig_near.join(first_per_len, "L")
-                  .withColumn("i", F.row_number().over(wd)).filter(F.col("i") <= probe)
-                  .select("sig", "ordinal"))
-    r1_pairs = meet.select(key, "sig").join(probe_docs, "sig").select(key, "ordinal")
-    r1 = _score_pairs(r1_pairs, meet, docs, key)
-    kth = (_rank(r1, key, k).groupBy(key)
-           .agg(F.max(F.struct("rank", "score", "ordinal")).alias("last"), F.count(F.lit(1)).alias("n")))
-    # Fewer than k probed documents (the corpus has no more): no threshold.
-    thr = (meet.select(key, "lens", "min_l", "max_l").join(kth, key, "left")
-           .withColumn("x", F.when(F.col("n") >= k, F.col("last.score")).otherwise(F.lit(0.0)))
-           .withColumn("tie", F.when(F.col("n") >= k, F.col("last.ordinal"))))
-
-    # Round 2: lengths whose bound reaches x, then the documents of those
-    # lengths. The interval is widened by one on each side; the exact bound
-    # filter decides.
-    x = F.col("x")
-    lo = F.when(x <= 0, F.lit(0)).otherwise(
-        F.greatest(F.lit(0), F.floor(x * F.col("min_l") / (F.lit(200.0) - x)) - 1)).cast("int")
-    hi = F.when(x <= 0, F.lit(max_len)).otherwise(
-        F.least(F.lit(max_len), F.ceil(F.col("max_l") * (F.lit(200.0) / x - 1)) + 1)).cast("int")
-    cand_lens = (thr.select(key, "lens", "x", "tie", F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("L"))
-                 .withColumn("bound", _mean_bound(F.col("lens"), F.col("L")))
-                 .filter(F.col("bound") >= F.col("x")))
-    # A document whose bound only equals the k-th score must also precede that
-    # document to get ahead of it: of a hot length, few are left.
-    ahead = F.col("tie").isNull() | (F.col("bound") > F.col("x")) | (F.col("ordinal") <= F.col("tie"))
-    r2_pairs = cand_lens.join(docs.select("L", "ordinal"), "L").filter(ahead).select(key, "ordinal")
-    best = _rank(_score_pairs(r2_pairs, meet, docs, key), key, k)
-    return (best.join(corpus.select("ordinal", "name"), "ordinal")
+    ordinal = corpus.schema["ordinal"].dataType.simpleString()
+    found = spark.createDataFrame([], f"ts array<string>, ordinal {ordinal}, score double, rank int")
+    lens = F.transform("ts", lambda t: F.length(t))
+    distinct = positioned(meet.select("ts").distinct().select("ts", F.array_max(lens).alias("long"), F.array_min(lens).alias("short")),
+                          [("long", True), ("short", True), ("ts", True)])
+    top = Window.partitionBy("place").orderBy(F.col("score").desc(), F.col("ordinal").asc())
+
+    def ranked(df: DataFrame) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
+
+    n_lists = 0 if max_len is None else distinct.count()
+    for lo in range(0, n_lists, lists):
+        block = [r.ts for r in distinct.filter(F.col("position").between(lo + 1, lo + lists)).orderBy("position").collect()]
+        start = {r.place: (r.score, _order(_plain(r.ordinal)))
+                 for r in ranked(first_scores(docs, block, probe, k, scored)).filter(F.col("rank") == k).collect()}
+        low, high = _lengths_in_reach(block, start, max_len)
+        best = ranked(best_documents(docs.filter(F.col("L").between(low, high)), block, k, start, scored))
+        named = distinct.select("ts", (F.col("position") - (lo + 1)).alias("place"))
+        found = found.unionByName(stored(best.join(named, "place").select("ts", "ordinal", "score", "rank"), "matches"))
+    return (meet.join(found, "ts").join(corpus.select("ordinal", "name"), "ordinal")
             .select(key, F.col("rank").cast("int").alias("rank"), "name", "ordinal", "score"))
 
 
+def _plain(ordinal):
+    return ordinal.asDict() if hasattr(ordinal, "asDict") else ordinal
+
+
 def match_documents_bruteforce(topics: DataFrame, corpus: DataFrame, key: str = "meeting_id",
                                k: int = TOP_K) -> DataFrame:
     """Unpruned reference computation of :func:`match_documents`, for tests
@@ -227,9 +379,81 @@ def _present_in(present: Column, c: Column) -> Column:
     return F.instr(present, c) > 0
 
 
-def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
-                 key: str = "conv_id", k: int = TOP_K, probe: int = PROBE) -> DataFrame:
-    """JN-5 + ST-2: per transcript, the top ``k`` catalog files of its
+class _Listener:
+    """A transcript and the best names that have streamed past it."""
+
+    def __init__(self, key, text: str, k: int) -> None:
+        self.key, self.text, self.k = key, text, k
+        self.best: list[tuple[int, str]] = []
+        self.known: dict[str, int] = {}
+
+    def offer(self, names: list[str], probes: list[str], sizes: np.ndarray, letters: _Letters, held: np.ndarray, by_name: np.ndarray) -> int:
+        """Take a chunk of names; returns the number of ratios computed."""
+        la, before = len(self.text), len(self.known)
+        m = np.minimum(held, letters.counts(self.text)).sum(axis=1)
+        bound = np.rint(100.0 * (2.0 * m / np.maximum(la + sizes, 1))).astype(np.int64)
+        use = np.arange(len(names)) if len(self.best) < self.k else np.flatnonzero(bound >= -self.best[-1][0])
+        for i in use[np.lexsort((by_name[use], -bound[use]))].tolist():
+            if len(self.best) == self.k and (-int(bound[i]), names[i]) > self.best[-1]:
+                break
+            score = self.known.get(probes[i])
+            if score is None:
+                score = self.known[probes[i]] = name_score(self.text, probes[i]) if sizes[i] else 0
+            insort(self.best, (-score, names[i]))
+            del self.best[self.k:]
+        return len(self.known) - before
+
+
+def _stream_names(rows: DataFrame, key: str, k: int, scored: Accumulator | None) -> DataFrame:
+    """``rows`` sorted by group, transcripts (tag 0) before names (tag 1):
+    ``(key, sector, name, score)``, the ``k`` best of each transcript and sector."""
+    schema = T.StructType([rows.schema[key], T.StructField("sector", T.StringType()), T.StructField("name", T.StringType()),
+                           T.StructField("score", T.IntegerType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, listeners, kind = None, [], None
+
+        def results():
+            out = [(x.key, group[1], name, -score) for x in listeners for score, name in x.best]
+            return pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in out], kind), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.string()),
+                pa.array([r[3] for r in out], pa.int32())], names=[key, "sector", "name", "score"])
+
+        for b in batches:
+            kind = b.schema.field(key).type
+            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            at = list(zip(col["sig"].to_pylist(), col["sector"].to_pylist(), col["salt"].to_pylist(), col["tag"].to_pylist()))
+            lo = 0
+            while lo < len(at):
+                hi = next((i for i in range(lo + 1, len(at)) if at[i] != at[lo]), len(at))
+                if at[lo][:3] != group:
+                    if listeners:
+                        yield results()
+                    group, listeners = at[lo][:3], []
+                part = {n: c.slice(lo, hi - lo) for n, c in col.items()}
+                if at[lo][3] == 0:
+                    listeners += [_Listener(x, t, k) for x, t in zip(part[key].to_pylist(), part["tl"].to_pylist())]
+                else:
+                    names = part["name"].to_pylist()
+                    by_name = np.empty(len(names), np.int64)
+                    by_name[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+                    probes = part["probe"].to_pylist()
+                    letters = _Letters([p.replace(_ABSENT, "") if group[0] != _ABSENT else p for p in probes])
+                    held = np.stack([letters.counts(p) for p in probes])
+                    for x in listeners:
+                        n = x.offer(names, probes, part["lb"].to_numpy().astype(np.int64), letters, held, by_name)
+                        if scored is not None:
+                            scored.add(n)
+                lo = hi
+        if listeners:
+            yield results()
+
+    return rows.mapInArrow(find, schema)
+
+
+def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame, key: str = "conv_id", k: int = TOP_K,
+                 group: int = GROUP, scored: Accumulator | None = None) -> DataFrame:
+    """JN-4 + JN-5 + ST-2: per transcript, the top ``k`` catalog files of its
     detected sectors by ``name_ratio(lower(text), lower(name))``.
 
     ``transcripts``: ``(key, text)``; ``sectors``: ``(key, sector)``;
@@ -238,7 +462,7 @@ def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
     follows set iteration and is not reproducible. Returns
     ``(key, rank, sector, name, score)``.
 
-    Exact, without scoring every (transcript, file) pair:
+    Exact, and no table of transcripts x names is made:
 
     * a name character the transcript lacks can never be matched, so it is
       replaced by one placeholder without changing the ratio. What a
@@ -248,16 +472,15 @@ def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
     * names with the same masked form (numbering, dates) score the same
       against a transcript, so only the ``k`` smallest of each group can
       reach the top ``k`` (a partial ``WindowGroupLimit``);
-    * each remaining (transcript, masked name) is bounded (matched
-      characters cannot exceed the unmasked ones, nor the shorter string)
-      and scored in two rounds as in :func:`match_documents`;
-    * the Python matcher runs once per distinct (transcript, masked name).
-    """
-    ensure_checkpoint_dir(transcripts.sparkSession)
-    # Lower-cased transcripts feed every later step: written once to the
-    # shared checkpoint folder (cuts lineage, is lowered once).
-    t = (transcripts.select(key, F.lower(F.col("text")).alias("tl"))
-         .withColumn("la", F.length("tl"))).checkpoint()
+    * the names of a (signature, sector) are one list, those with the most
+      characters that can match first. It streams past the transcripts of
+      that signature, ``group`` of them at a time (a hot signature is dealt
+      over several copies of the list). A transcript asks the matcher only for
+      names whose letters (as often as the transcript holds them) could reach
+      its ``k`` best so far, and once per masked form; a task holds the texts
+      of one group."""
+    # Lower-cased transcripts feed every later step.
+    t = stored(transcripts.select(key, F.lower(F.col("text")).alias("tl")), "lowered")
     cat = (catalog.select("sector", "name").distinct()
            .withColumn("nl", F.lower(F.col("name"))).withColumn("lb", F.length("nl")))
     alphabet = cat.select(F.explode(_code_points(F.col("nl"))).alias("ch")).distinct()
@@ -266,68 +489,34 @@ def rank_by_name(transcripts: DataFrame, sectors: DataFrame, catalog: DataFrame,
     present = (t.select(key, F.explode(F.array_distinct(_code_points(F.col("tl")))).alias("ch"))
                .join(alphabet, "ch", "left_semi")
                .groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("ch")), "").alias("sig")))
-    # A transcript holding the placeholder itself is never masked.
-    tp = (t.select(key, "la", F.instr(F.col("tl"), F.lit(_ABSENT)).alias("nul"))
-          .join(present, key, "left")
-          .select(key, "la", F.when(F.col("nul") > 0, F.lit(None).cast("string"))
-                  .otherwise(F.coalesce("sig", F.lit(""))).alias("sig")))
-    ts = tp.join(sectors.select(key, "sector").distinct(), key)
+    # A transcript holding the placeholder itself is never masked: its
+    # signature is the placeholder alone, which no other signature holds.
+    signed = (t.select(key, (F.instr(F.col("tl"), F.lit(_ABSENT)) > 0).alias("nul")).join(present, key, "left")
+              .select(key, F.when(F.col("nul"), F.lit(_ABSENT)).otherwise(F.coalesce("sig", F.lit(""))).alias("sig")))
+    ts = stored(signed.join(sectors.select(key, "sector").distinct(), key), "signatures")
+    salts = ts.groupBy("sig", "sector").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts"))
 
     # Masked names per (signature, sector): only signatures that occur with
     # that sector, so the work grows with distinct signatures, not pairs.
-    sig_sector = ts.select("sig", "sector").distinct()
-    pts = _code_points(F.col("nl"))
-    kept_mask = F.transform(pts, lambda c: F.when(F.col("sig").isNull() | _present_in(F.col("sig"), c), c)
-                            .otherwise(F.lit(_ABSENT)))
-    named = (sig_sector.join(cat, "sector")
+    unmasked = F.col("sig") == F.lit(_ABSENT)
+    kept_mask = F.transform(_code_points(F.col("nl")),
+                            lambda c: F.when(unmasked | _present_in(F.col("sig"), c), c).otherwise(F.lit(_ABSENT)))
+    named = (salts.join(cat, "sector")
              .withColumn("probe", F.array_join(kept_mask, ""))
-             .withColumn("kept", F.size(F.filter(kept_mask, lambda c: c != F.lit(_ABSENT)))))
+             .withColumn("kept", F.when(unmasked, F.col("lb")).otherwise(F.size(F.filter(kept_mask, lambda c: c != F.lit(_ABSENT))))))
     wg = Window.partitionBy("sig", "sector", "probe").orderBy("name")
-    groups = (named.withColumn("i", F.row_number().over(wg)).filter(F.col("i") <= k)
-              .select("sig", "sector", "name", "probe", "lb", "kept"))
-
-    total = F.col("la") + F.col("lb")
-    m = F.least(F.col("kept"), F.col("la"), F.col("lb"))
-    bound = F.when((F.col("la") == 0) | (F.col("lb") == 0), F.lit(0)).otherwise(
-        F.bround(F.lit(100.0) * (F.lit(2.0) * m / total), 0).cast("int"))
-    cands = ts.join(groups, ["sig", "sector"]).select(key, "sector", "name", "probe", bound.alias("bound"))
-    # Signature NULL (transcript holds the placeholder): the join above
-    # drops it, so such transcripts pair with their plain names here.
-    plain = (ts.filter(F.col("sig").isNull()).join(cat, "sector")
-             .select(key, "sector", "name", F.col("nl").alias("probe"),
-                     F.when((F.col("la") == 0) | (F.col("lb") == 0), F.lit(0)).otherwise(
-                         F.bround(F.lit(100.0) * (F.lit(2.0) * F.least("la", "lb") / (F.col("la") + F.col("lb"))), 0)
-                         .cast("int")).alias("bound")))
-    # Both rounds read the candidates; materialise them once.
-    cands = cands.unionByName(plain).checkpoint()
-
-    def score_probes(kp: DataFrame) -> DataFrame:
-        # One matcher call per distinct (transcript, masked name).
-        return (kp.join(t.select(key, "tl"), key).sortWithinPartitions(key)
-                .select(key, "probe", name_ratio(F.col("tl"), F.col("probe")).alias("score")))
-
-    order = [F.col("score").desc(), F.col("name").asc(), F.col("sector").asc()]
-    wr = Window.partitionBy(key).orderBy(*order)
-    # Round 1: the best-bound candidates, smallest names first. Their
-    # scores are materialised once and reused by round 2.
-    wp = Window.partitionBy(key).orderBy(F.col("bound").desc(), F.col("name").asc(), F.col("sector").asc())
-    r1_pairs = cands.withColumn("i", F.row_number().over(wp)).filter(F.col("i") <= probe).drop("i")
-    r1_scores = score_probes(r1_pairs.select(key, "probe").distinct()).checkpoint()
-    r1 = (r1_pairs.join(r1_scores, [key, "probe"]).select(key, "sector", "name", "score")
-          .withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k))
-    kth = (r1.groupBy(key).agg(F.max(F.struct("rank", "score", "name", "sector")).alias("x"),
-                               F.count(F.lit(1)).alias("n"))
-           .select(key, F.when(F.col("n") >= k, F.col("x")).alias("kth")))
-    # Round 2: candidates that can still beat the k-th probed one; only
-    # masked names not scored in round 1 go to the matcher.
-    cand = cands.join(kth, key, "left").filter(
-        F.col("kth").isNull() | (F.col("bound") > F.col("kth.score"))
-        | ((F.col("bound") == F.col("kth.score"))
-           & (F.struct("name", "sector") <= F.struct(F.col("kth.name"), F.col("kth.sector")))))
-    cand = cand.select(key, "sector", "name", "probe")
-    fresh = cand.select(key, "probe").distinct().join(r1_scores.select(key, "probe"), [key, "probe"], "left_anti")
-    scores = r1_scores.unionByName(score_probes(fresh))
-    best = (cand.join(scores, [key, "probe"]).select(key, "sector", "name", "score")
+    names = (named.withColumn("i", F.row_number().over(wg)).filter(F.col("i") <= k)
+             .select("sig", "sector", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("tag"),
+                     "name", "probe", "lb", "kept"))
+    dealt_out = (ts.join(salts, ["sig", "sector"])
+                 .select(key, "sig", "sector", F.pmod(F.xxhash64(key), "salts").cast("int").alias("salt"), F.lit(0).alias("tag"))
+                 .join(t, key))
+    n = int(transcripts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (dealt_out.unionByName(names, allowMissingColumns=True)
+            .repartition(n, "sig", "sector", "salt")
+            .sortWithinPartitions("sig", "sector", "salt", "tag", F.col("kept").desc(), "lb", "name"))
+    wr = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("name").asc(), F.col("sector").asc())
+    best = (_stream_names(rows, key, k, scored)
             .withColumn("rank", F.row_number().over(wr)).filter(F.col("rank") <= k))
     return best.select(key, F.col("rank").cast("int").alias("rank"), "sector", "name", "score")
 

@@ -122,8 +122,9 @@ def q_rule_followups(spark, sf_dir):
     """PL-1: the full 11-field follow-up record per transcript."""
     corpus = fx.corpus(spark, sf_dir)
     cache = corpus.filter(F.col("sector") == "Marketing").select("name", "text", "ordinal")
-    return flows.generate_followups(fx.transcripts(spark, sf_dir), corpus.select("sector", "name"), cache,
-                                    "conv_id", fx.fixture_words())
+    records = flows.generate_followups(fx.transcripts(spark, sf_dir), corpus.select("sector", "name"), cache,
+                                       "conv_id", fx.fixture_words())
+    return records.withColumn("schedule", F.to_json("schedule"))
 
 
 def q_plan_prompts(spark, sf_dir):
