@@ -9,8 +9,11 @@ symbol that is no piece falls back to its UTF-8 bytes. Decoding joins the
 pieces' bytes and takes the one space in front away again.
 
 No merge can cross two characters that no piece holds side by side, so a text
-is cut there and each distinct part is merged once per worker and kept (at most
-about ``KEEP_BYTES`` of parts). In each Arrow batch the sentencepiece library
+is cut there. The parts of the new words of a batch are merged together: row by
+row a table holds a part's symbols and the scores of its pairs, and each step
+merges every row's top pair. Parts of more than ``ROW`` characters have an
+agenda of their own, a heap. A word is merged once per worker and kept (at most
+about ``KEEP_BYTES`` of words). In each Arrow batch the sentencepiece library
 encodes and decodes the whole texts too; ``agrees`` says whether its ids and
 its text equal those of the agenda.
 
@@ -38,6 +41,8 @@ from parley.llm.encoding import Encoder
 SPACE = "▁"
 CHUNK = 2 << 20
 KEEP_BYTES = 32 << 20
+ROW = 24  # characters of a part that is merged in a table
+ROWS = 1 << 15  # parts merged together
 
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -66,14 +71,33 @@ class Vocabulary:
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         #: Characters that some piece holds side by side.
         self.touching = {a + b for piece in self.ids for a, b in zip(piece, piece[1:])}
+        self._touching = np.sort(np.array([ord(t[0]) << 21 | ord(t[1]) for t in self.touching] or [-1], np.int64))
+        # Symbols by number: pieces by id, other characters behind the ids.
+        self.first_other = len(model.pieces)
+        self.dtype = np.dtype("<u2" if self.first_other <= 1 << 16 else "<u4")
+        self.symbol = np.arange(0x110000, dtype=np.int32) + self.first_other
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
+        # All pairs of symbols that make a piece, the piece and its rank.
+        rank = {s: i for i, s in enumerate(sorted(set(self.score.values())))}
+        pairs = {}
+        for piece, i in self.ids.items():
+            for at in range(1, len(piece)):
+                x, y = self._number(piece[:at]), self._number(piece[at:])
+                if x is not None and y is not None:
+                    pairs[x << 32 | y] = i, rank[self.score[piece]]
+        self.pair = np.array(sorted(pairs) or [-1], np.int64)
+        self.made, self.rank = np.array([pairs[k] for k in sorted(pairs)] or [(0, -1)], np.int32).T
         self.shown = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else " ⁇ ".encode() if p.type == UNKNOWN
                       else b"" if p.type == CONTROL else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.opens = np.array([p.type == NORMAL and p.piece.startswith(SPACE) for p in model.pieces])
         self.silent = np.array([p.type == CONTROL for p in model.pieces])
         self.at = np.cumsum([0, *map(len, self.shown)])
         self.bytes = np.frombuffer(b"".join(self.shown), np.uint8)
-        self._parts: dict[str, list[int]] = {}
-        self._held = 0
+
+    def _number(self, text: str) -> int | None:
+        return int(self.symbol[ord(text)]) if len(text) == 1 else self.ids.get(text)
 
     def merged(self, text: str) -> list[str]:
         """The symbols left when the agenda of pairs is empty."""
@@ -95,28 +119,88 @@ class Vocabulary:
                     heappush(agenda, (-s, x, y, len(symbols[x]) + len(symbols[y])))
         return [s for s in symbols if s]
 
-    def part_ids(self, part: str) -> list[int]:
-        known = self._parts.get(part)
-        if known is None:
-            known = []
-            for s in self.merged(part):
-                i = self.ids.get(s)
-                known += [i] if i is not None else [self.byte_ids[b] for b in s.encode()]
-            if len(part) <= 64:
-                if self._held > KEEP_BYTES // 8:
-                    self._parts, self._held = {}, 0
-                self._parts[part] = known
-                self._held += len(part)
-        return known
-
-    def encode_escaped(self, text: str) -> list[int]:
-        """Ids of a text whose spaces are escaped, the one in front included."""
-        out, lo = [], 0
-        for i in range(1, len(text)):
-            if text[i - 1:i + 1] not in self.touching:
-                out += self.part_ids(text[lo:i])
-                lo = i
-        return out + self.part_ids(text[lo:]) if text else out
+    def _pairs(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece that two symbols make and its rank, -1 for none."""
+        key = x.astype(np.int64) << 32 | y
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        fits = (self.pair[at] == key) & (x >= 0) & (y >= 0)
+        return self.made[at], np.where(fits, self.rank[at], -1)
+
+    def merge_rows(self, rows: np.ndarray) -> np.ndarray:
+        """Parts as rows of symbols, filled with -1 (at least one in each row):
+        the symbols that are left, in the same form."""
+        out, left, column = rows.copy(), np.arange(len(rows)), np.arange(rows.shape[1])
+        made, rank = np.zeros_like(rows), np.full_like(rows, -1)
+        made[:, :-1], rank[:, :-1] = self._pairs(rows[:, :-1], rows[:, 1:])
+        while len(left):
+            top = rank.argmax(axis=1)  # the leftmost among equals
+            more = rank[np.arange(len(left)), top] >= 0
+            if not more.all():
+                out[left[~more]] = rows[~more]
+                left, rows, made, rank, top = left[more], rows[more], made[more], rank[more], top[more]
+            if not len(left):
+                break
+            each = np.arange(len(left))
+            rows[each, top] = made[each, top]
+            # The column behind the merged one goes; its pairs are looked up anew.
+            take = np.minimum(column + (column > top[:, None]), len(column) - 1)
+            rows, made, rank = (np.take_along_axis(m, take, axis=1) for m in (rows, made, rank))
+            rows[:, -1], rank[:, -1] = -1, -1
+            made[each, top], rank[each, top] = self._pairs(rows[each, top], rows[each, top + 1])
+            back = np.flatnonzero(top > 0)
+            at = top[back]
+            made[back, at - 1], rank[back, at - 1] = self._pairs(rows[back, at - 1], rows[back, at])
+        return out
+
+    def _spelled(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of flat symbols and the new row sizes: a symbol that is no piece
+        becomes its bytes."""
+        other = np.flatnonzero(symbols >= self.first_other)
+        if not len(other):
+            return symbols, sizes
+        spelled = [[self.byte_ids[b] for b in chr(c).encode()] for c in (symbols[other] - self.first_other).tolist()]
+        width = np.ones(len(symbols), np.int64)
+        width[other] = [len(x) for x in spelled]
+        out = np.repeat(symbols, width)
+        out[np.repeat(symbols >= self.first_other, width)] = [i for x in spelled for i in x]
+        ends = np.cumsum(sizes)
+        at = np.concatenate([[0], np.cumsum(width)])
+        return out, at[ends] - at[ends - sizes]
+
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of texts that are not empty and whose spaces are escaped, the one
+        in front included."""
+        size = np.array([len(w) for w in words], np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        flat = self.symbol[points]
+        key = points[:-1].astype(np.int64) << 21 | points[1:]
+        cut = np.ones(len(points), bool)
+        at = np.minimum(np.searchsorted(self._touching, key), len(self._touching) - 1)
+        cut[1:] = self._touching[at] != key
+        cut[np.cumsum(size)[:-1]] = True
+        start = np.flatnonzero(cut)
+        width = np.diff(np.append(start, len(points)))
+        symbols, held = flat.copy(), np.ones(len(points), bool)  # a part's symbols stand at its front
+        for low, high in ((1, 4), (4, 8), (8, 16), (16, ROW)):
+            parts = np.flatnonzero((width > low) & (width <= high))
+            for lo in range(0, len(parts), ROWS):
+                p = parts[lo:lo + ROWS]
+                column = np.arange(high + 1)
+                own = column < width[p][:, None]
+                place = np.minimum(start[p][:, None] + column, len(points) - 1)
+                rows = self.merge_rows(np.where(own, flat[place], -1))
+                symbols[place[own]] = rows[own]
+                held[place[own]] = rows[own] >= 0
+        for p in np.flatnonzero(width > ROW).tolist():
+            a, z = int(start[p]), int(start[p] + width[p])
+            done = [self._number(x) for x in self.merged(points[a:z].tobytes().decode("utf-32-le"))]
+            symbols[a:a + len(done)] = done
+            held[a + len(done):z] = False
+        kept = np.concatenate([[0], np.cumsum(held)])
+        ends = np.cumsum(size)
+        ids, sizes = self._spelled(symbols[held], kept[ends] - kept[ends - size])
+        ids, stop = ids.astype(self.dtype), np.cumsum(sizes).tolist()
+        return [ids[a:z] for a, z in zip([0, *stop], stop)]
 
     def _joined(self, ids: np.ndarray) -> bytes:
         size = self.at[ids + 1] - self.at[ids]
@@ -164,13 +248,13 @@ class PieceEncoder(Encoder):
 
     def __init__(self, path: str) -> None:
         self.words = Vocabulary(path)
-        self.dtype = np.dtype("<u2" if len(self.words.shown) <= 1 << 16 else "<u4")
+        self.dtype = self.words.dtype
         crossing = any(b == SPACE and a != SPACE for a, b in self.words.touching)
         self.cut = one_unit if crossing else escaped_units
         self._forget()
 
     def _encoded(self, words: list[bytes]) -> list[np.ndarray]:
-        return [np.array(self.words.encode_escaped(w.decode().replace(" ", SPACE)), self.dtype) for w in words]
+        return self.words.encode_words([w.decode().replace(" ", SPACE) for w in words]) if words else []
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a UTF-8 buffer, and their number in each row."""
