@@ -267,3 +267,28 @@ def plan_followups(prompts: DataFrame, key: str, infer: Callable[[str], str],
     replies = stored(apply_model(prompts, key, infer, concurrency), "plan-replies")
     parsed, rejected = parse_replies(replies, key, "map<string,string>", "plan")
     return parsed.select(key, F.col("reply").alias("followup_json")), rejected
+
+
+def offline_plans(transcripts: DataFrame, documents: DataFrame, key: str,
+                  words: rules.RuleWords = rules.DEFAULT_WORDS) -> DataFrame:
+    """LM-3 without a model: the rule record (RL-10) of each transcript ``(key,
+    text)`` in the JSON shape of a model's plan, ``(key, followup_json)``. The
+    first two messages carry the matched ``documents (key, rank, name,
+    summary)``; no rule finds mistakes, missed services or skill scores, so
+    these are empty."""
+    picks = documents.select(key, "rank", "name", F.col("summary").alias("description"))
+    subject = transcripts.select(F.col(key).alias("_key"), rules.topic_phrase("text", words).alias("subject"))
+    r = rules.build_followup_record(rules.classify_transcripts(transcripts.select(key, "text"), "text", words), picks, key)
+    r = r.join(subject, F.col(key).eqNullSafe(F.col("_key")))
+
+    def message(n: int) -> Column:
+        files = F.array().cast("array<struct<name:string,description:string>>")
+        if n <= 2:
+            name = F.col(f"selected_pdf_{n}")
+            files = F.when(name.isNotNull(), F.array(F.struct(name.alias("name"), F.col(f"pdf{n}_description").alias("description")))).otherwise(files)
+        return F.struct("subject", F.col(f"followup_{n}").alias("body"), files.alias("attachments")).alias(f"followup_{n}")
+
+    none = F.array().cast("array<string>")
+    return r.select(key, F.to_json(F.struct(
+        *[message(n) for n in range(1, 5)], none.alias("wrong_chat_or_action"), none.alias("missed_important_service"),
+        F.create_map().cast("map<string,string>").alias("sales_scoring"))).alias("followup_json"))

@@ -37,7 +37,8 @@ def model_flow(transcripts: DataFrame, corpus: DataFrame, key: str,
 
     Returns ``analysis``, ``documents`` (key, rank, name, summary),
     ``prompts``, ``rejected`` (the unusable replies of both calls with key,
-    stage, text and reason) and, when ``plan`` is given, ``plans``."""
+    stage, text and reason) and ``plans``: the model's, or without ``plan``
+    those of the rules."""
     analysis, rejected = inference.analyze(transcripts, key, analyze, words, concurrency)
     topics = analysis.select(key, F.posexplode("analysis.topics").alias("pos", "topic"))
     docs = matching.matched_summaries(matching.match_documents(topics, corpus, key=key), corpus)
@@ -47,6 +48,8 @@ def model_flow(transcripts: DataFrame, corpus: DataFrame, key: str,
     if plan is not None:
         out["plans"], bad = inference.plan_followups(prompts, key, plan, concurrency)
         out["rejected"] = rejected.unionByName(bad)
+    else:
+        out["plans"] = inference.offline_plans(transcripts.join(analysis.select(key), key, "left_semi"), out["documents"], key, words)
     return out
 
 
@@ -67,16 +70,14 @@ def meeting_rows(analysis: DataFrame, documents: DataFrame, plans: DataFrame, ke
 
 
 def ingest(existing: DataFrame, transcripts: DataFrame, agents: DataFrame, corpus: DataFrame, key: str,
-           analyze: Callable[[str], str] | None = None,
-           plan: Callable[[str], str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+           analyze: Callable[[str], str] | None = None, plan: Callable[[str], str] | None = None,
+           words: rules.RuleWords = rules.DEFAULT_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """PL-6 in batch: drop blank transcripts, run the model flow, and keep
     meetings whose id is not stored yet. Returns ``(saved, rejected,
     failed)``: append ``saved`` to the meetings table; ``rejected`` are rows
     with a stored id, ``failed`` the model replies that could not be used.
-    Without a ``plan`` callable (offline) every plan is empty."""
-    valid = meetings.valid_transcripts(transcripts)
-    run = model_flow(valid, corpus, key, analyze, plan)
-    plans = run.get("plans", valid.select(key, F.lit("{}").alias("followup_json")))
-    rows = meeting_rows(run["analysis"], run["documents"], plans, key, agents)
+    Without a ``plan`` callable the rules write the plans."""
+    run = model_flow(meetings.valid_transcripts(transcripts), corpus, key, analyze, plan, words)
+    rows = meeting_rows(run["analysis"], run["documents"], run["plans"], key, agents)
     cols = ["id", "sales_id", "meeting_ts", "analysis_json", "pdfs_json", "followup_json", "scoring_json"]
     return *meetings.save_meetings(existing, rows.select(*cols)), run["rejected"]

@@ -12,9 +12,10 @@ from parley import fixtures as fx
 from parley.functions import text as tx
 from parley.operators import inference, matching, meetings, outbox, rules, scoring
 from parley.operators.ordering import positioned
-from parley.session import dealt
+from parley.session import dealt, scratch, stored
 from parley.plans import flows
 from parley.sources import corpus as corpus_src
+from parley.streaming import ingest
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -256,6 +257,41 @@ def q_model_replies(spark, sf_dir):
     return ok.unionByName(bad)
 
 
+def q_ingested_meetings(spark, sf_dir):
+    """PL-6 without a model (LM-1, JN-6, LM-3, SNK-1): every conversation runs
+    through the flow; those of stored ids (texts with ``sch``) are refused."""
+    t = stored(fx.transcripts(spark, sf_dir), "transcripts")
+    agents = t.select("conv_id", (F.length("text") % 20).cast("string").alias("sales_id"),
+                      (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("conv_id").cast("int"))).alias("meeting_ts"))
+    kept = t.filter(F.contains("text", F.lit("sch"))).join(agents, "conv_id")
+    saved, rejected, _ = flows.ingest(meetings.stamp_meetings(kept.select("meeting_ts")).select("id"), t, agents, fx.corpus(spark, sf_dir), "conv_id",
+                                      words=fx.fixture_words())
+    both = saved.withColumn("copies", F.lit(0).cast("bigint")).unionByName(rejected)
+    return both.select("id", "sales_id", "analysis_json", "pdfs_json", "followup_json", "scoring_json", "copies")
+
+
+def q_streamed_arrivals(spark, sf_dir):
+    """STR-1: transcripts arrive as a stream of files; those of even length
+    arrive again with another text and are rejected."""
+    place = scratch(spark, "arrivals")
+    t = fx.transcripts(spark, sf_dir).select(F.col("conv_id").cast("string").alias("meeting_id"), "text")
+    t.repartition(4).write.parquet(f"{place}/in")
+    first = spark.read.schema(t.schema).parquet(f"{place}/in")
+    again = first.filter("length(text) % 2 = 0").select("meeting_id", F.concat(F.lit("blest: "), "text").alias("text"))
+    stored(again, "again").write.mode("append").parquet(f"{place}/in")
+    source = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
+
+    def build(batch):
+        return (rules.classify_transcripts(meetings.valid_transcripts(batch), "text", fx.fixture_words())
+                .select("meeting_id", "client_name", "objection", "topic_phrase"))
+
+    stream = ingest.stream_records(source, f"{place}/out", f"{place}/state", build, f"{place}/no", once=True)
+    stream.awaitTermination()
+    no = ingest.read_records(spark, f"{place}/no").groupBy("meeting_id").agg(F.count(F.lit(1)).alias("rejected"))
+    return (ingest.read_records(spark, f"{place}/out").join(no, "meeting_id", "left")
+            .select("meeting_id", "client_name", "objection", "topic_phrase", F.coalesce("rejected", F.lit(0)).alias("rejected")))
+
+
 def _conversation_ids(spark, sf_dir):
     return fx.table(spark, sf_dir, "conversations").select("conv_id").distinct()
 
@@ -418,4 +454,6 @@ QUERIES: dict[str, QueryFn] = {
     "plan_requests": q_plan_requests,
     "document_blocks": q_document_blocks,
     "followup_records": q_followup_records,
+    "ingested_meetings": q_ingested_meetings,
+    "streamed_arrivals": q_streamed_arrivals,
 }
