@@ -8,9 +8,10 @@ group every text is compared byte by byte with that of a representative. Rows
 that differ from it (a hash collision) form the next round, which picks a new
 representative, until every row has its class.
 
-Hot groups: counts and keepers are partial aggregates, and the joins carry
-one row per group on the other side, so AQE splits a group that holds a third
-of all rows. No group is ever gathered into one task.
+Hot groups: counts and keepers are partial aggregates. A group meets its
+representative in a join that Spark splits by size, and its keeper in parts of
+about ``PART`` rows, each with a copy of the keeper. No group is ever gathered
+into one task.
 
 Defined results: a null text is the empty text; empty texts equal each other;
 of rows with equal length the smallest id stays, a null id after all others;
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import WHITE, prepare, texts, written
 
+PART = 256
+
 
 def content_hash(text: Column) -> Column:
     """128-bit hash as 16 bytes."""
@@ -50,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # One pass over the texts: a row of a larger group keeps its bytes, any
     # other row only its digest.
     base = written(rows.join(many, "h", "left").select(
-        *row, F.monotonically_increasing_id().alias("uid"), "doc_id", "n_cp", "h",
+        *row, F.monotonically_increasing_id().alias("uid"), "doc_id", "n_cp", "h", F.ceil(F.col("n") / PART).alias("parts"),
         F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
         F.when(F.col("n").isNotNull(), F.col("norm")).alias("norm")), "dedup-rows")
     single = base.where("norm IS NULL").select(
@@ -61,7 +64,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         reps = left.groupBy("h").agg(F.min("uid").alias("uid"))
         reps = left.select("h", "uid", F.col("norm").alias("rep")).join(reps, ["h", "uid"]).select("h", "rep")
         compared = written(left.join(reps, "h").select(
-            *row, "uid", "doc_id", "n_cp", "h", "text_sha256", F.lit(turn).alias("turn"),
+            *row, "uid", "doc_id", "n_cp", "h", "parts", "text_sha256", F.lit(turn).alias("turn"),
             F.when(F.col("norm") != F.col("rep"), F.col("norm")).alias("norm")), "dedup-compared")
         found.append(compared.where("norm IS NULL").drop("norm"))
         left = compared.where("norm IS NOT NULL").drop("turn")
@@ -72,10 +75,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for f in found[1:]:
         same = same.unionByName(f)
     keepers = same.groupBy("h", "turn").agg(
-        F.count("*").alias("group_size"),
-        F.max(F.struct("n_cp", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("neg"),
-                       (-F.col("uid")).alias("row"))).alias("best"))
-    grouped = same.join(keepers, ["h", "turn"]).select(
-        *row, "doc_id", (-F.col("best.neg")).alias("keep_id"), "group_size",
-        (F.col("uid") == -F.col("best.row")).alias("kept"), "text_sha256")
+        F.count("*").alias("group_size"), F.max("parts").alias("parts"),
+        F.min(F.struct((-F.col("n_cp")).alias("size"), F.col("doc_id").isNull().alias("null"), "doc_id", "uid")).alias("best"))
+    keepers = keepers.select("h", "turn", "group_size", "best", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = same.withColumn("part", F.pmod("uid", "parts"))
+    grouped = dealt.join(keepers, ["h", "turn", "part"]).select(
+        *row, "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
+        (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256")
     return single.unionByName(grouped)

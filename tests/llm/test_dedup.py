@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from parley.llm import exact_dedup as module
 from parley.llm.exact_dedup import exact_dedup
 from parley.llm.simhash import BKTree, fingerprint, simhash_near_dedup
 from tests.llm.helpers import frame, odd_documents
@@ -40,6 +41,24 @@ def test_exact_dedup_empty(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_takes_text_ids_and_the_smallest_long(spark):
+    rows = [("b", "x y"), ("a", "xy"), ("a2", "x y"), (None, "x y"), ("c", "z")]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == {
+        "a": ("a2", 4, False), "a2": ("a2", 4, True), "b": ("a2", 4, False), None: ("a2", 4, False), "c": ("c", 1, True)}
+    least = -(1 << 63)
+    got = exact_dedup(spark.createDataFrame([(5, "q"), (least, "q"), (None, "q")], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in got} == {(5, least, False), (least, least, True), (None, least, False)}
+
+
+def test_exact_dedup_deals_out_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(module, "PART", 3)
+    rows = [(i, "same  text" if i % 3 else f"own {i}") for i in range(90)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 90 and {(r.keep_id, r.group_size) for r in got if r.doc_id % 3} == {(1, 60)}
+    assert [r.doc_id for r in got if r.kept and r.doc_id % 3] == [1]
+
+
 def votes(text):
     import xxhash
     w = (text or "").encode().lower().split()
