@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.match_sql import _SUMMARY, _TOPIC_PICKS
-from checks.oracle_sql import _CORPUS, _M3, _TRANSCRIPTS, ORACLES, TRANSCRIPT_RULES, _clean, _fill1, _message, _r
+from checks.oracle_sql import _CORPUS, _M3, _TRANSCRIPTS, ORACLES, TRANSCRIPT_RULES, _clean, _fill1, _message, _q, _r
 
 _RULED = TRANSCRIPT_RULES.replace("with ", "", 1).rsplit("select conv_id, client_name", 1)[0].split(_TRANSCRIPTS + ",", 1)[1]
 
@@ -38,4 +38,21 @@ select cast(conv_id as varchar) as meeting_id, client_name, objection, topic_phr
        cast(case when length(text) % 2 = 0 then 1 else 0 end as bigint) as rejected
 from c"""
 
-ORACLES.update({"ingested_meetings": INGESTED, "streamed_arrivals": ARRIVALS})
+
+
+def _replies() -> str:
+    from parley.operators import inference as _i
+    n = len(_i.ANALYSIS_SYSTEM + "\n\n" + _i.ANALYSIS_USER_PREFIX + _i.ANALYSIS_USER_SUFFIX)
+    return f"""
+with {_TRANSCRIPTS},
+twice as (select conv_id, text from fx_transcripts union all select -1 - conv_id, text from fx_transcripts),
+k as (select conv_id, text, text || {_q(_i.ANALYSIS_USER_SUFFIX)} as said,
+             case when contains(text, 'nicht') then 'call failed: RuntimeError: busy' when contains(text, 'sch') then 'not a JSON object' end as reason
+      from twice)
+select conv_id, reason, case when reason is null then substr(said, 1, 40) end as summary,
+       case when reason is null then substr(said, 1, 5) || '|' || cast(length(text) + {n} as varchar) end as topics,
+       cast(case when reason is null then 1 else 2 end as bigint) as attempts
+from k"""
+
+
+ORACLES.update({"stored_replies": _replies(), "ingested_meetings": INGESTED, "streamed_arrivals": ARRIVALS})

@@ -4,7 +4,9 @@ The reference calls a hosted chat model twice per meeting. Here the model is
 an injected callable ``infer(prompt: str) -> str`` applied with
 ``mapInPandas`` (one Python worker per task, rows streamed in Arrow
 batches); the replies are written to a table first and then parsed, and
-what cannot be parsed comes back with its reason. Without a callable,
+what cannot be parsed comes back with its reason. The table is addressed by the
+request's hash: equal requests, and those of an earlier run, are sent once.
+Without a callable,
 an offline analyzer built from Spark expressions stands in: frequent words
 as topics, the rule objection, and the 40-word summary.
 """
@@ -15,13 +17,14 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions.text import summarize
 from parley.operators import rules
-from parley.session import stored
+from parley.session import scratch, stored
+from parley.sources.paths import exists
 
 # Words shorter than this are not topic candidates; topics per
 # meeting ("the 3 most important topics").
@@ -140,6 +143,56 @@ def reply_problem(reply: Column, error: Column, required: list[str]) -> Column:
     return problem
 
 
+# Requests sent between two commits of the reply table.
+WAVE = 10_000
+_LEDGER = "sha string, attempt int, reply string, error string, reason string"
+
+
+def reply_ledger(spark: SparkSession, path: str, stage: str) -> DataFrame:
+    """Every attempt of a stage kept under ``path``: the request's hash, the
+    number of the attempt, the raw reply or error, and the reason why it cannot
+    be used (NULL: it can)."""
+    folder = f"{path.rstrip('/')}/stage={stage}"
+    if not exists(spark, folder):
+        return spark.createDataFrame([], _LEDGER)
+    return spark.read.schema(_LEDGER).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def ask(prompts: DataFrame, key: str, infer: Callable[[str], str], path: str, stage: str, required: tuple[str, ...] | list[str] = (),
+        attempts: int = 1, concurrency: int = 1, wave: int = WAVE) -> DataFrame:
+    """The replies to ``(key, prompt)`` as ``(key, reply, error)``, from the
+    reply table under ``path``.
+
+    A request is addressed by the SHA-256 of its stage and text. Requests
+    without a usable reply and with fewer than ``attempts`` tries are sent, each
+    distinct text once, in waves of about ``wave`` that are committed one by
+    one: a run that is killed goes on behind its last wave, and a second run
+    sends nothing. A key gets the request's usable reply, or else the outcome
+    of its last try."""
+    spark = prompts.sparkSession
+    sha = F.when(F.col("prompt").isNotNull(), F.sha2(F.concat(F.lit(f"{stage}\n"), "prompt").cast("binary"), 256))
+    asked = stored(prompts.select(key, "prompt", sha.alias("sha")), "requests")
+    distinct = asked.filter("sha IS NOT NULL").groupBy("sha").agg(F.min("prompt").alias("prompt"))
+    good = F.col("reason").isNull()
+    for _ in range(attempts):
+        tried = reply_ledger(spark, path, stage).groupBy("sha").agg(F.max("attempt").alias("tries"), F.max(good).alias("done"))
+        todo = stored(distinct.join(tried, "sha", "left").filter(~F.coalesce("done", F.lit(False)) & (F.coalesce("tries", F.lit(0)) < attempts))
+                      .select("sha", "prompt", (F.coalesce("tries", F.lit(0)) + 1).alias("attempt")), "unanswered")
+        n = todo.count()
+        if not n:
+            break
+        waves = -(-n // wave)
+        for w in range(waves):
+            part = todo.filter(F.pmod(F.xxhash64("sha"), F.lit(waves)) == w) if waves > 1 else todo
+            got = apply_model(part, "sha", infer, concurrency).join(part.select("sha", "attempt"), "sha")
+            got = got.select("sha", "attempt", "reply", "error", reply_problem(F.col("reply"), F.col("error"), list(required)).alias("reason"))
+            got.write.mode("append").parquet(f"{path.rstrip('/')}/stage={stage}")
+    last = (reply_ledger(spark, path, stage).groupBy("sha")
+            .agg(F.max(F.struct(good.alias("good"), "attempt", "reply", "error")).alias("r")))
+    return (asked.join(last, "sha", "left")
+            .select(key, F.col("r.reply").alias("reply"), F.when(F.col("prompt").isNull(), F.lit("no prompt")).otherwise(F.col("r.error")).alias("error")))
+
+
 def parse_replies(replies: DataFrame, key: str, schema: str | T.StructType, stage: str = "",
                   required: tuple[str, ...] | list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """LM-4: parse model replies ``(key, reply, error)``. Returns ``(parsed,
@@ -156,16 +209,19 @@ def no_rejects(df: DataFrame, key: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], f"{key} {dict(df.dtypes)[key]}, stage string, reply string, reason string")
 
 
-def analyze(transcripts: DataFrame, key: str, infer: Callable[[str], str] | None = None,
-            words: rules.RuleWords = rules.DEFAULT_WORDS, concurrency: int = 1) -> tuple[DataFrame, DataFrame]:
+def analyze(transcripts: DataFrame, key: str, infer: Callable[[str], str] | None = None, words: rules.RuleWords = rules.DEFAULT_WORDS,
+            concurrency: int = 1, replies: str | None = None, attempts: int = 1) -> tuple[DataFrame, DataFrame]:
     """LM-1 + LM-4: ``(key, analysis, analysis_json)`` and the rejected
     replies. ``analysis_json`` is the whole object the model returned, with
-    every key; ``analysis`` has the fields that later steps read."""
+    every key; ``analysis`` has the fields that later steps read. ``replies``
+    is the reply table's folder (:func:`ask`); without it equal requests are
+    still sent once, but later runs send them again."""
     if infer is None:
         a = offline_analysis(transcripts, key, words)
         return a.withColumn("analysis_json", F.to_json("analysis")), no_rejects(transcripts, key)
-    replies = stored(apply_model(analysis_prompts(transcripts, key), key, infer, concurrency), "analysis-replies")
-    parsed, rejected = parse_replies(replies, key, ANALYSIS_DDL, "analysis", ANALYSIS_FIELDS)
+    path = replies or scratch(transcripts.sparkSession, "replies")
+    got = ask(analysis_prompts(transcripts, key), key, infer, path, "analysis", ANALYSIS_FIELDS, attempts, concurrency)
+    parsed, rejected = parse_replies(got, key, ANALYSIS_DDL, "analysis", ANALYSIS_FIELDS)
     return parsed.select(key, F.col("value").alias("analysis"), F.col("reply").alias("analysis_json")), rejected
 
 
@@ -258,14 +314,13 @@ def plan_prompts(analysis: DataFrame, blocks: DataFrame, key: str, variant: str
     return j.select(key, F.concat(*[F.lit(p) if i % 2 == 0 else values[p] for i, p in enumerate(pieces)]).alias("prompt"))
 
 
-def plan_followups(prompts: DataFrame, key: str, infer: Callable[[str], str],
-                   concurrency: int = 1) -> tuple[DataFrame, DataFrame]:
+def plan_followups(prompts: DataFrame, key: str, infer: Callable[[str], str], concurrency: int = 1,
+                   replies: str | None = None, attempts: int = 1) -> tuple[DataFrame, DataFrame]:
     """LM-3 + LM-4: model plan per meeting as ``(key, followup_json)``; the
     plan is kept as JSON text (its keys are open). Returns
     ``(plans, rejected)``."""
-    # Written, so the model runs once whatever reads the two outputs.
-    replies = stored(apply_model(prompts, key, infer, concurrency), "plan-replies")
-    parsed, rejected = parse_replies(replies, key, "map<string,string>", "plan")
+    got = ask(prompts, key, infer, replies or scratch(prompts.sparkSession, "replies"), "plan", (), attempts, concurrency)
+    parsed, rejected = parse_replies(got, key, "map<string,string>", "plan")
     return parsed.select(key, F.col("reply").alias("followup_json")), rejected
 
 

@@ -31,22 +31,23 @@ def model_flow(transcripts: DataFrame, corpus: DataFrame, key: str,
                analyze: Callable[[str], str] | None = None,
                plan: Callable[[str], str] | None = None,
                words: rules.RuleWords = rules.DEFAULT_WORDS, concurrency: int = 1,
-               variant: str = "plan") -> dict[str, DataFrame]:
+               variant: str = "plan", replies: str | None = None, attempts: int = 1) -> dict[str, DataFrame]:
     """LM-5: analyze -> match documents on the topics -> summarise the
     chosen documents -> plan prompt -> plan, for every transcript at once.
 
     Returns ``analysis``, ``documents`` (key, rank, name, summary),
     ``prompts``, ``rejected`` (the unusable replies of both calls with key,
     stage, text and reason) and ``plans``: the model's, or without ``plan``
-    those of the rules."""
-    analysis, rejected = inference.analyze(transcripts, key, analyze, words, concurrency)
+    those of the rules. ``replies`` and ``attempts``: see
+    :func:`parley.operators.inference.ask`."""
+    analysis, rejected = inference.analyze(transcripts, key, analyze, words, concurrency, replies, attempts)
     topics = analysis.select(key, F.posexplode("analysis.topics").alias("pos", "topic"))
     docs = matching.matched_summaries(matching.match_documents(topics, corpus, key=key), corpus)
     prompts = inference.plan_prompts(analysis, matching.document_block(docs, key), key, variant)
     out = {"analysis": analysis, "documents": docs.select(key, "rank", "name", "summary"), "prompts": prompts,
            "rejected": rejected}
     if plan is not None:
-        out["plans"], bad = inference.plan_followups(prompts, key, plan, concurrency)
+        out["plans"], bad = inference.plan_followups(prompts, key, plan, concurrency, replies, attempts)
         out["rejected"] = rejected.unionByName(bad)
     else:
         out["plans"] = inference.offline_plans(transcripts.join(analysis.select(key), key, "left_semi"), out["documents"], key, words)
@@ -71,13 +72,14 @@ def meeting_rows(analysis: DataFrame, documents: DataFrame, plans: DataFrame, ke
 
 def ingest(existing: DataFrame, transcripts: DataFrame, agents: DataFrame, corpus: DataFrame, key: str,
            analyze: Callable[[str], str] | None = None, plan: Callable[[str], str] | None = None,
-           words: rules.RuleWords = rules.DEFAULT_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+           words: rules.RuleWords = rules.DEFAULT_WORDS, replies: str | None = None,
+           attempts: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """PL-6 in batch: drop blank transcripts, run the model flow, and keep
     meetings whose id is not stored yet. Returns ``(saved, rejected,
     failed)``: append ``saved`` to the meetings table; ``rejected`` are rows
     with a stored id, ``failed`` the model replies that could not be used.
     Without a ``plan`` callable the rules write the plans."""
-    run = model_flow(meetings.valid_transcripts(transcripts), corpus, key, analyze, plan, words)
+    run = model_flow(meetings.valid_transcripts(transcripts), corpus, key, analyze, plan, words, replies=replies, attempts=attempts)
     rows = meeting_rows(run["analysis"], run["documents"], run["plans"], key, agents)
     cols = ["id", "sales_id", "meeting_ts", "analysis_json", "pdfs_json", "followup_json", "scoring_json"]
     return *meetings.save_meetings(existing, rows.select(*cols)), run["rejected"]

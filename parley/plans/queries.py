@@ -3,6 +3,7 @@ over the whole driver tables (through the fixture views)."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -292,6 +293,34 @@ def q_streamed_arrivals(spark, sf_dir):
             .select("meeting_id", "client_name", "objection", "topic_phrase", F.coalesce("rejected", F.lit(0)).alias("rejected")))
 
 
+def fixture_model(prompt: str) -> str:
+    """Stands for the model: a request that holds ``sch`` gets a reply that is
+    cut off, one that holds ``nicht`` an error, others a whole analysis."""
+    if "nicht" in prompt:
+        raise RuntimeError("busy")
+    text = prompt.removeprefix(inference.ANALYSIS_SYSTEM + "\n\n" + inference.ANALYSIS_USER_PREFIX)
+    reply = json.dumps({"topics": [text[:5], str(len(prompt))], "fears": "", "objection": "none", "summary": text[:40]}, ensure_ascii=False)
+    return reply[:-4] if "sch" in prompt else reply
+
+
+def q_stored_replies(spark, sf_dir):
+    """LM-1 + LM-4 over a reply table: every conversation twice, under two
+    keys; a second run that allows one more try; a third that sends nothing.
+    ``attempts`` are the tries of the conversation's request."""
+    t = stored(fx.transcripts(spark, sf_dir), "transcripts")
+    both = t.unionByName(t.withColumn("conv_id", -1 - F.col("conv_id")))
+    path = scratch(spark, "replies")
+    for attempts in (1, 2, 2):
+        parsed, rejected = inference.analyze(both, "conv_id", fixture_model, replies=path, attempts=attempts)
+    ledger = inference.reply_ledger(spark, path, "analysis").groupBy("sha").agg(F.count(F.lit(1)).alias("attempts"))
+    sha = F.sha2(F.concat(F.lit("analysis\n"), "prompt").cast("binary"), 256)
+    tries = inference.analysis_prompts(both, "conv_id").select("conv_id", sha.alias("sha")).join(ledger, "sha").select("conv_id", "attempts")
+    good = parsed.select("conv_id", F.lit(None).cast("string").alias("reason"), F.col("analysis.summary").alias("summary"),
+                         F.array_join("analysis.topics", "|").alias("topics"))
+    bad = rejected.select("conv_id", "reason", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("topics"))
+    return good.unionByName(bad).join(tries, "conv_id")
+
+
 def _conversation_ids(spark, sf_dir):
     return fx.table(spark, sf_dir, "conversations").select("conv_id").distinct()
 
@@ -456,4 +485,5 @@ QUERIES: dict[str, QueryFn] = {
     "followup_records": q_followup_records,
     "ingested_meetings": q_ingested_meetings,
     "streamed_arrivals": q_streamed_arrivals,
+    "stored_replies": q_stored_replies,
 }

@@ -16,7 +16,7 @@ from parley.functions.jsonfn import object_entry_array
 from parley.functions.text import base_name, clean_extracted, strip
 from parley.schemas import CORPUS_SCHEMA
 from parley.session import dealt
-from parley.sources.paths import below
+from parley.sources.paths import below, exists
 
 # Markup that never carries body text: scripts, styles, comments.
 _NON_TEXT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -100,7 +100,7 @@ def write_corpus(corpus: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def load_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """SRC-4: read a corpus cache; a missing cache is an empty corpus."""
-    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+    if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         return spark.createDataFrame([], CORPUS_SCHEMA)
     found = spark.read.format(fmt).load(path) if path_has_data(spark, path, fmt) else None
     return spark.createDataFrame([], CORPUS_SCHEMA) if found is None else found
@@ -122,13 +122,6 @@ def load_json_corpus(spark: SparkSession, path: str, sector: str | None = None)
         .select("sector", "name", F.col("ordinal").cast("bigint").alias("ordinal"), "text")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
-
-
 def path_has_data(spark: SparkSession, path: str, fmt: str) -> bool:
     """Whether a written folder holds any data file."""
     jvm = spark.sparkContext._jvm
@@ -142,6 +135,6 @@ def load_or_build_corpus(spark: SparkSession, cache_path: str, build) -> DataFra
     returns the corpus DataFrame), write it and read it back. A folder counts
     as a cache once its writer committed it (``_SUCCESS``). No staleness check,
     as in the reference."""
-    if not path_exists(spark, f"{cache_path.rstrip('/')}/_SUCCESS"):
+    if not exists(spark, f"{cache_path.rstrip('/')}/_SUCCESS"):
         write_corpus(build(), cache_path)
     return load_corpus(spark, cache_path)

@@ -14,3 +14,8 @@ def below(spark: SparkSession, root: str, path: Column) -> Column:
         full = "file:///" + full.removeprefix("file:").lstrip("/")
     shown = F.regexp_replace(path, "^file:/+", "file:///")
     return F.when(F.startswith(shown, F.lit(full)), F.substring(shown, len(full) + 1, 1 << 20))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))

@@ -28,8 +28,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from parley.functions.text import base_name
 from parley.operators import meetings, rules
 from parley.plans import flows
-from parley.sources.corpus import path_exists
-from parley.sources.paths import below
+from parley.sources.paths import below, exists
 
 KEY = "meeting_id"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -74,7 +73,7 @@ def append_new(spark: SparkSession, records: DataFrame, table_path: str, key: st
     """Append records whose key is not stored yet, in a folder of their own
     (batch use, beside no running stream). Returns the number of rows appended."""
     stored = (read_records(spark, table_path).select(F.col(key).alias("id"))
-              if path_exists(spark, table_path) else spark.createDataFrame([], "id string"))
+              if exists(spark, table_path) else spark.createDataFrame([], "id string"))
     new = records.withColumn("id", F.col(key)).withColumn("_order", F.lit(0))
     saved, _ = meetings.save_meetings(stored, new, order_col="_order")
     folder = f"{table_path.rstrip('/')}/stream=append-{uuid.uuid4().hex}/batch=0"
@@ -102,8 +101,8 @@ def stream_records(source: DataFrame, table_path: str, checkpoint: str, build: C
     with an id that is stored go to ``rejected_path``, if given. ``once`` stops
     when all data that is there now is processed."""
     spark = source.sparkSession
-    resumed = path_exists(spark, f"{checkpoint}/metadata")
-    known = (spark.createDataFrame([], f"{KEY} string") if resumed or not path_exists(spark, table_path)
+    resumed = exists(spark, f"{checkpoint}/metadata")
+    known = (spark.createDataFrame([], f"{KEY} string") if resumed or not exists(spark, table_path)
              else read_records(spark, table_path).select(KEY).distinct())
     marked = source.select(KEY, "text").groupBy(KEY).transformWithStateInPandas(
         FirstArrivals(), _ARRIVALS, "Append", "None", known.groupBy(KEY))
