@@ -283,7 +283,8 @@ class Model:
                     at += len(w)
                     yield table_of([(bucket, 0, r["chunk"], len(w), pack(count[mine].astype("<i8")), pack(place[mine].astype("<i8")), None, None)], _SCHEMA)
 
-        chunks = self.manifest.select("chunk").repartition("chunk")
+        # A fixed number of tasks: by its size the list of chunks would go to one.
+        chunks = self.manifest.select("chunk").repartition(max(1, self.manifest.count()), "chunk")
         self.words = written(together(chunks.mapInArrow(send, _ROW), "bucket", "chunk", n=n).mapInArrow(add, _ROW), "lm-words")
         sizes = {r["bucket"]: r["n"] for r in self.words.where("chunk IS NULL").select("bucket", "n").collect()}  # one number per bucket
         self.base = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(n)])]).astype(np.int64)
