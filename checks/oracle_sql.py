@@ -583,3 +583,10 @@ occ as (select meeting_id, key, unnest(generate_series(first_run, greatest((sele
         from firsts)
 select meeting_id, key, {_ts('occurrence')} as occurrence
 from occ where occurrence <= (select now from nowv) and occurrence > timestamp '2024-01-20 00:00:00'"""
+
+
+ORACLES["detect_sectors_lexicon"] = f"""
+with {_TRANSCRIPTS},
+lex as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as keyword from benchmark)
+select distinct conv_id, substr(keyword, 1, 1) as sector
+from fx_transcripts join lex on contains(lower(text), keyword)"""

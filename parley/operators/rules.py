@@ -199,25 +199,44 @@ def detected_sectors(text, words: RuleWords = DEFAULT_WORDS) -> Column:
     return F.array_sort(F.array_distinct(F.transform(hits, lambda e: e["s"])))
 
 
+#: Characters of a keyword's anchor, the part that is looked up in texts.
+ANCHOR = 8
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
 def detect_sectors_join(transcripts: DataFrame, lexicon: DataFrame, key: str = "conv_id") -> DataFrame:
-    """JN-3 for a lexicon of any size held as a table ``(keyword, sector)``:
-    each text is cut into its distinct substrings of the lengths that keywords
-    have, which meet the keywords by an equi-join. An empty keyword occurs in
-    every text."""
-    lx = lexicon.select(F.lower("keyword").alias("kw"), "sector").distinct()
+    """JN-3 + AG-7 for a lexicon of any size held as a table ``(keyword,
+    sector)``: the distinct ``(key, sector)``.
+
+    Each keyword has an anchor, the run of ``ANCHOR`` of its characters (all, if
+    it is not longer) that the fewest keywords hold. A text's distinct runs meet
+    the anchors by an equi-join, and longer keywords that are met are looked up
+    in the text itself; a row holds one text's runs of one length, or the
+    keywords it might hold, never all its substrings. An empty keyword occurs in
+    every text; a null text holds none."""
+    lx = lexicon.select(F.lower("keyword").alias("kw"), "sector").filter(F.col("kw").isNotNull()).distinct()
+    words = lx.select("kw").distinct().filter("kw <> ''")
     t = transcripts.select(key, F.lower("text").alias("lt")).filter(F.col("lt").isNotNull())
-    # One number per keyword length: as short as the longest keyword.
-    lengths = sorted(r[0] for r in lx.select(F.length("kw").alias("n")).distinct().collect() if r[0])
-
-    def cut(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("lt") - n + 1)
-        return F.when(F.length("lt") >= n, F.transform(starts, lambda i: F.substring(F.col("lt"), i, F.lit(n)))) \
-            .otherwise(F.array().cast("array<string>"))
-
-    parts = [cut(n) for n in lengths]
-    # Distinct per length first: a text's pieces are dropped as they are made.
-    pieces = F.array(F.lit("")) if not parts else F.concat(F.array(F.lit("")), *(F.array_distinct(p) for p in parts))
-    return t.select(key, F.explode(pieces).alias("kw")).join(lx, "kw").select(key, "sector").distinct()
+    runs = words.select("kw", F.explode(F.when(F.length("kw") <= ANCHOR, F.array("kw")).otherwise(_grams(F.col("kw"), ANCHOR))).alias("gram"))
+    held = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    anchors = runs.join(held, "gram").groupBy("kw").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    # At most ANCHOR different lengths, each with its own pass over the texts.
+    sizes = sorted(r[0] for r in words.select(F.least(F.length("kw"), F.lit(ANCHOR))).distinct().collect())
+    met = None
+    for n in sizes:
+        part = t.select(key, F.explode(_grams(F.col("lt"), n)).alias("gram")).join(anchors.filter(F.length("gram") == n), "gram").select(key, "kw")
+        met = part if met is None else met.unionByName(part)
+    every = t.select(key).crossJoin(F.broadcast(lx.filter("kw = ''").select("sector").distinct()))  # of the empty keyword only
+    if met is None:
+        return every.distinct()
+    maybe = met.groupBy(key).agg(F.collect_list("kw").alias("kws"))
+    found = t.join(maybe, key).select(key, F.explode(F.filter(
+        "kws", lambda k: (F.length(k) <= ANCHOR) | F.contains(F.col("lt"), k))).alias("kw"))
+    return found.join(lx, "kw").select(key, "sector").unionByName(every).distinct()
 
 
 def _fill(template: str, values: dict) -> Column:

@@ -93,6 +93,14 @@ def q_detect_sectors(spark, sf_dir):
     return t.select("conv_id", F.explode(rules.detected_sectors("text", fx.fixture_words())).alias("sector"))
 
 
+def q_detect_sectors_lexicon(spark, sf_dir):
+    """JN-3 + AG-7 with a lexicon held as a table: the words of the benchmark
+    items, the sector being a word's first letter."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), F.lit(0)))
+    lexicon = fx.table(spark, sf_dir, "benchmark").select(words.alias("keyword")).select("keyword", F.substring("keyword", 1, 1).alias("sector"))
+    return rules.detect_sectors_join(fx.transcripts(spark, sf_dir), lexicon)
+
+
 def q_describe_documents(spark, sf_dir):
     corpus = fx.corpus(spark, sf_dir)
     cache = corpus.filter(F.col("sector") == "Marketing").select("name", "text", "ordinal")
@@ -486,4 +494,5 @@ QUERIES: dict[str, QueryFn] = {
     "ingested_meetings": q_ingested_meetings,
     "streamed_arrivals": q_streamed_arrivals,
     "stored_replies": q_stored_replies,
+    "detect_sectors_lexicon": q_detect_sectors_lexicon,
 }

@@ -71,3 +71,29 @@ def test_sector_join_form_equals_literal_form(spark):
     a = sorted(tuple(r) for r in rules.detect_sectors_join(df, lex).collect())
     b = sorted(tuple(r) for r in df.select("conv_id", F.explode(rules.detected_sectors("text")).alias("s")).collect())
     assert a == b
+
+
+def test_a_large_lexicon_meets_long_texts(spark):
+    """100,000 keywords and a text of a million characters, against a plain
+    substring search for some of them."""
+    import random
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))) for _ in range(100_000)} | {"é😀x", "😀"})
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
+    texts = [(1, long), (2, "no keyword: ZZZ"), (3, "É😀X"), (4, None), (5, ""), (6, "abc")]
+    lexicon = spark.createDataFrame([(w, f"s{i % 50}") for i, w in enumerate(words)] + [(None, "none")], "keyword string, sector string")
+    got = {(r.conv_id, r.sector) for r in rules.detect_sectors_join(spark.createDataFrame(texts, "conv_id int, text string"), lexicon).collect()}
+    want = {(k, f"s{i % 50}") for i, w in enumerate(words) for k, t in texts[1:] if t and w in t.lower()}
+    assert {g for g in got if g[0] != 1} == want
+    assert {s for k, s in got if k == 1} == {f"s{i}" for i in range(50)}
+
+
+def test_lexicon_of_short_empty_and_no_keywords(spark):
+    t = spark.createDataFrame([(1, "Ab"), (2, ""), (3, None)], "conv_id int, text string")
+
+    def found(rows):
+        return sorted(map(tuple, rules.detect_sectors_join(t, spark.createDataFrame(rows, "keyword string, sector string")).collect()))
+
+    assert found([]) == []
+    assert found([("", "all")]) == [(1, "all"), (2, "all")]
+    assert found([("B", "b"), ("ab", "ab"), ("abc", "x"), ("", "all"), ("b", "b2")]) == [(1, "ab"), (1, "all"), (1, "b"), (1, "b2"), (2, "all")]
