@@ -590,3 +590,5 @@ with {_TRANSCRIPTS},
 lex as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as keyword from benchmark)
 select distinct conv_id, substr(keyword, 1, 1) as sector
 from fx_transcripts join lex on contains(lower(text), keyword)"""
+
+ORACLES["agent_state_scores"] = WEIGHTED_SCORES

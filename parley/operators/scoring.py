@@ -9,7 +9,8 @@ which Catalyst turns into a partial ``WindowGroupLimit`` before the shuffle.
 The weighted mean is "every meeting at the tail weight" (a hash aggregation
 with map-side partial sums) plus "the extra weight of the five newest"
 (a few rows per agent), so the meetings table is never shuffled row by row
-or joined.
+or joined. Both parts merge with those of other meetings (``agent_summary``);
+``operators.agent_state`` keeps them per batch of new meetings.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from parley.functions.jsonfn import object_entries, object_entry_array
 from parley.functions.numeric import exact_mean, score_band, score_units, score_value
 from parley.functions.text import display_ts, metric_label
+from parley.session import stored
 
 # Recency weights of the newest five meetings, then the tail
 # weight; stored x10 as integers so sums are exact.
@@ -87,56 +89,89 @@ def recency_weights(meetings: DataFrame) -> DataFrame:
             .drop("head_weight_x10"))
 
 
-def _agent_metric_table(meetings: DataFrame) -> DataFrame:
-    """One aggregated table per (agent, metric) plus one per-agent total row
-    (``metric`` NULL) carrying the weight total, the meeting count and the
-    first and last meeting times. Both the weighted scores and the agent
-    header read it, so the meetings are scanned once."""
-    base = meetings.select("id", "sales_id", "meeting_ts", "scoring_json")
+_HEAD = "array<struct<meeting_ts:timestamp_ntz,id:string,scores:array<struct<pos:int,metric:string,units:decimal(27,0)>>>>"
+
+
+def score_rows(meetings: DataFrame) -> DataFrame:
+    """``(sales_id, id, meeting_ts, scores)``: each meeting's usable scores, read
+    from its JSON text once and written."""
+    entries = F.transform(object_entry_array("scoring_json", "metric", "raw"), lambda e: F.struct(
+        e["pos"].cast("int").alias("pos"), e["metric"].alias("metric"), score_units(e["raw"]).alias("units")))
+    scores = F.coalesce(F.filter(entries, lambda e: e["units"].isNotNull()), F.array())
+    return stored(meetings.select("sales_id", "id", "meeting_ts", scores.alias("scores")), "score-rows")
+
+
+def agent_summary(meetings: DataFrame) -> DataFrame:
+    """What the scores of an agent need of a set of meetings, in rows that
+    merge with those of any other set (:func:`merged_summary`): per (agent,
+    metric) the sum at the tail weight and where the metric was seen first; per
+    agent (``metric`` NULL) the total weight, the count, the first and last
+    time, and the five newest meetings with their scores.
+
+    The meetings are scanned once. No agent's history is sorted: sums are
+    partial aggregates, the newest five a ``WindowGroupLimit``."""
+    rows = score_rows(meetings)
     total_row = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("metric"),
-                                 F.lit(None).cast("string").alias("raw")))
-    entries = F.concat(object_entry_array("scoring_json", "metric", "raw"), total_row)
+                                 F.lit(None).cast("decimal(27,0)").alias("units")))
     is_total = F.col("metric").isNull()
-
-    def weighted(df: DataFrame, weight: str) -> DataFrame:
-        # Each meeting adds its weight to the agent total (NULL-metric row)
-        # and value*weight to every metric it carries.
-        rows = (df.select("id", "sales_id", "meeting_ts", weight, F.inline(entries))
-                .withColumn("units", score_units(F.col("raw")))
-                .filter(is_total | F.col("units").isNotNull()))
-        w = F.col(weight).cast("decimal(2,0)")
-        return rows.select("sales_id", "metric", "id", "meeting_ts", "pos",
-                           F.when(is_total, w.cast("decimal(30,0)"))
-                           .otherwise((F.col("units") * w).cast("decimal(30,0)")).alias("part"))
-
-    # Every meeting with the tail weight: a plain hash aggregation with
-    # map-side partial sums, so the full table is never shuffled row by row.
-    all_rows = weighted(base.withColumn("w", F.lit(TAIL_WEIGHT_X10)), "w")
-    agg_all = (all_rows.groupBy("sales_id", "metric")
-               .agg(F.sum("part").alias("part"),
-                    F.max(F.when(~is_total, F.struct("meeting_ts", "id", (-F.col("pos")).alias("neg_pos"))))
-                    .alias("first_seen"),
-                    F.count(F.when(is_total, F.lit(1))).alias("n_meetings"),
-                    F.min(F.when(is_total, F.col("meeting_ts"))).alias("first_ts"),
-                    F.max(F.when(is_total, F.col("meeting_ts"))).alias("last_ts")))
-    # The five newest meetings per agent add their extra weight on top.
-    head = recent_meetings(base, len(RECENCY_WEIGHTS_X10))
-    extra = F.element_at(F.array(*[F.lit(w - TAIL_WEIGHT_X10) for w in RECENCY_WEIGHTS_X10]),
-                         F.col("recency_rank").cast("int"))
-    agg_head = (weighted(head.withColumn("w", extra), "w").groupBy("sales_id", "metric")
-                .agg(F.sum("part").alias("part")))
-    for c in ("first_seen", "n_meetings", "first_ts", "last_ts"):
-        agg_head = agg_head.withColumn(c, F.lit(None).cast(agg_all.schema[c].dataType))
-    agg = (agg_all.unionByName(agg_head).groupBy("sales_id", "metric")
-           .agg(F.sum("part").alias("num"), F.max("first_seen").alias("first_seen"),
-                F.sum("n_meetings").alias("n_meetings"), F.min("first_ts").alias("first_ts"),
-                F.max("last_ts").alias("last_ts")))
+    part = F.when(is_total, F.lit(TAIL_WEIGHT_X10).cast("decimal(30,0)")).otherwise(
+        (F.col("units") * F.lit(TAIL_WEIGHT_X10).cast("decimal(2,0)")).cast("decimal(30,0)"))
+    sums = (rows.select("sales_id", "id", "meeting_ts", F.inline(F.concat("scores", total_row)))
+            .groupBy("sales_id", "metric")
+            .agg(F.sum(part).cast("decimal(38,0)").alias("num"),
+                 F.max(F.when(~is_total, F.struct("meeting_ts", "id", (-F.col("pos")).alias("neg_pos")))).alias("first_seen"),
+                 F.count(F.when(is_total, F.lit(1))).alias("n_meetings"),
+                 F.min(F.when(is_total, F.col("meeting_ts"))).alias("first_ts"),
+                 F.max(F.when(is_total, F.col("meeting_ts"))).alias("last_ts"))
+            .withColumn("head", F.lit(None).cast(_HEAD)))
+    newest = recent_meetings(rows, len(RECENCY_WEIGHTS_X10)).groupBy("sales_id").agg(
+        F.collect_list(F.struct("meeting_ts", "id", "scores")).cast(_HEAD).alias("head"))
+    empty = [F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in ("num", "first_seen", "n_meetings", "first_ts", "last_ts")]
+    return sums.unionByName(newest.select("sales_id", F.lit(None).cast("string").alias("metric"), *empty, "head"))
+
+
+def merged_summary(summary: DataFrame) -> DataFrame:
+    """One row per (agent, metric) of the rows of any number of
+    :func:`agent_summary` results over different meetings; the newest five of
+    all are among the newest five of each."""
+    newest = F.slice(F.sort_array(F.flatten(F.collect_list("head")), asc=False), 1, len(RECENCY_WEIGHTS_X10))
+    return (summary.groupBy("sales_id", "metric")
+            .agg(F.sum("num").cast("decimal(38,0)").alias("num"), F.max("first_seen").alias("first_seen"),
+                 F.sum("n_meetings").alias("n_meetings"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+                 newest.alias("head"))
+            .withColumn("head", F.when(F.col("metric").isNull(), F.col("head"))))
+
+
+def weighted_table(summary: DataFrame) -> DataFrame:
+    """Per (agent, metric) the weighted sum ``num``, with one per-agent row
+    (``metric`` NULL); ``den`` is the agent's total weight. The tail sums get
+    the extra weight of the five newest meetings on top."""
+    merged = merged_summary(summary)
+    extra = F.array(*[F.lit(w - TAIL_WEIGHT_X10) for w in RECENCY_WEIGHTS_X10])
+    weighed = F.flatten(F.transform("head", lambda m, i: F.transform(
+        F.concat(m["scores"], F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("metric"),
+                                               F.lit(1).cast("decimal(27,0)").alias("units")))),
+        lambda s: F.struct(s["metric"].alias("metric"),
+                           (s["units"] * F.element_at(extra, i + 1).cast("decimal(2,0)")).cast("decimal(38,0)").alias("num")))))
+    own = F.array(F.struct("metric", "num"))
+    parts = merged.select("sales_id", F.col("metric").alias("of"), "first_seen", "n_meetings", "first_ts", "last_ts",
+                          F.inline(F.concat(own, F.coalesce(weighed, F.array().cast("array<struct<metric:string,num:decimal(38,0)>>")))))
+    # A row's own facts count once: they belong to the row's own metric.
+    mine = F.col("of").eqNullSafe(F.col("metric")) & F.col("first_ts").isNotNull()
+    agg = (parts.groupBy("sales_id", "metric")
+           .agg(F.sum("num").alias("num"), F.max(F.when(F.col("of").isNotNull(), F.col("first_seen"))).alias("first_seen"),
+                F.max(F.when(mine, F.col("n_meetings"))).alias("n_meetings"), F.min(F.when(mine, F.col("first_ts"))).alias("first_ts"),
+                F.max(F.when(mine, F.col("last_ts"))).alias("last_ts")))
     # The per-agent total sits in the same small aggregated table; a window
     # by agent attaches it without re-reading the meetings.
-    den = F.max(F.when(is_total, F.col("num"))).over(Window.partitionBy("sales_id"))
+    den = F.max(F.when(F.col("metric").isNull(), F.col("num"))).over(Window.partitionBy("sales_id"))
     return agg.withColumn("den", den)
 
 
+def _agent_metric_table(meetings: DataFrame) -> DataFrame:
+    return weighted_table(agent_summary(meetings))
+
+
 def _scores_from_table(table: DataFrame) -> DataFrame:
     score = exact_mean(F.col("num"), F.col("den"))
     return (table.filter(F.col("metric").isNotNull())
@@ -156,9 +191,12 @@ def weighted_scores(meetings: DataFrame) -> DataFrame:
 
 def weighted_score_cards(meetings: DataFrame) -> DataFrame:
     """Weighted scores with their label and band, as shown per agent."""
-    ws = weighted_scores(meetings)
-    return ws.select("sales_id", "metric", metric_label("metric").alias("metric_label"),
-                     "weighted_score", score_band(F.col("weighted_score")).alias("band"))
+    return cards_of(_agent_metric_table(meetings))
+
+
+def cards_of(table: DataFrame) -> DataFrame:
+    return _scores_from_table(table).select("sales_id", "metric", metric_label("metric").alias("metric_label"),
+                                            "weighted_score", score_band(F.col("weighted_score")).alias("band"))
 
 
 def best_worst_by_agent(meetings: DataFrame) -> DataFrame:
@@ -199,7 +237,11 @@ def agent_profile(meetings: DataFrame) -> DataFrame:
     Everything comes from one aggregation per agent over the agent x metric
     table (already partitioned by agent), so the meetings are scanned once
     and no second branch re-reads them."""
-    table = _agent_metric_table(meetings)
+    return profile_of(_agent_metric_table(meetings))
+
+
+def profile_of(table: DataFrame) -> DataFrame:
+    """:func:`agent_profile` from the weighted table."""
     is_total = F.col("metric").isNull()
     score = exact_mean(F.col("num"), F.col("den"))
     metric_row = ~is_total

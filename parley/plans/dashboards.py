@@ -41,5 +41,5 @@ def agent_dashboard(meetings: DataFrame, n_latest: int = 5, metrics: list[str] |
     of the newest meetings) and ``heatmap`` (their meeting x metric
     matrix)."""
     latest = scoring.latest_scores(meetings, n_latest)
-    return {"profile": scoring.agent_profile(meetings), "cards": scoring.weighted_score_cards(meetings),
-            "latest": latest, "heatmap": _matrix(latest, metrics)}
+    table = scoring.weighted_table(scoring.agent_summary(meetings))
+    return {"profile": scoring.profile_of(table), "cards": scoring.cards_of(table), "latest": latest, "heatmap": _matrix(latest, metrics)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parley import fixtures as fx
 from parley.functions import text as tx
-from parley.operators import inference, matching, meetings, outbox, rules, scoring
+from parley.operators import agent_state, inference, matching, meetings, outbox, rules, scoring
 from parley.operators.ordering import positioned
 from parley.session import dealt, scratch, stored
 from parley.plans import flows
@@ -35,6 +35,19 @@ def q_agent_profile(spark, sf_dir):
     return scoring.agent_profile(_meetings(spark, sf_dir))
 
 
+def q_agent_state_scores(spark, sf_dir):
+    """AG-3 from kept state: the meetings arrive in three batches by day, the
+    last of them twice, on top of a compacted state."""
+    m = _meetings(spark, sf_dir).withColumn("part", F.dayofmonth("meeting_ts") % 3)
+    first, path = scratch(spark, "state"), scratch(spark, "state")
+    for part in (0, 1):
+        agent_state.append(m.filter(F.col("part") == part).drop("part"), first, f"day-{part}")
+    agent_state.compact(spark, first, path)
+    for _ in range(2):
+        agent_state.append(m.filter("part = 2").drop("part"), path, "day-2")
+    return agent_state.score_cards(spark, path)
+
+
 def q_latest_scores(spark, sf_dir):
     return scoring.latest_scores(_meetings(spark, sf_dir), 5)
 
@@ -495,4 +508,5 @@ QUERIES: dict[str, QueryFn] = {
     "streamed_arrivals": q_streamed_arrivals,
     "stored_replies": q_stored_replies,
     "detect_sectors_lexicon": q_detect_sectors_lexicon,
+    "agent_state_scores": q_agent_state_scores,
 }
