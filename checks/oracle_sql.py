@@ -592,3 +592,13 @@ select distinct conv_id, substr(keyword, 1, 1) as sector
 from fx_transcripts join lex on contains(lower(text), keyword)"""
 
 ORACLES["agent_state_scores"] = WEIGHTED_SCORES
+
+ORACLES["streamed_deliveries"] = f"""
+with {_BOX},
+one as (select meeting_id, key, min(reg) as reg, min(message) as message from box group by meeting_id, key),
+due as (select distinct o.meeting_id, o.key, o.message, f.first_run
+        from one o join firsts f on o.meeting_id = f.meeting_id and o.key = f.key and o.reg = f.reg),
+nowv as (select max(reg) as now from one),
+occ as (select meeting_id, key, message,
+               unnest(generate_series(first_run, greatest((select now from nowv), first_run), interval 1 day)) as occurrence from due)
+select meeting_id, key, message, {_ts('occurrence')} as occurrence from occ where occurrence <= (select greatest(now, timestamp '2024-01-23 12:00:00') from nowv)"""

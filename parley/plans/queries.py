@@ -16,7 +16,7 @@ from parley.operators.ordering import positioned
 from parley.session import dealt, scratch, stored
 from parley.plans import flows
 from parley.sources import corpus as corpus_src
-from parley.streaming import ingest
+from parley.streaming import delivery, ingest
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -458,6 +458,26 @@ def q_due_messages_since(spark, sf_dir):
     return due.select("meeting_id", "key", tx.display_ts("occurrence").alias("occurrence"))
 
 
+def q_streamed_deliveries(spark, sf_dir):
+    """OB-1 + OB-2 as a stream: all messages are registered, then the clock
+    ticks at the last run, at noon some days later, and at the end. Meetings of
+    one id are one registration, that of the smallest agent."""
+    plans = _plans(spark, sf_dir)
+    first = plans.groupBy("meeting_id").agg(F.min(F.struct("planned_at", "followup_json")).alias("p")).select("meeting_id", "p.*")
+    box = stored(outbox.build_outbox(first), "outbox")
+    place = scratch(spark, "deliveries")
+    rows = delivery.registrations(box)
+    rows.coalesce(1).write.parquet(f"{place}/in")
+    clock = box.agg(F.max("registered_at").alias("now")).unionByName(
+        spark.range(1).select(F.explode(F.array(*[F.lit(t).cast("timestamp_ntz") for t in (LAST_RUN, "2024-01-23 12:00:00")])).alias("now")))
+    for now in (F.min("now"), F.sort_array(F.collect_list("now"))[1], F.max("now")):
+        delivery.ticks(clock.agg(now.alias("now")), "now").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    stream = delivery.stream_deliveries(source, f"{place}/sent", f"{place}/state", once=True)
+    stream.awaitTermination()
+    return delivery.sent_messages(spark, f"{place}/sent").select("meeting_id", "key", "message", tx.display_ts("occurrence").alias("occurrence"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "weighted_scores": q_weighted_scores,
     "agent_profile": q_agent_profile,
@@ -509,4 +529,5 @@ QUERIES: dict[str, QueryFn] = {
     "stored_replies": q_stored_replies,
     "detect_sectors_lexicon": q_detect_sectors_lexicon,
     "agent_state_scores": q_agent_state_scores,
+    "streamed_deliveries": q_streamed_deliveries,
 }

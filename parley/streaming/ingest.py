@@ -107,20 +107,30 @@ def stream_records(source: DataFrame, table_path: str, checkpoint: str, build: C
     marked = source.select(KEY, "text").groupBy(KEY).transformWithStateInPandas(
         FirstArrivals(), _ARRIVALS, "Append", "None", known.groupBy(KEY))
 
+    def parts(marks: DataFrame) -> dict[str, DataFrame]:
+        new = build(marks.filter("is_new").drop("is_new"))
+        return {table_path: new, rejected_path: marks.filter("NOT is_new").drop("is_new")} if rejected_path else {table_path: new}
+
+    return written_batches(marked, checkpoint, parts, once)
+
+
+def written_batches(stream: DataFrame, checkpoint: str, parts: Callable[[DataFrame], dict[str, DataFrame]], once: bool = False) -> StreamingQuery:
+    """Start a stateful stream whose batches are written to folders of their
+    own: ``parts`` gives the rows of a batch for each table's path."""
+    spark = stream.sparkSession
+
     def run(batch: DataFrame, number: int) -> None:
         # The stream's own id is new with a new checkpoint, so its folders never
         # meet those of an earlier one.
         own = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
-        at = f"stream={own}/batch={number}"
-        marks = batch.persist()  # both writes read it
+        batch.persist()  # several tables may read it
         try:
-            build(marks.filter("is_new").drop("is_new")).write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/{at}")
-            if rejected_path:
-                marks.filter("NOT is_new").drop("is_new").write.mode("overwrite").parquet(f"{rejected_path.rstrip('/')}/{at}")
+            for path, rows in parts(batch).items():
+                rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream={own}/batch={number}")
         finally:
-            marks.unpersist()
+            batch.unpersist()
 
-    writer = marked.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode("append")
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKSDB)  # taken over by the query when it starts
     try:
