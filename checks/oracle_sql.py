@@ -602,3 +602,5 @@ nowv as (select max(reg) as now from one),
 occ as (select meeting_id, key, message,
                unnest(generate_series(first_run, greatest((select now from nowv), first_run), interval 1 day)) as occurrence from due)
 select meeting_id, key, message, {_ts('occurrence')} as occurrence from occ where occurrence <= (select greatest(now, timestamp '2024-01-23 12:00:00') from nowv)"""
+
+ORACLES["archive_page"] = f"select * from ({ARCHIVE}) where position between 201 and 300"

@@ -4,7 +4,7 @@ PRJ-23, ST-1, ST-4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -271,3 +271,35 @@ def archive(meetings: DataFrame) -> DataFrame:
     return meetings.select("id", "sales_id", "meeting_ts", date.alias("meeting_date"),
                            snippet(summary).alias("summary_snippet"), line.alias("label"),
                            meeting_key(F.col("id"), date).alias("chart_key"))
+
+
+def write_by_day(meetings: DataFrame, path: str, mode: str = "append") -> None:
+    """Store meetings clustered by time: a folder per day (``day=``), newest
+    first in each file. Ranges of time, not days, are dealt to the tasks, so a
+    day that holds most meetings is several files."""
+    n = int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    newest = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in NEWEST_FIRST]
+    (meetings.withColumn("day", F.date_format("meeting_ts", "yyyy-MM-dd")).repartitionByRange(n, *newest).sortWithinPartitions(*newest)
+     .write.mode(mode).partitionBy("day").parquet(path))
+
+
+def archive_page(spark: SparkSession, path: str, page: int, size: int) -> DataFrame:
+    """ST-1 + PL-4: one page (from 1) of the archive of :func:`write_by_day`,
+    with ``position``. The number of meetings of each day comes from the files'
+    footers; only the days that the page touches are read and sorted."""
+    stored_ = spark.read.option("basePath", path).parquet(path).withColumn("day", F.col("day").cast("string"))
+    # One row per day, newest first; meetings without a time are last.
+    days = sorted(((r.day, r.n) for r in stored_.groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda d: d[0] or "", reverse=True)
+    lo, hi, before, touched, base = (page - 1) * size, page * size, 0, [], 0
+    for day, n in days:
+        if before + n > lo and before < hi:
+            base = before if not touched else base
+            touched.append(day)
+        before += n
+    wanted = F.col("day").isin([d for d in touched if d is not None])
+    rows = stored_.filter((wanted | F.col("day").isNull()) if None in touched else wanted)
+    newest = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in NEWEST_FIRST]
+    # At most the rows up to the page's end are kept, so the window is as small.
+    upto = archive(rows).orderBy(*newest).limit(max(0, hi - base))
+    at = F.row_number().over(Window.orderBy(*newest)) + base
+    return upto.withColumn("position", at.cast("bigint")).filter(F.col("position").between(lo + 1, hi))

@@ -174,6 +174,17 @@ def q_archive(spark, sf_dir):
     return positioned(meetings.archive(_meetings(spark, sf_dir)), meetings.NEWEST_FIRST).drop("meeting_ts")
 
 
+# The page of the archive that is read, and its size.
+PAGE, PAGE_SIZE = 3, 100
+
+
+def q_archive_page(spark, sf_dir):
+    """ST-1 + PL-4: a page of the archive, from meetings stored by day."""
+    path = scratch(spark, "by-day")
+    meetings.write_by_day(_meetings(spark, sf_dir), path)
+    return meetings.archive_page(spark, path, PAGE, PAGE_SIZE).drop("meeting_ts")
+
+
 def q_meetings_by_date(spark, sf_dir):
     """SRC-3: the stored meetings in the order they are loaded."""
     return positioned(_meetings(spark, sf_dir).select("id", "sales_id", "meeting_ts"), meetings.NEWEST_FIRST).drop("meeting_ts")
@@ -530,4 +541,5 @@ QUERIES: dict[str, QueryFn] = {
     "detect_sectors_lexicon": q_detect_sectors_lexicon,
     "agent_state_scores": q_agent_state_scores,
     "streamed_deliveries": q_streamed_deliveries,
+    "archive_page": q_archive_page,
 }
