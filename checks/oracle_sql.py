@@ -519,41 +519,52 @@ from v where u % 7 in (0, 1, 3)"""
 
 # --- model path ------------------------------------------------------------------------
 
-ORACLES["model_replies"] = """
-with c as (select conv_id, count(*) as n from conversations group by conv_id),
-g as (select *, '{"topics":["a","b"],"fears":"f","objection":"o","summary":"' || n || ' turns","clarity":"kept"}' as good from c)
-select conv_id,
-       case conv_id % 4 when 1 then 'not a JSON object' when 2 then 'missing field: fears' when 3 then 'not a JSON object' end as reason,
-       case when conv_id % 4 = 0 then n || ' turns' end as summary, case when conv_id % 4 = 0 then 'a,b' end as topics,
-       case conv_id % 4 when 0 then good when 1 then left(good, length(good) - 9) when 2 then replace(good, '"fears":"f",', '')
-            else 'turns: ' || n end as reply
+ORACLES["model_replies"] = f"""
+with {_TRANSCRIPTS},
+g as (select conv_id, text, length(text) % 4 as kind, cast(to_json({{'topics': ['a', 'b'], 'fears': 'f', 'objection': 'o',
+             'summary': substr(text, 1, 30), 'clarity': 'kept'}}) as varchar) as good from fx_transcripts)
+select conv_id, case kind when 1 then 'not a JSON object' when 2 then 'missing field: fears' when 3 then 'not a JSON object' end as reason,
+       case when kind = 0 then substr(text, 1, 30) end as summary, case when kind = 0 then 'a,b' end as topics,
+       case kind when 0 then good when 1 then left(good, length(good) - 9) when 2 then replace(good, '"fears":"f",', '')
+            else 'text: ' || text end as reply
 from g"""
 
 
+_PICKS = """
+ids as (select distinct conv_id from conversations),
+picks as (select conv_id, row_number() over (partition by conv_id order by coalesce(length(text), 0), ordinal) as rank, ordinal
+          from ids join fx_corpus on conv_id % (select count(*) from ids) = ordinal * 7919 % (select count(*) from ids)
+          qualify rank <= 2)"""
+
+_BLOCKS = f"""
+select conv_id, string_agg(name || ': ' || array_to_string(string_split({_clean('text')}, ' ')[1:40], ' ') || '...', chr(10) order by rank)
+         as document_block
+from picks join fx_corpus using (ordinal) group by conv_id"""
+
+ORACLES["document_blocks"] = f"with {_CORPUS}, {_PICKS} {_BLOCKS}"
+
+
 def _plan_sql(variant: str) -> str:
     from parley.operators import inference as _i
     text = _q(_i.PLAN_SYSTEM[variant] + _i.PLAN_USER)
+    listed = "coalesce(array_to_string(list_transform(topics, lambda t: chr(39) || t || chr(39) || ', '), ''), '')"
     shown = {
-        "summary": "'summary ' || conv_id", "objection": "'price'",
-        "topics": r"case when conv_id % 5 = 0 then '[]' else '[''t' || conv_id || ''', ' || chr(34) || 'it''s' || chr(34) || ', ''a\\b'']' end",
-        "fears": "case when conv_id % 3 > 0 then 'fear ' || conv_id else 'None' end",
-        "documents": "case when conv_id % 2 = 0 then 'a.pdf: first' || chr(10) || 'b.pdf: ' || conv_id else '' end"}
+        "summary": "summary", "objection": "objection",
+        "topics": "case when contains(text, 'nicht') then '[]' else '[' || " + listed + r" || chr(34) || 'it''s' || chr(34) || ', ''a\\b'']' end",
+        "fears": "case when contains(text, 'sch') then 'None' else 'fear ' || substr(text, 1, 20) end",
+        "documents": "case when length(text) % 2 = 0 then coalesce(document_block, '') else '' end"}
     for name, value in shown.items():
         text = f"replace({text}, '{{{name}}}', {value})"
-    return f"select conv_id, {text} as prompt, '{variant}' as variant from (select distinct conv_id from conversations)"
-
-
-ORACLES["plan_requests"] = _plan_sql("plan") + " union all " + _plan_sql("sending")
+    return f"""
+with {_TRANSCRIPTS}, {_CORPUS}, {_PICKS},
+listed as (select conv_id, list(topic order by pos) as topics from ({MEETING_TOPICS}) group by conv_id),
+ruled as (select conv_id, objection from ({TRANSCRIPT_RULES})),
+said as (select conv_id, text, array_to_string(string_split({_clean('text')}, ' ')[1:40], ' ') || '...' as summary from fx_transcripts)
+select conv_id, {text} as prompt, '{variant}' as variant
+from said left join listed using (conv_id) left join ruled using (conv_id) left join ({_BLOCKS}) using (conv_id)"""
 
-_PICKS = """
-picks as (select conv_id, r as rank, conv_id + r - 1 as ordinal
-          from (select distinct conv_id from conversations), (select unnest([1, 2]) as r))"""
 
-ORACLES["document_blocks"] = f"""
-with {_CORPUS}, {_PICKS}
-select conv_id, string_agg(name || ': ' || array_to_string(string_split({_clean('text')}, ' ')[1:40], ' ') || '...', chr(10) order by rank)
-         as document_block
-from picks join fx_corpus using (ordinal) group by conv_id"""
+ORACLES["plan_requests"] = f"({_plan_sql('plan')}) union all ({_plan_sql('sending')})"
 
 
 def _message(step: int) -> str:

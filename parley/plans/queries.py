@@ -6,7 +6,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley import fixtures as fx
@@ -275,13 +275,14 @@ def q_score_rejects(spark, sf_dir):
 # --- model path -------------------------------------------------------------------
 
 def q_model_replies(spark, sf_dir):
-    """LM-4: good, cut-off, incomplete and plain-text replies, one for each
-    conversation; parsed rows keep the whole object."""
-    c = fx.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).cast("string").alias("n"))
-    good = F.concat(F.lit('{"topics":["a","b"],"fears":"f","objection":"o","summary":"'), F.col("n"), F.lit(' turns","clarity":"kept"}'))
-    kind = F.col("conv_id") % 4
+    """LM-4: good, cut-off, incomplete and plain-text replies, told by the
+    length of each conversation; parsed rows keep the whole object."""
+    c = fx.transcripts(spark, sf_dir)
+    good = F.to_json(F.struct(F.array(F.lit("a"), F.lit("b")).alias("topics"), F.lit("f").alias("fears"), F.lit("o").alias("objection"),
+                              F.substring("text", 1, 30).alias("summary"), F.lit("kept").alias("clarity")))
+    kind = F.length("text") % 4
     reply = (F.when(kind == 0, good).when(kind == 1, F.substring(good, F.lit(1), F.length(good) - 9))
-             .when(kind == 2, F.replace(good, F.lit('"fears":"f",'), F.lit(""))).otherwise(F.concat(F.lit("turns: "), F.col("n"))))
+             .when(kind == 2, F.replace(good, F.lit('"fears":"f",'), F.lit(""))).otherwise(F.concat(F.lit("text: "), F.col("text"))))
     parsed, rejected = inference.parse_replies(c.select("conv_id", reply.alias("reply")), "conv_id", inference.ANALYSIS_DDL,
                                                "analysis", inference.ANALYSIS_FIELDS)
     ok = parsed.select("conv_id", F.lit(None).cast("string").alias("reason"), F.col("value.summary").alias("summary"),
@@ -358,24 +359,31 @@ def _conversation_ids(spark, sf_dir):
 
 
 def q_plan_requests(spark, sf_dir):
-    """LM-2: both requests for given analyses and document blocks."""
-    c = _conversation_ids(spark, sf_dir)
-    n = F.col("conv_id").cast("string")
-    a = c.select("conv_id", F.struct(
-        F.when(F.col("conv_id") % 5 == 0, F.array().cast("array<string>")).otherwise(
-            F.array(F.concat(F.lit("t"), n), F.lit("it's"), F.lit("a\\b"))).alias("topics"),
-        F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("fear "), n)).alias("fears"),
-        F.lit("price").alias("objection"), F.concat(F.lit("summary "), n).alias("summary")).alias("analysis"))
-    blocks = c.filter("conv_id % 2 = 0").select("conv_id", F.concat(F.lit("a.pdf: first\nb.pdf: "), n).alias("document_block"))
+    """LM-2: both requests for the topics of each conversation (none where it
+    holds ``nicht``), with fears unless it holds ``sch``, and the document
+    blocks of those of even length."""
+    t = stored(fx.transcripts(spark, sf_dir), "transcripts")
+    found = inference.offline_analysis(t, "conv_id", fx.fixture_words()).join(t, "conv_id")
+    topics = F.concat("analysis.topics", F.array(F.lit("it's"), F.lit("a\\b")))
+    a = found.select("conv_id", F.struct(
+        F.when(F.contains("text", F.lit("nicht")), F.array().cast("array<string>")).otherwise(topics).alias("topics"),
+        F.when(~F.contains("text", F.lit("sch")), F.concat(F.lit("fear "), F.substring("text", 1, 20))).alias("fears"),
+        F.col("analysis.objection").alias("objection"), F.col("analysis.summary").alias("summary")).alias("analysis"))
+    blocks = q_document_blocks(spark, sf_dir).join(t.filter("length(text) % 2 = 0").select("conv_id"), "conv_id")
     both = [inference.plan_prompts(a, blocks, "conv_id", v).withColumn("variant", F.lit(v)) for v in ("plan", "sending")]
     return both[0].unionByName(both[1])
 
 
 def _picks(spark, sf_dir):
-    """Two documents for each conversation, by number."""
+    """Documents picked for each conversation: every document belongs to one
+    conversation number, and the two shortest of each are picked (some have
+    one or none)."""
     c = _conversation_ids(spark, sf_dir)
-    return c.select("conv_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), (F.col("conv_id") + r - 1).alias("ordinal"))
-                                                    for r in (1, 2)])).alias("p")).select("conv_id", "p.rank", "p.ordinal")
+    n = F.lit(c.count())
+    d = fx.corpus(spark, sf_dir).select("ordinal", F.coalesce(F.length("text"), F.lit(0)).alias("size"), (F.col("ordinal") * 7919 % n).alias("k"))
+    w = Window.partitionBy("conv_id").orderBy("size", "ordinal")
+    return (c.withColumn("k", F.col("conv_id") % n).join(d, "k").withColumn("rank", F.row_number().over(w))
+            .filter("rank <= 2").select("conv_id", "rank", "ordinal"))
 
 
 def q_document_blocks(spark, sf_dir):
