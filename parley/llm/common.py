@@ -72,10 +72,19 @@ def drop(*tables: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of an Arrow batch between Spark and a worker, on both sides of which a
+#: task holds one at a time.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the workers and name the shared folder."""
+    """Ship the package to the workers, name the shared folder and bound the
+    Arrow batches, unless the session has a smaller bound."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:

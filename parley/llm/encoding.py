@@ -1,7 +1,8 @@
 """Token ids of texts with a public tokenizer, one encoding per distinct piece.
 
 A text is cut where the tokenizer always starts a new unit, and each distinct
-piece is encoded once per worker and kept, up to ``KEEP`` pieces. Cutting,
+piece is encoded once per worker and kept, up to about ``KEEP_BYTES`` of them;
+pieces of more than ``LONGEST`` bytes are encoded wherever they stand. Cutting,
 hashing and joining work on whole byte buffers. Pieces are looked up by a
 64-bit hash and compared with the kept bytes; a piece that shares the hash of
 another is encoded afresh. Tests compare the ids with those of the whole text."""
@@ -15,9 +16,11 @@ import numpy as np
 
 from parley.llm import tokens as tk
 
-KEEP = 2_000_000
-CHUNK = 4 << 20
-COMPARE = 1 << 20
+KEEP_BYTES = 64 << 20
+LONGEST = 64
+CHUNK = 2 << 20
+COMPARE = 1 << 18
+BLOCK = 1 << 18  # bytes hashed at once
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x0A]] = True
@@ -65,6 +68,9 @@ class Encoder:
         self.ids_at, self.flat = np.zeros(1, np.int64), np.zeros(0, self.dtype)  # ids of the pieces and their borders
         self.text_at, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)  # bytes of the pieces and their borders
 
+    def kept_bytes(self) -> int:
+        return sum(a.nbytes for a in (self.known, self.slot, self.ids_at, self.flat, self.text_at, self.text))
+
     def _encoded(self, words: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for lo in range(0, len(words), 4096)
                 for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[lo:lo + 4096]], add_special_tokens=False)]
@@ -100,8 +106,10 @@ class Encoder:
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a UTF-8 buffer, and their number in each row."""
         s, e, row = self.cut(data, offsets)
-        found, first, back = np.unique(tk.hashes(data, s, e), return_index=True, return_inverse=True)
-        if len(self.known) + len(found) > KEEP:
+        short, long = np.flatnonzero(e - s <= LONGEST), np.flatnonzero(e - s > LONGEST)
+        found, first, back = np.unique(tk.hashes(data, s[short], e[short], BLOCK), return_index=True, return_inverse=True)
+        first = short[first]
+        if self.kept_bytes() > KEEP_BYTES:
             self._forget()
         place = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
         fresh = self.known[place] != found if len(self.known) else np.ones(len(found), bool)
@@ -109,9 +117,10 @@ class Encoder:
             raw = data.tobytes()
             self._learn(found[fresh], [raw[a:b] for a, b in zip(s[first[fresh]].tolist(), e[first[fresh]].tolist())])
             place = np.searchsorted(self.known, found)
-        slot = self.slot[place][back]
-        at, size, flat = self.ids_at[slot], self.ids_at[slot + 1] - self.ids_at[slot], self.flat
-        other = self._strangers(data, s, e, slot)
+        slot, flat = self.slot[place][back], self.flat
+        at, size = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+        at[short], size[short] = self.ids_at[slot], self.ids_at[slot + 1] - self.ids_at[slot]
+        other = np.concatenate([short[self._strangers(data, s[short], e[short], slot)], long])
         if len(other):
             own = self._encoded([data[a:b].tobytes() for a, b in zip(s[other].tolist(), e[other].tolist())])
             size[other] = [len(x) for x in own]

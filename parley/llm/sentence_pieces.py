@@ -258,7 +258,7 @@ class PieceEncoder(Encoder):
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a UTF-8 buffer, and their number in each row."""
-        if len(self.text) + 28 * len(self.known) > KEEP_BYTES:
+        if self.kept_bytes() > KEEP_BYTES:
             self._forget()
         some = np.diff(offsets) > 0
         fronted = np.insert(data, offsets[:-1][some], 0x20)

@@ -29,14 +29,14 @@ _BLOCK = 2 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def _power(base: int, n: int, block: int) -> np.ndarray:
     """base**0 .. base**(n-1) mod 2**64; kept for blocks of the usual size."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, _BLOCK), base, dtype=np.uint64)
+        have = np.full(max(n, block), base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 2 * _BLOCK:
+        if n <= 2 * block:
             _powers[base] = have
     return have[:n]
 
@@ -71,19 +71,21 @@ def spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray):
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int | None = None) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial over random byte values, by
-    prefix sums, taken in blocks so that long texts need no more memory."""
+    prefix sums, taken in blocks of bytes so that long texts need no more
+    memory; the size of a block does not change a hash."""
+    block = block or _BLOCK
     out = np.empty(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _BLOCK, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + block, side="right")))
         a, b = int(starts[lo]), int(ends[hi - 1])
         total = np.empty(b - a + 1, np.uint64)
         total[0] = 0
-        np.cumsum(_VALUE[data[a:b]] * _power(_BASE, b - a), out=total[1:])
+        np.cumsum(_VALUE[data[a:b]] * _power(_BASE, b - a, block), out=total[1:])
         s, e = starts[lo:hi] - a, ends[lo:hi] - a
-        h = (total[e] - total[s]) * _power(_INVERSE, b - a)[s]
+        h = (total[e] - total[s]) * _power(_INVERSE, b - a, block)[s]
         out[lo:hi] = mix(h + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
         lo = hi
     return out

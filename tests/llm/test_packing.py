@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from parley.llm import encoding
 from parley.llm.encoding import Encoder
 from parley.llm.packing import pack
 from parley.llm.token_files import mapped, read_token_files, write_token_files
@@ -82,3 +83,24 @@ def test_token_files_round_trip(spark):
 
 def test_token_files_empty(spark):
     assert read_token_files(write_token_files(frame(spark, []), BYTE)).count() == 0
+
+
+def test_token_files_are_read_by_many_tasks(spark):
+    """The manifest is a few kB, and still each file has a task of its own."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    manifest = write_token_files(docs, BYTE)
+    read = read_token_files(manifest)
+    tasks = {r.at for r in read.selectExpr("spark_partition_id() AS at").collect()}
+    assert manifest.count() == len(tasks) > 1
+
+
+@pytest.mark.parametrize("keep,longest", [(0, 64), (20_000, 3), (64 << 20, 0)])
+def test_the_kept_pieces_are_bounded(monkeypatch, keep, longest):
+    monkeypatch.setattr(encoding, "KEEP_BYTES", keep)
+    monkeypatch.setattr(encoding, "LONGEST", longest)
+    whole, enc = Tokenizer.from_file(BYTE), Encoder(BYTE, "spaced")
+    for lo in range(0, 3000, 100):
+        texts = [f"word{lo + i} {'x' * (i * 7)} the the {'long' * 40}" for i in range(100)]
+        for t, got in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(got, enc.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert enc.kept_bytes() <= keep + 30_000 and np.diff(enc.text_at).max(initial=0) <= longest
