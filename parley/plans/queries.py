@@ -486,12 +486,15 @@ def q_streamed_deliveries(spark, sf_dir):
     box = stored(outbox.build_outbox(first), "outbox")
     place = scratch(spark, "deliveries")
     rows = delivery.registrations(box)
-    rows.coalesce(1).write.parquet(f"{place}/in")
+    rows.write.parquet(f"{place}/in")
     clock = box.agg(F.max("registered_at").alias("now")).unionByName(
         spark.range(1).select(F.explode(F.array(*[F.lit(t).cast("timestamp_ntz") for t in (LAST_RUN, "2024-01-23 12:00:00")])).alias("now")))
     for now in (F.min("now"), F.sort_array(F.collect_list("now"))[1], F.max("now")):
-        delivery.ticks(clock.agg(now.alias("now")), "now").coalesce(1).write.mode("append").parquet(f"{place}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+        delivery.ticks(clock.agg(now.alias("now")), "now").coalesce(1).write.mode("append").parquet(f"{place}/clock")
+    # All registrations in the first batch, and one tick in each; a tick's timers
+    # fire in the batch after it.
+    source = spark.readStream.schema(rows.schema).parquet(f"{place}/in").unionByName(
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/clock"))
     stream = delivery.stream_deliveries(source, f"{place}/sent", f"{place}/state", once=True)
     stream.awaitTermination()
     return delivery.sent_messages(spark, f"{place}/sent").select("meeting_id", "key", "message", tx.display_ts("occurrence").alias("occurrence"))

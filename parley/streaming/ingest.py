@@ -114,21 +114,26 @@ def stream_records(source: DataFrame, table_path: str, checkpoint: str, build: C
     return written_batches(marked, checkpoint, parts, once)
 
 
-def written_batches(stream: DataFrame, checkpoint: str, parts: Callable[[DataFrame], dict[str, DataFrame]], once: bool = False) -> StreamingQuery:
+def written_batches(stream: DataFrame, checkpoint: str, parts: Callable[[DataFrame], dict[str, DataFrame]], once: bool = False,
+                    kept: bool = True) -> StreamingQuery:
     """Start a stateful stream whose batches are written to folders of their
-    own: ``parts`` gives the rows of a batch for each table's path."""
+    own: ``parts`` gives the rows of a batch for each table's path. Without
+    ``kept`` they are not held for a second reading: one table takes them as
+    they are."""
     spark = stream.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
         # The stream's own id is new with a new checkpoint, so its folders never
         # meet those of an earlier one.
         own = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
-        batch.persist()  # several tables may read it
+        if kept:
+            batch.persist()  # several tables may read it
         try:
             for path, rows in parts(batch).items():
                 rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream={own}/batch={number}")
         finally:
-            batch.unpersist()
+            if kept:
+                batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode("append")
     before = spark.conf.get(_PROVIDER, None)

@@ -86,3 +86,55 @@ def test_the_stream_equals_the_batch_query_on_the_fixture(spark, feed):
     feed.tick("2024-01-10 00:00:00")
     feed.tick(now)
     assert os.path.isdir(f"{feed.place}/in") and feed.run() == _due(box, now)
+
+
+def test_one_timer_waits_for_a_group_of_messages(spark, feed):
+    box = _box(spark, [(f"m{i}", f"2024-03-0{1 + i % 3} 1{i % 10}:{i % 60:02}:00", '{"followup_1":"x"}') for i in range(300)]).persist()
+    feed.put(delivery.registrations(box))
+    feed.tick("2024-03-02 15:00:00")
+    feed.tick("2024-03-09 11:30:00")
+    source = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{feed.place}/in")
+    q = delivery.stream_deliveries(source, f"{feed.place}/sent", f"{feed.place}/state", once=True)
+    q.awaitTermination()
+    states = [s for p in q.recentProgress for s in p["stateOperators"] if s["operatorName"].startswith("transformWithState")]
+    timers = [s["customMetrics"]["numRegisteredTimers"] for s in states]
+    assert 0 < max(timers) <= delivery.PARTS < 300
+    got = feed.run()
+    assert got == _due(box, "2024-03-09 11:30:00") and len(got) == len(set(got))
+
+
+def test_many_messages_of_one_minute_pass_in_parts(spark, feed, monkeypatch):
+    """More messages than an entry of the state and a frame hold, an earlier
+    first day than the one waited for, and one behind the clock."""
+    rows = {n: [(f"{n}{i}", f"2024-03-{day} 10:00:00", '{"followup_1":"x"}') for i in range(size)]
+            for n, day, size in (("a", "03", 23), ("b", "01", 9), ("c", "02", 8), ("d", "28", 5))}
+    _small(monkeypatch)
+    box = {n: _box(spark, r) for n, r in rows.items()}
+    feed.put(delivery.registrations(box["a"]))
+    feed.put(delivery.registrations(box["b"]))  # due before what is waited for
+    feed.tick("2024-03-02 11:00:00")
+    feed.put(delivery.registrations(box["c"]))
+    assert feed.run() == _due(box["b"].unionByName(box["c"]), "2024-03-02 11:00:00")
+    feed.put(delivery.registrations(box["d"]))
+    feed.put(delivery.registrations(_box(spark, [("late", "2024-02-28 10:00:00", '{"followup_1":"x"}')])))
+    feed.tick("2024-03-05 10:00:00")
+    feed.tick("2024-03-05 10:01:00")
+    want = box["a"].unionByName(box["b"]).unionByName(box["c"]).unionByName(_box(spark, [("late", "2024-02-28 10:00:00", '{"followup_1":"x"}')]))
+    got = feed.run()
+    assert got == _due(want, "2024-03-05 10:01:00") and len(got) == len(set(got))
+
+
+def _small(monkeypatch):
+    """Two groups, entries of 4 messages and frames of 3 rows, also in the workers."""
+    stream = delivery.stream_deliveries
+    monkeypatch.setattr(delivery, "DailyMessages", lambda make=delivery.DailyMessages: make(chunk=4, frame=3))
+    monkeypatch.setattr(delivery, "stream_deliveries", lambda *a, **k: stream(*a, parts=2, **k))
+
+
+def test_messages_without_a_meeting_or_a_text(spark, feed):
+    box = _box(spark, [("a", "2024-03-01 10:00:00", '{"followup_1":null,"followup_2":"y"}'), (None, "2024-03-01 10:00:00", '{"followup_1":"x"}')])
+    feed.put(delivery.registrations(box))
+    feed.tick("2024-03-02 12:00:00")
+    assert feed.run() == _due(box.filter("meeting_id IS NOT NULL"), "2024-03-02 12:00:00")
+    sent = delivery.sent_messages(spark, f"{feed.place}/sent").select("key", "message").distinct().collect()
+    assert sorted(map(tuple, sent), key=str) == sorted(map(tuple, box.filter("meeting_id IS NOT NULL").select("key", "message").collect()), key=str)
